@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_parts, cut, map_arrow, small
+from .common import BROADCAST_ROWS, binary_parts, cut, map_arrow, small
 
 NEAR = 3
 SHINGLE = 3
 #: Reference fingerprints: hashes of fixed numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 42) for i in range(32)], np.uint64)
 PAIRS = 1 << 20
+#: A fingerprint of more rows is joined by broadcast.
+HOT_ROWS = 500
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -162,13 +164,17 @@ def near_duplicates(docs: DataFrame, most: int = 1024, blocks: int | None = None
     keep their rows and never name a component unless all its ids are null.  An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     labels = components(links(nodes.select("fp"), most, blocks))
     named = nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "least")
     leaders = named.groupBy("label").agg(F.min("least").alias("component"))
     linked = named.select("fp", "label").join(leaders, "label").select("fp", "component")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint of many rows would meet its class in one task: such classes, under 20,000 by this count, are sent to the rows
+    full = max(HOT_ROWS, marked.count() // BROADCAST_ROWS + 1)
+    hot = cut(nodes.where(F.col("n") > full).select("fp").join(classes, "fp"))
+    rest = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes, "fp")
+    return rest.select("doc_id", "fp", "component_id").unionAll(marked.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
 
 
 def leaders(docs: DataFrame) -> DataFrame:
