@@ -37,7 +37,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     base = F.filter("secrets", lambda s: s["kind"] != "novel")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    counts = [F.size(F.expr(f"filter(secrets, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(secrets.rendered(base).cast("binary"), 256).alias("base_sha256"), secrets.rendered(F.col("secrets")).alias("spans"))
 
 
