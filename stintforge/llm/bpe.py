@@ -1,23 +1,22 @@
 """Byte-level BPE ids of whole texts, equal to the ``tokenizers`` library's.
 
-A byte-level BPE vocabulary of this kind first splits text by a fixed pattern, and merges never cross these splits.
-So the ids of a text are the joined ids of its splits, and a split met before needs no merging.  Texts of plain
-characters are split with Python's ``re`` and their splits looked up in a bounded memory, which the library fills;
-any other text (or one with an added token's string) goes to the library whole.
+Where the vocabulary also stands beside its file as ranks (``.tiktoken``), texts of plain characters are encoded from
+these, which is several times faster and gives the same ids: the split pattern and the merges are the same.  Any
+other text, or one that holds an added token's string, goes to the library.
 """
 
 from __future__ import annotations
 
+import array
+import base64
 import os
 import re
+from pathlib import Path
 
-import numpy as np
-
-#: The split pattern of this vocabulary, for the plain characters below.
-SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters on which Python's classes agree with the library's: ASCII and Latin letters.
+#: Characters on whose classes both libraries agree in any version: ASCII and Latin letters.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u017f]*")
-KNOWN = 400_000
+#: Fixed value: the split pattern of this vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -30,36 +29,24 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(x in text for x in self.added)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size > 1 << 20:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [SPLIT.findall(t) if self.plain(t) else None for t in texts]
-        new = list({p for s in split if s for p in s if p not in known})
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list({p for s in split if s for p in s})
-        known.update(zip(new, self.whole(new), strict=True))
-        return [b"".join([known[p] for p in s]) if s is not None else self.whole([t])[0] for t, s in zip(texts, split, strict=True)]
+        self.ranked = None
+        if (ranks := Path(path).with_suffix(".tiktoken")).exists():
+            import tiktoken
+
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if self.ranked is not None and PLAIN.fullmatch(text) and not any(x in text for x in self.added):
+            return self.ranked.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def packed(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        out = array.array("I", self.ids(text))
+        if out.itemsize != 4:
+            raise OSError("no 32-bit unsigned array here")
+        return out.tobytes()
 
 
 def encoder(path: str) -> Encoder:

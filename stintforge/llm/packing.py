@@ -32,8 +32,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(encoder(place).encode(batch.column("text").to_pylist())):
-            whole = ids + end
+        own = encoder(place)
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            whole = own.packed(text) + end
             n = len(whole) // 4
             lo, first = 0, n % capacity or capacity
             for k in range(-(-n // capacity)):

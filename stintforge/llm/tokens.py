@@ -59,13 +59,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = 512, chunk: int
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(place)
         texts = batch.column("text").to_pylist()
-        counts = [0] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-        for i, ids in zip(short, own.encode([texts[i] for i in short]), strict=True):
-            counts[i] = len(ids) // 4
-        for i, t in enumerate(texts):
-            if len(t) > chunk:
-                counts[i] = chunked_count(t, own.library, chunk)
+        counts = [len(own.ids(t)) if len(t) <= chunk else chunked_count(t, own.library, chunk) for t in texts]
         n = pa.array(counts, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n, pa.array([x > limit for x in counts])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
