@@ -16,9 +16,9 @@ from stintforge.llm.queries import documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what a learned language codes: not ``und``, and shorter than its own bytes."""
+    """Reject what is in no language: a null text, or one without a letter."""
     known = language.predict(docs, language.learn(docs), keep=docs.columns)
-    return known.where("lang_pred <> 'und' and bits_per_byte < 8").select(*docs.columns)
+    return known.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
