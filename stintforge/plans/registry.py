@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from stintforge.sources.tables import FACT_SQL, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,14 +14,34 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
+def query(name: str, select: str | None = None, ctes: str = "") -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Register a query over ``Tables``; ``select`` is the same result in SQL, over the fact relations and ``ctes``."""
+
+    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, root: build(Tables(spark, root))
+        if select is not None:
+            ORACLE[name] = f"with {FACT_SQL}{', ' + ctes if ctes else ''} {select}"
+        return build
+
+    return register
+
+
+def _load() -> None:
+    from stintforge.plans import linear, ordered, relational, scalar  # noqa: F401
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    """Padded rates: see ``scl22_padded_rate``."""
+    return queries()["scl22_padded_rate"](spark, root)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLE)
