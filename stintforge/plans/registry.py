@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stintforge.sources.shipping import ship
 from stintforge.sources.tables import FACT_SQL, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,12 @@ def query(name: str, select: str | None = None, ctes: str = "") -> Callable[[Cal
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, root: build(Tables(spark, root))
+
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            ship(spark)
+            return build(Tables(spark, root))
+
+        QUERIES[name] = run
         if select is not None:
             ORACLE[name] = f"with {FACT_SQL}{', ' + ctes if ctes else ''} {select}"
         return build
