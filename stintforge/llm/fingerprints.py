@@ -1,6 +1,7 @@
 """Document fingerprints by invertible Bloom lookup tables (DataFrame functions only).
 
-A text's paragraphs are its lines, in blocks of at most 40 words; a paragraph is known by a 64-bit digest.  A sketch
+A text's paragraphs are its lines, in blocks of at most 40 words (short texts add blocks of 8); a paragraph is known
+by a 64-bit digest.  A sketch
 throws each digest into one cell of each of three subtables; a cell holds how many fell there, the exclusive or of
 the digests and that of their check sums.  The sketches of two versions subtract cell by cell: shared paragraphs
 vanish, and peeling recovers the others: a cell with one digest left (its check sum fits) gives that digest, which
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 PARAGRAPH = r"(?:\S++[ \t]*+){1,40}+"
+#: Texts under so many code points also give their blocks of at most 8 words: a sentence's half is then known too.
+SHORT, FINE = 800, r"(?:\S++[ \t]*+){1,8}+"
 SUBTABLES = 3
 #: Peeling rounds, each over one subtable.
 ROUNDS = 12
@@ -29,7 +32,9 @@ NO_ID = -(1 << 63)
 
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
+    coarse, fine = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PARAGRAPH, FINE))
+    pieces = F.when(F.char_length(text) < SHORT, F.concat(coarse, fine)).otherwise(coarse)
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p))))
 
 
 def place(digest: Column, table: Column | int, cells: Column | int) -> Column:
