@@ -459,3 +459,191 @@ def _(t: Tables) -> DataFrame:
     games = games.withColumn("rk", F.row_number().over(own.orderBy("day", "game"))).withColumn("n", F.count("*").over(own))
     last = F.min(F.when(F.col("rk") >= F.col("n") * 0.25, F.col("day"))).over(own)
     return games.withColumn("last", last).where(F.col("day") <= F.col("last")).groupBy("season").agg(F.count("*").alias("games"))
+
+
+# ---- more filters, joins and aggregates
+
+
+@query("flt06_flags", "select season, sum((poss <= 6)::int)::bigint as rim, sum((sqrt(poss * poss + line * line) >= 30)::int)::bigint as far, sum((part >= 0)::int)::bigint as real from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("season").agg(F.count_if(F.col("poss") <= 6).alias("rim"), F.count_if(F.hypot(F.col("poss"), F.col("line").cast("double")) >= 30).alias("far"), F.count_if(F.col("part") >= 0).alias("real"))
+
+
+@query("flt07_named_blank_actions", "select count(*) as n from part where p_type like '%O%' and p_name like '%ring%'")
+def _(t: Tables) -> DataFrame:
+    return t.part.where(F.contains("p_type", F.lit("O")) & F.contains("p_name", F.lit("ring"))).agg(F.count("*").alias("n"))
+
+
+@query("flt11_composite_key", "select distinct season::bigint * 100000000 + player as key from fact")
+def _(t: Tables) -> DataFrame:
+    return t.fact.select((F.col("season").cast("long") * 100_000_000 + F.col("player")).alias("key")).distinct()
+
+
+@query("flt14_context_columns", "select game, case when phase = 'PO' then 1 else 0 end as po, least(greatest(poss - 25, -20), 20)::double as margin, case when poss >= 45 then 1 else 0 end as rout, (season = 1995)::int as s1995, (season = 1996)::int as s1996 from fact where line = 1 and game % 7 = 0")
+def _(t: Tables) -> DataFrame:
+    flag = lambda c: c.cast("int")
+    rows = t.fact.where("line = 1 and game % 7 = 0")
+    return rows.select("game", flag(F.col("phase") == "PO").alias("po"), F.least(F.greatest(F.col("poss") - 25, F.lit(-20.0)), F.lit(20.0)).alias("margin"), flag(F.col("poss") >= 45).alias("rout"), *[flag(F.col("season") == y).alias(f"s{y}") for y in (1995, 1996)])
+
+
+@query("flt18_training_cutoff", "select max(season) as last, count(*) as n from fact where season <= 1998")
+def _(t: Tables) -> DataFrame:
+    if "season" not in t.fact.columns:
+        raise ValueError("a relation without a season must not be trained on")
+    return t.fact.where("season <= 1998").agg(F.max("season").alias("last"), F.count("*").alias("n"))
+
+
+@query("flt22_tiers", "select case when poss < 300 then 'low' when poss < 900 then 'middle' else 'high' end as tier, count(*) as n from player_season group by 1")
+def _(t: Tables) -> DataFrame:
+    tier = F.when(F.col("poss") < 300, "low").when(F.col("poss") < 900, "middle").otherwise("high")
+    return t.player_season.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("flt26_zones", "select game, " + ", ".join(f"count(*) filter (where poss > {a} and poss <= {b}) as zone{k}" for k, (a, b) in enumerate(((0, 10), (10, 20), (20, 30), (30, 40), (40, 50)))) + " from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    zones = ((0, 10), (10, 20), (20, 30), (30, 40), (40, 50))
+    return t.fact.groupBy("game").agg(*[F.count_if((F.col("poss") > a) & (F.col("poss") <= b)).alias(f"zone{k}") for k, (a, b) in enumerate(zones)])
+
+
+@query("joi02_faced_by", "select a.player, count(*) as faced from (select distinct game, team, player from fact) a join (select game, team, count(*) as n from fact group by all) b on a.game = b.game and a.team <> b.team group by 1")
+def _(t: Tables) -> DataFrame:
+    """Rows of other teams in a player's games: team counts of the game less the own team's, no pairwise join."""
+    teams = t.fact.groupBy("game", "team").agg(F.count("*").alias("n"), F.countDistinct("player").alias("players"))
+    others = F.count("*").over(Window.partitionBy("game")) - 1
+    per = teams.select("game", "team", others.alias("others")).where("others > 0")
+    own = t.fact.select("game", "team", "player").distinct()
+    return own.join(per, ["game", "team"]).groupBy("player").agg(F.sum("others").alias("faced"))
+
+
+@query("joi07_faced_top", "select f.game, f.player, case when x.top is null then null when f.player = x.top then 1 else 0 end as is_top from (select distinct game, player from fact) f left join (select game, max_by(player, p * 1000 - player) as top from (select game, player, sum(poss) as p from fact where flag = 'R' group by all) group by 1) x on f.game = x.game")
+def _(t: Tables) -> DataFrame:
+    tops = t.fact.where("flag = 'R'").groupBy("game", "player").agg(F.sum("poss").alias("p")).groupBy("game").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("top"))
+    own = t.fact.select("game", "player").distinct()
+    return own.join(tops, "game", "left").select("game", "player", F.when(F.col("top").isNotNull(), (F.col("player") == F.col("top")).cast("int")).alias("is_top"))
+
+
+@query("joi08_leave_pair_out", "select customer, player, round(sum(sum(pts)) over (partition by player) - sum(pts), 4) as others from fact group by customer, player")
+def _(t: Tables) -> DataFrame:
+    return R.without_own(t.fact, ["customer"], ["player"], ["pts"]).select("customer", "player", r("other_pts").alias("others"))
+
+
+@query("joi13_row_teams", "select o_orderkey, c_nationkey as home, n_regionkey as region from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
+def _(t: Tables) -> DataFrame:
+    customers = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home"))
+    nations = t.nation.select(F.col("n_nationkey").alias("home"), F.col("n_regionkey").alias("region"))
+    return t.orders.select("o_orderkey", "o_custkey").join(customers, "o_custkey").join(F.broadcast(nations), "home").select("o_orderkey", "home", "region")
+
+
+@query("joi14_first_known", "select l.game, arg_min(s.s_nationkey, l.pos) as team from (select game, unnest(lineup) as player, unnest(range(1, len(lineup) + 1)) as pos from lineups) l join supplier s on l.player = s.s_suppkey and s.s_acctbal > 0 group by 1")
+def _(t: Tables) -> DataFrame:
+    known = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("player"), "s_nationkey")
+    slots = t.lineups.select("game", F.posexplode("lineup").alias("pos", "player"))
+    return slots.join(known, "player").groupBy("game").agg(F.min_by("s_nationkey", "pos").alias("team"))
+
+
+@query("joi26_top_average", "select team, round(avg(rate), 4) as mean from (select team, pts / poss as rate, row_number() over (partition by team order by poss desc, season, player) as rk from player_season) where rk <= 8 group by 1")
+def _(t: Tables) -> DataFrame:
+    best = Q.top(t.player_season, ["team"], [F.desc("poss"), F.col("season"), F.col("player")], 8)
+    return best.groupBy("team").agg(r(F.avg(F.col("pts") / F.col("poss"))).alias("mean"))
+
+
+@query("joi28_two_team_rows", "select game, 'for' as side, poss from (select game, sum(poss)::double as poss from fact group by 1) union all select game, 'against', -poss from (select game, sum(poss)::double as poss from fact group by 1)")
+def _(t: Tables) -> DataFrame:
+    games = t.fact.groupBy("game").agg(F.sum("poss").alias("p"))
+    sides = F.explode(F.array(F.struct(F.lit("for").alias("side"), F.col("p").alias("poss")), F.struct(F.lit("against").alias("side"), (-F.col("p")).alias("poss"))))
+    return games.select("game", sides.alias("s")).select("game", "s.side", "s.poss")
+
+
+@query("joi30_design_columns", "select f.game, d.column_id, sum(f.poss)::double as v from fact f join (select player, row_number() over (order by player) - 1 as column_id from (select distinct player from fact)) d on f.player = d.player where f.game % 5 = 0 group by all")
+def _(t: Tables) -> DataFrame:
+    players = t.fact.select("player").distinct().withColumn("column_id", F.row_number().over(Window.orderBy("player")) - 1)
+    return t.fact.where("game % 5 = 0").join(players, "player").groupBy("game", F.col("column_id").cast("long").alias("column_id")).agg(F.sum("poss").alias("v"))
+
+
+@query("joi32_history_union", "select player, count(*) as seasons, sum(poss)::double as poss from (select player, season, poss from player_season where season < 1998 union all select player, season, poss from player_season where season >= 1998) group by 1")
+def _(t: Tables) -> DataFrame:
+    old, new = (t.player_season.where(c).select("player", "season", "poss") for c in ("season < 1998", "season >= 1998"))
+    return old.unionByName(new).groupBy("player").agg(F.count("*").alias("seasons"), F.sum("poss").alias("poss"))
+
+
+@query("agg03_unpivoted_slots", "select player, season, sum(poss)::double as own, sum(n) as slots from (select season, unnest(lineup) as player, poss, len(lineup) as n from lineups) group by all".replace("sum(n) as slots", "sum(n)::bigint as slots"))
+def _(t: Tables) -> DataFrame:
+    slots = t.lineups.select("season", F.explode("lineup").alias("player"), "poss", F.size("lineup").alias("n"))
+    return slots.groupBy("player", "season").agg(F.sum("poss").alias("own"), F.sum("n").alias("slots"))
+
+
+@query("agg05_conditional_sum", "select player, sum(case when phase = 'RS' then poss else 0 end)::double as rs from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(F.sum(F.when(F.col("phase") == "RS", F.col("poss")).otherwise(0.0)).alias("rs"))
+
+
+@query("agg07_player_side", "select player, flag, sum(poss)::double as poss from fact where game % 3 = 0 group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.where("game % 3 = 0").groupBy("player", "flag").agg(F.sum("poss").alias("poss"))
+
+
+@query("agg13_within_variance", "select player, round(var_samp(poss), 4) as noise, count(*) as n from fact group by 1 having count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(r(F.var_samp("poss")).alias("noise"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("agg17_known_inputs", "select player, round(sum(case when flag <> 'N' then poss * pts end) / sum(case when flag <> 'N' then poss end), 4) as mean, sum((flag = 'N')::int)::bigint as unknown from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    rows = t.fact.withColumn("x", F.when(F.col("flag") != "N", F.col("pts")))
+    return rows.groupBy("player").agg(r(M.weighted_mean("x", "poss")).alias("mean"), F.count_if(F.col("x").isNull()).alias("unknown"))
+
+
+@query("agg24_closeness", "select player, round(sum(poss * (abs(poss - 25) < 10)::int) / sum(poss), 6) as close, round(sum(poss * abs(poss - 25)) / sum(poss), 6) as margin from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    off = F.abs(F.col("poss") - 25)
+    share = lambda x: r(F.sum(F.col("poss") * x) / F.sum("poss"), 6)
+    return t.fact.groupBy("player").agg(share((off < 10).cast("int")).alias("close"), share(off).alias("margin"))
+
+
+@query("agg27_mode", "select player, arg_max(flag, n * 1000 - ascii(flag)) as most from (select player, flag, count(*) as n from fact group by all) group by 1")
+def _(t: Tables) -> DataFrame:
+    n = t.fact.groupBy("player", "flag").agg(F.count("*").alias("n"))
+    return n.groupBy("player").agg(F.max_by("flag", F.col("n") * 1000 - F.ascii("flag")).alias("most"))
+
+
+@query("agg32_sum_or_null", "select part, sum(case when flag = 'R' and poss > 45 then pts end) is null as nothing, count(*) as n from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("part").agg(F.sum(F.when((F.col("flag") == "R") & (F.col("poss") > 45), F.col("pts"))).isNull().alias("nothing"), F.count("*").alias("n"))
+
+
+@query("agg39_home_and_away", "select team, sum(v)::double as v from (select team, poss as v from fact union all select team, -line from fact) group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.select("team", F.col("poss").alias("v")).unionByName(t.fact.select("team", (-F.col("line")).cast("double").alias("v"))).groupBy("team").agg(F.sum("v").alias("v"))
+
+
+@query("agg43_clutch_share", "select player, round((sum(case when status = 'O' then poss else 0 end) + 25) / (sum(poss) + 50) - 0.5, 6) as lean from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    late = F.sum(F.when(F.col("status") == "O", F.col("poss")).otherwise(0.0))
+    return t.fact.groupBy("player").agg(r((late + 25) / (F.sum("poss") + 50) - 0.5, 6).alias("lean"))
+
+
+@query("agg48_group_shares", "select flag, status, round(sum(poss) / sum(sum(poss)) over (), 8) as share from fact group by flag, status")
+def _(t: Tables) -> DataFrame:
+    own = t.fact.groupBy("flag", "status").agg(F.sum("poss").alias("p"))
+    return own.select("flag", "status", r(F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0))), 8).alias("share"))
+
+
+@query("agg54_latest_name", "select player, max_by(team, season) as team, round(sum(pts) / sum(poss), 4) as rate from player_season group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.player_season.groupBy("player").agg(F.max_by("team", "season").alias("team"), r(F.sum("pts") / F.sum("poss")).alias("rate"))
+
+
+@query("agg57_per36", "select player, round(36 * sum(pts) / greatest(sum(poss), 1), 4) as per36 from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(r(36 * F.sum("pts") / F.greatest(F.sum("poss"), F.lit(1.0))).alias("per36"))
+
+
+@query("agg59_cluster_spread", "select team, count(*) as players, round(stddev_samp(rate), 4) as spread from (select team, player, sum(pts) / sum(poss) as rate from fact group by all) group by 1 having count(*) >= 3")
+def _(t: Tables) -> DataFrame:
+    rate = t.fact.groupBy("team", "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    return rate.groupBy("team").agg(F.count("*").alias("players"), r(F.stddev_samp("rate")).alias("spread")).where("players >= 3")
+
+
+@query("agg60_phases_summed", "select season, team, player, sum(poss)::double as poss, max(case when phase = 'RS' then 1 else 0 end) as regular from fact group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("season", "team", "player").agg(F.sum("poss").alias("poss"), F.max((F.col("phase") == "RS").cast("int")).alias("regular"))
