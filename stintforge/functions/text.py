@@ -24,3 +24,18 @@ def fuzzy(asked: DataFrame, roster: DataFrame, least: float) -> DataFrame:
     right = roster.withColumn("_first", F.substring("name", 1, 1))
     scored = left.join(right, "_first").withColumn("score", F.round(similarity("asked", "name"), 6))
     return scored.where(F.col("score") >= least).groupBy("asked").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"), F.max("score").alias("score"))
+
+
+def season_list(text: str) -> list[int]:
+    """``1997-2000,2003`` to the sorted seasons."""
+    found: set[int] = set()
+    for part in text.split(","):
+        first, _, last = part.strip().partition("-")
+        found |= set(range(int(first), int(last or first) + 1))
+    return sorted(found)
+
+
+def step_table(text: str, first: int = 0) -> list[tuple[int, float]]:
+    """``0.89,2017:0.84`` to (first season, value) steps."""
+    steps = [part.strip().partition(":") for part in text.split(",")]
+    return sorted((int(a), float(b)) if b else (first, float(a)) for a, _, b in steps)

@@ -338,3 +338,119 @@ def _(t: Tables) -> DataFrame:
     before = t.player_season.select("player", (F.col("season") + 1).alias("season"), (F.col("pts") / F.col("poss")).alias("old"))
     off = F.col("pts") / F.col("poss") - F.col("old")
     return t.player_season.join(before, ["player", "season"]).groupBy("season").agg(r(F.sqrt(F.sum(F.col("poss") * off * off) / F.sum("poss"))).alias("error"), F.count("*").alias("players"))
+
+
+# ---- more linear algebra and checks
+
+
+@query("lam12_absorbed_season", "select round(regr_slope(dy, dx), 6) as slope from (select poss - avg(poss) over (partition by season) as dx, pts / 1000 - avg(pts / 1000) over (partition by season) as dy from player_season)")
+def _(t: Tables) -> DataFrame:
+    """Season levels eliminated from the equations: the Schur complement of one-hot columns is demeaning."""
+    sums = t.player_season.groupBy("season").agg(F.count("*").alias("n"), F.sum("poss").alias("x"), F.sum(F.col("pts") / 1000).alias("y"), F.sum(F.col("poss") * F.col("poss")).alias("xx"), F.sum(F.col("poss") * F.col("pts") / 1000).alias("xy"))
+    inner = lambda a, b, ab: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("n"))
+    return sums.agg(r(inner("x", "y", "xy") / inner("x", "x", "xx"), 6).alias("slope"))
+
+
+@query("lam18_prior_sums", "select game, round(sum(q.rate), 4) as prior from (select game, unnest(lineup) as player from lineups) l join (select player, sum(pts) / sum(poss) as rate from fact where season = 1995 group by 1) q on l.player = q.player group by 1")
+def _(t: Tables) -> DataFrame:
+    prior = t.fact.where("season = 1995").groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    return t.lineups.select("game", F.explode("lineup").alias("player")).join(prior, "player").groupBy("game").agg(r(F.sum("rate")).alias("prior"))
+
+
+@query("lam31_team_on_off_rates", "select player, round(100 * sum(own.pts) / sum(own.poss), 3) as on_rate, round(100 * sum(g.pts - own.pts) / nullif(sum(g.poss - own.poss), 0), 3) as off_rate from (select game, player, sum(pts) as pts, sum(poss) as poss from fact group by all) own join (select game, sum(pts) as pts, sum(poss) as poss from fact group by 1) g on own.game = g.game group by 1")
+def _(t: Tables) -> DataFrame:
+    rest = R.without_own(t.fact, ["player"], ["game"], ["pts", "poss"])
+    rate = lambda a, b: r(100 * F.sum(a) / F.nullif(F.sum(b), F.lit(0.0)), 3)
+    return rest.groupBy("player").agg(rate("pts", "poss").alias("on_rate"), rate("other_pts", "other_poss").alias("off_rate"))
+
+
+@query("lam35_rating_differences", "select a.player as a, b.player as b, round(a.rate - b.rate, 4) as d from (select player, sum(pts) / sum(poss) as rate from fact group by 1) a join (select player, sum(pts) / sum(poss) as rate from fact group by 1) b on b.player = a.player + 1")
+def _(t: Tables) -> DataFrame:
+    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    return rate.select(F.col("player").alias("a"), (F.col("player") + 1).alias("b"), F.col("rate").alias("ra")).join(rate.select(F.col("player").alias("b"), F.col("rate").alias("rb")), "b").select("a", "b", r(F.col("ra") - F.col("rb")).alias("d"))
+
+
+@query("lam45_partialled_out", "select round(regr_slope(ry, rx), 6) as slope from (select y - (regr_intercept(y, z) over () + regr_slope(y, z) over () * z) as ry, x - (regr_intercept(x, z) over () + regr_slope(x, z) over () * z) as rx from (select pts / 1000 as y, poss as x, games::double as z from player_season))")
+def _(t: Tables) -> DataFrame:
+    """Frisch-Waugh-Lovell from one pass of centred sums."""
+    rows = t.player_season.select((F.col("pts") / 1000).alias("y"), F.col("poss").alias("x"), F.col("games").cast("double").alias("z"))
+    sums = rows.agg(*[F.covar_pop(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yz", "zz")])
+    part = lambda a, az, b: F.col(a) - F.col(az) * F.col(b) / F.col("zz")
+    return sums.select(r(part("xy", "xz", "yz") / part("xx", "xz", "xz"), 6).alias("slope"))
+
+
+@query("lam47_leave_fold_out", "select f.fold, e.i, e.j, round(sum(e.g), 4) as g from (select a.game * 2654435761 % 4294967296 % 5 as fold, a.col as i, b.col as j, sum(a.w) as g from design a join design b on a.game = b.game and a.col <= b.col where a.col < 20 and b.col < 20 group by all) e, (select unnest(range(5)) as fold) f where e.fold <> f.fold group by all", _DESIGN)
+def _(t: Tables) -> DataFrame:
+    rows = design(t).where("col < 20").withColumn("fold", Q.arithmetic_fold(F.col("game"), 5).cast("long"))
+    by_fold = M.gram(rows, ["fold"], "game", "col", "v", "w")
+    return L.leave_out(by_fold.select("fold", "i", "j", "g"), "fold").select("fold", "i", "j", r("g").alias("g")).where("g <> 0")
+
+
+@query("lam54_pair_slope", "select a.season, round(sum(h * d * e) / sum(h * e * e), 4) as slope from (select a.season, a.poss * b.poss / (a.poss + b.poss) as h, a.rate - b.rate as d, (a.poss - b.poss) / 100 as e from cores a join cores b on a.season = b.season and a.core = b.core and a.lineup < b.lineup) a group by 1", _PAIRS)
+def _(t: Tables) -> DataFrame:
+    lines = t.lineups.groupBy("season", "lineup").agg((F.sum("pts") / F.sum("poss")).alias("rate"), F.sum("poss").alias("poss"))
+    side = lambda s: lines.select("season", F.col("lineup").alias(s), F.col("rate").alias(f"r{s}"), F.col("poss").alias(f"p{s}"))
+    both = R.swap_pairs(lines, ["season"]).join(side("a"), ["season", "a"]).join(side("b"), ["season", "b"])
+    h, d, e = F.col("pa") * F.col("pb") / (F.col("pa") + F.col("pb")), F.col("ra") - F.col("rb"), (F.col("pa") - F.col("pb")) / 100
+    return both.groupBy("season").agg(r(F.sum(h * d * e) / F.sum(h * e * e)).alias("slope"))
+
+
+@query("lam64_pace_rows", "select game, round(poss / 10, 4) as pace, greatest(poss, 15)::double as seconds from lineups where poss >= 15")
+def _(t: Tables) -> DataFrame:
+    return t.lineups.where("poss >= 15").select("game", r(F.col("poss") / 10).alias("pace"), F.greatest("poss", F.lit(15.0)).alias("seconds"))
+
+
+@query("lam67_slot_leverage", "select player, round(sum(poss * abs(poss - 100)) / sum(poss), 4) as leverage from (select unnest(lineup) as player, poss from lineups) group by 1")
+def _(t: Tables) -> DataFrame:
+    slots = t.lineups.select(F.explode("lineup").alias("player"), "poss")
+    return slots.groupBy("player").agg(r(F.sum(F.col("poss") * F.abs(F.col("poss") - 100)) / F.sum("poss")).alias("leverage"))
+
+
+@query("lam78_posterior_sd")
+def _(t: Tables) -> DataFrame:
+    found = L.ridge(equations(t), "season", 5000.0)
+    return found.where("i > 0").groupBy("season").agg(r(F.min("sd"), 6).alias("least"), r(F.max("sd"), 6).alias("most"))
+
+
+@query("lam87_unseen_weights", "select customer, round(1.0 / len(list_filter([1995, 1996, 1997, 1998, 1999, 2000, 2001, 2002], lambda y: not list_contains(list(distinct season), y))), 6) as weight from fact group by 1".replace("list_contains(list(distinct season), y)", "list_contains(s, y)").replace("from fact group by 1", "from (select customer, list(distinct season) as s from fact group by 1)"))
+def _(t: Tables) -> DataFrame:
+    own = t.fact.groupBy("customer").agg(F.collect_set("season").alias("s"))
+    unseen = F.size(F.filter(F.array(*map(F.lit, range(1995, 2003))), lambda y: ~F.array_contains("s", y)))
+    return own.select("customer", r(1.0 / unseen, 6).alias("weight"))
+
+
+@query("chk02_team_residuals", "select game, player, line, part, round(poss - avg(poss) over (partition by team) - avg(poss) over (partition by phase) + avg(poss) over (), 6) as residual from fact where game % 10 = 0")
+def _(t: Tables) -> DataFrame:
+    rows, mean = t.fact.where("game % 10 = 0"), F.avg("poss")
+    residual = F.col("poss") - mean.over(Window.partitionBy("team")) - mean.over(Window.partitionBy("phase"))
+    level = rows.agg(F.avg("poss").alias("level"), F.lit(1).alias("one"))
+    return rows.withColumn("e", residual).join(F.broadcast(level), F.lit(1) == F.col("one")).select("game", "player", "line", "part", r(F.col("e") + F.col("level"), 6).alias("residual"))
+
+
+@query("chk05_paired_z", "select round(avg(d) / greatest(stddev_samp(d) / sqrt(count(*)), 0.05), 4) as z, count(*) as seasons from (select season, avg(poss) filter (where flag = 'A') - avg(poss) filter (where flag = 'N') as d from fact group by 1)")
+def _(t: Tables) -> DataFrame:
+    mean = lambda f: F.avg(F.when(F.col("flag") == f, F.col("poss")))
+    gaps = t.fact.groupBy("season").agg((mean("A") - mean("N")).alias("d"))
+    return gaps.agg(r(F.avg("d") / F.greatest(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.05))).alias("z"), F.count("*").alias("seasons"))
+
+
+@query("chk13_permutation_null", "select round(avg(case when a.k % 2 = 0 then b.v end) - avg(case when a.k % 2 = 1 then b.v end), 6) as gap from (select season, game, row_number() over (partition by season order by game) as k from g) a join (select season, v, row_number() over (partition by season order by (game * 2654435761) % 4294967296, game) as k from g) b on a.season = b.season and a.k = b.k",
+       "g as (select season, game, sum(poss)::double as v from fact group by all)")
+def _(t: Tables) -> DataFrame:
+    games = t.fact.groupBy("season", "game").agg(F.sum("poss").alias("v"))
+    mixed = F.row_number().over(Window.partitionBy("season").orderBy(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), "game"))
+    flagged = games.select("v", (mixed % 2).alias("flag"))
+    return flagged.agg(r(F.avg(F.when(F.col("flag") == 0, F.col("v"))) - F.avg(F.when(F.col("flag") == 1, F.col("v"))), 6).alias("gap"))
+
+
+@query("chk15_clustered_z", "select round(sum(s) / sqrt(sum(s * s)), 4) as z, count(*) as clusters from (select customer, sum(poss - 25.5) as s from fact group by 1)")
+def _(t: Tables) -> DataFrame:
+    clusters = t.fact.groupBy("customer").agg(F.sum(F.col("poss") - 25.5).alias("s"))
+    return clusters.agg(r(F.sum("s") / F.sqrt(F.sum(F.col("s") * F.col("s")))).alias("z"), F.count("*").alias("clusters"))
+
+
+@query("chk19_last_n_as_of", "select team, game, count(*) over w as n, round(avg(poss) over w, 4) as mean from (select team, day, game, sum(poss) as poss from fact group by all) window w as (partition by team order by day, game rows between 10 preceding and 1 preceding)")
+def _(t: Tables) -> DataFrame:
+    games = t.fact.groupBy("team", "day", "game").agg(F.sum("poss").alias("poss"))
+    before = Window.partitionBy("team").orderBy("day", "game").rowsBetween(-10, -1)
+    return games.select("team", "game", F.count("*").over(before).alias("n"), r(F.avg("poss").over(before)).alias("mean"))

@@ -347,3 +347,117 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     own = t.fact.groupBy("team", "day", "game").agg(F.sum("poss").alias("poss"))
     return own.select("team", "game", r(F.sum("poss").over(Window.partitionBy("team").orderBy("day", "game").rowsBetween(-10, -1))).alias("last_ten"))
+
+
+# ---- more windows, sorts and sets
+
+
+@query("win21_demeaned_scaled", "select game, player, line, part, round(sqrt(poss) * (pts / 1000 - avg(pts / 1000) over (partition by game, team)), 6) as x from fact where game % 10 = 0")
+def _(t: Tables) -> DataFrame:
+    y = F.col("pts") / 1000
+    rows = t.fact.where("game % 10 = 0")
+    return rows.select("game", "player", "line", "part", r(F.sqrt("poss") * (y - F.avg(y).over(Window.partitionBy("game", "team"))), 6).alias("x"))
+
+
+@query("win23_team_mean_or_own", "select season, player, round(case when count(*) over w >= 4 then sum(pts) over w / sum(poss) over w else pts / poss end, 4) as rate from player_season window w as (partition by season, team)")
+def _(t: Tables) -> DataFrame:
+    team = Window.partitionBy("season", "team")
+    rate = F.when(F.count("*").over(team) >= 4, F.sum("pts").over(team) / F.sum("poss").over(team)).otherwise(F.col("pts") / F.col("poss"))
+    return t.player_season.select("season", "player", r(rate).alias("rate"))
+
+
+@query("win27_blowout_weight", "select player, round(sum(case when abs(poss - 25) >= 20 then 0.5 * poss else poss end), 4) as weighted from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(r(F.sum(F.when(F.abs(F.col("poss") - 25) >= 20, 0.5 * F.col("poss")).otherwise(F.col("poss")))).alias("weighted"))
+
+
+@query("win28_mean_until_season", "select season, player, round(coalesce(case when games >= 60 then pts / poss end, (select avg(pts / poss) from player_season where games >= 60 and season <= 1998)), 4) as rate from player_season")
+def _(t: Tables) -> DataFrame:
+    rate = F.col("pts") / F.col("poss")
+    mean = t.player_season.where("games >= 60 and season <= 1998").agg(F.avg(rate).alias("mean"), F.lit(1).alias("one"))
+    return t.player_season.join(F.broadcast(mean), F.lit(1) == F.col("one")).select("season", "player", r(F.coalesce(F.when(F.col("games") >= 60, rate), F.col("mean"))).alias("rate"))
+
+
+@query("win29_pair_sums_by_fold", """select fold, count(*) as pairs, round(sum(x), 2) as total from (select distinct on (a.game, a.player, b.player, f.fold) a.game, f.fold, a.p * b.p as x from own a join own b on a.game = b.game and a.player < b.player
+  join (select unnest([0, 1, 2]) as fold) f on f.fold in (a.player % 3, b.player % 3)) group by 1""", "own as (select game, player, sum(poss) as p from fact where game % 5 = 0 group by all)")
+def _(t: Tables) -> DataFrame:
+    """Products of a game's pairs, once for each fold that either player is in; pairs come from the game's own array."""
+    own = t.fact.where("game % 5 = 0").groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    sets = own.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("player", "p"))).alias("e"))
+    left = sets.select("e", F.posexplode("e").alias("at", "a"))
+    pairs = left.select("a", F.explode(F.slice("e", F.col("at") + 2, F.size("e") - F.col("at"))).alias("b"))
+    folds = F.explode(F.array_distinct(F.array(F.pmod("a.player", F.lit(3)), F.pmod("b.player", F.lit(3)))))
+    return pairs.select((F.col("a.p") * F.col("b.p")).alias("x"), folds.alias("fold")).groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("pairs"), r(F.sum("x"), 2).alias("total"))
+
+
+@query("srt01_stable_sort", "select game, player, (row_number() over (partition by game order by line, player, part, poss, pts))::int as seq from fact")
+def _(t: Tables) -> DataFrame:
+    return t.fact.select("game", "player", F.row_number().over(Window.partitionBy("game").orderBy("line", "player", "part", "poss", "pts")).alias("seq"))
+
+
+@query("srt04_two_key_rank", "select team, (row_number() over (order by best desc, first, team))::int as place from (select team, max(poss) as best, min(season) as first from player_season group by 1)")
+def _(t: Tables) -> DataFrame:
+    teams = t.player_season.groupBy("team").agg(F.max("poss").alias("best"), F.min("season").alias("first"))
+    return teams.select("team", F.row_number().over(Window.orderBy(F.desc("best"), "first", "team")).alias("place"))
+
+
+@query("srt05_own_rank", """select a.vec_id, 1 + count(*) filter (where b.d < a.d) as place from (select vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as d from embeddings) a join (select label, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as d from embeddings) b on a.label = b.label group by all""")
+def _(t: Tables) -> DataFrame:
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    rows = t.embeddings.select("vec_id", "label", total.alias("d"))
+    return rows.select("vec_id", F.rank().over(Window.partitionBy("label").orderBy("d")).cast("long").alias("place"))
+
+
+@query("srt08_top_starters", "select player from (select player, count(distinct game) as g, sum(poss) as p from fact group by 1) order by g desc, p desc, player limit 15")
+def _(t: Tables) -> DataFrame:
+    own = t.fact.groupBy("player").agg(F.countDistinct("game").alias("g"), F.sum("poss").alias("p"))
+    return own.orderBy(F.desc("g"), F.desc("p"), "player").limit(15).select("player")
+
+
+@query("srt10_near_season_mean", "select season, round(avg(rate), 4) as mean from (select a.season, b.rate, row_number() over (partition by a.season order by abs(a.season - b.season), b.season) as rk from yearly a join yearly b on a.season <> b.season) where rk <= 4 group by 1", "yearly as (select season, sum(pts) / sum(poss) as rate from fact group by 1)")
+def _(t: Tables) -> DataFrame:
+    yearly = t.fact.groupBy("season").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    every = yearly.agg(F.array_sort(F.collect_list(F.struct("season", "rate"))).alias("all"))
+    pairs = yearly.select("season").join(F.broadcast(every)).select("season", F.explode("all").alias("o")).where("season <> o.season")
+    near = Q.top(pairs, ["season"], [F.abs(F.col("season") - F.col("o.season")), F.col("o.season")], 4)
+    return near.groupBy("season").agg(r(F.avg("o.rate")).alias("mean"))
+
+
+@query("srt13_renamed", "select player as player_id, round(poss, 2) as possessions from player_season where season = 1995")
+def _(t: Tables) -> DataFrame:
+    names = {"player": "player_id", "poss": "possessions"}
+    rows = t.player_season.where("season = 1995").withColumn("poss", r("poss", 2))
+    return rows.select([F.col(c).alias(n) for c, n in names.items()])
+
+
+@query("set02_renumbered_union", "select part, (dense_rank() over (order by part) - 1)::bigint as number from (select part from fact where season = 1995 union select part from fact where season = 2001)")
+def _(t: Tables) -> DataFrame:
+    """Numbers in sorted order from counts of ranges and places inside them, so no task orders all parts."""
+    parts = t.fact.where("season = 1995").select("part").union(t.fact.where("season = 2001").select("part")).distinct().withColumn("block", F.floor(F.col("part") / 1000))
+    before = parts.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("part")) - 1
+    return parts.join(before.drop("n"), "block").select("part", (F.col("before") + place).alias("number"))
+
+
+@query("set04_neighbour_seasons", "select customer, list_sort(list_filter([min(season) - 1, max(season) + 1], lambda s: s between 1995 and 2001)) as wanted from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    own = t.fact.groupBy("customer").agg(F.array(F.min("season") - 1, F.max("season") + 1).alias("s"))
+    return own.select("customer", F.array_sort(F.filter("s", lambda x: x.between(1995, 2001))).alias("wanted"))
+
+
+@query("set09_dealt_seasons", "select season, ((row_number() over (order by season) - 1) % 3)::int as worker from (select distinct season from fact)")
+def _(t: Tables) -> DataFrame:
+    seasons = t.fact.select("season").distinct()
+    return seasons.select("season", ((F.row_number().over(Window.orderBy("season")) - 1) % 3).alias("worker"))
+
+
+@query("set11_seasons_by_share", "select season, share, round(sum(poss) * share, 4) as poss from fact, (select unnest([0.25, 0.5, 1.0])::double as share) group by season, share")
+def _(t: Tables) -> DataFrame:
+    seasons = t.fact.groupBy("season").agg(F.sum("poss").alias("p"))
+    return seasons.select("season", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("share"), "p").select("season", "share", r(F.col("p") * F.col("share")).alias("poss"))
+
+
+@query("set12_checks_union", "select 'fact' as what, count(*) > 0 as ok, null::double as value from fact union all select 'mean', null, round(avg(poss), 6) from fact")
+def _(t: Tables) -> DataFrame:
+    flags = t.fact.agg(F.lit("fact").alias("what"), (F.count("*") > 0).alias("ok"), F.lit(None).cast("double").alias("value"))
+    return flags.unionByName(t.fact.agg(F.lit("mean").alias("what"), F.lit(None).cast("boolean").alias("ok"), r(F.avg("poss"), 6).alias("value")))

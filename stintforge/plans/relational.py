@@ -647,3 +647,87 @@ def _(t: Tables) -> DataFrame:
 @query("agg60_phases_summed", "select season, team, player, sum(poss)::double as poss, max(case when phase = 'RS' then 1 else 0 end) as regular from fact group by all")
 def _(t: Tables) -> DataFrame:
     return t.fact.groupBy("season", "team", "player").agg(F.sum("poss").alias("poss"), F.max((F.col("phase") == "RS").cast("int")).alias("regular"))
+
+
+@query("agg09_bin_possessions", "select season, floor(poss / 200)::bigint as bin, sum(poss)::double as poss from player_season group by 1, 2")
+def _(t: Tables) -> DataFrame:
+    return t.player_season.groupBy("season", F.floor(F.col("poss") / 200).alias("bin")).agg(F.sum("poss").alias("poss"))
+
+
+@query("agg16_lineup_strength", "select season, round(sum(l.poss * q.rate) / sum(l.poss), 4) as strength from (select season, unnest(lineup) as player, poss from lineups) l join (select player, sum(pts) / sum(poss) as rate from fact group by 1) q on l.player = q.player group by 1")
+def _(t: Tables) -> DataFrame:
+    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    slots = t.lineups.select("season", F.explode("lineup").alias("player"), "poss")
+    return slots.join(rate, "player").groupBy("season").agg(r(F.sum(F.col("poss") * F.col("rate")) / F.sum("poss")).alias("strength"))
+
+
+@query("agg33_poisson_pad", """select season, round(case when v > noise then mean / (v - noise) * mean else 1e6 end, 2) as pad from (select season, sum(n * (x / n - m) * (x / n - m)) / sum(n) as v, any_value(m) * count(*) / sum(n) as noise, any_value(m) as mean from (
+  select season, player, games as n, poss / 25 as x, sum(poss / 25) over (partition by season) / sum(games) over (partition by season) as m from player_season) group by 1)""")
+def _(t: Tables) -> DataFrame:
+    """Noise of a count a game is its mean over the games; what varies beyond it is between players."""
+    rows = t.player_season.select("season", F.col("games").alias("n"), (F.col("poss") / 25).alias("x"))
+    own = Window.partitionBy("season")
+    rows = rows.withColumn("m", F.sum("x").over(own) / F.sum("n").over(own))
+    off = F.col("x") / F.col("n") - F.col("m")
+    sums = rows.groupBy("season").agg((F.sum(F.col("n") * off * off) / F.sum("n")).alias("v"), (F.max("m") * F.count("*") / F.sum("n")).alias("noise"), F.max("m").alias("mean"))
+    return sums.select("season", r(F.when(F.col("v") > F.col("noise"), F.col("mean") / (F.col("v") - F.col("noise")) * F.col("mean")).otherwise(1e6), 2).alias("pad"))
+
+
+@query("agg38_first_teams", "select game, arg_min(team, line * 1000000 + player * 1000 + part) as first_team, round(sum(poss - 25), 4) as margin from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("game").agg(F.min_by("team", F.col("line") * 1_000_000 + F.col("player") * 1000 + F.col("part")).alias("first_team"), r(F.sum(F.col("poss") - 25)).alias("margin"))
+
+
+@query("agg40_openings", "select player, count(*) as openings from (select game, arg_min(lineup, day) as lineup from (select l.game, l.lineup, f.day from lineups l join (select game, min(day) as day from fact group by 1) f on l.game = f.game) group by 1) x, unnest(x.lineup) u(player) group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.lineups.select(F.explode("lineup").alias("player")).groupBy("player").agg(F.count("*").alias("openings"))
+
+
+@query("agg45_with_without", "select p.player, round(sum(p.poss), 4) as with_poss, round(sum(t.poss - p.poss), 4) as without_poss from player_season p join (select season, team, sum(poss) as poss from player_season group by all) t on p.season = t.season and p.team = t.team group by 1")
+def _(t: Tables) -> DataFrame:
+    rest = R.without_own(t.player_season, ["player"], ["season", "team"], ["poss"])
+    return rest.groupBy("player").agg(r(F.sum("poss")).alias("with_poss"), r(F.sum("other_poss")).alias("without_poss"))
+
+
+@query("agg52_last_ten_rates", "select team, round(sum(pts) / sum(poss) - avg(sum(pts) / sum(poss)) over (), 4) as rate from (select team, pts, poss, row_number() over (partition by team order by day desc, game desc) as rk from (select team, day, game, sum(pts) as pts, sum(poss) as poss from fact group by all)) where rk <= 10 group by team")
+def _(t: Tables) -> DataFrame:
+    games = t.fact.groupBy("team", "day", "game").agg(F.sum("pts").alias("pts"), F.sum("poss").alias("poss"))
+    last = Q.top(games, ["team"], [F.desc("day"), F.desc("game")], 10).groupBy("team").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    return last.select("team", r(F.col("rate") - F.avg("rate").over(Window.partitionBy(F.lit(0)))).alias("rate"))
+
+
+@query("agg58_cluster_gap", "select team, round(avg(case when flag = 'A' then pts end) - avg(case when flag = 'R' then pts end), 4) as gap from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    side = lambda f: F.avg(F.when(F.col("flag") == f, F.col("pts")))
+    return t.fact.groupBy("team").agg(r(side("A") - side("R")).alias("gap"))
+
+
+@query("joi11_on_off_shares", "select o.player, round(sum(o.poss) / sum(g.poss), 6) as share from (select game, player, sum(poss) as poss from fact group by all) o join (select game, sum(poss) as poss from fact group by 1) g on o.game = g.game group by 1")
+def _(t: Tables) -> DataFrame:
+    own = R.without_own(t.fact, ["player"], ["game"], ["poss"])
+    return own.groupBy("player").agg(r(F.sum("poss") / F.sum(F.col("poss") + F.col("other_poss")), 6).alias("share"))
+
+
+@query("joi18_three_systems", "select a.player, round(a.v, 4) as a, round(b.v, 4) as b, c.games from (select player, avg(pts) as v from fact where flag = 'A' group by 1) a join (select player, avg(pts) as v from fact where flag = 'R' group by 1) b on a.player = b.player join (select player, count(distinct game) as games from fact group by 1) c on a.player = c.player")
+def _(t: Tables) -> DataFrame:
+    """All three systems are aggregates of one pass, so no join is needed."""
+    one = lambda f: r(F.avg(F.when(F.col("flag") == f, F.col("pts"))))
+    return t.fact.groupBy("player").agg(one("A").alias("a"), one("R").alias("b"), F.countDistinct("game").alias("games")).where("a is not null and b is not null")
+
+
+@query("joi24_required_teams", "select s_suppkey as player, n_name as team from supplier join nation on s_nationkey = n_nationkey")
+def _(t: Tables) -> DataFrame:
+    named = t.supplier.join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("team"))), "s_nationkey", "left")
+    checked = F.when(F.col("team").isNull(), F.raise_error(F.lit("a player has no team")).cast("string")).otherwise(F.col("team"))
+    return named.select(F.col("s_suppkey").alias("player"), checked.alias("team"))
+
+
+@query("flt15_row_mask", "select game, sum(case when season < 1998 and phase = 'RS' then poss else 0 end)::double as fit, sum(case when season < 1998 and phase = 'RS' then 0 else poss end)::double as rest from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    mask = (F.col("season") < 1998) & (F.col("phase") == "RS")
+    return t.fact.groupBy("game").agg(F.sum(F.when(mask, F.col("poss")).otherwise(0.0)).alias("fit"), F.sum(F.when(mask, 0.0).otherwise(F.col("poss"))).alias("rest"))
+
+
+@query("flt27_pool", "select season, player from player_season where poss >= 500 and season in (1996, 1998, 2000)")
+def _(t: Tables) -> DataFrame:
+    return t.player_season.where(F.col("season").isin(1996, 1998, 2000) & (F.col("poss") >= 500)).select("season", "player").orderBy("season", "player")

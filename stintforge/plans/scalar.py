@@ -278,3 +278,86 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     sets = t.fact.groupBy("game").agg(F.collect_set(F.when(F.col("flag") != "R", F.col("player"))).alias("kept"))
     return sets.where(F.size("kept") > 0).select("game", F.array_sort("kept").alias("kept"), F.size("kept").cast("long").alias("size"))
+
+
+# ---- more derived features
+
+
+@query("scl06_named_pattern", "select regexp_extract(p_name || ' (' || p_type || ' ' || p_size || ' AST)', '\\((.+) [0-9]+ AST\\)', 1) as kind, count(*) as n from part group by 1")
+def _(t: Tables) -> DataFrame:
+    text = F.concat("p_name", F.lit(" ("), "p_type", F.lit(" "), F.col("p_size").cast("string"), F.lit(" AST)"))
+    return t.part.groupBy(F.regexp_extract(text, r"\((.+) [0-9]+ AST\)", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("scl13_eastern_day", "select event_id, strftime(ts - interval 9 hours, '%Y-%m-%d') as day from events")
+def _(t: Tables) -> DataFrame:
+    """The day in US Eastern time, which begins at four in the morning (January: five hours behind)."""
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York") - F.expr("interval 4 hours")
+    return t.events.select("event_id", F.date_format(local, "yyyy-MM-dd").alias("day"))
+
+
+@query("scl23_log_edges", "select i, round(exp(ln(a) + i * (ln(b) - ln(a)) / 5), 4) as edge from (select quantile_cont(poss, 0.01) as a, max(poss) as b from player_season), (select unnest([0, 1, 2, 3, 4, 5])::int as i)")
+def _(t: Tables) -> DataFrame:
+    ends = t.player_season.agg(F.percentile("poss", F.lit(0.01)).alias("a"), F.max("poss").alias("b"))
+    edges = ends.select(F.posexplode(F.array(*[F.exp(F.log("a") + i * (F.log("b") - F.log("a")) / 5) for i in range(6)])).alias("i", "edge"))
+    return edges.select("i", r("edge").alias("edge"))
+
+
+@query("scl25_padded_counts", "select season, player, round((count(*) filter (where flag = 'A') + 30 * 0.25) / (count(*) + 30), 6) as a, round((count(*) filter (where flag = 'N') + 30 * 0.5) / (count(*) + 30), 6) as n, round((count(*) filter (where flag = 'R') + 30 * 0.25) / (count(*) + 30), 6) as r from fact group by all")
+def _(t: Tables) -> DataFrame:
+    targets = {"A": 0.25, "N": 0.5, "R": 0.25}
+    n = F.count("*").cast("double")
+    return t.fact.groupBy("season", "player").agg(*[r(S.shrink(n, F.count_if(F.col("flag") == f) / n, 30.0, F.lit(x)), 6).alias(f.lower()) for f, x in targets.items()])
+
+
+@query("scl39_leverage", """select p_partkey, round((1 / (1 + exp(-(p_size - 24) / 10.0)) - 1 / (1 + exp(-(p_size - 26) / 10.0))) / 2, 6) as leverage from part""")
+def _(t: Tables) -> DataFrame:
+    chance = lambda shift: S.sigmoid((F.col("p_size") - 25 + shift) / 10.0)
+    return t.part.select("p_partkey", r((chance(1) - chance(-1)) / 2, 6).alias("leverage"))
+
+
+@query("scl40_share_multiplier", "select p_partkey, round(case when x <= 0.25 then 0.6 when x < 0.5 then 0.6 + (x - 0.25) * 0.8 when x < 1 then 0.8 + (x - 0.5) * 0.4 else 1.0 end, 6) as m, x < 0.25 as early from (select p_partkey, p_size / 50.0 as x from part)")
+def _(t: Tables) -> DataFrame:
+    x = F.col("p_size") / 50.0
+    return t.part.select("p_partkey", r(S.interpolate(x, [(0.25, 0.6), (0.5, 0.8), (1.0, 1.0)]), 6).alias("m"), (x < 0.25).alias("early"))
+
+
+@query("scl44_published_digits", "select player, round(100 * avg((flag = 'A')::int) + 1e-9, 1) as percent, round(sum(pts) / sum(poss) + 1e-9, 2) as rating from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(r(100 * F.avg((F.col("flag") == "A").cast("int")) + 1e-9, 1).alias("percent"), r(F.sum("pts") / F.sum("poss") + 1e-9, 2).alias("rating"))
+
+
+@query("scl48_stored_z", "select season, player, round((poss - 500) / 120.0, 6) as z from player_season")
+def _(t: Tables) -> DataFrame:
+    return t.player_season.select("season", "player", r((F.col("poss") - 500) / 120.0, 6).alias("z"))
+
+
+@query("scl50_relative_to_league", "select season, player, round(((pts + 400 * lg) / (poss + 400) - lg) / lg, 6) as above from (select *, sum(pts) over (partition by season) / sum(poss) over (partition by season) as lg from player_season)")
+def _(t: Tables) -> DataFrame:
+    season = Window.partitionBy("season")
+    rows = t.player_season.withColumn("lg", F.sum("pts").over(season) / F.sum("poss").over(season))
+    return rows.select("season", "player", r((S.shrink(F.col("poss"), F.col("pts") / F.col("poss"), 400.0, F.col("lg")) - F.col("lg")) / F.col("lg"), 6).alias("above"))
+
+
+@query("scl55_luck_adjusted", "select game, round(sum(pts) - 0.75 * (sum(case when flag = 'A' then pts else 0 end) - sum((flag = 'A')::int) * (select avg(pts) from fact where flag = 'A')), 4) as adjusted from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    level = t.fact.where("flag = 'A'").agg(F.avg("pts").alias("level"), F.lit(1).alias("one"))
+    games = t.fact.groupBy("game").agg(F.sum("pts").alias("all"), F.sum(F.when(F.col("flag") == "A", F.col("pts")).otherwise(0.0)).alias("threes"), F.count_if(F.col("flag") == "A").alias("n"))
+    return games.join(F.broadcast(level), F.lit(1) == F.col("one")).select("game", r(F.col("all") - 0.75 * (F.col("threes") - F.col("n") * F.col("level")), 4).alias("adjusted"))
+
+
+@query("scl60_penalty_blocks", "select distinct flag, case flag when 'A' then 5000.0 when 'N' then 30000.0 else 0.0 end::double as penalty from fact")
+def _(t: Tables) -> DataFrame:
+    penalties = F.create_map(*[F.lit(x) for pair in (("A", 5000.0), ("N", 30000.0), ("R", 0.0)) for x in pair])
+    return t.fact.select("flag", F.try_element_at(penalties, F.col("flag")).alias("penalty")).distinct()
+
+
+@query("scl63_season_list", "select unnest([1996, 1997, 1998, 2001])::int as season")
+def _(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(y,) for y in X.season_list("1996-1998,2001")], "season int")
+
+
+@query("scl64_step_table", "select * from (values (1995, 0.89), (1996, 0.89), (1997, 0.84), (1998, 0.84)) v(season, factor)".replace("0.89)", "0.89::double)").replace("0.84)", "0.84::double)"))
+def _(t: Tables) -> DataFrame:
+    steps = X.step_table("0.89,1997:0.84")
+    return t.spark.createDataFrame([(y,) for y in range(1995, 1999)], "season int").select("season", S.step_value(F.col("season"), steps).alias("factor"))
