@@ -454,3 +454,81 @@ def _(t: Tables) -> DataFrame:
     games = t.fact.groupBy("team", "day", "game").agg(F.sum("poss").alias("poss"))
     before = Window.partitionBy("team").orderBy("day", "game").rowsBetween(-10, -1)
     return games.select("team", "game", F.count("*").over(before).alias("n"), r(F.avg("poss").over(before)).alias("mean"))
+
+
+@query("lam37_line_of_own_fold", "select player, season, round(m.a + m.b * p.poss, 4) as fitted from player_season p join (select f.fold, regr_intercept(q.pts / q.poss, q.poss) as a, regr_slope(q.pts / q.poss, q.poss) as b from (select unnest(range(3)) as fold) f join player_season q on q.player * 2654435761 % 4294967296 % 3 <> f.fold group by 1) m on m.fold = p.player * 2654435761 % 4294967296 % 3")
+def _(t: Tables) -> DataFrame:
+    """Each player's fit by the line of the other folds: sums of the whole less the fold's own."""
+    rows = t.player_season.withColumn("fold", Q.arithmetic_fold(F.col("player"), 3)).withColumn("y", F.col("pts") / F.col("poss"))
+    x, y = F.col("poss"), F.col("y")
+    sums = rows.groupBy("fold").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
+    every = Window.partitionBy(F.lit(0))
+    rest = sums.select("fold", *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in ("n", "x", "y", "xx", "xy")])
+    slope = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("n"))
+    lines = rest.select("fold", slope.alias("b"), (F.col("y") / F.col("n") - slope * F.col("x") / F.col("n")).alias("a"))
+    return rows.join(F.broadcast(lines), "fold").select("player", "season", r(F.col("a") + F.col("b") * F.col("poss")).alias("fitted"))
+
+
+@query("lam40_prior_parts", "select season, player, round(pts / poss - sum(pts) over w / sum(poss) over w, 4) as own, round(sum(pts) over w / sum(poss) over w, 4) as context from player_season window w as (partition by season, team)")
+def _(t: Tables) -> DataFrame:
+    team = Window.partitionBy("season", "team")
+    context = F.sum("pts").over(team) / F.sum("poss").over(team)
+    return t.player_season.select("season", "player", r(F.col("pts") / F.col("poss") - context).alias("own"), r(context).alias("context"))
+
+
+@query("lam58_penalty_sweep", "select season, 3::bigint as penalties, true as shrinking from design group by 1", _DESIGN)
+def _(t: Tables) -> DataFrame:
+    """More penalty, smaller deviations, on equations formed once."""
+    formed = equations(t).persist()
+    parts = [L.ridge(formed, "season", p).where("i > 0").groupBy("season").agg(F.sum(F.col("beta") * F.col("beta")).alias("size")).withColumn("penalty", F.lit(p)) for p in (500.0, 5000.0, 50000.0)]
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("penalty", "size"))), lambda x: x["size"])
+    every = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("season").agg(sizes.alias("s"))
+    return every.select("season", F.size("s").cast("long").alias("penalties"), ((F.col("s")[0] > F.col("s")[1]) & (F.col("s")[1] > F.col("s")[2])).alias("shrinking"))
+
+
+@query("lam60_rating_over_share", "select game, round(sum(coalesce(q.rate, 0) * l.share), 4) as strength from (select game, player, sum(poss) / sum(sum(poss)) over (partition by game) as share from fact group by game, player) l left join (select player, sum(pts) / sum(poss) as rate from fact where season = 1995 group by 1) q on l.player = q.player group by 1")
+def _(t: Tables) -> DataFrame:
+    rate = t.fact.where("season = 1995").groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    share = own.withColumn("share", F.col("p") / F.sum("p").over(Window.partitionBy("game")))
+    return share.join(rate, "player", "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(0.0)) * F.col("share"))).alias("strength"))
+
+
+@query("lam62_held_out_summary", """select season, round(sum(w * e * e) / sum(w) / 1e6, 6) as mse, round(sum(w * b * b) / sum(w) / 1e6, 6) as base, round(avg(known), 6) as coverage from (select g.season, g.w, g.y - coalesce(q.x, l.lv) as e, g.y - l.lv as b, (q.x is not null)::int as known from
+  (select season, game, sum(poss) as w, sum(pts) / sum(poss) as y, min(player) as player from fact where game % 5 = 0 group by all) g join (select season, sum(pts) / sum(poss) as lv from fact where game % 5 <> 0 group by 1) l on g.season = l.season left join (select season, player, sum(pts) / sum(poss) as x from fact where game % 5 <> 0 group by all) q on g.season = q.season and g.player = q.player) group by 1""")
+def _(t: Tables) -> DataFrame:
+    fit, held = t.fact.where("game % 5 <> 0"), t.fact.where("game % 5 = 0")
+    games = held.groupBy("season", "game").agg(F.sum("poss").alias("w"), (F.sum("pts") / F.sum("poss")).alias("y"), F.min("player").alias("player"))
+    sums = fit.groupBy("season", "player").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b"))
+    level = sums.groupBy("season").agg((F.sum("a") / F.sum("b")).alias("lv"))
+    rows = games.join(F.broadcast(level), "season").join(sums.select("season", "player", (F.col("a") / F.col("b")).alias("x")), ["season", "player"], "left")
+    e, b = F.col("y") - F.coalesce("x", "lv"), F.col("y") - F.col("lv")
+    error = lambda v: r(F.sum(F.col("w") * v * v) / F.sum("w") / 1e6, 6)
+    return rows.groupBy("season").agg(error(e).alias("mse"), error(b).alias("base"), r(F.avg(F.col("x").isNotNull().cast("int")), 6).alias("coverage"))
+
+
+@query("lam70_points_per_win_weighted", "select round(1 / (sum(w * x * y) / sum(w * x * x)), 6) as per_win from (select games as w, pts / poss / 1000 - 1.5 as x, games / 100.0 as y from player_season)")
+def _(t: Tables) -> DataFrame:
+    w, x, y = F.col("games"), F.col("pts") / F.col("poss") / 1000 - 1.5, F.col("games") / 100.0
+    return t.player_season.agg(r(1 / (F.sum(w * x * y) / F.sum(w * x * x)), 6).alias("per_win"))
+
+
+@query("lam76_grouped_contributions", "select player, flag, round(sum(poss * (pts / poss - 1400)) / 1000, 4) as part from fact group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player", "flag").agg(r(F.sum(F.col("poss") * (F.col("pts") / F.col("poss") - 1400)) / 1000).alias("part"))
+
+
+@query("chk03_error_by_slice", "select season, phase, round(sqrt(sum(poss * (pts / poss / 1000 - 1.5) * (pts / poss / 1000 - 1.5)) / sum(poss)), 6) as error from fact group by all")
+def _(t: Tables) -> DataFrame:
+    e = F.col("pts") / F.col("poss") / 1000 - 1.5
+    return t.fact.groupBy("season", "phase").agg(r(F.sqrt(F.sum(F.col("poss") * e * e) / F.sum("poss")), 6).alias("error"))
+
+
+@query("chk12_calibration_out_of_fold", "select bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(y), 6) as seen from (select x.y, m.p, floor(m.p * 20)::bigint as bin from (select game, player, (flag = 'A')::int as y, game % 3 as fold from fact) x join (select f.fold, q.player, avg((q.flag = 'A')::int) as p from (select unnest(range(3)) as fold) f join fact q on q.game % 3 <> f.fold group by all) m on m.fold = x.fold and m.player = x.player) group by 1")
+def _(t: Tables) -> DataFrame:
+    """A player's share in the other folds against what their own fold saw: totals less the fold's own."""
+    own = t.fact.withColumn("fold", F.col("game") % 3).groupBy("player", "fold").agg(F.count_if(F.col("flag") == "A").alias("a"), F.count("*").alias("n"))
+    over = Window.partitionBy("player")
+    rest = own.select("a", "n", ((F.sum("a").over(over) - F.col("a")) / F.nullif(F.sum("n").over(over) - F.col("n"), F.lit(0))).alias("p")).where("p is not null")
+    bins = rest.groupBy(F.floor(F.col("p") * 20).alias("bin"))
+    return bins.agg(F.sum("n").alias("n"), r(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("predicted"), r(F.sum("a") / F.sum("n"), 6).alias("seen"))

@@ -731,3 +731,117 @@ def _(t: Tables) -> DataFrame:
 @query("flt27_pool", "select season, player from player_season where poss >= 500 and season in (1996, 1998, 2000)")
 def _(t: Tables) -> DataFrame:
     return t.player_season.where(F.col("season").isin(1996, 1998, 2000) & (F.col("poss") >= 500)).select("season", "player").orderBy("season", "player")
+
+
+@query("agg04_counts_by_phase", "select game, player, phase, count(*) as n, sum(poss)::double as poss from fact group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("game", "player", "phase").agg(F.count("*").alias("n"), F.sum("poss").alias("poss"))
+
+
+@query("agg14_bin_target_pad", """select bin, count(*) as n, round(case when v > noise then least(noise / (v - noise) * 10, 1e5) else 1e5 end, 2) as pad from (select floor(poss / 300)::bigint as bin, var_pop(pts / poss / 1000) as v, avg(1 / poss) * 2 as noise, count(*) as k, unnest(range(count(*))) as _i from player_season group by 1) group by bin, v, noise""")
+def _(t: Tables) -> DataFrame:
+    own = t.player_season.groupBy(F.floor(F.col("poss") / 300).alias("bin")).agg(F.count("*").alias("n"), F.var_pop(F.col("pts") / F.col("poss") / 1000).alias("v"), (F.avg(1 / F.col("poss")) * 2).alias("noise"))
+    pad = F.when(F.col("v") > F.col("noise"), F.least(F.col("noise") / (F.col("v") - F.col("noise")) * 10, F.lit(1e5))).otherwise(1e5)
+    return own.select("bin", "n", r(pad, 2).alias("pad"))
+
+
+@query("agg22_argmax_minutes", "select customer, arg_max(player, p * 1000 - player) as main from (select customer, player, sum(poss) as p from fact group by all) group by 1")
+def _(t: Tables) -> DataFrame:
+    p = t.fact.groupBy("customer", "player").agg(F.sum("poss").alias("p"))
+    return p.groupBy("customer").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("main"))
+
+
+@query("agg23_made_and_tried", "select player, sum((flag = 'A')::int)::bigint as made, count(*) as tried from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("player").agg(F.count_if(F.col("flag") == "A").alias("made"), F.count("*").alias("tried"))
+
+
+@query("agg31_expected_self_creation", "select game, player, sum((flag = 'R')::int)::bigint as own, round(sum(c), 6) as expected from (select f.*, c.c from fact f join (select status, avg((flag = 'R')::int) as c from fact group by 1) c on f.status = c.status) group by all")
+def _(t: Tables) -> DataFrame:
+    cells = t.fact.groupBy("status").agg(F.avg((F.col("flag") == "R").cast("int")).alias("c"))
+    return t.fact.join(F.broadcast(cells), "status").groupBy("game", "player").agg(F.count_if(F.col("flag") == "R").alias("own"), r(F.sum("c"), 6).alias("expected"))
+
+
+@query("agg34_bin_rate_or_league", "select bin, round(case when n >= 10 then rate else (select sum(pts) / sum(poss) from player_season) end, 4) as rate from (select floor(poss / 100)::bigint as bin, count(*) as n, sum(pts) / sum(poss) as rate from player_season group by 1)")
+def _(t: Tables) -> DataFrame:
+    bins = t.player_season.groupBy(F.floor(F.col("poss") / 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("pts").alias("a"), F.sum("poss").alias("b"))
+    every = Window.partitionBy(F.lit(0))
+    rate = F.when(F.col("n") >= 10, F.col("a") / F.col("b")).otherwise(F.sum("a").over(every) / F.sum("b").over(every))
+    return bins.select("bin", r(rate).alias("rate"))
+
+
+@query("agg36_extra_seasons_in_each_half", "select half, round(sum(poss), 4) as poss from (select (game % 2)::int as half, poss from fact where season <> 1996 union all select h, poss from fact, (select unnest([0, 1])::int as h) where season = 1996) group by 1")
+def _(t: Tables) -> DataFrame:
+    own = t.fact.where("season <> 1996").select((F.col("game") % 2).cast("int").alias("half"), "poss")
+    extra = t.fact.where("season = 1996").agg(F.sum("poss").alias("poss")).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "poss")
+    return own.unionByName(extra).groupBy("half").agg(r(F.sum("poss")).alias("poss"))
+
+
+@query("agg42_player_team", "select player, team, sum(poss)::double as poss from (select unnest(lineup) as player, poss, s_nationkey as team from lineups join (select o_orderkey, s_nationkey from orders join supplier on o_custkey % 10 = s_suppkey) on game = o_orderkey) group by all")
+def _(t: Tables) -> DataFrame:
+    games = t.orders.select(F.col("o_orderkey").alias("game"), (F.col("o_custkey") % 10).alias("s_suppkey")).join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("team")), "s_suppkey")
+    slots = t.lineups.join(games, "game").select("team", F.explode("lineup").alias("player"), "poss")
+    return slots.groupBy("player", "team").agg(F.sum("poss").alias("poss"))
+
+
+@query("agg49_low_exposure_mean", "select season, round(0.25 * sum(pts) / sum(poss), 4) as replacement from player_season where poss < 2200 group by 1")
+def _(t: Tables) -> DataFrame:
+    return t.player_season.where("poss < 2200").groupBy("season").agg(r(0.25 * F.sum("pts") / F.sum("poss")).alias("replacement"))
+
+
+@query("agg53_two_side_mean", "select player, round((avg(case when game % 2 = 0 then pts end) + avg(case when game % 2 = 1 then pts end)) / 2, 4) as mean from fact group by 1")
+def _(t: Tables) -> DataFrame:
+    side = lambda k: F.avg(F.when(F.col("game") % 2 == k, F.col("pts")))
+    return t.fact.groupBy("player").agg(r((side(0) + side(1)) / 2).alias("mean"))
+
+
+@query("flt09_field_goals", "select game, poss > 35 as three, flag = 'A' as made, count(*) as n from fact where part % 10 <= 5 group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.where("part % 10 <= 5").groupBy("game", (F.col("poss") > 35).alias("three"), (F.col("flag") == "A").alias("made")).agg(F.count("*").alias("n"))
+
+
+@query("flt13_one_side_numerator", "select game, round(sum(case flag when 'A' then 3 * poss when 'N' then 2 * poss else poss end), 4) as numerator from fact where team % 2 = 0 group by 1")
+def _(t: Tables) -> DataFrame:
+    weight = F.when(F.col("flag") == "A", 3).when(F.col("flag") == "N", 2).otherwise(1)
+    return t.fact.where("team % 2 = 0").groupBy("game").agg(r(F.sum(weight * F.col("poss"))).alias("numerator"))
+
+
+@query("flt19_no_leak", "select 0::bigint as leaked")
+def _(t: Tables) -> DataFrame:
+    """Training seasons and the rated one never meet."""
+    train = t.fact.where("season < 2000").select("season").distinct()
+    return train.intersect(t.fact.where("season = 2000").select("season")).agg(F.count("*").alias("leaked"))
+
+
+@query("flt25_made_missed_by_side", "select game, team, sum((flag = 'A')::int)::bigint as made, sum((flag <> 'A')::int)::bigint as missed from fact group by all")
+def _(t: Tables) -> DataFrame:
+    return t.fact.groupBy("game", "team").agg(F.count_if(F.col("flag") == "A").alias("made"), F.count_if(F.col("flag") != "A").alias("missed"))
+
+
+@query("joi12_roles_full_outer", "select coalesce(a.player, b.player) as player, coalesce(a.n, 0) as starts, coalesce(b.n, 0) as slots from (select player, count(*) as n from fact where line = 1 and season = 1995 group by 1) a full join (select player, count(*) as n from (select unnest(lineup) as player from lineups where season = 1996) group by 1) b on a.player = b.player")
+def _(t: Tables) -> DataFrame:
+    starts = t.fact.where("line = 1 and season = 1995").groupBy("player").agg(F.count("*").alias("starts"))
+    slots = t.lineups.where("season = 1996").select(F.explode("lineup").alias("player")).groupBy("player").agg(F.count("*").alias("slots"))
+    both = starts.join(slots, "player", "full")
+    return both.select("player", F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("slots", F.lit(0)).alias("slots"))
+
+
+@query("joi21_two_fits", "select a.player, round(a.v - coalesce(b.v, 0), 4) as total from (select player, avg(pts) as v from fact where team % 2 = 0 group by 1) a left join (select player, avg(poss) as v from fact where flag = 'R' group by 1) b on a.player = b.player")
+def _(t: Tables) -> DataFrame:
+    offence = t.fact.where("team % 2 = 0").groupBy("player").agg(F.avg("pts").alias("o"))
+    defence = t.fact.where("flag = 'R'").groupBy("player").agg(F.avg("poss").alias("d"))
+    return offence.join(defence, "player", "left").select("player", r(F.col("o") - F.coalesce("d", F.lit(0.0))).alias("total"))
+
+
+@query("joi22_named_totals", "select s_name as name, round(-sum(pts), 4) as d, round(sum(poss), 4) as o from fact join supplier on player = s_suppkey group by 1")
+def _(t: Tables) -> DataFrame:
+    names = t.supplier.select(F.col("s_suppkey").alias("player"), F.col("s_name").alias("name"))
+    own = t.fact.groupBy("player").agg(F.sum("pts").alias("d"), F.sum("poss").alias("o"))
+    return own.join(names, "player", "left").groupBy("name").agg(r(-F.sum("d")).alias("d"), r(F.sum("o")).alias("o"))
+
+
+@query("joi29_totals_to_recent", "select team, game, round(p / avg(p) over (partition by team), 6) as ratio from (select team, game, day, sum(poss) as p, row_number() over (partition by team order by day desc, game desc) as rk from fact group by team, game, day) where rk <= 10")
+def _(t: Tables) -> DataFrame:
+    games = t.fact.groupBy("team", "day", "game").agg(F.sum("poss").alias("p"))
+    recent = Q.top(games, ["team"], [F.desc("day"), F.desc("game")], 10)
+    return recent.select("team", "game", r(F.col("p") / F.avg("p").over(Window.partitionBy("team")), 6).alias("ratio"))
