@@ -17,7 +17,7 @@ def plain(t: Tables) -> DataFrame:
     return t.player_season.select("season", "team", "player", "poss", "games")
 
 
-for _name, _kind in (("src34_parquet_sink", "parquet"), ("src35_csv_sink", "csv"), ("src38_json_sink", "json"), ("src39_orc_sink", "orc")):
+for _name, _kind in (("src34_parquet_sink", "parquet"), ("src35_csv_sink", "csv"), ("src34_json_sink", "json"), ("src34_orc_sink", "orc")):
 
     @query(_name, _PS)
     def _(t: Tables, kind: str = _kind) -> DataFrame:
