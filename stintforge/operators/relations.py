@@ -51,3 +51,20 @@ def in_all(systems: list[DataFrame], key: str, value: str, weights: list[float])
 def best_name(df: DataFrame, key: str, weight: str, keep: list[str]) -> DataFrame:
     """One row a name key: the one with the most weight, the least of ``keep`` on ties."""
     return df.groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(F.col(weight), *[F.negative(F.col(k)) for k in keep if df.schema[k].dataType.simpleString() in ("bigint", "int")])).alias("_b")).select(key, "_b.*")
+
+
+def table_diff(left: DataFrame, right: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
+    """One row a common column: keys only left, keys only right, unequal values, largest absolute difference.
+
+    Null equals null and NaN equals NaN; every column is compared in one join, and counted in one pass.
+    """
+    shared = [c for c in left.columns if c in right.columns and c not in keys and c not in ignore]
+    a = left.select(*keys, F.lit(1).alias("_l"), *[F.col(c).alias(f"_a_{c}") for c in shared])
+    b = right.select(*keys, F.lit(1).alias("_r"), *[F.col(c).alias(f"_b_{c}") for c in shared])
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    entry = []
+    for c in shared:
+        x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        gap = F.abs(x - y).cast("double") if left.schema[c].dataType.typeName() in ("integer", "long", "float", "double") else F.lit(None).cast("double")
+        entry.append(F.struct(F.lit(c).alias("name"), F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"), F.count_if(both & ~x.eqNullSafe(y)).alias("differ"), F.max(F.when(both, gap)).alias("most")))
+    return a.join(b, keys, "full").agg(F.array(*entry).alias("e")).select(F.inline("e"))
