@@ -74,3 +74,41 @@ def spline_basis(x, knots: list[float]):
     cube = lambda k: F.pow(F.greatest(x - k, F.lit(0.0)), 3)
     piece = lambda k: (cube(k) - cube(last)) / (last - k)
     return F.array(*[piece(k) - piece(before) for k in knots[:-2]])
+
+
+def ridge_many(equations: DataFrame, key: str, penalty: float, free: tuple[int, ...] = (0,)) -> DataFrame:
+    """One matrix and several right-hand sides a key, solved together: (key, target, i, beta, sd).
+
+    ``equations`` is (key, target, i, j, g); matrix rows have a null target, right-hand sides a null j.  sd is the
+    root of the inverse's diagonal, the same for every target.
+    """
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        square = pdf[pdf["j"].notna()]
+        for name, right in pdf[pdf["j"].isna()].groupby("target", sort=True):
+            names, matrix, target = assembled(pd.concat([square, right]))
+            parts.append((name, target))
+        full = matrix + np.diag(np.where(np.isin(names, free), 0.0, penalty))
+        betas = solve(matrix, np.stack([x for _, x in parts], 1), np.diag(full) - np.diag(matrix))
+        sd = np.sqrt(np.maximum(np.diag(np.linalg.pinv(full, hermitian=True)), 0))
+        return pd.concat([pd.DataFrame({key: pdf[key].iloc[0], "target": name, "i": names, "beta": betas[:, k], "sd": sd}) for k, (name, _) in enumerate(parts)])
+
+    return equations.groupBy(key).applyInPandas(own, f"{key} {equations.schema[key].dataType.simpleString()}, target string, i long, beta double, sd double")
+
+
+def team_free(rows: DataFrame, key: str) -> DataFrame:
+    """Move ``x`` of (key, team, player, poss, x) so that every team's total, weighted by possessions, is zero.
+
+    A player of several teams moves by the mix of their amounts; the system has a row and a column a team.
+    """
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        share = pdf.pivot_table(index="team", columns="player", values="poss", aggfunc="sum", fill_value=0.0)
+        weight = share.to_numpy(float)
+        mix = (weight / np.maximum(weight.sum(0), 1e-300)).T
+        x = pdf.groupby("player")["x"].first().reindex(share.columns).to_numpy(float)
+        moved = x - mix @ np.linalg.lstsq(weight @ mix, weight @ x, rcond=None)[0]
+        return pd.DataFrame({key: pdf[key].iloc[0], "player": share.columns.to_numpy(np.int64), "x": moved})
+
+    return rows.groupBy(key).applyInPandas(own, f"{key} {rows.schema[key].dataType.simpleString()}, player long, x double")
