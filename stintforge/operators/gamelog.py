@@ -7,6 +7,10 @@ null where a play has none.  Actions are ``shot`` (detail made or missed, value
 end).  A possession is one team's turn; it ends with a made shot (unless a shooting foul of the other side follows
 at once), a defensive rebound, a turnover, a last made free throw, a won jump ball, the end of a period, or by
 force, when the other team acts although nothing ended it.
+
+A possession is credited to the players on the court when it ends; one that ends inside a free-throw trip, to those on
+the court at the made shot of an extra throw, else at the foul.  An offensive rebound (a continuation) after which
+nothing is attempted is dead, but a team's rebound (without a player) as the period expires is taken back instead.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ class Possession:
     rebounds: int = 0
     retained: int = 0
     dead: int = 0
-    offence: list[int] = field(default_factory=list)
-    defence: list[int] = field(default_factory=list)
+    idle: bool = False  # continued, and nothing attempted since
+    by_team: bool = False  # the last continuation was a team's rebound
+    at_shot: tuple[list[int], list[int]] | None = None
 
 
 class Game:
@@ -47,6 +52,8 @@ class Game:
         self.loose = False  # a miss waits for its rebound
         self.made = False  # a made shot may still get its extra free throw
         self.trip: Possession | None = None  # whose free throws are being shot
+        self.at_foul: tuple[list[int], list[int]] | None = None  # lineups at the last foul that gave a trip, shooters first
+        self.credit: tuple[list[int], list[int]] | None = None  # lineups of the trip under way
         self.held: dict[int, int] = {}  # technical points that wait for their team's next turn
         self.done: list[tuple] = []
 
@@ -61,8 +68,7 @@ class Game:
         if self.open is not None and self.open.team != team:
             self.close("made_fg" if self.made else "forced")
         if self.open is None:
-            offence, defence = self.lineups(team)
-            self.open = Possession(team, self.period, self.seq, self.seq, offence=offence, defence=defence)
+            self.open = Possession(team, self.period, self.seq, self.seq)
             self.open.points += self.held.pop(team, 0)
         self.open.last = self.seq
         return self.open
@@ -70,11 +76,19 @@ class Game:
     def close(self, reason: str) -> None:
         p = self.open
         if p is not None:
-            if self.loose and reason == "period_end" and p.rebounds + p.retained >= p.attempts > 0:
-                p.dead += 1
-            self.done.append((self.game, self.number, p.period, p.team, p.first, p.last, p.points, p.attempts, p.rebounds, p.retained, p.dead, reason, p.offence, p.defence))
+            self.settle(p, reason)
+            offence, defence = (self.credit if reason == "made_ft" else None) or self.lineups(p.team)
+            self.done.append((self.game, self.number, p.period, p.team, p.first, p.last, p.points, p.attempts, p.rebounds, p.retained, p.dead, reason, offence, defence))
             self.number += 1
-        self.open, self.trip, self.loose, self.made = None, None, False, False
+        self.open, self.trip, self.loose, self.made, self.credit = None, None, False, False, None
+
+    @staticmethod
+    def settle(p: Possession, reason: str) -> None:
+        """The last continuation, if nothing was attempted after it."""
+        if p.idle and p.by_team and reason == "period_end":
+            p.rebounds -= 1
+        elif p.idle:
+            p.dead += 1
 
     # plays
 
@@ -91,8 +105,10 @@ class Game:
     def on_shot(self, team, player, detail, value) -> None:
         p = self.turn(team)
         p.attempts += 1
+        p.idle, p.at_shot = False, None
         if detail == "made":
             p.points += value
+            p.at_shot = self.lineups(team)
             self.made, self.loose = True, False
         else:
             self.loose = True
@@ -102,6 +118,7 @@ class Game:
             return
         if team == self.open.team:
             self.open.rebounds += 1
+            self.open.idle, self.open.by_team = True, player is None
             self.open.last, self.loose = self.seq, False
         else:
             self.open.last = self.seq
@@ -118,6 +135,7 @@ class Game:
     def on_foul(self, team, player, detail, value) -> None:
         if "technical" in detail:
             return
+        self.at_foul = self.lineups(team)[::-1]
         if self.made and self.open is not None and (team == self.open.team or "shooting" not in detail):
             self.close("made_fg")
         if self.open is not None and team != self.open.team and "shooting" in detail:
@@ -135,12 +153,15 @@ class Game:
         p = self.turn(team)
         self.made = False
         first, last = words[1] == "1", words[1] == words[3]
-        if first and self.trip is None:
-            p.attempts += 1  # a trip without a shot before it
+        if first:
+            self.credit = p.at_shot or self.at_foul
+            p.idle = False
+            if self.trip is None:
+                p.attempts += 1  # a trip without a shot before it
         self.trip = p
         p.points += made
         if last:
-            self.trip = None
+            self.trip = self.at_foul = p.at_shot = None
             if "retained" in words:
                 p.retained += 1
             elif made:
@@ -210,6 +231,22 @@ def starters(plays: DataFrame) -> DataFrame:
     return began.groupBy("game", "period", "team").agg(F.array_sort(F.collect_set("player")).alias("starters"))
 
 
+def starters_with_box(plays: DataFrame, box: DataFrame, five: int = 5) -> DataFrame:
+    """(game, period, team, starters, rule): starters by first plays, else from box scores, else null.
+
+    ``box`` is (game, period, team, played), the sorted players of a period's box score.  Where the plays do not give
+    ``five``, the period's box must: those who played and did not come on, with those found by plays.  Where that is
+    not five either, the starters stay unknown.
+    """
+    came = plays.where("action = 'sub' and detail = 'in'").groupBy("game", "period", "team").agg(F.collect_set("player").alias("came"))
+    keys = ["game", "period", "team"]
+    none = F.array().cast("array<bigint>")
+    rows = box.join(starters(plays), keys, "left").join(came, keys, "left").select(*keys, "played", F.coalesce("starters", none).alias("found"), F.coalesce("came", none).alias("came"))
+    union = F.array_sort(F.array_union(F.array_except("played", F.array_except("came", "found")), "found"))
+    rule = F.when(F.size("found") == five, "plays").when(F.size(union) == five, "box")
+    return rows.select(*keys, F.when(F.size("found") == five, F.col("found")).when(F.size(union) == five, union).alias("starters"), rule.alias("rule"))
+
+
 def from_lines(fact: DataFrame) -> DataFrame:
     """A synthetic game log from the fact relation: every line becomes a play or two, in a fixed order."""
     from pyspark.sql import Window

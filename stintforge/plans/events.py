@@ -16,17 +16,19 @@ _PLAYS = """numbered as (select *, row_number() over (partition by game order by
 points as (select game, side, sum(case when kind <= 5 and flag <> 'N' then case when poss > 35 then 3 else 2 end when kind = 7 then (flag <> 'N')::int + (status = 'F')::int else 0 end)::bigint as points from numbered group by all)"""
 
 
+def found(t: Tables) -> DataFrame:
+    return gamelog.possessions(gamelog.from_lines(t.fact))
+
+
 @query("psm06_points", "select game, side as team, points from points where points > 0", _PLAYS)
 def _(t: Tables) -> DataFrame:
     """What possessions score is what shots and free throws scored."""
-    found = gamelog.possessions(gamelog.from_lines(t.fact))
-    return found.groupBy("game", "team").agg(F.sum("points").alias("points")).where("points > 0")
+    return found(t).groupBy("game", "team").agg(F.sum("points").alias("points")).where("points > 0")
 
 
 @query("psm07_turnovers", "select game, count(*) as turnovers from numbered where kind = 6 group by 1", _PLAYS)
 def _(t: Tables) -> DataFrame:
-    found = gamelog.possessions(gamelog.from_lines(t.fact)).where("reason = 'turnover'")
-    return found.groupBy("game").agg(F.count("*").alias("turnovers"))
+    return found(t).where("reason = 'turnover'").groupBy("game").agg(F.count("*").alias("turnovers"))
 
 
 @query("psm12_attempts", "select game, side as team, sum((kind <= 5)::int)::bigint + sum((kind = 7)::int)::bigint as attempts from numbered group by all having sum((kind <= 5 or kind = 7)::int) > 0", _PLAYS)
@@ -39,15 +41,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("psm08_endings")
 def _(t: Tables) -> DataFrame:
-    found = gamelog.possessions(gamelog.from_lines(t.fact))
-    return found.groupBy("reason").agg(F.count("*").alias("n"), F.sum("points").alias("points"), F.sum("rebounds").alias("rebounds"))
+    return found(t).groupBy("reason").agg(F.count("*").alias("n"), F.sum("points").alias("points"), F.sum("rebounds").alias("rebounds"))
 
 
 @query("psm16_attempt_identity", "select 0::bigint as broken")
 def _(t: Tables) -> DataFrame:
     """In a possession every attempt but the first needs a rebound or a retained ball, so continuations never exceed attempts."""
-    found = gamelog.possessions(gamelog.from_lines(t.fact))
-    return found.agg(F.count_if(F.col("rebounds") + F.col("retained") - F.col("dead") > F.greatest(F.col("attempts"), F.lit(0))).alias("broken"))
+    return found(t).agg(F.count_if(F.col("rebounds") + F.col("retained") - F.col("dead") > F.greatest(F.col("attempts"), F.lit(0))).alias("broken"))
 
 
 @query("psm02_starters", """select game, 1::int as period, side as team, list_sort(list(distinct player)) as starters from (select game, side, player, min(first) as first, min(came) as came from (
@@ -61,12 +61,66 @@ def _(t: Tables) -> DataFrame:
 @query("psm04_lineup_stints")
 def _(t: Tables) -> DataFrame:
     """Runs of possessions with the same players on both sides."""
-    found = gamelog.possessions(gamelog.from_lines(t.fact))
-    both = found.withColumn("five", F.to_json(F.array_sort(F.array("offence", "defence"))))
+    both = found(t).withColumn("five", F.to_json(F.array_sort(F.array("offence", "defence"))))
     runs = Q.islands(both, ["game"], ["number"], ["five"])
     return runs.groupBy("game", "island").agg(F.count("*").alias("possessions"), F.sum("points").alias("points"))
 
 
+@query("psm01_starters_with_box")
+def _(t: Tables) -> DataFrame:
+    """Starters by first plays; where these are not two, from the players of the box score."""
+    plays = gamelog.from_lines(t.fact)
+    box = plays.where("player is not null").groupBy("game", "period", "team").agg(F.array_sort(F.collect_set("player")).alias("played"))
+    return gamelog.starters_with_box(plays, box, 2)
+
+
+@query("psm05_jump_balls")
+def _(t: Tables) -> DataFrame:
+    return found(t).where("reason = 'jump_ball'").groupBy("game", "team").agg(F.count("*").alias("lost"))
+
+
+@query("psm09_free_throws", "select game, side as team, sum((flag <> 'N')::int + (status = 'F')::int)::bigint as points, count(*) filter (where status = 'F') as ended from numbered where kind = 7 group by game, side", _PLAYS)
+def _(t: Tables) -> DataFrame:
+    """A log of trips only: all points count, and a made last throw ends the turn."""
+    turns = gamelog.possessions(gamelog.from_lines(t.fact.where("part % 10 = 7")))
+    return turns.groupBy("game", "team").agg(F.sum("points").alias("points"), F.count_if(F.col("reason") == "made_ft").alias("ended"))
+
+
+@query("psm10_technical_points", """select game, side as team, sum(case when kind <= 5 and flag <> 'N' then case when poss > 35 then 3 else 2 end when kind = 7 and flag <> 'N' then 1 else 0 end)::bigint as points from numbered where kind <= 7 group by game, side having count(*) filter (where kind <= 6) > 0""", _PLAYS)
+def _(t: Tables) -> DataFrame:
+    """Technical throws in place of trips: their points reach a turn of the team, a later or an earlier one."""
+    plays = gamelog.from_lines(t.fact).where("action <> 'foul' and detail not like '%2 of 2'")
+    technical = F.when(F.col("action") == "free_throw", F.concat(F.split_part("detail", F.lit(" "), F.lit(1)), F.lit(" 1 of 1 technical"))).otherwise(F.col("detail"))
+    return gamelog.possessions(plays.withColumn("detail", technical)).groupBy("game", "team").agg(F.sum("points").alias("points"))
+
+
+@query("psm11_trip_lineups")
+def _(t: Tables) -> DataFrame:
+    """Whom possessions that ended inside a trip are credited to."""
+    return found(t).where("reason = 'made_ft'").select("game", "number", "team", "offence", "defence")
+
+
+@query("psm13_foul_kinds")
+def _(t: Tables) -> DataFrame:
+    """Attempts and endings when every other foul before a trip is not a shooting foul."""
+    plays = gamelog.from_lines(t.fact)
+    kind = F.when((F.col("action") == "foul") & (F.col("seq") % 8 == 0), "personal").otherwise(F.col("detail"))
+    return gamelog.possessions(plays.withColumn("detail", kind)).groupBy("reason").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+@query("psm14_one_open_end", "select 0::bigint as broken")
+def _(t: Tables) -> DataFrame:
+    """A game of one period has at most one possession that the period's end closed, and it is the last."""
+    last = F.max("number").over(Window.partitionBy("game"))
+    return found(t).withColumn("last", last).agg(F.count_if((F.col("reason") == "period_end") & (F.col("number") != F.col("last"))).alias("broken"))
+
+
+@query("psm15_continuations", "select 0::bigint as broken")
+def _(t: Tables) -> DataFrame:
+    """At most the last continuation of a possession is dead, and only where there was one."""
+    return found(t).agg(F.count_if((F.col("dead") > 1) | (F.col("dead") > F.col("rebounds"))).alias("broken"))
+
+
 @query("tim14_possessions_streaming", """select user_id, poss::bigint as poss, count(*) as n, round(sum(case when event_type in ('click', 'view') then value else 0 end), 4) as value, max(case when event_type in ('purchase', 'error') then event_type end) as ending from (
   select *, coalesce(sum((event_type in ('purchase', 'error'))::int) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding), 0) as poss from ev) x group by user_id, x.poss having max(case when event_type in ('purchase', 'error') then event_type end) is not null""", EVENTS)
 def _(t: Tables) -> DataFrame:

@@ -53,3 +53,42 @@ def test_period_end_and_lineups():
         game.take(seq, 1, *row)
     (only,) = game.done
     assert only[11:] == ("period_end", [2], [9])
+
+
+def test_trip_is_credited_to_the_players_at_the_foul_or_the_made_shot():
+    game = Game(1)
+    rows = [(0, 1, "sub", "in", 0), (1, 9, "foul", "shooting", 0), (0, 1, "free_throw", "made 1 of 2", 0), (0, 1, "sub", "out", 0), (0, 2, "sub", "in", 0), (0, 2, "free_throw", "made 2 of 2", 0)]
+    for seq, row in enumerate(rows):
+        game.take(seq, 1, *row)
+    assert game.done[-1][11:] == ("made_ft", [1], [9])
+    game = Game(1)
+    rows = [(1, 8, "jump", "", 0), (0, 1, "shot", "made", 2), (1, 9, "foul", "shooting", 0), (1, 8, "sub", "out", 0), (0, 1, "free_throw", "made 1 of 1", 0)]
+    for seq, row in enumerate(rows):
+        game.take(seq, 1, *row)
+    assert game.done[-1][11:] == ("made_ft", [1], [8])
+
+
+def test_last_continuation():
+    def last(*rows):
+        game = Game(1)
+        for seq, row in enumerate(rows):
+            game.take(seq, 1, *row)
+        return [(p[8], p[10], p[11]) for p in game.finish()]  # rebounds, dead, reason
+
+    miss = (0, 1, "shot", "missed", 0)
+    assert last(miss, (0, 2, "rebound", "", 0), (0, 2, "turnover", "", 0)) == [(1, 1, "turnover")]
+    assert last(miss, (0, 2, "rebound", "", 0), (None, None, "period", "end", 0)) == [(1, 1, "period_end")]
+    assert last(miss, (0, None, "rebound", "", 0), (None, None, "period", "end", 0)) == [(0, 0, "period_end")]
+    assert last(miss, (0, 2, "rebound", "", 0), (0, 2, "shot", "made", 2)) == [(1, 0, "made_fg")]
+
+
+def test_starters_from_the_box(spark):
+    from stintforge.operators import gamelog
+
+    plays = spark.createDataFrame(
+        [(1, 0, 1, 0, 1, "shot", "made", 2), (1, 1, 1, 0, 3, "sub", "in", 0), (1, 2, 1, 1, 8, "shot", "made", 2), (1, 3, 1, 1, 9, "turnover", "", 0)],
+        "game long, seq long, period int, team long, player long, action string, detail string, value long",
+    )
+    box = spark.createDataFrame([(1, 1, 0, [1, 2, 3]), (1, 1, 1, [8, 9]), (1, 1, 2, [4])], "game long, period int, team long, played array<bigint>")
+    got = {x["team"]: (x["starters"], x["rule"]) for x in gamelog.starters_with_box(plays, box, 2).collect()}
+    assert got == {0: ([1, 2], "box"), 1: ([8, 9], "plays"), 2: (None, None)}
