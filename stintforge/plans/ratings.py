@@ -329,6 +329,21 @@ def _(t: Tables) -> DataFrame:
     return totals.groupBy("season").agg(r(F.max("total"), 6).alias("most")).join(moved.groupBy("season").agg(F.count("*").alias("players")), "season")
 
 
+@query("lam39_held_spread", """select season, player, round(mx + (x - mx) * sqrt(sum(w * (b - mb) * (b - mb)) over (partition by season) / sum(w * (x - mx) * (x - mx)) over (partition by season)), 6) as held from (select *, sum(w * x) over g / sum(w) over g as mx, sum(w * b) over g / sum(w) over g as mb from (
+  select m.season, m.player, m.team, m.w, p.pts / p.poss / 1000 as x, p.games / 50.0 as b from (select *, sum(poss) over (partition by season, player) as w, row_number() over (partition by season, player order by poss desc, team) as k from split) m join player_season p on p.season = m.season and p.player = m.player where m.k = 1) window g as (partition by season, team))""", _STATUS)
+def _(t: Tables) -> DataFrame:
+    """A line whose spread inside main teams is held to another's; every main team's mean stays."""
+    split = t.fact.groupBy("season", F.when(F.col("status") == "F", 1).otherwise(2).alias("team"), "player").agg(F.sum("poss").alias("poss"))
+    main = split.groupBy("season", "player").agg(F.sum("poss").alias("w"), F.max_by("team", F.struct("poss", -F.col("team"))).alias("team"))
+    line = t.player_season.select("season", "player", (F.col("pts") / F.col("poss") / 1000).alias("x"), (F.col("games") / 50.0).alias("b"))
+    rows = main.join(line, ["season", "player"])
+    team, season = Window.partitionBy("season", "team"), Window.partitionBy("season")
+    mean = F.sum(F.col("w") * F.col("x")).over(team) / F.sum("w").over(team)
+    apart = rows.select("season", "player", "w", mean.alias("mean"), (F.col("x") - mean).alias("dx"), M.centred(rows, ["season", "team"], "b", "w").alias("db"))
+    square = lambda c: F.sum(F.col("w") * F.col(c) * F.col(c)).over(season)
+    return apart.select("season", "player", r(F.col("mean") + F.col("dx") * F.sqrt(square("db") / square("dx")), 6).alias("held"))
+
+
 @query("lam43_within_team_sums", "select season, round(sum(w * x * x), 4) as xx, round(sum(w * x * y), 4) as xy from (select season, w, x - sum(w * x) over g / sum(w) over g as x, y - sum(w * y) over g / sum(w) over g as y from xy window g as (partition by season, team)) group by 1", _PAIRS_OF)
 def _(t: Tables) -> DataFrame:
     rows = within(pairs_of(t), ["season", "team"], ["x", "y"])
@@ -362,26 +377,26 @@ def _(t: Tables) -> DataFrame:
 _GIVEN = "shares as (select season, team, player, poss, poss / sum(poss) over (partition by season, team) as a, 0.3 * (pts / poss / 1000 - 1.4) as m, pts / poss / 1000 as x from player_season), given as (select *, m - a * sum(a * m) over (partition by season, team) / sum(a * a) over (partition by season, team) as c from shares)"
 
 
-def given_back(t: Tables) -> DataFrame:
+def given_back(totals: DataFrame) -> DataFrame:
     """The nearest corrections to the predictions whose total over every team, by possession shares, is zero."""
     team = Window.partitionBy("season", "team")
-    rows = t.player_season.select("season", "team", "player", "poss", (F.col("poss") / F.sum("poss").over(team)).alias("a"), (0.3 * (F.col("pts") / F.col("poss") / 1000 - 1.4)).alias("m"), (F.col("pts") / F.col("poss") / 1000).alias("x"))
+    rows = totals.select("season", "team", "player", "poss", (F.col("poss") / F.sum("poss").over(team)).alias("a"), (0.3 * (F.col("pts") / F.col("poss") / 1000 - 1.4)).alias("m"), (F.col("pts") / F.col("poss") / 1000).alias("x"))
     return rows.withColumn("c", F.col("m") - F.col("a") * F.sum(F.col("a") * F.col("m")).over(team) / F.sum(F.col("a") * F.col("a")).over(team))
 
 
 @query("lam49_given_back", "select season, player, round(c, 6) as c from given", _GIVEN)
 def _(t: Tables) -> DataFrame:
-    return given_back(t).select("season", "player", r("c", 6).alias("c"))
+    return given_back(t.player_season).select("season", "player", r("c", 6).alias("c"))
 
 
 @query("lam50_corrections_balance", "select season, team, count(*) as players, 0.0::double as total from given group by all", _GIVEN)
 def _(t: Tables) -> DataFrame:
-    return given_back(t).groupBy("season", "team").agg(F.count("*").alias("players"), F.abs(r(F.sum(F.col("a") * F.col("c")), 6)).alias("total"))
+    return given_back(t.player_season).groupBy("season", "team").agg(F.count("*").alias("players"), F.abs(r(F.sum(F.col("a") * F.col("c")), 6)).alias("total"))
 
 
 @query("lam51_adjusted", "select season, player, round(x + c - sum(poss * (x + c)) over w / sum(poss) over w, 6) as rating from given window w as (partition by season)", _GIVEN)
 def _(t: Tables) -> DataFrame:
-    rows = given_back(t).withColumn("v", F.col("x") + F.col("c"))
+    rows = given_back(t.player_season).withColumn("v", F.col("x") + F.col("c"))
     return rows.select("season", "player", r(M.centred(rows, ["season"], "v", "poss"), 6).alias("rating"))
 
 
@@ -569,6 +584,14 @@ def _(t: Tables) -> DataFrame:
     return teams.select("season", "team", F.abs(r(F.col("rating") - 0.9 * (F.col("raw") - level))).alias("apart"))
 
 
+@query("cmd04_swap_step", "select season, count(*) as players, round(sum(abs(c)) / count(*), 6) as moved from given group by 1", _GIVEN)
+def _(t: Tables) -> DataFrame:
+    """The corrections as a step from one stored table to another; how far they move a season's players."""
+    base = stores.round_trip(t.player_season, "parquet")
+    adjusted = stores.round_trip(given_back(base).select("season", "player", "x", (F.col("x") + F.col("c")).alias("rating")), "parquet")
+    return adjusted.groupBy("season").agg(F.count("*").alias("players"), r(F.avg(F.abs(F.col("rating") - F.col("x"))), 6).alias("moved"))
+
+
 @query("cmd07_reproduced", "select 'rating' as name, 0::bigint as only_left, 0::bigint as only_right, 0::bigint as differ")
 def _(t: Tables) -> DataFrame:
     """A rebuild from rows in another order gives the stored ratings to six places of their scale."""
