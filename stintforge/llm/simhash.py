@@ -53,17 +53,19 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp) of every row, fp as a signed long, after any further columns."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__text")
+    rows = docs.select(*more, "doc_id", text)
+    plain = [f for f in rows.schema.fields if f.name != "__text"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = binary_parts(batch.column("text"))
+        data, at = binary_parts(batch.column("__text"))
         view = memoryview(data) if data is not None else memoryview(b"")
         got = np.array([fingerprint(bytes(view[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64))], [*[f.name for f in plain], "fp"])
 
-    return map_arrow(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), step, f"doc_id {kind}, fp long")
+    return map_arrow(rows, step, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in plain], "fp long"]))
 
 
 def bucket_keys(blocks: int) -> Column:
@@ -177,12 +179,18 @@ def near_duplicates(docs: DataFrame, most: int = 1024, blocks: int | None = None
     return rest.select("doc_id", "fp", "component_id").unionAll(marked.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
 
 
-def leaders(docs: DataFrame) -> DataFrame:
-    """Keep one row of each group of near-duplicates: that of the component's id (one of them, if the id repeats).
+def leaders(docs: DataFrame, most: int = 1024, blocks: int | None = None) -> DataFrame:
+    """Keep one row of each group of near-duplicates, whatever its ids: that of the least id, null ids last.
 
-    Where the id repeats, the row with the least text stays.
+    Where that id has several texts in the group, the one of the least hash stays; of rows that repeat id and text,
+    one.  Rows of other groups stay though they share the id, or have none.
     """
-    chosen = cut(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    marked = cut(fingerprints(docs, F.xxhash64("text").alias("hash")))
+    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")))
+    labels = components(links(nodes.select("fp"), most, blocks))
+    classes = nodes.join(labels, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("label", "fp").alias("class"))
+    chosen = cut(classes.agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash")))
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    one = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_text")

@@ -405,6 +405,29 @@ def test_simhash_documents(odd):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
 
 
+def test_leaders_keep_a_row_of_every_group(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (7, c, 4), (8, d, 5), (8, e, 6), (8, e, 6), (9, e, 7), (None, f, 8), (None, f, 9), (None, d, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v int")
+    got = simhash.leaders(docs)
+    assert got.columns == docs.columns
+    want = [(7, c), (8, d), (8, e), (None, a), (None, b), (None, f)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_leaders_equal_brute_force(odd):
+    rows = odd.select("doc_id", "text").collect()
+    label = brute_components([brute_fingerprint(r.text or "") for r in rows])
+    want = {}
+    for r, k in zip(rows, label, strict=True):
+        want[k] = min(want.get(k, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    got = simhash.leaders(odd).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
+    assert len({brute_fingerprint(r.text or "") for r in got}) == len(got)
+
+
 # 9. tokens
 
 
