@@ -1,8 +1,7 @@
 """Document fingerprints by invertible Bloom lookup tables (DataFrame functions only).
 
-A text's paragraphs are its lines, in blocks of at most 40 words (short texts add blocks of 8); a paragraph is known
-by a 64-bit digest.  A sketch
-throws each digest into one cell of each of three subtables; a cell holds how many fell there, the exclusive or of
+A text's paragraphs are its lines, in blocks of at most 40 words; a paragraph is known by a 64-bit digest.  Two texts
+of which one is short are compared with their blocks of 8 words as well, taken from both.  A sketch throws each digest into one cell of each of three subtables; a cell holds how many fell there, the exclusive or of
 the digests and that of their check sums.  The sketches of two versions subtract cell by cell: shared paragraphs
 vanish, and peeling recovers the others: a cell with one digest left (its check sum fits) gives that digest, which
 is then taken out of its other two cells.  If cells remain, the pair is sketched again with twice the cells.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 PARAGRAPH = r"(?:\S++[ \t]*+){1,40}+"
-#: Texts under so many code points also give their blocks of at most 8 words: a sentence's half is then known too.
+#: A text under so many code points, and one compared with it, gives its blocks of at most 8 words too: a sentence's half is then known.
 SHORT, FINE = 800, r"(?:\S++[ \t]*+){1,8}+"
 SUBTABLES = 3
 #: Peeling rounds, each over one subtable.
@@ -30,11 +29,14 @@ ROUNDS = 12
 NO_ID = -(1 << 63)
 
 
-def paragraphs(text: Column) -> Column:
+def paragraphs(text: Column, pattern: str = PARAGRAPH) -> Column:
     """The distinct digests of a text's paragraphs."""
-    coarse, fine = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PARAGRAPH, FINE))
-    pieces = F.when(F.char_length(text) < SHORT, F.concat(coarse, fine)).otherwise(coarse)
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
+
+
+def joined(coarse: str, fine: str, wanted: Column) -> Column:
+    """Digests of one granularity, or of both where that is wanted."""
+    return F.when(wanted, F.array_union(coarse, fine)).otherwise(F.col(coarse))
 
 
 def place(digest: Column, table: Column | int, cells: Column | int) -> Column:
@@ -133,7 +135,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     The edited text keeps the first half of the code points (the longer one) and goes on with the first floor(n / 2),
     or all, of the next document by descending id; after the last comes the first.  Likeness is the share of common
-    among all paragraph digests, 1 where both have none.  A null text is empty; a null id is ordered after all
+    among all paragraph digests, 1 where both have none; both texts of a pair give digests of the same granularities,
+    as do the two published fingerprints of a row.  A null text is empty; a null id is ordered after all
     others; rows that repeat with the same id and text are one document in this order, and all keep their row; where
     one id has several texts, a hash of the text orders them.  An empty table gives an empty result.
     """
@@ -145,22 +148,31 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = base.join(order, ["id", "hash"])
     half = F.floor(F.col("n") / 2).cast("int")
     wanted = F.floor(F.col("before_n") / 2).cast("int")
-    sent = rows.select(F.col("before_id").alias("id"), F.col("before_hash").alias("hash"), F.substring("text", F.lit(1), wanted).alias("begin"), paragraphs(F.col("text")).alias("next"))
+    short_next = (F.col("n") < SHORT) | (F.col("before_n") < SHORT)
+    sent = rows.select(
+        F.col("before_id").alias("id"), F.col("before_hash").alias("hash"), F.col("n").alias("next_n"), F.substring("text", F.lit(1), wanted).alias("begin"),
+        paragraphs(F.col("text")).alias("next"), F.when(short_next, paragraphs(F.col("text"), FINE)).alias("next_fine"),
+    )
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.col("begin"))
-    met = rows.join(sent, ["id", "hash"]).select("id", "hash", "n", "repeats", "text", edited.alias("edited"), "next")
-    work = cut(met.select("id", "hash", "n", "repeats", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("edited").alias("right")), F.struct(F.lit(1).alias("side"), F.col("next").alias("right")))
-    pairs = work.select("id", "hash", F.col("own").alias("left"), F.explode(sides).alias("x")).select("id", "hash", "x.side", "left", "x.right")
+    met = rows.join(sent, ["id", "hash"]).select("id", "hash", "n", "repeats", "text", edited.alias("edited"), "next", "next_fine", "next_n").withColumn("edited_n", F.char_length("edited"))
+    fine = {0: (F.col("n") < SHORT) | (F.col("edited_n") < SHORT), 1: (F.col("n") < SHORT) | (F.col("next_n") < SHORT)}
+    work = cut(met.select(
+        "id", "hash", "n", "repeats", "edited_n", "next_n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), F.when(fine[0] | fine[1], paragraphs(F.col("text"), FINE)).alias("own_fine"),
+        paragraphs(F.col("edited")).alias("edited"), F.when(fine[0], paragraphs(F.col("edited"), FINE)).alias("edited_fine"), "next", "next_fine",
+    ))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), joined("own", "own_fine", fine[s]).alias("left"), joined(name, f"{name}_fine", fine[s]).alias("right")) for s, name in enumerate(("edited", "next"))])
+    pairs = work.select("id", "hash", F.explode(sides).alias("x")).select("id", "hash", "x.side", "x.left", "x.right")
     apart = differences(pairs, ["id", "hash", "side"])
     both = F.col("only_left") + F.col("only_right")
     found = apart.groupBy("id", "hash").agg(*[F.sum(F.when(F.col("side") == s, both)).alias(f"apart{s}") for s in (0, 1)])
 
     def likeness(side: int, right: str) -> Column:
-        total, differ = F.size("own") + F.size(right), F.coalesce(F.col(f"apart{side}"), F.lit(0))
+        left, other = (F.size(joined(x, f"{x}_fine", fine[side])) for x in ("own", right))
+        total, differ = left + other, F.coalesce(F.col(f"apart{side}"), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - differ) / (total + differ))
 
     out = work.join(found, ["id", "hash"], "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", rendered(F.col("own")).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
+        F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", rendered(joined("own", "own_fine", fine[0])).alias("fingerprint"), rendered(joined("edited", "edited_fine", fine[0])).alias("edited_fingerprint"),
         likeness(0, "edited").alias("near_edited"), likeness(1, "next").alias("near_next"), "repeats",
     )
     return out.withColumn("_copy", F.explode(F.expr("sequence(1L, repeats)"))).drop("repeats", "_copy")

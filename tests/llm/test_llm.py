@@ -210,6 +210,24 @@ def test_fingerprints_equal_brute_force(odd):
         assert (r.near_edited, r.near_next) == pytest.approx(want[key])
 
 
+def test_pairs_across_the_short_limit_use_the_same_blocks(spark):
+    rng = random.Random(6)
+    words = [f"{rng.randrange(10**6):06d}" for _ in range(200)]
+    own = " ".join(words[:113])  # 790 code points
+    texts = {4: " ".join(words[:114]) + " appended", 3: own, 2: "tiny text", 1: " ".join(words)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = lambda t, sizes: {m.group().rstrip(" ") for n in sizes for m in re.finditer(rf"(?:\S++[ \t]*+){{1,{n}}}+", t, re.A)}
+    got = {r.doc_id: r for r in fingerprints.fingerprint(docs).collect()}
+    for doc, after in ((4, 3), (3, 2), (2, 1), (1, 4)):
+        a, b, half = texts[doc], texts[after], len(texts[doc]) // 2
+        edited = a[: len(a) - half] + b[:half]
+        for other, found in ((edited, got[doc].near_edited), (b, got[doc].near_next)):
+            sizes = (40, 8) if min(len(a), len(other)) < 800 else (40,)
+            x, y = parts(a, sizes), parts(other, sizes)
+            assert found == pytest.approx(len(x & y) / len(x | y))
+    assert len(texts[4]) >= 800 > len(own) and got[4].near_next > 0.7
+
+
 def test_peeling_retries(spark):
     left, right = list(range(1, 400)), list(range(300, 900))
     pairs = spark.createDataFrame([(1, left, right), (2, [], []), (3, [7], [7]), (4, [7], [8])], "k int, left array<long>, right array<long>")
