@@ -1,11 +1,11 @@
 """Secrets in text: fixed patterns, and strings that a primed compressor finds novel.
 
-Three pattern kinds are always reported.  The method then looks at long runs of key characters that stand after a
-sensitive word.  Its measure is the marginal cost under zstandard primed with a dictionary of identifiers and code
+Three pattern kinds are always reported.  The method then looks at all runs of 16 or more key characters that stand
+near a sensitive word, on either side.  Its measure is the marginal cost under zstandard primed with a dictionary of identifiers and code
 words: the compressed size of the surrounding text with the candidate, less the size without it.  Words, identifiers
 and repeats of their surroundings cost little; a random key costs about as many bytes as its entropy.  Candidates
-whose marginal bytes a character reach ``novelty`` and that mix letters and digits are reported as ``novel``, where
-no pattern span covers them.
+whose marginal bytes a character reach ``novelty`` are reported as ``novel``, whatever characters they mix, where no
+pattern span covers them.
 """
 
 from __future__ import annotations
@@ -69,9 +69,7 @@ def novel_spans(text: str, covered: list[tuple[int, int, str]], novelty: float,
         return out
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        run = m.group()
-        digits = sum(c.isdigit() for c in run)
-        if digits < 2 or digits == len(run) or SENSITIVE.search(text, max(0, start - reach), start) is None:
+        if SENSITIVE.search(text, max(0, start - reach), start) is None and SENSITIVE.search(text, end, end + reach) is None:
             continue
         if any(a < end and start < b for a, b, _ in covered):
             continue
@@ -81,7 +79,7 @@ def novel_spans(text: str, covered: list[tuple[int, int, str]], novelty: float,
     return out
 
 
-def scan(docs: DataFrame, novelty: float = 0.6, reach: int = 48, dictionary: str = DICTIONARY, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, novelty: float = 0.6, reach: int = 256, dictionary: str = DICTIONARY, keep: list[str] | None = None) -> DataFrame:
     """Return doc_id (or the columns ``keep``) and ``secrets``, an array of (kind, start, end, marginal) by start, then kind.
 
     Places count code points, the end is exclusive; marginal is null for pattern kinds.  A null text has none.  Rows
