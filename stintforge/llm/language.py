@@ -7,8 +7,8 @@ text is scored, so the code length of a byte after its context is a constant: th
 (context row, byte class, language) of bits, and a text's code lengths are sums of table rows, found with two array
 lookups per byte.  The language with the shortest code wins.
 
-Bounds: at most ``max_docs`` learning documents a language (by a hash of the id, whole texts), ``max_grams`` counted
-four-byte strings, ``alphabet`` byte classes and ``table_mb`` for the table that is broadcast.
+Learning is bounded by ``max_docs`` documents a language (by a hash of the id, whole texts) only: every language, byte
+value and context of these documents has its place in the table, which is as large as they make it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, held_out, map_arrow
+from .common import binary_parts, held_out, map_arrow, small
 
 ORDER = 3
 #: Texts are scored in pieces of so many bytes, whatever their length.
@@ -55,19 +55,18 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 class Model:
-    """Frozen code lengths.  ``bits`` has a row per context (pairs of classes, then kept triples), class and language."""
+    """Frozen code lengths.  ``bits`` has a row per context (pairs of classes, then the triples that were seen), class and language."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int = 96, table_mb: int = 32):
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
         seen = np.zeros(256, np.int64)
         for grams, n in counts:
             np.add.at(seen, grams & 255, n)
-        kept = np.sort(np.argsort(-seen, kind="stable")[: min(alphabet - 1, int((seen > 0).sum()))])
-        self.classes = np.full(256, len(kept), np.uint8)  # the last class: all other bytes
+        kept = np.flatnonzero(seen)
+        self.classes = np.full(256, len(kept), np.int16)  # the last class: all bytes that were not seen
         self.classes[kept] = np.arange(len(kept))
         a, k = len(kept) + 1, len(langs)
         self.size = a
-        most = max(0, table_mb * (1 << 20) // (4 * a * max(k, 1)) - a * a)
         coded = []
         total = np.zeros(a**3, np.int64)
         for grams, n in counts:
@@ -75,7 +74,7 @@ class Model:
             context = (c[0] * a + c[1]) * a + c[2]
             np.add.at(total, context, n)
             coded.append((c, context, n))
-        rows = np.argsort(-total, kind="stable")[: min(most, int((total > 0).sum()))]
+        rows = np.flatnonzero(total)
         self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
         self.row[rows] = a * a + np.arange(len(rows), dtype=np.int32)
         self.bits = np.zeros(((a * a + len(rows)) * a, k), np.float32)
@@ -88,15 +87,13 @@ class Model:
                 table = np.bincount(at, n, a ** (order + 1)).reshape(-1, a)
                 lower = self._blend(table, np.tile(lower.reshape(-1, a), (len(table) // lower.reshape(-1, a).shape[0], 1)))
             self.bits[: a**3, j] = -np.log2(lower.ravel())
-            place = self.row[context]
-            good = place >= a * a
-            top = np.bincount((place[good] - a * a) * a + c[3][good], n[good], len(rows) * a).reshape(-1, a)
+            top = np.bincount((self.row[context].astype(np.int64) - a * a) * a + c[3], n, len(rows) * a).reshape(-1, a)
             self.bits[a**3 :, j] = -np.log2(self._blend(top, lower[rows % (a * a)]).ravel())
 
     def _blend(self, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Method C: seen symbols by their counts, the others by the escape times the shorter context.
 
-        The class of unlisted bytes is always reached by escape: it stands for many bytes, none of them counted.
+        The class of unseen bytes is always reached by escape: it stands for many bytes, none of them counted.
         """
         counts = counts.copy()
         counts[:, -1] = 0
@@ -115,7 +112,7 @@ class Model:
             hi = min(lo + SEGMENT, int(at[-1]))
             first = max(lo - ORDER, int(at[0]))
             c = self.classes[raw[first:hi]]
-            c = np.concatenate([np.full(ORDER - (lo - first), space, np.uint8), c]).astype(np.int32)
+            c = np.concatenate([np.full(ORDER - (lo - first), space, np.int16), c]).astype(np.int32)
             inside = starts[(starts > lo - ORDER) & (starts < hi)] - lo
             index = np.zeros(hi - lo, np.int32)
             for back in (3, 2, 1):
@@ -132,23 +129,19 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, max_docs: int = 2000, max_grams: int = 400_000) -> Model:
+def learn(docs: DataFrame, max_docs: int = 2000) -> Model:
     """Count four-byte strings of the learning documents, on the executors, and freeze the model.
 
     ``docs`` has doc_id, text and lang; rows without text or lang teach nothing.  Without learning rows the model
     knows no language.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not sizes:
-        return Model([], [])
-    share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, max_docs / n)))])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < F.try_element_at(share, F.col("lang"))).select("lang", F.col("text").cast("binary").alias("text"))
-
-
-    counted = map_arrow(sample, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    sample = rows.join(small(sizes), "lang").where(draw < max_docs / F.col("_n")).select("lang", F.col("text").cast("binary").alias("text"))
+    top = map_arrow(sample, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not top.num_rows:
+        return Model([], [])
     names = np.asarray(top["lang"].to_pylist(), dtype=object)
     grams, n = top["gram"].to_numpy(), top["n"].to_numpy().astype(np.float64)
     langs = sorted(set(names))

@@ -165,6 +165,25 @@ def test_code_lengths_are_exact():
         assert row == pytest.approx([brute_bits(texts[lang], probe) for lang in sorted(texts)], rel=1e-5)
 
 
+def test_every_context_byte_and_language_is_kept():
+    rng = random.Random(8)
+    texts = {f"l{i:03}": [bytes(rng.randrange(256) for _ in range(300))] for i in range(12)}
+    texts["l000"].append(bytes(range(256)))
+    counts = []
+    for lang in sorted(texts):
+        grams, n = np.unique(np.concatenate([language._grams(np.frombuffer(t, np.uint8)) for t in texts[lang]]), return_counts=True)
+        counts.append((grams.astype(np.int64), n.astype(float)))
+    model = language.Model(sorted(texts), counts)
+    probe = texts["l003"][0][50:70] + b"plain"
+    got = model.lengths(probe, np.array([0, len(probe)]))
+    assert got[0] == pytest.approx([brute_bits(texts[lang], probe) for lang in sorted(texts)], rel=1e-5)
+
+
+def test_every_lang_value_teaches(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", f"lang{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(language.learn(docs).langs) == 300
+
+
 def test_segments_do_not_matter(small, monkeypatch):
     model = language.learn(small)
     once = language.predict(small, model, keep=["doc_id"]).collect()
