@@ -8,10 +8,9 @@ Inside a bucket no pair is formed from raw fingerprints: each fingerprint's dist
 inequality), coordinate after coordinate, and only the survivors' own distance is computed.  A bucket hands on a
 spanning forest of its links, never its pairs.
 
-A bucket of more than ``most`` different fingerprints is not gathered.  Its members meet again in the finer buckets of
-more blocks, and where those are still too full, at common neighbours: two fingerprints are within three bits exactly
-if some value lies within one bit of the one and two bits of the other, so each emits its 65 and 2,081 such values,
-which is linear in the bucket.  Components then follow by least labels with pointer jumping, on links only.
+A bucket of more than ``most`` different fingerprints is not gathered, and its pairs do not pass the pivot table.  Its
+members meet at common neighbours instead: two fingerprints are within three bits exactly if some value lies within one
+bit of the one and two bits of the other, so each emits its 65 and 2,081 such values, which is linear in the bucket.  Components then follow by least labels with pointer jumping, on links only.
 """
 
 from __future__ import annotations
