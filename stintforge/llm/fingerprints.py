@@ -1,14 +1,17 @@
 """Document fingerprints by invertible Bloom lookup tables (DataFrame functions only).
 
-A text's paragraphs are its lines, in blocks of at most 40 words; a paragraph is known by a 64-bit digest.  Two texts
-of which one is short are compared with their blocks of 8 words as well, taken from both.  A sketch throws each digest into one cell of each of three subtables; a cell holds how many fell there, the exclusive or of
-the digests and that of their check sums.  The sketches of two versions subtract cell by cell: shared paragraphs
-vanish, and peeling recovers the others: a cell with one digest left (its check sum fits) gives that digest, which
-is then taken out of its other two cells.  If cells remain, the pair is sketched again with twice the cells.
-
-Cells are rows.  The rows of a pair are hash-partitioned by the pair's key once; building, subtracting and every
-peeling round are aggregations below that one exchange, in generated code, and a pair's rows are proportional to its
-paragraphs.  A published fingerprint is the text's sketch with three times eight cells.
+A text's paragraphs are its lines, in blocks of at most 16 words; a paragraph is known by a 64-bit digest, the same
+rule for every text.  A sketch throws each digest into one cell of each of three subtables; a cell holds how many fell
+there, the exclusive or of the digests and that of their check sums.  A published fingerprint is the text's sketch
+with three times eight cells.  The sketches of two versions subtract cell by cell: shared paragraphs vanish, and
+peeling recovers the others: a cell with one digest left (its check sum fits) gives that digest, which is then taken
+out of its other two cells.  The first attempt has the published size.  Where cells remain, the counts left in them
+estimate how many digests differ, and the pair is sketched again with cells for so many, then with twice as many,
+until all are recovered.
+
+Cells are rows.  The rows of a pair are hash-partitioned by the document's key once an attempt; building, subtracting
+and every peeling round are aggregations below that one exchange, in generated code, and a pair's rows are
+proportional to its paragraphs in the throw, to its difference in the rounds.
 """
 
 from __future__ import annotations
@@ -20,23 +23,20 @@ from pyspark.sql import functions as F
 
 from .common import cut, small
 
-PARAGRAPH = r"(?:\S++[ \t]*+){1,40}+"
-#: A text under so many code points, and one compared with it, gives its blocks of at most 8 words too: a sentence's half is then known.
-SHORT, FINE = 800, r"(?:\S++[ \t]*+){1,8}+"
+#: At most so many words of a line are a paragraph.
+WORDS = 16
+PARAGRAPH = rf"(?:\S++[ \t]*+){{1,{WORDS}}}+"
 SUBTABLES = 3
+#: Cells of a subtable in a published fingerprint, and in the first attempt.
+CELLS = 8
 #: Peeling rounds, each over one subtable.
 ROUNDS = 12
 NO_ID = -(1 << 63)
 
 
-def paragraphs(text: Column, pattern: str = PARAGRAPH) -> Column:
+def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
-
-
-def joined(coarse: str, fine: str, wanted: Column) -> Column:
-    """Digests of one granularity, or of both where that is wanted."""
-    return F.when(wanted, F.array_union(coarse, fine)).otherwise(F.col(coarse))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
 
 
 def place(digest: Column, table: Column | int, cells: Column | int) -> Column:
@@ -48,19 +48,28 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(977)).bitwiseAND(0xFFFFFFFF)
 
 
-def rendered(digests: Column, cells: int = 8) -> Column:
-    """A fingerprint: the number of digests, then count and exclusive or of each cell in hexadecimal."""
+def rendered(digests: Column, cells: int = CELLS) -> Column:
+    """A fingerprint: the number of digests, then count, exclusive or and check sum of each cell in hexadecimal."""
+    placed = F.transform(digests, lambda d: F.struct(d.alias("d"), check(d).alias("check"), *[place(d, t, cells).alias(f"at{t}") for t in range(SUBTABLES)]))
 
-    def cell(t: int, c: int) -> Column:
-        own = F.filter(digests, lambda d: place(d, t, cells) == c)
-        return F.concat(F.hex(F.size(own)), F.lit(":"), F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d))))
+    def subtable(all_: Column, t: int) -> Column:
+        def cell(c: Column) -> Column:
+            own = F.filter(all_, lambda x: x[f"at{t}"] == c)
+            total = lambda name: F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y[name])))
+            return F.concat_ws(":", F.hex(F.size(own)), total("d"), total("check"))
 
-    return F.concat_ws(";", F.size(digests).cast("string"), *[cell(t, c) for t in range(SUBTABLES) for c in range(cells)])
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell), ";")
 
+    # a list of one, so that the placed digests are computed once
+    tables = lambda x: F.concat_ws(";", *[subtable(x, t) for t in range(SUBTABLES)])
+    return F.concat_ws(";", F.size(digests).cast("string"), F.element_at(F.transform(F.array(placed), tables), 1))
 
-def _peeled(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One attempt on (keys, left, right, cells): keys, stuck cells, and the recovered digests of either side."""
-    signed = pairs.select(*keys, "cells", F.size("left").alias("_n"), F.posexplode(F.concat("left", "right")).alias("_at", "_d"))
+
+def _peeled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One attempt on (keys, side, left, right, cells): keys, side, stuck cells, recovered digests of either side, and
+    an estimate of the digests that are not recovered."""
+    keys = [*keys, "side"]
+    signed = rows.select(*keys, "cells", F.size("left").alias("_n"), F.posexplode(F.concat("left", "right")).alias("_at", "_d"))
     thrown = signed.select(*keys, "cells", F.when(F.col("_at") < F.col("_n"), 1).otherwise(-1).alias("sign"), "_d", F.explode(F.array(*map(F.lit, range(SUBTABLES)))).alias("_t"))
     cell = F.col("_t") * F.col("cells") + place(F.col("_d"), F.col("_t"), F.col("cells"))
     state = thrown.select(*keys, "cells", cell.cast("long").alias("cell"), F.lit(None).cast("long").alias("found"), F.col("sign").cast("long").alias("n"), F.col("_d").alias("sum"), check(F.col("_d")).alias("check"))
@@ -84,30 +93,40 @@ def _peeled(pairs: DataFrame, keys: list[str]) -> DataFrame:
         same = F.array(row(F.col("cell"), F.col("found"), F.col("n"), d, F.col("check")))
         moved = state.select(*keys, "cells", F.explode(F.when(pure, taken).otherwise(same)).alias("_x"))
         state = settled(moved.select(*keys, "cells", "_x.cell", "_x.found", "_x.n", "_x.sum", "_x.check"))
+    left = F.when(F.col("found").isNull(), F.col("n"))
+    # with signs of either side, squared counts add up to the digests left, but for what the difference of the sides adds
+    spread = (F.sum(left * left) / SUBTABLES - F.pow(F.sum(left) / SUBTABLES, F.lit(2)) / F.first("cells")) * F.first("cells") / F.greatest(F.first("cells") - 1, F.lit(1))
     return state.groupBy(*keys).agg(
-        F.count(F.when(F.col("found").isNull(), 1)).alias("stuck"),
+        F.first("cells").alias("cells"),
+        F.count(left).alias("stuck"),
         F.count(F.when(F.col("found").isNotNull() & (F.col("n") > 0), 1)).alias("only_left"),
         F.count(F.when(F.col("found").isNotNull() & (F.col("n") < 0), 1)).alias("only_right"),
+        F.greatest(F.abs(F.sum(left)) / SUBTABLES, F.coalesce(spread, F.lit(0.0))).alias("rest"),
     )
 
 
-def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """How many digests are only left and only right, for pairs (keys, left, right) of digest arrays.
+def differences(pairs: DataFrame, keys: list[str], sides: list[tuple[str, str]], first: int = CELLS) -> DataFrame:
+    """How many digests are only left and only right: (keys, side, only_left, only_right).
 
-    The first attempt has half as many cells a subtable as there are digests; pairs that stay stuck are sketched
-    again with twice as many, until all are recovered.  Pairs without a difference have no row.
+    ``pairs`` has ``keys`` and arrays of digests; side k compares the k-th two of ``sides``.  Sides without a difference
+    have no row.  The first attempt has ``first`` cells a subtable; stuck ones are sketched again with as many as their
+    estimate needs, at least twice as many as before.
     """
-    spread = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 3000 + 1)
-    first = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(4.0), (F.size("left") + F.size("right")) / 2)))).cast("long")
-    todo = pairs.select(*keys, "left", "right", first.alias("cells"))
+    spread = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 2000 + 1)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(a).alias("left"), F.col(b).alias("right")) for k, (a, b) in enumerate(sides)]))
+    dealt = pairs.select(*keys, *sorted({c for x in sides for c in x})).repartition(spread, *keys)
+    todo = dealt.select(*keys, both.alias("x")).select(*keys, "x.*")
+    work = todo.withColumn("cells", F.lit(first).cast("long"))
     done = []
     while True:
-        solved = cut(_peeled(todo.repartition(spread, *keys), keys))
-        done.append(solved.where("stuck = 0").drop("stuck"))
-        stuck = solved.where("stuck > 0").select(*keys)
+        solved = cut(_peeled(work, keys))
+        done.append(solved.where("stuck = 0").select(*keys, "side", "only_left", "only_right"))
+        stuck = solved.where("stuck > 0")
         if stuck.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        todo = cut(todo.join(stuck, keys, "left_semi").withColumn("cells", F.col("cells") * 2))
+        wanted = F.pow(F.lit(2.0), F.ceil(F.log2(0.75 * (F.col("rest") + F.col("only_left") + F.col("only_right")))))
+        again = stuck.select(*keys, "side", F.greatest(2 * F.col("cells"), wanted.cast("long")).alias("cells"))
+        work = todo.join(again.repartition(spread, *keys), [*keys, "side"])
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -135,44 +154,36 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     The edited text keeps the first half of the code points (the longer one) and goes on with the first floor(n / 2),
     or all, of the next document by descending id; after the last comes the first.  Likeness is the share of common
-    among all paragraph digests, 1 where both have none; both texts of a pair give digests of the same granularities,
-    as do the two published fingerprints of a row.  A null text is empty; a null id is ordered after all
-    others; rows that repeat with the same id and text are one document in this order, and all keep their row; where
-    one id has several texts, a hash of the text orders them.  An empty table gives an empty result.
+    among all paragraph digests, 1 where both have none.  A null text is empty; a null id (and one that is no number)
+    is ordered after all others; rows that repeat with the same id and text are one document in this order, and all
+    keep their row; where one id has several texts, a hash of the text orders them.  An empty table gives an empty
+    result.
     """
     kind = docs.schema["doc_id"].dataType
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    number = F.expr("try_cast(doc_id as bigint)")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    other = F.when(number.isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    base = docs.select(F.coalesce(number, F.lit(NO_ID)).alias("id"), F.col("doc_id").alias("name"), text.alias("text"), F.xxhash64(text, other).alias("hash"))
     order = ordered(base.select("id", "hash", F.char_length("text").cast("long").alias("n")))
     if not order.where("repeats > 1").isEmpty():
         base = base.dropDuplicates(["id", "hash"])
     rows = base.join(order, ["id", "hash"])
     half = F.floor(F.col("n") / 2).cast("int")
     wanted = F.floor(F.col("before_n") / 2).cast("int")
-    short_next = (F.col("n") < SHORT) | (F.col("before_n") < SHORT)
-    sent = rows.select(
-        F.col("before_id").alias("id"), F.col("before_hash").alias("hash"), F.col("n").alias("next_n"), F.substring("text", F.lit(1), wanted).alias("begin"),
-        paragraphs(F.col("text")).alias("next"), F.when(short_next, paragraphs(F.col("text"), FINE)).alias("next_fine"),
-    )
+    sent = rows.select(F.col("before_id").alias("id"), F.col("before_hash").alias("hash"), F.substring("text", F.lit(1), wanted).alias("begin"), paragraphs(F.col("text")).alias("next"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.col("begin"))
-    met = rows.join(sent, ["id", "hash"]).select("id", "hash", "n", "repeats", "text", edited.alias("edited"), "next", "next_fine", "next_n").withColumn("edited_n", F.char_length("edited"))
-    fine = {0: (F.col("n") < SHORT) | (F.col("edited_n") < SHORT), 1: (F.col("n") < SHORT) | (F.col("next_n") < SHORT)}
-    work = cut(met.select(
-        "id", "hash", "n", "repeats", "edited_n", "next_n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), F.when(fine[0] | fine[1], paragraphs(F.col("text"), FINE)).alias("own_fine"),
-        paragraphs(F.col("edited")).alias("edited"), F.when(fine[0], paragraphs(F.col("edited"), FINE)).alias("edited_fine"), "next", "next_fine",
-    ))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), joined("own", "own_fine", fine[s]).alias("left"), joined(name, f"{name}_fine", fine[s]).alias("right")) for s, name in enumerate(("edited", "next"))])
-    pairs = work.select("id", "hash", F.explode(sides).alias("x")).select("id", "hash", "x.side", "x.left", "x.right")
-    apart = differences(pairs, ["id", "hash", "side"])
+    met = rows.join(sent, ["id", "hash"]).select("id", "hash", "name", "n", "repeats", "text", edited.alias("edited"), "next")
+    work = cut(met.select("id", "hash", "name", "n", "repeats", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next"))
+    apart = differences(work, ["id", "hash"], [("own", "edited"), ("own", "next")])
     both = F.col("only_left") + F.col("only_right")
     found = apart.groupBy("id", "hash").agg(*[F.sum(F.when(F.col("side") == s, both)).alias(f"apart{s}") for s in (0, 1)])
 
     def likeness(side: int, right: str) -> Column:
-        left, other = (F.size(joined(x, f"{x}_fine", fine[side])) for x in ("own", right))
-        total, differ = left + other, F.coalesce(F.col(f"apart{side}"), F.lit(0))
+        total, differ = F.size("own") + F.size(right), F.coalesce(F.col(f"apart{side}"), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - differ) / (total + differ))
 
     out = work.join(found, ["id", "hash"], "left").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", rendered(joined("own", "own_fine", fine[0])).alias("fingerprint"), rendered(joined("edited", "edited_fine", fine[0])).alias("edited_fingerprint"),
+        F.col("name").cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", rendered(F.col("own")).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
         likeness(0, "edited").alias("near_edited"), likeness(1, "next").alias("near_next"), "repeats",
     )
     return out.withColumn("_copy", F.explode(F.expr("sequence(1L, repeats)"))).drop("repeats", "_copy")

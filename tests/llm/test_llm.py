@@ -211,47 +211,76 @@ def test_language_unknown(odd):
 # 3. fingerprints
 
 
-def test_fingerprints_equal_brute_force(odd):
-    rows = odd.select("doc_id", "text").collect()
-    keyed = sorted({(r.doc_id if r.doc_id is not None else fingerprints.NO_ID, xxhash.xxh64_intdigest((r.text or "").encode(), 42), r.text or "") for r in rows}, key=lambda k: (k[0], k[1] if k[1] < 1 << 63 else k[1] - (1 << 64)), reverse=True)
-    parts = lambda t: {m.group().rstrip(" ") for n in (40, 8) if n == 40 or len(t) < 800 for m in re.finditer(rf"(?:\S++[ \t]*+){{1,{n}}}+", t, re.A)}
+def brute_sketch(digests, cells=8):
+    """The rendered sketch, from signed digests, their places and check sums."""
+    out = [str(len(digests))]
+    for t in range(3):
+        for c in range(cells):
+            own = [(d, k) for d, k, at in digests if at[t] == c]
+            total = check = 0
+            for d, k in own:
+                total, check = total ^ d, check ^ k
+            out.append(f"{len(own):X}:{total % (1 << 64):X}:{check:X}")
+    return ";".join(out)
+
+
+def fingerprint_truth(spark, rows):
+    """By (order, n_chars, sha of the edited text): likenesses, and paragraphs of both texts."""
+    parts = lambda t: {m.group().rstrip(" ") for m in re.finditer(r"(?:\S++[ \t]*+){1,16}+", t, re.A)}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    hashed = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t").alias("h"), F.xxhash64("t", F.lit("null")).alias("none")).collect()
+    h = {r.t: (r.h, r.none) for r in hashed}
+    keyed = sorted({(i if i is not None else fingerprints.NO_ID, h[t][i is None], t) for i, t in rows}, reverse=True)
     want = {}
     for i, (doc, _, text) in enumerate(keyed):
         after = keyed[(i + 1) % len(keyed)][2]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        want[(doc, len(text), hashlib.sha256(edited.encode()).hexdigest())] = (like(parts(text), parts(edited)), like(parts(text), parts(after)))
+        want[(doc, len(text), hashlib.sha256(edited.encode()).hexdigest())] = (like(parts(text), parts(edited)), like(parts(text), parts(after)), text, parts(text), parts(edited))
+    return want
+
+
+def test_fingerprints_equal_brute_force(spark, odd):
+    rows = [(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()]
+    want = fingerprint_truth(spark, rows)
     got = fingerprints.fingerprint(odd).collect()
     assert len(got) == len(rows)
+    all_parts = sorted({p for w in want.values() for p in w[3] | w[4]})
+    digest = F.xxhash64("p")
+    known = spark.createDataFrame([(p,) for p in all_parts], "p string").select("p", digest.alias("d"), fingerprints.check(digest).alias("k"), *[fingerprints.place(digest, t, 8).alias(f"at{t}") for t in range(3)]).collect()
+    marks = {r.p: (r.d, r.k, (r.at0, r.at1, r.at2)) for r in known}
+    by_text = {}
     for r in got:
-        key = (r.doc_id if r.doc_id is not None else fingerprints.NO_ID, r.n_chars, r.edited_sha256)
-        assert (r.near_edited, r.near_next) == pytest.approx(want[key])
+        near_edited, near_next, text, own, edited = want[(r.doc_id if r.doc_id is not None else fingerprints.NO_ID, r.n_chars, r.edited_sha256)]
+        assert (r.near_edited, r.near_next) == pytest.approx((near_edited, near_next))
+        assert r.fingerprint == brute_sketch([marks[p] for p in own]) and r.edited_fingerprint == brute_sketch([marks[p] for p in edited])
+        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
 
 
-def test_pairs_across_the_short_limit_use_the_same_blocks(spark):
+def test_one_rule_for_short_and_long_texts(spark):
     rng = random.Random(6)
     words = [f"{rng.randrange(10**6):06d}" for _ in range(200)]
-    own = " ".join(words[:113])  # 790 code points
-    texts = {4: " ".join(words[:114]) + " appended", 3: own, 2: "tiny text", 1: " ".join(words)}
+    texts = {4: " ".join(words[:114]) + " appended", 3: " ".join(words[:113]), 2: "tiny text", 1: " ".join(words), 0: " ".join(words[:113])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    parts = lambda t, sizes: {m.group().rstrip(" ") for n in sizes for m in re.finditer(rf"(?:\S++[ \t]*+){{1,{n}}}+", t, re.A)}
+    want = {k[0]: w for k, w in fingerprint_truth(spark, list(texts.items())).items()}
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs).collect()}
-    for doc, after in ((4, 3), (3, 2), (2, 1), (1, 4)):
-        a, b, half = texts[doc], texts[after], len(texts[doc]) // 2
-        edited = a[: len(a) - half] + b[:half]
-        for other, found in ((edited, got[doc].near_edited), (b, got[doc].near_next)):
-            sizes = (40, 8) if min(len(a), len(other)) < 800 else (40,)
-            x, y = parts(a, sizes), parts(other, sizes)
-            assert found == pytest.approx(len(x & y) / len(x | y))
-    assert len(texts[4]) >= 800 > len(own) and got[4].near_next > 0.7
+    for k, r in got.items():
+        assert (r.near_edited, r.near_next) == pytest.approx(want[k][:2])
+    assert len(texts[4]) >= 800 > len(texts[3]) and got[4].near_next > 0.7
+    assert got[3].fingerprint == got[0].fingerprint and got[3].edited_sha256 != got[0].edited_sha256
+
+
+def test_fingerprints_with_text_ids(spark):
+    docs = spark.createDataFrame([("a", "one text"), ("7", "another text"), ("b", "one text"), (None, None)], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in fingerprints.fingerprint(docs).collect()) == ["7", "None", "a", "b"]
 
 
-def test_peeling_retries(spark):
+@pytest.mark.parametrize("first", [1, 2, 8])
+def test_peeling_retries(spark, first):
     left, right = list(range(1, 400)), list(range(300, 900))
-    pairs = spark.createDataFrame([(1, left, right), (2, [], []), (3, [7], [7]), (4, [7], [8])], "k int, left array<long>, right array<long>")
-    got = {r.k: (r.only_left, r.only_right) for r in fingerprints.differences(pairs, ["k"]).collect()}
-    assert got == {1: (299, 500), 4: (1, 1)}
+    pairs = spark.createDataFrame([(1, left, right), (2, [], []), (3, [7], [7]), (4, [7], [8]), (5, list(range(5000)), list(range(4995))), (6, list(range(3000)), list(range(3000, 6000)))], "k int, left array<long>, right array<long>")
+    got = {r.k: (r.side, r.only_left, r.only_right) for r in fingerprints.differences(pairs, ["k"], [("left", "right")], first).collect()}
+    assert got == {1: (0, 299, 500), 4: (0, 1, 1), 5: (0, 5, 0), 6: (0, 3000, 3000)}
 
 
 # 4. secrets
