@@ -43,9 +43,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a materialised table after counting its rows; larger ones stay with shuffled joins."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -91,26 +91,41 @@ _STEPS = "".join(_CLOSE.format(j=k - 1, k=k, better="t.gap - r.size >= 0" if k <
 #: The same rows in SQL.  The other operators hash, train, tokenise or iterate in ways SQL cannot express.
 ORACLE: dict[str, str] = {
     "op1_mixing": rf"""
-with base as (
+with hashed as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12))::bigint)::double + 0.5) / 281474976710656.0 as u
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12))::bigint as digest
   from documents
+), repeats as (
+  select *, row_number() over (partition by doc_id, source, size, digest) as nth, length(bin(size)) as weight from hashed
+), base as (
+  select *, ((case when nth = 1 then digest else ('0x' || substr(md5(digest::varchar || ':' || nth::varchar), 1, 12))::bigint end)::double + 0.5) / 281474976710656.0 as u from repeats
+), classes as (
+  select source, weight, sum(size)::bigint as words from base group by source, weight
 ), sums as (
-  select source, sum(size)::bigint as source_size from base group by source
+  select source, sum(words)::bigint as source_size from classes group by source
 ), weighed as (
-  select *, [5, 2, 1][((row_number() over (order by source nulls last)) - 1) % 3 + 1] as weight, source_size * 3 as most from sums
+  select *, [5, 2, 1][((row_number() over (order by source nulls last)) - 1) % 3 + 1] as share, source_size * 3 as most from sums
 ), levelled as (
-  select *, (sum(source_size) over () - coalesce(sum(most) over (order by most::double / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
-    / (sum(weight) over (order by most::double / weight, source nulls last rows between current row and unbounded following))::double as level from weighed
+  select *, (sum(source_size) over () - coalesce(sum(most) over (order by most::double / share, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+    / (sum(share) over (order by most::double / share, source nulls last rows between current row and unbounded following))::double as level from weighed
 ), goals as (
-  select source, source_size, least(most::double, (max(case when level * weight <= most then level end) over ()) * weight) as target from levelled
-), parts as (
-  select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from goals
+  select source, source_size, least(most::double, (max(case when level * share <= most then level end) over ()) * share) as target from levelled
+), filled as (
+  select c.weight, c.words, g.*, (coalesce(sum(words) over (partition by c.source order by weight desc rows between unbounded preceding and 1 preceding), 0) * 3)::bigint as taken_up,
+    (sum(weight * words) over (partition by c.source order by weight desc rows between current row and unbounded following))::bigint as open
+  from classes c join goals g on c.source is not distinct from g.source
+), inner_level as (
+  select *, case when open > 0 then (target - taken_up) / open::double end as level from filled
+), expected as (
+  select *, least(3.0::double, (max(case when level * weight <= 3 then level end) over (partition by source)) * weight) as copies from inner_level
+), split as (
+  select *, floor(copies) as whole, copies - floor(copies) as part from expected
 ), plan as (
-  select *, floor(ratio) as whole, ratio - floor(ratio) as part, target - floor(ratio) * source_size as room from parts
+  select *, target - (sum(whole::bigint * words) over (partition by source))::bigint as room from split
 ), ranked as (
-  select b.doc_id, b.size, p.*, case when part > 0 then ((u / (1 - u)) / (part / (1 - part))) / (1 + (u / (1 - u)) / (part / (1 - part))) end as v
-  from base b join plan p on b.source is not distinct from p.source
+  select b.doc_id, b.size, b.nth, p.source, p.source_size, p.target, p.whole, p.part, p.room,
+    case when part > 0 then ((u / (1 - u)) / (part / (1 - part))) / (1 + (u / (1 - u)) / (part / (1 - part))) end as v
+  from base b join plan p on b.source is not distinct from p.source and b.weight = p.weight
 ), sampled as (
   select *, sum(size) over (partition by source order by v range between unbounded preceding and current row) <= room as chosen from ranked where v is not null and size > 0
 ), rest as (

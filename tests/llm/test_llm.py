@@ -86,17 +86,53 @@ def test_mix_equals_sql(spark):
     assert (got[want.columns] == want).all().all()
 
 
-def test_mix_targets_and_copies(odd):
-    rows = mixing.mix(odd).collect()
+def check_mix(rows, sizes):
     for r in rows:
         assert r.taken == r.size * r.copies and r.copies <= 3 and r.target <= 3 * r.source_size
     total = sum(r.size for r in rows)
     assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(total)
-    assert {(r.doc_id, r.size) for r in rows} == {(x[0], len(WORDS.findall(x[1] or ""))) for x in odd_rows()}
+    assert sorted((str(r.doc_id), r.size) for r in rows) == sizes
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source and r.size]
+        if own:  # within the size of one document of the target
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_mix_targets_and_copies(odd):
+    rows = mixing.mix(odd).collect()
+    check_mix(rows, sorted((str(x[0]), len(WORDS.findall(x[1] or ""))) for x in odd_rows()))
     again = mixing.mix(odd.repartition(5))
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("slice_", [4096, 7])
+def test_mix_draws_repeated_rows_one_by_one(spark, monkeypatch, slice_):
+    monkeypatch.setattr(mixing, "SLICE", slice_)
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    rows = [(1, text(9), "a")] * 500 + [(None, None, "a")] * 40 + [(i, text(rng.randrange(1, 200)), "b") for i in range(2, 90)] + [(5000, text(31), "b")] * 60 + [(i, text(40), "c") for i in range(100, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    found = got.collect()
+    check_mix(found, sorted((str(x[0]), len(WORDS.findall(x[1] or ""))) for x in rows))
+    whole = mixing.repeated(docs.withColumn("copies", F.lit("x")))
+    assert whole.columns == ["doc_id", "text", "source", "copies"]
+    count = {}
+    for r in whole.collect():
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    want = {}
+    for r in found:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert count == {k: n for k, n in want.items() if n}
+
+
+def test_inclusion_odds_differ_inside_a_source(spark):
+    rows = [(i, " ".join(["w"] * (2 if i % 2 else 300)), "a" if i < 4000 else "b") for i in range(8000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'b'")
+    means = {r.size: r.m for r in got.groupBy("size").agg(F.avg("copies").alias("m")).collect()}
+    assert means[300] / means[2] == pytest.approx(9 / 2, rel=0.1)  # nine and two bits
+
+
 def test_targets_by_water_level(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 400, None: 85}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3).collect()}
@@ -115,11 +151,12 @@ def test_targets_by_water_level(spark):
     assert got == pytest.approx(target)
 
 
-def test_mix_keep_repeats_rows(odd):
-    kept = mixing.mix(odd, keep=odd.columns)
-    assert kept.columns == [*odd.columns, "copies"]
-    a, b = kept.groupBy("doc_id").agg(F.sum("copies").alias("n")).collect(), mixing.mix(odd).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+def test_repeated_keeps_columns(odd):
+    kept = mixing.repeated(odd)
+    assert kept.columns == odd.columns
+    a = {r.doc_id: r.n for r in kept.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    b = {r.doc_id: r.n for r in mixing.mix(odd).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    assert a == {k: n for k, n in b.items() if n}
 
 
 # 2. language
