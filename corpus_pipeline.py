@@ -33,8 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, keep=docs.columns).where("copies > 0")
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    return mixing.repeated(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
