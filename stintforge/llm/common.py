@@ -43,6 +43,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Write rows that are dealt by ``keys`` into ``n`` partitions as a bucketed table in the shared folder.
+
+    Joins and aggregations by the keys then need no shuffle.  The catalogue forgets the table at once; its files stay.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, *keys).format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a materialised table after counting its rows; larger ones stay with shuffled joins."""
     return F.broadcast(df) if df.count() <= most else df

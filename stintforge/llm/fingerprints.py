@@ -6,22 +6,24 @@ there, the exclusive or of the digests and that of their check sums.  A publishe
 with three times eight cells.  The sketches of two versions subtract cell by cell: shared paragraphs vanish, and
 peeling recovers the others: a cell with one digest left (its check sum fits) gives that digest, which is then taken
 out of its other two cells.  The first attempt has the published size.  Where cells remain, the counts left in them
-estimate how many digests differ, and the pair is sketched again with cells for so many, then with twice as many,
-until all are recovered.
+estimate how many digests differ, and the pair is sketched again with cells for so many, at least four times as many
+as before, until all are recovered.
 
-Cells are rows.  The rows of a pair are hash-partitioned by the document's key once an attempt; building, subtracting
-and every peeling round are aggregations below that one exchange, in generated code, and a pair's rows are
-proportional to its paragraphs in the throw, to its difference in the rounds.
+Cells are rows.  Digests are written once, bucketed by the document's key; building, subtracting and every peeling
+round are aggregations inside a bucket, in generated code and without a shuffle, and a pair's rows are proportional to
+its paragraphs in the throw, to its cells in the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut, small
+from .common import bucketed, cut, small
 
 #: At most so many words of a line are a paragraph.
 WORDS = 16
@@ -105,18 +107,24 @@ def _peeled(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def buckets(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many documents."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // 2000 + 1, 20_000))
+
+
 def differences(pairs: DataFrame, keys: list[str], sides: list[tuple[str, str]], first: int = CELLS) -> DataFrame:
     """How many digests are only left and only right: (keys, side, only_left, only_right).
 
-    ``pairs`` has ``keys`` and arrays of digests; side k compares the k-th two of ``sides``.  Sides without a difference
-    have no row.  The first attempt has ``first`` cells a subtable; stuck ones are sketched again with as many as their
-    estimate needs, at least twice as many as before.
+    ``pairs`` has unique ``keys``, by which it is dealt, and arrays of digests; side k compares the k-th two of
+    ``sides``.  Sides without a difference have no row.  The first attempt has ``first`` cells a subtable; stuck ones
+    are sketched again with as many as their estimate needs, at least four times as many as before.
     """
-    spread = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 2000 + 1)
-    both = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(a).alias("left"), F.col(b).alias("right")) for k, (a, b) in enumerate(sides)]))
-    dealt = pairs.select(*keys, *sorted({c for x in sides for c in x})).repartition(spread, *keys)
-    todo = dealt.select(*keys, both.alias("x")).select(*keys, "x.*")
-    work = todo.withColumn("cells", F.lit(first).cast("long"))
+
+    def sketched(rows: DataFrame, cells: Callable[[int], Column]) -> DataFrame:
+        both = [F.struct(F.lit(k).alias("side"), F.col(a).alias("left"), F.col(b).alias("right"), cells(k).alias("cells")) for k, (a, b) in enumerate(sides)]
+        return rows.select(*keys, F.explode(F.array(*both)).alias("_x")).select(*keys, "_x.*").where("cells is not null")
+
+    work = sketched(pairs, lambda k: F.lit(first).cast("long"))
     done = []
     while True:
         solved = cut(_peeled(work, keys))
@@ -124,9 +132,10 @@ def differences(pairs: DataFrame, keys: list[str], sides: list[tuple[str, str]],
         stuck = solved.where("stuck > 0")
         if stuck.isEmpty():
             return reduce(DataFrame.unionAll, done)
-        wanted = F.pow(F.lit(2.0), F.ceil(F.log2(0.75 * (F.col("rest") + F.col("only_left") + F.col("only_right")))))
-        again = stuck.select(*keys, "side", F.greatest(2 * F.col("cells"), wanted.cast("long")).alias("cells"))
-        work = todo.join(again.repartition(spread, *keys), [*keys, "side"])
+        wanted = F.pow(F.lit(2.0), F.ceil(F.log2(0.75 * (F.col("rest") + F.col("only_left") + F.col("only_right"))))).cast("long")
+        more = F.greatest(4 * F.col("cells"), wanted)
+        again = stuck.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, more)).alias(f"_cells{k}") for k in range(len(sides))])
+        work = sketched(pairs.join(again, keys), lambda k: F.col(f"_cells{k}"))
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -159,31 +168,35 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     keep their row; where one id has several texts, a hash of the text orders them.  An empty table gives an empty
     result.
     """
-    kind = docs.schema["doc_id"].dataType
+    kind, key = docs.schema["doc_id"].dataType, ["id", "hash"]
     number = F.expr("try_cast(doc_id as bigint)")
     text = F.coalesce(F.col("text"), F.lit(""))
     other = F.when(number.isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    base = docs.select(F.coalesce(number, F.lit(NO_ID)).alias("id"), F.col("doc_id").alias("name"), text.alias("text"), F.xxhash64(text, other).alias("hash"))
-    order = ordered(base.select("id", "hash", F.char_length("text").cast("long").alias("n")))
+    own = [] if isinstance(kind, IntegralType) else [F.col("doc_id").alias("name")]
+    base = docs.select(F.coalesce(number, F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text, other).alias("hash"), *own)
+    order = ordered(base.select(*key, F.char_length("text").cast("long").alias("n")))
+    parts = buckets(docs.sparkSession, order.count())
     if not order.where("repeats > 1").isEmpty():
-        base = base.dropDuplicates(["id", "hash"])
-    rows = base.join(order, ["id", "hash"])
+        base = base.dropDuplicates(key)
+    rows = base.repartition(parts, *key).join(order, key)
     half = F.floor(F.col("n") / 2).cast("int")
     wanted = F.floor(F.col("before_n") / 2).cast("int")
     sent = rows.select(F.col("before_id").alias("id"), F.col("before_hash").alias("hash"), F.substring("text", F.lit(1), wanted).alias("begin"), paragraphs(F.col("text")).alias("next"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.col("begin"))
-    met = rows.join(sent, ["id", "hash"]).select("id", "hash", "name", "n", "repeats", "text", edited.alias("edited"), "next")
-    work = cut(met.select("id", "hash", "name", "n", "repeats", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next"))
-    apart = differences(work, ["id", "hash"], [("own", "edited"), ("own", "next")])
+    name = F.col("name") if own else F.when(F.col("id") != NO_ID, F.col("id")).cast(kind)
+    met = rows.join(sent.repartition(parts, *key), key).select(*key, name.alias("doc_id"), "n", "repeats", "text", edited.alias("edited"), "next")
+    done = met.select(*key, "doc_id", "n", "repeats", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next")
+    work = bucketed(done, parts, *key)
+    apart = differences(work, key, [("own", "edited"), ("own", "next")])
     both = F.col("only_left") + F.col("only_right")
-    found = apart.groupBy("id", "hash").agg(*[F.sum(F.when(F.col("side") == s, both)).alias(f"apart{s}") for s in (0, 1)])
+    found = apart.groupBy(*key).agg(*[F.sum(F.when(F.col("side") == s, both)).alias(f"apart{s}") for s in (0, 1)])
 
     def likeness(side: int, right: str) -> Column:
         total, differ = F.size("own") + F.size(right), F.coalesce(F.col(f"apart{side}"), F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - differ) / (total + differ))
 
-    out = work.join(found, ["id", "hash"], "left").select(
-        F.col("name").cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", rendered(F.col("own")).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
+    out = work.join(found, key, "left").select(
+        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", rendered(F.col("own")).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
         likeness(0, "edited").alias("near_edited"), likeness(1, "next").alias("near_next"), "repeats",
     )
     return out.withColumn("_copy", F.explode(F.expr("sequence(1L, repeats)"))).drop("repeats", "_copy")

@@ -315,7 +315,7 @@ def test_fingerprints_with_text_ids(spark):
 @pytest.mark.parametrize("first", [1, 2, 8])
 def test_peeling_retries(spark, first):
     left, right = list(range(1, 400)), list(range(300, 900))
-    pairs = spark.createDataFrame([(1, left, right), (2, [], []), (3, [7], [7]), (4, [7], [8]), (5, list(range(5000)), list(range(4995))), (6, list(range(3000)), list(range(3000, 6000)))], "k int, left array<long>, right array<long>")
+    pairs = spark.createDataFrame([(1, left, right), (2, [], []), (3, [7], [7]), (4, [7], [8]), (5, list(range(5000)), list(range(4995))), (6, list(range(3000)), list(range(3000, 6000)))], "k int, left array<long>, right array<long>").repartition(4, "k")
     got = {r.k: (r.side, r.only_left, r.only_right) for r in fingerprints.differences(pairs, ["k"], [("left", "right")], first).collect()}
     assert got == {1: (0, 299, 500), 4: (0, 1, 1), 5: (0, 5, 0), 6: (0, 3000, 3000)}
 
