@@ -16,6 +16,8 @@ from stintforge.sources.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small table is broadcast only when it was counted and has at most so many rows.
 BROADCAST_ROWS = 20_000
+#: A key of more rows is joined by broadcast.
+HOT_ROWS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session names none (tests) is a temporary one set."""
+    """The folder of ``spark.checkpoint.dir``; a session on one machine that names none (tests) gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
     return context.getCheckpointDir()
 
 
@@ -43,6 +48,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(place)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files that ``written`` made for ``df``; nothing may read them any more."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.startswith(shared_dir(spark)) and "/written-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Write rows that are dealt by ``keys`` into ``n`` partitions as a bucketed table in the shared folder.
 
@@ -60,6 +75,20 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of materialised rows to a table with unique ``key``.
+
+    A key of many rows would meet them in one task.  Such keys, under 20,000 by this count, are sent to the rows.
+    """
+    full = max(HOT_ROWS, rows.count() // BROADCAST_ROWS + 1)
+    hot = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > full).select(key))
+    if hot.isEmpty():
+        return rows.join(by_key, key)
+    sent = cut(by_key.join(F.broadcast(hot), key))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(by_key, key)
+    return rest.unionByName(rows.join(F.broadcast(sent), key))
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Run ``step`` on every Arrow batch; empty batches are passed over."""
 
@@ -72,6 +101,13 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def binary_parts(column: pa.Array) -> tuple[memoryview, list[int]]:
     """The bytes of a binary column in one buffer, and its row offsets (nulls are empty)."""
     import numpy as np

@@ -108,8 +108,8 @@ def _peeled(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def buckets(spark: SparkSession, rows: int) -> int:
-    """Partitions for so many documents."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // 2000 + 1, 20_000))
+    """Partitions for so many documents: small ones, as a document has many cells, but no more than can be scheduled."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // 600 + 1, 50_000))
 
 
 def differences(pairs: DataFrame, keys: list[str], sides: list[tuple[str, str]], first: int = CELLS) -> DataFrame:

@@ -3,12 +3,14 @@
 For each language a byte context tree of order 3 down to 0 is learned.  A context that was followed n times by d
 distinct bytes gives byte s the probability c(s) / (n + d), and escapes to its shorter context with d / (n + d); below
 order 0 every byte has probability 1/256 (escape method C, without exclusion).  The statistics are frozen before any
-text is scored, so the code length of a byte after its context is a constant: the trees are unrolled into one table
-(context row, byte class, language) of bits, and a text's code lengths are sums of table rows, found with two array
-lookups per byte.  The language with the shortest code wins.
+text is scored, so the code length of a byte after its context is a constant: for every string of one to four bytes
+that any language has seen its bits are tabulated for all languages, and for every context the bits of its escape.  A
+text's code lengths are sums of table rows: most bytes need one lookup, those that no language has seen after three
+bytes escape to shorter strings.  The language with the shortest code wins.
 
 Learning is bounded by ``max_docs`` documents a language (by a hash of the id, whole texts) only: every language, byte
-value and context of these documents has its place in the table, which is as large as they make it.
+value and context of these documents is kept.  The table has a row of four-byte numbers, one a language, for each
+string that was seen.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, held_out, map_arrow, small
+from .common import binary_parts, fresh, held_out, map_arrow, small
 
 ORDER = 3
 #: Texts are scored in pieces of so many bytes, whatever their length.
@@ -54,78 +56,110 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([names, pa.array(join(1, np.int64)), pa.array(join(2, np.int64))], ["lang", "gram", "n"])
 
 
+class Lookup:
+    """Positions of known numbers, by open addressing; -1 for any other."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint32)
+        self.shift = np.uint32(32 - max(3, int(4 * len(keys)).bit_length()))
+        self.table = np.full(1 << (32 - int(self.shift)), -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(self.keys)
+        while len(todo):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = todo[free]  # of several the last one stands
+            left = self.table[slot] != todo
+            todo, slot = todo[left], slot[left] + 1 & len(self.table) - 1
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(x), -1, np.int32)
+        slot = self._slot(x)
+        out = self.table[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != x))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & len(self.table) - 1
+            at = self.table[slot[todo]]
+            out[todo] = at
+            todo = todo[(at >= 0) & (self.keys[at] != x[todo])]
+        return out
+
+
 class Model:
-    """Frozen code lengths.  ``bits`` has a row per context (pairs of classes, then the triples that were seen), class and language."""
+    """Frozen code lengths: of each order, the strings that were seen with their bits, and the contexts with their escapes' bits."""
 
     def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        seen = np.zeros(256, np.int64)
-        for grams, n in counts:
-            np.add.at(seen, grams & 255, n)
-        kept = np.flatnonzero(seen)
-        self.classes = np.full(256, len(kept), np.int16)  # the last class: all bytes that were not seen
-        self.classes[kept] = np.arange(len(kept))
-        a, k = len(kept) + 1, len(langs)
-        self.size = a
-        coded = []
-        total = np.zeros(a**3, np.int64)
-        for grams, n in counts:
-            c = [self.classes[grams >> s & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-            context = (c[0] * a + c[1]) * a + c[2]
-            np.add.at(total, context, n)
-            coded.append((c, context, n))
-        rows = np.flatnonzero(total)
-        self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.row[rows] = a * a + np.arange(len(rows), dtype=np.int32)
-        self.bits = np.zeros(((a * a + len(rows)) * a, k), np.float32)
-        for j, (c, context, n) in enumerate(coded):
-            lower = np.full(a, 1 / 256)
-            for order in range(ORDER):
-                at = np.zeros(len(n), np.int64)
-                for x in c[ORDER - order :]:
-                    at = at * a + x
-                table = np.bincount(at, n, a ** (order + 1)).reshape(-1, a)
-                lower = self._blend(table, np.tile(lower.reshape(-1, a), (len(table) // lower.reshape(-1, a).shape[0], 1)))
-            self.bits[: a**3, j] = -np.log2(lower.ravel())
-            top = np.bincount((self.row[context].astype(np.int64) - a * a) * a + c[3], n, len(rows) * a).reshape(-1, a)
-            self.bits[a**3 :, j] = -np.log2(self._blend(top, lower[rows % (a * a)]).ravel())
-
-    def _blend(self, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Method C: seen symbols by their counts, the others by the escape times the shorter context.
-
-        The class of unseen bytes is always reached by escape: it stands for many bytes, none of them counted.
-        """
-        counts = counts.copy()
-        counts[:, -1] = 0
-        n, d = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        return np.where(n == 0, lower, np.where(counts > 0, counts, d * lower) / np.maximum(n + d, 1))
+        self.langs, k = langs, len(langs)
+        self.strings: list[Lookup] = []
+        self.contexts: list[Lookup] = []
+        self.bits: list[np.ndarray] = []
+        self.escapes: list[np.ndarray] = []
+        grams = np.concatenate([np.asarray(g, np.int64) for g, _ in counts]) if k else np.zeros(0, np.int64)
+        n = np.concatenate([np.asarray(c, np.float64) for _, c in counts]) if k else np.zeros(0)
+        lang = np.repeat(np.arange(k), [len(g) for g, _ in counts])
+        lower, lower_at = np.full((1, k), 8.0), np.zeros(0, np.int64)
+        for order in range(ORDER + 1):
+            strings, at = np.unique(grams & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            seen = np.zeros((len(strings), k))
+            np.add.at(seen, (at, lang), n)
+            contexts, of = np.unique(strings >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
+            np.add.at(total, of, seen)
+            np.add.at(kinds, of, seen > 0)
+            known = total > 0
+            escape = np.where(known, np.log2(np.where(known, total + kinds, 1)) - np.log2(np.where(known, kinds, 1)), 0.0)
+            shorter = lower[np.searchsorted(lower_at, strings & (1 << 8 * order) - 1)] if order else lower
+            own = np.log2(np.maximum(total + kinds, 1))[of] - np.log2(np.where(seen > 0, seen, 1))
+            lower, lower_at = np.where(seen > 0, own, escape[of] + shorter), strings
+            self.strings.append(Lookup(strings))
+            self.contexts.append(Lookup(contexts))
+            self.bits.append(lower.astype(np.float32))
+            self.escapes.append(escape.astype(np.float32))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four under each language."""
+        at = self.strings[ORDER].find(grams)
+        out = self.bits[ORDER][at]
+        todo = np.flatnonzero(at < 0)
+        if len(todo):
+            out[todo] = 0
+        for order in range(ORDER, -1, -1):
+            if not len(todo):
+                break
+            context = self.contexts[order].find(grams[todo] >> np.uint32(8) & np.uint32((1 << 8 * order) - 1))
+            out[todo[context >= 0]] += self.escapes[order][context[context >= 0]]
+            if not order:
+                out[todo] += 8
+                break
+            at = self.strings[order - 1].find(grams[todo] & np.uint32((1 << 8 * order) - 1))
+            out[todo[at >= 0]] += self.bits[order - 1][at[at >= 0]]
+            todo = todo[at < 0]
+        return out
 
     def lengths(self, data, at: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
-        raw, a = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), self.size
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         out = np.zeros((len(at) - 1, len(self.langs)))
         if not self.langs or at[-1] == at[0]:
             return out
-        space, starts = self.classes[32], np.unique(at[:-1][np.diff(at) > 0])
-        texts = np.flatnonzero(np.diff(at) > 0)  # the k-th start belongs to texts[k]
-        for lo in range(int(at[0]), int(at[-1]), SEGMENT):
-            hi = min(lo + SEGMENT, int(at[-1]))
+        texts = np.flatnonzero(np.diff(at) > 0)
+        starts = at[:-1][texts]
+        piece = max(1, SEGMENT * 4 // max(4, len(self.langs)))
+        for lo in range(int(at[0]), int(at[-1]), piece):
+            hi = min(lo + piece, int(at[-1]))
             first = max(lo - ORDER, int(at[0]))
-            c = self.classes[raw[first:hi]]
-            c = np.concatenate([np.full(ORDER - (lo - first), space, np.int16), c]).astype(np.int32)
+            grams = _grams(raw[first:hi])[lo - first :]
             inside = starts[(starts > lo - ORDER) & (starts < hi)] - lo
-            index = np.zeros(hi - lo, np.int32)
-            for back in (3, 2, 1):
-                x = c[ORDER - back : len(c) - back].copy()
-                for j in range(back):  # before a text's first bytes stand spaces, not the text before it
-                    at_j = inside + j
-                    x[at_j[(at_j >= 0) & (at_j < hi - lo)]] = space
-                index = index * a + x
-            cost = self.bits[self.row[index].astype(np.int64) * a + c[ORDER:]]
+            for back in (2, 1, 0):  # before a text's first bytes stand spaces, not the text before it
+                place = inside + back
+                place = place[(place >= 0) & (place < hi - lo)]
+                own = np.uint32((1 << 8 * (back + 1)) - 1)
+                grams[place] = grams[place] & own | np.uint32(0x20202020) & ~own
             k = np.searchsorted(starts, lo, "right") - 1
             bounds = np.concatenate([[0], inside[inside > 0]])
-            sums = np.add.reduceat(cost, bounds, axis=0, dtype=np.float64)
-            out[texts[k : k + len(bounds)]] += sums
+            out[texts[k : k + len(bounds)]] += np.add.reduceat(self.costs(grams), bounds, axis=0, dtype=np.float64)
         return out
 
 
@@ -153,20 +187,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, temper
 
     Its columns (or those of ``keep``) stay, but for any that have one of these three names.
 
-    A null text, or one without a letter, is ``und`` with score 0.  The score is the share of the best language when
-    each language weighs 2 ** -(its bits), as if the text had at most ``temper_bytes`` bytes.  Ties go to the
-    language first by code point.  Whole texts are scored, in pieces of bounded memory.
+    A null text, or one without a letter, is ``und`` with score 0, as is every text when no language was learned.  The
+    score is the share of the best language when each language weighs 2 ** -(its bits), as if the text had at most
+    ``temper_bytes`` bytes.  Ties go to the language first by code point.  Whole texts are scored, in pieces of bounded
+    memory.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "bits_per_byte") and (keep is None or f.name in keep)]
-    kept = docs.select(*[F.col(f"`{f.name}`") for f in plain], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    raw, letter = (fresh(x, docs.columns) for x in ("__bytes", "__letter"))
+    kept = docs.select(*[F.col(f"`{f.name}`") for f in plain], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(raw), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = T.StructType([*plain, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        data, at = binary_parts(batch.column("__bytes"))
+        data, at = binary_parts(batch.column(raw))
         n = np.diff(at).astype(np.float64)
-        good = batch.column("__letter").to_numpy(zero_copy_only=False) & bool(model.langs)
+        good = batch.column(letter).to_numpy(zero_copy_only=False) & bool(model.langs)
         if model.langs:
             bits = model.lengths(data, np.asarray(at, np.int64))
             best = bits.argmin(1)
@@ -184,3 +220,17 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, temper
 def identify(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
     """Learn from the rows that are not held out (remainder 2 of 4) and predict all."""
     return predict(docs, learn(docs.where(~held_out(4, 2)), max_docs))
+
+
+def accept(docs: DataFrame, model: Model, against: float = 64.0) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language of the model; columns of any names are kept.
+
+    Rejected are null texts, texts without a letter, and those that every language's trees encode in ``against`` or
+    more bits beyond eight a byte: plain bytes then explain the text 2 ** ``against`` times better than any language.
+    Where no language was learned, nothing speaks against a text that has letters.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs.select(row, F.col("text"), F.octet_length("text").alias("bytes")), model, keep=["row", "bytes"])
+    return found.where((F.col("lang_pred") != "und") & ((F.col("bits_per_byte") - 8) * F.col("bytes") < against)).select("row.*")

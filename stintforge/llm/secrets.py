@@ -111,21 +111,21 @@ def rendered(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Replace every found span of ``text`` by ``mark`` (overlapping spans by one); n_chars, if there, follows.
 
-    No document goes; those without secrets stay as they are, null texts null.
+    No document goes; those without secrets stay as they are, null texts null.  Columns of any names are kept.
     """
-    names = docs.columns
-    marked = scan(docs, keep=names)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     state = F.aggregate(
         F.col("secrets"),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["done"]).otherwise(F.concat(s["done"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).alias("done"),
+            F.when(x["start"] < s["at"], s["done"]).otherwise(F.concat(s["done"], F.substring(F.col("row.text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).alias("done"),
         ),
     )
-    with_state = marked.withColumn("_state", F.when(F.size("secrets") > 0, state))
-    text = F.when(F.col("_state").isNull(), F.col("text")).otherwise(F.concat(F.col("_state.done"), F.col("text").substr(F.col("_state.at").cast("int") + 1, F.char_length("text"))))
-    out = with_state.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_state").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    marked = scan(docs.select(row, F.col("text")), keep=["row"]).select("row", F.when(F.size("secrets") > 0, state).alias("state"))
+    text = F.when(F.col("state").isNull(), F.col("row.text")).otherwise(F.concat(F.col("state.done"), F.col("row.text").substr(F.col("state.at").cast("int") + 1, F.char_length("row.text"))))
+    whole = marked.select("row", "state", text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("state").isNull(), F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

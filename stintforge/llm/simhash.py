@@ -20,18 +20,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, binary_parts, cut, map_arrow, small
+from .common import binary_parts, cut, join_spread, map_arrow, small
 
 NEAR = 3
 SHINGLE = 3
 #: Reference fingerprints: hashes of fixed numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 42) for i in range(32)], np.uint64)
 PAIRS = 1 << 20
-#: A fingerprint of more rows is joined by broadcast.
-HOT_ROWS = 500
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -149,12 +147,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
-        least = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        nearer = labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        least = join_spread(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        nearer = cut(labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = cut(nearer.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
-        labels = moved.select("node", "label")
-        if moved.where("old != label").isEmpty():
+        labels = cut(join_spread(nearer, jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        moved = labels.where("old != label")
+        labels = labels.select("node", "label")
+        if moved.isEmpty():
             return labels
 
 
@@ -165,31 +164,37 @@ def near_duplicates(docs: DataFrame, most: int = 1024, blocks: int | None = None
     keep their rows and never name a component unless all its ids are null.  An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(nodes.select("fp"), most, blocks))
-    named = nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "least")
-    leaders = named.groupBy("label").agg(F.min("least").alias("component"))
-    linked = named.select("fp", "label").join(leaders, "label").select("fp", "component")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    # a fingerprint of many rows would meet its class in one task: such classes, under 20,000 by this count, are sent to the rows
-    full = max(HOT_ROWS, marked.count() // BROADCAST_ROWS + 1)
-    hot = cut(nodes.where(F.col("n") > full).select("fp").join(classes, "fp"))
-    rest = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes, "fp")
-    return rest.select("doc_id", "fp", "component_id").unionAll(marked.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
+    named = cut(nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "least"))
+    leaders = cut(named.groupBy("label").agg(F.min("least").alias("component")))
+    linked = join_spread(named.select("fp", "label"), leaders, "label").select("fp", "component")
+    classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
+    return join_spread(marked, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def leaders(docs: DataFrame, most: int = 1024, blocks: int | None = None) -> DataFrame:
     """Keep one row of each group of near-duplicates, whatever its ids: that of the least id, null ids last.
 
     Where that id has several texts in the group, the one of the least hash stays; of rows that repeat id and text,
-    one.  Rows of other groups stay though they share the id, or have none.
+    the least by a hash of all columns.  Rows of other groups stay though they share the id, or have none.  Columns of
+    any names are kept.  Texts are shuffled once, by id and text hash.
     """
     marked = cut(fingerprints(docs, F.xxhash64("text").alias("hash")))
     nodes = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")))
     labels = components(links(nodes.select("fp"), most, blocks))
     classes = nodes.join(labels, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("label", "fp").alias("class"))
-    chosen = cut(classes.agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash")))
-    hashed = docs.withColumn("_text", F.xxhash64("text"))
-    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    one = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_text")
+    chosen = classes.agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.hash").alias("hash"))
+    several = cut(marked.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1"))
+    met = F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.hash") == F.col("s.hash"))
+    chosen = cut(chosen.alias("c").join(several.alias("s"), met, "left").select("c.doc_id", "c.hash", F.col("s.n").isNotNull().alias("again")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+
+    def kept(wanted: DataFrame) -> DataFrame:
+        return rows.join(small(wanted), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("hash")), "left_semi")
+
+    out = kept(chosen.where("not again"))
+    if not several.isEmpty():
+        one = kept(chosen.where("again")).groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        out = out.select("_row").unionAll(one.select("_row"))
+    return out.select("_row.*")

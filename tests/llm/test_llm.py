@@ -245,6 +245,28 @@ def test_language_unknown(odd):
         assert (text, "und", 0.0) in got
 
 
+def test_acceptance_follows_the_model(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["house", "river", "stone", "walks", "under", "there"])
+    rows = [(i, " ".join(word() for _ in range(30)), "en") for i in range(50)]
+    rows += [(90, "日本語の長い文章がここにありますので拒否されます", None), (91, "river", None), (92, None, "en"), (93, "12 34", "en"), (94, "ab", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("bits_per_byte", F.lit("own")).withColumn("__bytes", F.lit(1)).withColumn("row", F.lit(2))
+    english = language.learn(docs)
+    got = language.accept(docs, english)
+    assert got.columns == docs.columns and got.where("bits_per_byte = 'own' and __bytes = 1 and row = 2").count() == got.count()
+    assert {r.doc_id for r in got.collect()} == {*range(50), 91, 94}
+    taught = docs.withColumn("lang", F.when(F.col("doc_id") == 90, "ja").otherwise(F.col("lang")))
+    assert {r.doc_id for r in language.accept(docs, language.learn(taught)).collect()} == {*range(50), 90, 91, 94}
+    untaught = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language.accept(untaught, language.learn(untaught)).collect()} == {*range(50), 90, 91, 94}
+
+
+def test_predict_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", "a", "b")], "doc_id long, text string, lang string, __bytes string, __letter string")
+    r = language.identify(docs).first()
+    assert (r["__bytes"], r["__letter"], r.lang_pred) == ("a", "b", "en")
+
+
 # 3. fingerprints
 
 
@@ -554,29 +576,54 @@ def test_counts_equal_the_library(odd):
 # the pipeline
 
 
+def test_star_and_chain_components(spark):
+    """Hub, chain and many small components, with keys of more rows than are joined in one task."""
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(50)]
+    got = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(range(400), 0) | dict.fromkeys(range(1000, 1151), 1000) | {5000 + i: 5000 + i // 2 * 2 for i in range(100)}
+    assert got == want
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     import corpus_pipeline
 
-    odd_rows_ = spark.createDataFrame([r[:5] for r in odd_rows() if r[0] is not None], "doc_id long, text string, lang string, source string, n_chars long")
-    odd_rows_.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = odd_rows_.collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, secrets string, _state string, _nth string, _row string, score string"
+    more = ("c", "s", "st", "n", "r", "sc")
+    spark.createDataFrame([(*r[:5], *more) for r in odd_rows()], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.collect()
+    whole = lambda found: sorted(str(tuple(r)) for r in found)
     first = corpus_pipeline.language_id(spark, docs, str(tmp_path))
-    assert sorted(map(str, first.collect())) == sorted(str(r) for r in rows if r.text and any(c.isalpha() for c in r.text))
+    model = language.learn(docs)
     kept = [r for r in rows if r.text and any(c.isalpha() for c in r.text)]
+    blob = [r.text.encode() for r in kept]
+    over = (model.lengths(b"".join(blob), np.cumsum([0, *map(len, blob)])).min(1) - 8 * np.array([len(x) for x in blob])) >= 64
+    kept = [r for r, x in zip(kept, over, strict=True) if not x]
+    assert over.any() and whole(first.collect()) == whole(kept)
     second = corpus_pipeline.near_dedup(spark, first, str(tmp_path))
     label = brute_components([brute_fingerprint(r.text) for r in kept])
-    best = {k: min(r.doc_id for r, x in zip(kept, label, strict=True) if x == k) for k in label}
-    assert sorted(r.doc_id for r in second.collect()) == sorted(set(best.values()))
+    found = second.collect()
+    assert second.columns == docs.columns
+    # of every group one row, of the group's least id
+    class_of = {(r.doc_id, r.text): k for r, k in zip(kept, label, strict=True)}
+    assert sorted(class_of[(r.doc_id, r.text)] for r in found) == sorted(set(label))
+    best = {}
+    for r, k in zip(kept, label, strict=True):
+        best[k] = min(best.get(k, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert all((r.doc_id is None, r.doc_id or 0) == best[class_of[(r.doc_id, r.text)]] for r in found)
     third = corpus_pipeline.secret_scan(spark, second, str(tmp_path))
     assert third.count() == second.count() and third.columns == docs.columns
-    assert all(not brute_base(r.text) for r in third.collect())
+    assert all(not brute_base(r.text) and (r.secrets, r["_state"]) == ("s", "st") for r in third.collect())
     fourth = corpus_pipeline.source_mix(spark, third, str(tmp_path))
-    copies = {r.doc_id: r.copies for r in mixing.mix(third).collect()}
+    copies = {(r.doc_id, r.size): r.copies for r in mixing.mix(third).collect()}
     assert fourth.columns == docs.columns
-    assert {r.doc_id: r.n for r in fourth.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: n for k, n in copies.items() if n}
+    taken = {}
+    for r in fourth.collect():
+        key = (r.doc_id, len(WORDS.findall(r.text)))
+        taken[key] = taken.get(key, 0) + 1
+    assert taken == {k: n for k, n in copies.items() if n}
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len({(r.doc_id) for r in last}) == sum(n > 0 for n in copies.values())
+    assert sum(r.piece == 0 for r in last) == sum(copies.values())
     fill = {}
     for r in last:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
