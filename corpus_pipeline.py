@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, one operator a stage.
 
-Language identification rejects texts without a language; SimHash keeps one document of each group of
+Language identification rejects texts that are in no learned language; SimHash keeps one document of each group of
 near-duplicates; found secrets are blotted out; the mix repeats or leaves out documents to reach its source weights;
 what remains is packed.
 """
@@ -11,18 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintforge.llm import language, mixing, packing, secrets, simhash
-from stintforge.llm.common import written
+from stintforge.llm.common import forget, written
 from stintforge.llm.queries import documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject what is in no language: a null text, or one without a letter."""
-    known = language.predict(docs, language.learn(docs), keep=docs.columns)
-    return known.where("lang_pred <> 'und'").select(*docs.columns)
+    """Reject what the learned languages do not explain: null, without a letter, or no shorter in any than plain bytes."""
+    return language.accept(docs, language.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names its component."""
+    """Keep one document of each group."""
     return simhash.leaders(docs)
 
 
@@ -48,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages; what a stage wrote is deleted once the next one is written."""
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
