@@ -1,13 +1,14 @@
 """Quality by co-training two views of a document.
 
-The content view sees the text itself: frequencies of byte-class triples and of repeated words.  The metadata view
-sees what surrounds it: source, language tag, length, line layout.  Each view's classifier is fitted on the labelled
-rows; in every round each one labels the unlabelled rows it is surest of (as many of each class as the labelled rows
-suggest) for the other one.  At the end both are calibrated on rows kept aside, and the mean of their calibrated log
-odds scores all documents.
-
-Bounds: at most about ``max_docs`` labelled and as many unlabelled documents are fitted on (by a hash of the id,
-whole texts); every document is scored.
+The content view sees the text alone: frequencies of byte-class triples, repeated words, line layout.  The metadata
+view sees only what stands beside the text: source, language tag, declared length.  Each view's classifier is fitted
+on the labelled rows; in every round each one labels the unlabelled rows it is surest of (as many of each class as the
+labelled rows suggest) for the other one.  At the end both are calibrated on rows kept aside.  Given the label the
+views count as independent, so the sum of their calibrated log odds, less the prior's, scores all documents, after a
+calibration of its own.
+
+Bounds: at most about ``max_docs`` labelled and as many unlabelled documents are fitted on (by a hash, whole texts,
+equal ones once); every document is scored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .linear import apply, logistic, sigmoid
+from .linear import apply, calibrate, logistic, sigmoid
 
 CLASSES = 8
-SOURCES, LANGS = 32, 16
+SOURCES, LANGS, LENGTHS, LAYOUT = 32, 16, 24, 7
 
 
 def _class_table() -> np.ndarray:
@@ -38,14 +39,15 @@ TABLE = _class_table()
 
 
 def content(text: bytes) -> np.ndarray:
-    """Square roots of byte-class triple frequencies, then word repetition."""
-    out = np.zeros(CLASSES**3 + 4)
+    """Square roots of byte-class triple frequencies, then line layout, then word repetition."""
+    out = np.zeros(CLASSES**3 + LAYOUT + 4)
     counts = np.zeros(CLASSES**3)
     for at in range(0, len(text), 1 << 20):
         c = TABLE[np.frombuffer(text, np.uint8, min((1 << 20) + 2, len(text) - at), at)]
         if len(c) > 2:
             counts += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
     out[: CLASSES**3] = np.sqrt(counts / max(counts.sum(), 1))
+    out[CLASSES**3 : -4] = layout(text)
     words = text.lower().split()
     if words:
         tally: dict[bytes, int] = {}
@@ -55,17 +57,21 @@ def content(text: bytes) -> np.ndarray:
     return out
 
 
-def metadata(text: bytes, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """Hashed source and language tag, declared length, and line layout."""
-    out = np.zeros(SOURCES + LANGS + 8)
-    out[zlib.crc32((source or "").encode()) % SOURCES] = 1
-    out[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1
+def layout(text: bytes) -> np.ndarray:
     lines = text.split(b"\n")
     sizes = np.array([len(x) for x in lines])
     raw = np.frombuffer(text, np.uint8)
     marks = np.isin(raw, np.frombuffer(b"*#&%$|<>{}[]=~^@", np.uint8)).mean() if len(raw) else 0.0
     upper = ((raw >= 65) & (raw <= 90)).mean() if len(raw) else 0.0
-    out[SOURCES + LANGS :] = np.log1p(n_chars or 0) / 10, np.log1p(len(lines)) / 5, np.log1p(sizes.mean()) / 6, len(set(lines)) / len(lines), (sizes < 20).mean(), min(1.0, 4 * marks), upper, np.log1p(sizes.max()) / 10
+    return np.array([np.log1p(len(lines)) / 5, np.log1p(sizes.mean()) / 6, len(set(lines)) / len(lines), (sizes < 20).mean(), min(1.0, 4 * marks), upper, np.log1p(sizes.max()) / 10])
+
+
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """Hashed source and language tag, and the bit length of the declared length (unknown: the last)."""
+    out = np.zeros(SOURCES + LANGS + LENGTHS)
+    out[zlib.crc32((source or "").encode()) % SOURCES] = 1
+    out[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1
+    out[SOURCES + LANGS + (LENGTHS - 1 if n_chars is None else min(max(n_chars, 0).bit_length(), LENGTHS - 2))] = 1
     return out
 
 
@@ -75,7 +81,7 @@ def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = [batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")]
         a = [content(t).astype("<f4").tobytes() for t in cols[0]]
-        b = [metadata(*row).astype("<f4").tobytes() for row in zip(*cols, strict=True)]
+        b = [metadata(*row).astype("<f4").tobytes() for row in zip(*cols[1:], strict=True)]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in extra], pa.array(a, pa.binary()), pa.array(b, pa.binary())], [*extra, "content", "meta"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
@@ -83,17 +89,25 @@ def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _inputs(docs: DataFrame, extra: list[str]) -> DataFrame:
-    return docs.select(*extra, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    """``extra`` and the columns of both views; source, lang and n_chars count as null where the table has none."""
+    plain = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
+    return docs.select(*extra, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), plain("source", "string"), plain("lang", "string"), plain("n_chars", "long"))
 
 
 class Model:
-    def __init__(self, views: list[np.ndarray], scales: list[np.ndarray]):
-        self.views, self.scales = views, scales
+    """Coefficients of both views, calibrations (slope, intercept) of both and of their sum, and the prior's log odds."""
+
+    def __init__(self, views: list[np.ndarray], scales: list[np.ndarray], both: np.ndarray, prior: float):
+        self.views, self.scales, self.both, self.prior = views, scales, both, prior
+
+    def odds(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Calibrated log odds of the views."""
+        return [s[0] * apply(v, x) + s[1] for v, s, x in zip(self.views, self.scales, rows, strict=True)]
 
     def scores(self, content_rows: np.ndarray, meta_rows: np.ndarray) -> list[np.ndarray]:
         """Calibrated probability of good quality: content view, metadata view, both."""
-        odds = [apply(s, apply(v, x)[:, None]) for v, s, x in zip(self.views, self.scales, (content_rows, meta_rows), strict=True)]
-        return [sigmoid(odds[0]), sigmoid(odds[1]), sigmoid((odds[0] + odds[1]) / 2)]
+        odds = self.odds([content_rows, meta_rows])
+        return [sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(self.both[0] * (odds[0] + odds[1] - self.prior) + self.both[1])]
 
 
 def cotrain(views: list[np.ndarray], labels: np.ndarray, aside: np.ndarray, rounds: int = 4, share: float = 0.05) -> Model:
@@ -114,26 +128,31 @@ def cotrain(views: list[np.ndarray], labels: np.ndarray, aside: np.ndarray, roun
                 sure = sure[~np.isnan(p[sure]) & (np.abs(p[sure] - target) < 0.1)]
                 other[sure] = target
     test = aside & (labels >= 0)
-    if test.sum() < 20 or len(set(labels[test])) < 2:
-        test = labels >= 0
-    return Model(fitted, [logistic(apply(v, x[test])[:, None], labels[test].astype(float), ridge=1e-3) for v, x in zip(fitted, views, strict=True)])
+    truth = labels[test].astype(float)
+    prior = float(np.log((base + 1e-3) / (1 - base + 1e-3)))
+    model = Model(fitted, [calibrate(apply(v, x[test]), truth) for v, x in zip(fitted, views, strict=True)], np.array([1.0, 0.0]), prior)
+    model.both = calibrate(sum(model.odds([x[test] for x in views])) - prior, truth)
+    return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Model | None:
-    """None where the labels do not have both classes."""
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_free: int | None = None) -> Model | None:
+    """None where the labels do not have both classes; about ``max_free`` unlabelled rows (``max_docs`` by default)."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     n, total = known.count(), docs.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    plain = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    labelled = plain.join(known.where(draw < min(1.0, max_docs / max(n, 1))), "doc_id")
-    others = plain.where(draw < min(1.0, max_docs / max(total, 1))).join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+    uniform = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 20)) / float(1 << 20)
+    by_id, by_text = uniform(F.col("doc_id").cast("string")), uniform(F.col("text"))
+    labelled = docs.where(by_id < min(1.0, max_docs / max(n, 1))).join(known, "doc_id")
+    others = docs.where(by_text < min(1.0, (max_docs if max_free is None else max_free) / max(total, 1))).join(known, "doc_id", "left_anti").withColumn("quality", F.lit(-1))
     aside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = _features(labelled.unionByName(others).withColumn("aside", aside), ["quality", "aside"]).toArrow()
+    drawn = _inputs(labelled, ["doc_id", "quality"]).unionByName(_inputs(others, ["doc_id", "quality"])).withColumn("aside", aside)
+    once = drawn.groupBy("quality", "aside", "text", "source", "lang", "n_chars").agg(F.count("*").alias("rows"))
+    rows = _features(once, ["quality", "aside"]).toArrow()
     y = rows["quality"].to_numpy()
-    if len(set(y[y >= 0])) < 2:
+    side = rows["aside"].to_numpy() & (y >= 0)
+    if len(set(y[(y >= 0) & ~side])) < 2:
         return None
     views = [np.frombuffer(b"".join(rows[c].to_pylist()), "<f4").reshape(len(y), -1).astype(float) for c in ("content", "meta")]
-    return cotrain(views, y, rows["aside"].to_numpy() & (y >= 0))
+    return cotrain(views, y, side)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -147,15 +166,17 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         if own is None:
             got = [np.full(batch.num_rows, 0.5)] * 3
         else:
-            got = own.scores(np.array([content(t) for t in cols[0]]), np.array([metadata(*row) for row in zip(*cols, strict=True)]))
+            got = own.scores(np.array([content(t) for t in cols[0]]), np.array([metadata(*row) for row in zip(*cols[1:], strict=True)]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, got)], ["doc_id", "content_score", "meta_score", "score"])
 
     return map_arrow(_inputs(docs, ["doc_id"]), step, f"doc_id {kind}, content_score double, meta_score double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Learn from ``labels`` (doc_id, quality) and score every row of ``docs``, keeping its order of null and repeated ids.
+    """Learn from ``labels`` (doc_id, quality; values other than 0 and 1 are ignored) and score every row of ``docs``.
 
-    Null text counts as empty, null source or language as a tag of its own, null n_chars as 0.
+    ``docs`` has doc_id and text, and source, lang and n_chars where they are known.  Null text counts as empty, null
+    source or language as a tag of its own, null n_chars as unknown; null and repeated ids keep their rows.  Without
+    both classes among the labels every score is 0.5.
     """
     return score(docs, learn(docs, labels)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

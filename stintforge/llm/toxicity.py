@@ -2,13 +2,14 @@
 
 Voters say toxic, clean or nothing about a text: a fixed lexicon, lexicons mined from the learning rows (words and
 word beginnings that are over-represented in toxic rows, dealt over several voters by rank), density and repetition
-patterns, an address pattern, and absence voters.  A generative label model estimates each voter's rates given the
-hidden label by expectation maximisation, and the correlations that remain between voters given the label; a voter
-counts the less, the more it goes along with others.  A logistic regression on the mined features is then trained
-on the label model's posteriors and scores whole texts.
-
-Bounds: learning uses at most about ``max_docs`` learning documents (by a hash of the id, whole texts, labelled or
-not), and a vocabulary of ``max_terms`` terms.
+patterns, an address pattern, and absence voters.  A generative label model estimates the voters' accuracies and
+correlations by expectation maximisation: given the hidden label, each voter depends on one other (the tree of the
+largest conditional mutual information), so voters that go along with each other do not count twice.  Given labels
+only hold the hidden label while the model's rates are estimated; the posterior of every row comes from its votes.  A
+logistic regression on the mined features is trained on these posteriors and scores whole texts.
+
+Bounds: learning uses at most about ``max_docs`` labelled documents and half as many others (by a hash, whole texts,
+equal ones once), and a vocabulary of ``max_terms`` terms.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 ADDRESS = re.compile(r"\b(?:you|your|you're|he|she|they|these|those)\b(?:\W+\w+){0,2}\W+$")
 BEGINNINGS = (4, 5, 6)
 GROUPS = 4
+#: A hit among more words than these is no vote: in a long text it may be chance.
+SPARSE = 200
 VOTERS = GROUPS + 6
 
 
@@ -76,17 +79,17 @@ class Lexicon:
     def votes(self, found: dict[int, int], fixed: int, hit: int, n: int, address: bool) -> list[int]:
         """1 toxic, 0 clean, -1 nothing; the order is fixed."""
         by_group = [0] * GROUPS
-        for r in found:
-            by_group[r % GROUPS] = 1
-        lexicons = [1 if g else -1 for g in by_group]
+        for r, k in found.items():
+            by_group[r % GROUPS] += k
+        dense = lambda k: 1 if k * SPARSE >= n and k else -1
         return [
-            *lexicons,
-            1 if fixed else -1,
+            *map(dense, by_group),
+            dense(fixed),
             1 if fixed >= 3 else -1,
-            1 if hit >= 2 and hit * 200 >= n else -1,
+            1 if hit >= 2 and dense(hit) == 1 else -1,
             1 if address else -1,
             -1 if found or fixed else 0,
-            -1 if hit or n < 8 else 0,
+            0 if n >= 8 and dense(hit) < 1 else -1,
         ]
 
     def features(self, found: dict[int, int], fixed: int, hit: int, n: int) -> tuple[list[int], list[float]]:
@@ -120,35 +123,59 @@ def mine(rows: DataFrame, max_terms: int = 400) -> list[str]:
     return [r["term"] for r in top.select("term").collect()]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.98, steps: int = 25) -> np.ndarray:
-    """Posterior of the toxic label for each row of votes; ``labels`` is -1 where unknown.
+def dependence(joint: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """(voter, the one it depends on) in an order that starts from roots; ``joint`` is [label, j, k, value of j, value of k]."""
+    own = np.einsum("yjjaa->yja", joint)
+    apart = own[:, :, None, :, None] * own[:, None, :, None, :]
+    mutual = np.einsum("y,yjkab->jk", weight, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(apart, 1e-12)))
+    j = len(mutual)
+    inside, out = [0], []
+    while len(inside) < j:
+        rest = [k for k in range(j) if k not in inside]
+        best = max(((mutual[a, b], -a, -b) for a in rest for b in inside))
+        out.append((-best[1], -best[2]))
+        inside.append(-best[1])
+    return out
+
 
-    Voters are independent given the label at first; their remaining correlations then shrink the weight of each by
-    the sum of those it shares.
+def log_odds(votes: np.ndarray, post: np.ndarray, use: np.ndarray, tree: bool = True) -> np.ndarray:
+    """Log odds of the label for every row, by the voters' rates and tree estimated on the rows ``use`` under ``post``."""
+    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    n, j = votes.shape
+    flat, value, parts = onehot.reshape(n, -1), votes + 1, [use * (1 - post), use * post]
+    weight = np.array([p.sum() for p in parts])
+    rates = np.stack([(np.einsum("n,njv->jv", p, onehot) + 0.5) / (p.sum() + 1.5) for p in parts])
+    both = np.stack([(flat * p[:, None]).T @ flat for p in parts]).reshape(2, j, 3, j, 3).transpose(0, 1, 3, 2, 4)
+    apart = rates[:, :, None, :, None] * rates[:, None, :, None, :]
+    joint = (both + 4 * apart) / (weight + 4)[:, None, None, None, None]
+    same = np.arange(j)
+    joint[:, same, same] = np.einsum("yja,ab->yjab", rates, np.eye(3))
+    prior = np.clip(weight[1] / max(weight.sum(), 1e-9), 1e-3, 0.999)
+    if not tree:
+        return np.log(prior / (1 - prior)) + np.einsum("njv,jv->n", onehot, np.log(rates[1]) - np.log(rates[0]))
+    odds = np.log(prior / (1 - prior)) + np.log(rates[1][0, value[:, 0]]) - np.log(rates[0][0, value[:, 0]])
+    for a, b in dependence(joint, weight / max(weight.sum(), 1e-9)):
+        given = joint[:, a, b] / joint[:, a, b].sum(1, keepdims=True)  # [label, value of a, value of b]
+        odds += np.log(given[1][value[:, a], value[:, b]]) - np.log(given[0][value[:, a], value[:, b]])
+    return odds
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.98, steps: int = 20) -> np.ndarray:
+    """Posterior of the toxic label for each row of votes (1, 0 or -1); ``labels`` is -1 where unknown.
+
+    The first estimate is made on the labelled rows alone, all further ones on all rows.  Where there are no labelled
+    rows of both labels it starts from a guess, and the first half of the steps takes the voters as independent.
     """
     known = labels >= 0
-    prior = np.clip(labels[known].mean() if known.any() else 0.1, 0.01, 0.99)
-    post = np.where(known, np.where(labels == 1, trust, 1 - trust), np.where((votes == 1).any(1), 0.9, prior / 4))
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-    share = np.ones(votes.shape[1])
+    held = np.where(labels == 1, trust, 1 - trust)
+    guess = known & (len(set(labels[known])) == 2)
+    post = np.where(known, held, np.where((votes == 1).any(1), 0.9, 0.03))
+    use = guess if guess.any() else np.ones(len(post), bool)
+    free = post
     for step in range(steps):
-        rates = []
-        for p in (1 - post, post):
-            rates.append((np.einsum("n,njv->jv", p, onehot) + 0.5) / (p.sum() + 1.5))
-        prior = np.clip(post.mean(), 1e-3, 0.999)
-        logs = np.einsum("njv,jv->nj", onehot, np.log(rates[1]) - np.log(rates[0]))
-        if step == steps // 2:  # correlations given the label
-            says = (votes == 1).astype(float) - (votes == 0)
-            rest = says - (post[:, None] * (post @ says / post.sum()) + (1 - post)[:, None] * ((1 - post) @ says / (1 - post).sum()))
-            size = np.sqrt((rest**2).mean(0)) + 1e-9
-            together = np.abs((rest.T @ rest) / len(rest)) / np.outer(size, size)
-            np.fill_diagonal(together, 0)
-            share = 1 / (1 + together.sum(1))
-        free = sigmoid(np.log(prior / (1 - prior)) + logs @ share)
-        post = np.where(known, np.where(labels == 1, trust, 1 - trust) * 0.5 + 0.5 * free, free) if step + 1 < steps else free
-    # the posterior of a labelled row joins the label as one more voter of the given trust
-    odds = np.log(np.clip(post, 1e-9, 1 - 1e-9) / (1 - np.clip(post, 1e-9, 1 - 1e-9)))
-    return np.where(known, sigmoid(odds * 0.25 + np.where(labels == 1, 1, -1) * np.log(trust / (1 - trust))), post)
+        free = sigmoid(log_odds(votes, post, use, tree=guess.any() or step >= steps // 2))
+        post, use = np.where(known, held, free), np.ones(len(post), bool)
+    return free
 
 
 class Model:
@@ -163,13 +190,12 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_terms: int = 400) -> Model:
     """Fit on the rows of ``docs`` (doc_id, text) given; ``labels`` has doc_id and toxic (0 or 1, others ignored)."""
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    n, all_rows = known.count(), docs.count()
+    uniform = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 20)) / float(1 << 20)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    all_rows = docs.count()
-    labelled = texts.join(known.where(draw < min(1.0, max_docs / max(n, 1))), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    labelled = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    drawn = texts.where(uniform(F.col("doc_id").cast("string")) < min(1.0, max_docs / max(n, 1)))
+    labelled = drawn.join(known, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     lexicon = Lexicon(mine(labelled, max_terms))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,7 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_terms:
             at.append(a), values.append(v)
         return pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), batch.column("toxic")], ["votes", "at", "value", "toxic"])
 
-    others = texts.where(draw < min(1.0, max_docs / max(all_rows, 1) / 2)).join(known, "doc_id", "left_anti").select("text", F.lit(-1).alias("toxic"))
+    share = min(1.0, max_docs / max(all_rows, 1) / 2)
+    others = texts.where(uniform(F.col("text")) < share).join(known, "doc_id", "left_anti").groupBy("text").agg(F.lit(-1).alias("toxic"))
     rows = map_arrow(labelled.unionAll(others), step, "votes array<int>, at array<int>, value array<double>, toxic int").toArrow()
     if not rows.num_rows:
         return Model(lexicon, np.append(np.zeros(lexicon.width), -3.0))
