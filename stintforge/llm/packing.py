@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences, certified by lower bounds.
 
 Documents are encoded, ended with one id, and cut only if longer than a sequence (the first piece takes the
-remainder).  Pieces are dealt into partitions of some thousands by a hash; each is packed best-fit decreasing.  Dual
+remainder).  Pieces are numbered and dealt into partitions of some thousands by a hash of the number; each is packed best-fit decreasing.  Dual
 feasible functions give a lower bound of the partition's bins: one that meets it is certified optimal.  A partition
 with a gap gives up the documents of its unfilled bins, and a certified one those of bins that are an eighth empty or
 more; the given up documents are dealt anew, exchanged between partitions, and best-fit decreasing runs again over
@@ -123,7 +123,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per: int = 8192, rounds: int
         parts = max(1, -(-n // per))
         last = turn == rounds or parts == 1
 
-        deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.lit(turn)), F.lit(parts))
+        # by a number, not by values: equal rows spread over the groups; the numbers of checkpointed rows do not change
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts))
         placed = cut(todo.withColumn("_deal", deal).groupBy("_deal").applyInArrow(_settler(plain, capacity, turn, last), schema))
         done.append(placed.where("not open").drop("open"))
         if last:
