@@ -68,3 +68,16 @@ def average_rank(keys: list[str], order: Column) -> Column:
     line = Window.partitionBy(*keys).orderBy(order)
     ties = F.count("*").over(line.rangeBetween(0, 0))
     return F.rank().over(line) + (ties - 1) / 2
+
+
+def numbered(rows: DataFrame, key: str, name: str, width: int = 1000) -> DataFrame:
+    """Add ``name``, the place (from 0) of each unique number ``key`` in sorted order.
+
+    Ranges of ``width`` keys are ordered apart; only their counts, one row a range, meet in one task.
+    """
+    block = F.floor(F.col(key) / width).alias("_block")
+    counts = rows.groupBy(block).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
+    return rows.select("*", block).join(before, "_block").withColumn(name, F.col("_before") + place).drop("_block", "_before")

@@ -124,10 +124,11 @@ def _(t: Tables) -> DataFrame:
     return t.player_season.where("games >= 3 and poss >= 100").join(quality, "player", "left").select("season", "player", tier.alias("tier"))
 
 
-@query("joi20_aligned_prior", "select p.season, p.player, coalesce(q.rate, 0)::double as prior from player_season p left join (select player, round(sum(pts) / sum(poss), 4) as rate from player_season where season < 1996 and player % 4 <> 0 group by 1) q on p.player = q.player where p.season = 1997")
+@query("joi20_aligned_prior", "select p.season, p.player, coalesce(round(q.pts / q.poss, 4), 0)::double as prior from player_season p left join player_season q on p.player = q.player and p.season = q.season + 1 and q.player % 4 <> 0")
 def _(t: Tables) -> DataFrame:
-    known = t.player_season.where("season < 1996 and player % 4 <> 0").groupBy("player").agg(r(F.sum("pts") / F.sum("poss")).alias("rate"))
-    return t.player_season.where("season = 1997").join(known, "player", "left").select("season", "player", F.coalesce("rate", F.lit(0.0)).alias("prior"))
+    """Last season's rate, where it is known (here: not for every fourth player); 0 else."""
+    known = t.player_season.where("player % 4 <> 0").select((F.col("season") + 1).alias("season"), "player", r(F.col("pts") / F.col("poss")).alias("rate"))
+    return t.player_season.join(known, ["season", "player"], "left").select("season", "player", F.coalesce("rate", F.lit(0.0)).alias("prior"))
 
 
 @query("agg29_foul_counts", "select season, player, count(*) filter (where flag = 'R') as personal, count(*) filter (where flag = 'R' and status = 'F') as shooting, count(*) filter (where flag = 'A') as drawn, count(*) filter (where flag = 'N' and poss > 40) as technical, count(*) filter (where status = 'O' and poss < 5) as loose from fact group by all")
@@ -312,10 +313,10 @@ def _(t: Tables) -> DataFrame:
     return rows.select("player", "half", r(rate, 6).alias("rate"), r(rate / F.col("level"), 6).alias("ratio"))
 
 
-@query("scl57_shooters_with_league", "select player, count(*) as n, count(*) filter (where flag <> 'N') as made, (select round(avg((flag <> 'N')::int), 6) from fact where player % 2 = 0) as league from fact where player % 2 = 0 group by 1")
+@query("scl57_shooters_with_league", "select player, count(*) as n, count(*) filter (where flag <> 'N') as made, (select round(avg((flag <> 'N')::int), 6) from fact) as league from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    """Totals of the asked players, with the level of all of them on every row."""
-    own = t.fact.where("player % 2 = 0").groupBy("player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
+    """Totals of the players, with the level of all of them on every row (one row is broadcast)."""
+    own = t.fact.groupBy("player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
     level = own.agg(r(F.sum("made") / F.sum("n"), 6).alias("league"))
     return own.join(F.broadcast(level)).select("player", "n", "made", "league")
 

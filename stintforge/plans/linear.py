@@ -235,16 +235,18 @@ def _(t: Tables) -> DataFrame:
 # ---- checks
 
 
-@query("chk01_missed_games", """select player, count(*) as missed from (select p.player, g.number from (select player, min(number) as a, max(number) as b from (select distinct player, number from numbered) group by 1 having count(*) >= 20) p
-  join (select distinct number from numbered) g on g.number between p.a and p.b left join (select distinct player, number from numbered) m on m.player = p.player and m.number = g.number where m.player is null) group by 1""",
-       "numbered as (select player, dense_rank() over (order by season, month(day)) as number from fact where flag = 'R' and phase = 'PO')")
+@query("chk01_missed_games", """select player, team, count(*) as missed from (select p.player, p.team, g.number from (select player, team, min(number) as a, max(number) as b from seen group by all having count(*) >= 0.4 * (max(number) - min(number) + 1) and count(*) > 1) p
+  join (select distinct team, number from seen) g on g.team = p.team and g.number between p.a and p.b left join seen m on m.player = p.player and m.team = p.team and m.number = g.number where m.player is null) group by all""",
+       "seen as (select distinct player, p_size as team, dense_rank() over (partition by p_size order by day, game) as number from (select * from fact join part on part = p_partkey))")
 def _(t: Tables) -> DataFrame:
-    """Numbers absent between first and last: the span less the appearances, with no range join."""
-    some = t.fact.where("flag = 'R' and phase = 'PO'").select("player", "season", F.month("day").alias("month"))
-    number = some.select("season", "month").distinct().withColumn("number", F.row_number().over(Window.orderBy("season", "month")))
-    own = some.distinct().join(F.broadcast(number), ["season", "month"])
-    got = own.groupBy("player").agg((F.max("number") - F.min("number") + 1 - F.count("*")).alias("missed"), F.count("*").alias("n"))
-    return got.where("n >= 20 and missed > 0").select("player", F.col("missed").cast("long"))
+    """Games of a team (here: a part's size) that its regulars, in at least 40 % from their first to their last, missed between: the span less the appearances, with no range join."""
+    rows = t.fact.join(t.part.select(F.col("p_partkey").alias("part"), F.col("p_size").alias("team_size")), "part").select("player", F.col("team_size").alias("team"), "day", "game")
+    games = rows.select("team", "day", "game").distinct()
+    number = games.withColumn("number", F.row_number().over(Window.partitionBy("team").orderBy("day", "game")))
+    own = rows.distinct().join(number, ["team", "day", "game"])
+    span = F.max("number") - F.min("number") + 1
+    got = own.groupBy("player", "team").agg(span.alias("span"), F.count("*").alias("n"))
+    return got.where("n > 1 and n >= 0.4 * span and span > n").select("player", "team", (F.col("span") - F.col("n")).cast("long").alias("missed"))
 
 
 @query("chk04_hac_error", """select round(sqrt(g0 + 2 * (0.8 * g1 + 0.6 * g2 + 0.4 * g3 + 0.2 * g4)) / n, 6) as se from (select count(*) as n, sum(e * e) as g0, sum(e * lag1) as g1, sum(e * lag2) as g2, sum(e * lag3) as g3, sum(e * lag4) as g4 from (
@@ -351,10 +353,11 @@ def _(t: Tables) -> DataFrame:
     return sums.agg(r(inner("x", "y", "xy") / inner("x", "x", "xx"), 6).alias("slope"))
 
 
-@query("lam18_prior_sums", "select game, round(sum(q.rate), 4) as prior from (select game, unnest(lineup) as player from lineups) l join (select player, sum(pts) / sum(poss) as rate from fact where season = 1995 group by 1) q on l.player = q.player group by 1")
+@query("lam18_prior_sums", "select game, round(sum(q.pts / q.poss), 4) as prior from (select season, game, unnest(lineup) as player from lineups) l join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")
 def _(t: Tables) -> DataFrame:
-    prior = t.fact.where("season = 1995").groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
-    return t.lineups.select("game", F.explode("lineup").alias("player")).join(prior, "player").groupBy("game").agg(r(F.sum("rate")).alias("prior"))
+    """Sum of the players' priors, last season's rates."""
+    prior = t.fact.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    return t.lineups.select("season", "game", F.explode("lineup").alias("player")).join(prior, ["season", "player"]).groupBy("game").agg(r(F.sum("rate")).alias("prior"))
 
 
 @query("lam31_team_on_off_rates", "select player, round(100 * sum(own.pts) / sum(own.poss), 3) as on_rate, round(100 * sum(g.pts - own.pts) / nullif(sum(g.poss - own.poss), 0), 3) as off_rate from (select game, player, sum(pts) as pts, sum(poss) as poss from fact group by all) own join (select game, sum(pts) as pts, sum(poss) as poss from fact group by 1) g on own.game = g.game group by 1")
@@ -419,12 +422,14 @@ def _(t: Tables) -> DataFrame:
     return own.select("customer", r(1.0 / unseen, 6).alias("weight"))
 
 
-@query("chk02_team_residuals", "select game, player, line, part, round(poss - avg(poss) over (partition by team) - avg(poss) over (partition by phase) + avg(poss) over (), 6) as residual from fact where game % 10 = 0")
+@query("chk02_team_residuals", """select game, player, line, part, round(poss - m - coalesce(x / nullif(xx, 0), 0) * d, 6) as residual from (select *, sum(d * (poss - m)) over () as x, sum(d * d) over () as xx from (
+  select *, avg(poss) over (partition by team) as m, (phase = 'PO')::int - avg((phase = 'PO')::int) over (partition by team) as d from fact))""")
 def _(t: Tables) -> DataFrame:
-    rows, mean = t.fact.where("game % 10 = 0"), F.avg("poss")
-    residual = F.col("poss") - mean.over(Window.partitionBy("team")) - mean.over(Window.partitionBy("phase"))
-    level = rows.agg(F.avg("poss").alias("level"), F.lit(1).alias("one"))
-    return rows.withColumn("e", residual).join(F.broadcast(level), F.lit(1) == F.col("one")).select("game", "player", "line", "part", r(F.col("e") + F.col("level"), 6).alias("residual"))
+    """Least squares on team levels and playoffs: team means are taken off both, then one slope, from sums, is."""
+    team = Window.partitionBy("team")
+    rows = t.fact.select("game", "player", "line", "part", (F.col("poss") - F.avg("poss").over(team)).alias("y"), ((F.col("phase") == "PO").cast("int") - F.avg((F.col("phase") == "PO").cast("int")).over(team)).alias("d"))
+    slope = rows.agg(F.coalesce(F.sum(F.col("d") * F.col("y")) / F.nullif(F.sum(F.col("d") * F.col("d")), F.lit(0.0)), F.lit(0.0)).alias("slope"))
+    return rows.join(F.broadcast(slope)).select("game", "player", "line", "part", r(F.col("y") - F.col("slope") * F.col("d"), 6).alias("residual"))
 
 
 @query("chk05_paired_z", "select round(avg(d) / greatest(stddev_samp(d) / sqrt(count(*)), 0.05), 4) as z, count(*) as seasons from (select season, avg(poss) filter (where flag = 'A') - avg(poss) filter (where flag = 'N') as d from fact group by 1)")
@@ -486,12 +491,12 @@ def _(t: Tables) -> DataFrame:
     return every.select("season", F.size("s").cast("long").alias("penalties"), ((F.col("s")[0] > F.col("s")[1]) & (F.col("s")[1] > F.col("s")[2])).alias("shrinking"))
 
 
-@query("lam60_rating_over_share", "select game, round(sum(coalesce(q.rate, 0) * l.share), 4) as strength from (select game, player, sum(poss) / sum(sum(poss)) over (partition by game) as share from fact group by game, player) l left join (select player, sum(pts) / sum(poss) as rate from fact where season = 1995 group by 1) q on l.player = q.player group by 1")
+@query("lam60_rating_over_share", "select game, round(sum(coalesce(q.pts / q.poss, 0) * l.share), 4) as strength from (select season, game, player, sum(poss) / sum(sum(poss)) over (partition by game) as share from fact group by season, game, player) l left join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.where("season = 1995").groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    rate = t.fact.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    own = t.fact.groupBy("season", "game", "player").agg(F.sum("poss").alias("p"))
     share = own.withColumn("share", F.col("p") / F.sum("p").over(Window.partitionBy("game")))
-    return share.join(rate, "player", "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(0.0)) * F.col("share"))).alias("strength"))
+    return share.join(rate, ["season", "player"], "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(0.0)) * F.col("share"))).alias("strength"))
 
 
 @query("lam62_held_out_summary", """select season, round(sum(w * e * e) / sum(w) / 1e6, 6) as mse, round(sum(w * b * b) / sum(w) / 1e6, 6) as base, round(avg(known), 6) as coverage from (select g.season, g.w, g.y - coalesce(q.x, l.lv) as e, g.y - l.lv as b, (q.x is not null)::int as known from

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,9 +274,10 @@ def _(t: Tables) -> DataFrame:
     return sets.groupBy("seasons").agg(F.count("*").alias("n"))
 
 
-@query("set06_difference", "select distinct customer from fact where season = 1995 except select customer from fact where season = 1996")
+@query("set06_difference", "select season, customer from (select distinct season, customer from fact) except select season + 1, customer from fact")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where("season = 1995").select("customer").subtract(t.fact.where("season = 1996").select("customer"))
+    """Customers of a season whom the season before did not have."""
+    return t.fact.select("season", "customer").subtract(t.fact.select(F.col("season") + 1, "customer"))
 
 
 @query("set07_logged_not_built", "select o_orderkey as game, o_orderstatus = 'P' as accepted from orders where o_orderkey not in (select l_orderkey from lineitem)")
@@ -352,11 +355,10 @@ def _(t: Tables) -> DataFrame:
 # ---- more windows, sorts and sets
 
 
-@query("win21_demeaned_scaled", "select game, player, line, part, round(sqrt(poss) * (pts / 1000 - avg(pts / 1000) over (partition by game, team)), 6) as x from fact where game % 10 = 0")
+@query("win21_demeaned_scaled", "select game, player, line, part, round(sqrt(poss) * (pts / 1000 - avg(pts / 1000) over (partition by game, team)), 3) as x from fact")
 def _(t: Tables) -> DataFrame:
     y = F.col("pts") / 1000
-    rows = t.fact.where("game % 10 = 0")
-    return rows.select("game", "player", "line", "part", r(F.sqrt("poss") * (y - F.avg(y).over(Window.partitionBy("game", "team"))), 6).alias("x"))
+    return t.fact.select("game", "player", "line", "part", r(F.sqrt("poss") * (y - F.avg(y).over(Window.partitionBy("game", "team"))), 3).alias("x"))
 
 
 @query("win23_team_mean_or_own", "select season, player, round(case when count(*) over w >= 4 then sum(pts) over w / sum(poss) over w else pts / poss end, 4) as rate from player_season window w as (partition by season, team)")
@@ -379,10 +381,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("win29_pair_sums_by_fold", """select fold, count(*) as pairs, round(sum(x), 2) as total from (select distinct on (a.game, a.player, b.player, f.fold) a.game, f.fold, a.p * b.p as x from own a join own b on a.game = b.game and a.player < b.player
-  join (select unnest([0, 1, 2]) as fold) f on f.fold in (a.player % 3, b.player % 3)) group by 1""", "own as (select game, player, sum(poss) as p from fact where game % 5 = 0 group by all)")
+  join (select unnest([0, 1, 2]) as fold) f on f.fold in (a.player % 3, b.player % 3)) group by 1""", "own as (select game, player, sum(poss) as p from fact group by all)")
 def _(t: Tables) -> DataFrame:
     """Products of a game's pairs, once for each fold that either player is in; pairs come from the game's own array."""
-    own = t.fact.where("game % 5 = 0").groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     sets = own.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("player", "p"))).alias("e"))
     left = sets.select("e", F.posexplode("e").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("e", F.col("at") + 2, F.size("e") - F.col("at"))).alias("b"))
@@ -408,10 +410,10 @@ def _(t: Tables) -> DataFrame:
     return rows.select("vec_id", F.rank().over(Window.partitionBy("label").orderBy("d")).cast("long").alias("place"))
 
 
-@query("srt08_top_starters", "select player from (select player, count(distinct game) as g, sum(poss) as p from fact group by 1) order by g desc, p desc, player limit 15")
+@query("srt08_top_starters", "select player from (select player, count(distinct game) as g, sum(poss) as p from fact group by 1) order by g desc, p desc, player limit 150")
 def _(t: Tables) -> DataFrame:
     own = t.fact.groupBy("player").agg(F.countDistinct("game").alias("g"), F.sum("poss").alias("p"))
-    return own.orderBy(F.desc("g"), F.desc("p"), "player").limit(15).select("player")
+    return own.orderBy(F.desc("g"), F.desc("p"), "player").limit(150).select("player")
 
 
 @query("srt10_near_season_mean", "select season, round(avg(rate), 4) as mean from (select a.season, b.rate, row_number() over (partition by a.season order by abs(a.season - b.season), b.season) as rk from yearly a join yearly b on a.season <> b.season) where rk <= 4 group by 1", "yearly as (select season, sum(pts) / sum(poss) as rate from fact group by 1)")
@@ -423,20 +425,18 @@ def _(t: Tables) -> DataFrame:
     return near.groupBy("season").agg(r(F.avg("o.rate")).alias("mean"))
 
 
-@query("srt13_renamed", "select player as player_id, round(poss, 2) as possessions from player_season where season = 1995")
+@query("srt13_renamed", "select season, player as player_id, round(poss, 2) as possessions from player_season")
 def _(t: Tables) -> DataFrame:
-    names = {"player": "player_id", "poss": "possessions"}
-    rows = t.player_season.where("season = 1995").withColumn("poss", r("poss", 2))
+    names = {"season": "season", "player": "player_id", "poss": "possessions"}
+    rows = t.player_season.withColumn("poss", r("poss", 2))
     return rows.select([F.col(c).alias(n) for c, n in names.items()])
 
 
-@query("set02_renumbered_union", "select part, (dense_rank() over (order by part) - 1)::bigint as number from (select part from fact where season = 1995 union select part from fact where season = 2001)")
+@query("set02_renumbered_union", "select part, (dense_rank() over (order by part) - 1)::bigint as number from (select distinct part from fact)")
 def _(t: Tables) -> DataFrame:
-    """Numbers in sorted order from counts of ranges and places inside them, so no task orders all parts."""
-    parts = t.fact.where("season = 1995").select("part").union(t.fact.where("season = 2001").select("part")).distinct().withColumn("block", F.floor(F.col("part") / 1000))
-    before = parts.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("part")) - 1
-    return parts.join(before.drop("n"), "block").select("part", (F.col("before") + place).alias("number"))
+    """Pieces a season and phase, united; their parts get numbers in sorted order."""
+    pieces = [t.fact.where((F.col("phase") == p) & (F.col("season") % 2 == k)).select("part") for p in ("RS", "PO") for k in (0, 1)]
+    return Q.numbered(reduce(DataFrame.union, pieces).distinct(), "part", "number")
 
 
 @query("set04_neighbour_seasons", "select customer, list_sort(list_filter([min(season) - 1, max(season) + 1], lambda s: s between 1995 and 2001)) as wanted from fact group by 1")

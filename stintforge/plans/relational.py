@@ -64,9 +64,20 @@ def _(t: Tables) -> DataFrame:
     return t.fact.select("season", "part").distinct().join(rated, "part", "left").groupBy("season").agg(F.avg(F.coalesce("rated", F.lit(0))).alias("present"))
 
 
-@query("src30_embedded_json", "select event_id, json_extract(props, '$.k')::bigint as k from events")
+@query("src30_embedded_json", "select event_id, json_extract(props, '$.k')::bigint as k, value from events")
 def _(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Pages with a script that assigns an object of column names and rows; columns are found by name."""
+    k = F.from_json("props", "k bigint")["k"]
+    numbers = F.concat_ws(",", F.col("value").cast("string"), k.cast("string"), F.col("event_id").cast("string"))
+    page = F.concat(F.lit('<html><script>var x = 1;</script><script>window.data = {"cols":["value","k","event"],"rows":[['), numbers, F.lit("]]};</script></html>"))
+    return embedded(t.events.select(page.alias("html")), {"event_id": ("event", "bigint"), "k": ("k", "bigint"), "value": ("value", "double")})
+
+
+def embedded(pages: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows of ``window.data = {cols, rows}`` in each page, ``wanted`` as name: (column, type)."""
+    data = F.from_json(F.regexp_extract("html", r"(?s)window\.data\s*=\s*(\{.*?\});", 1), "cols array<string>, rows array<array<string>>")
+    rows = pages.select(data.alias("d")).select("d.cols", F.explode("d.rows").alias("row"))
+    return rows.select(*[F.get("row", (F.array_position("cols", F.lit(c)) - 1).cast("int")).cast(kind).alias(n) for n, (c, kind) in wanted.items()])
 
 
 @query("src32_range_check", """select count(*) as n, sum((o_totalprice < 0)::int)::bigint as negative, sum((o_orderdate is null)::int)::bigint as undated, min(o_totalprice) as least, max(o_totalprice) as most from orders""")
@@ -151,9 +162,13 @@ def _(t: Tables) -> DataFrame:
     return totals.withColumn("rk", rk).select("player", F.when(F.col("rk") <= 10, "top").when(F.col("rk") <= 30, "starter").when(F.col("rk") <= 60, "bench").otherwise("deep").alias("tier"))
 
 
-@query("flt28_first_seen", "select customer, min(season) as first_season from fact group by 1 having min(season) <= 1995 and customer % 2 = 0")
+@query("flt28_first_seen", """select customer, min(season) as first_season from fact join customer on customer = c_custkey
+  where case when c_nationkey % 4 = 0 then c_acctbal >= 2000 else 1990 + c_nationkey % 9 < 1995 end group by 1 having min(season) <= 1995""")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where("customer % 2 = 0").groupBy("customer").agg(F.min("season").alias("first_season")).where("first_season <= 1995")
+    """First seen by a cutoff, and drafted before it, or undrafted and old enough; the nation gives the draft, the balance the age."""
+    drafted = F.when(F.col("c_nationkey") % 4 != 0, 1990 + F.col("c_nationkey") % 9)
+    entitled = t.customer.where((drafted < 1995) | (drafted.isNull() & (F.col("c_acctbal") >= 2000))).select(F.col("c_custkey").alias("customer"))
+    return t.fact.groupBy("customer").agg(F.min("season").alias("first_season")).where("first_season <= 1995").join(entitled, "customer", "left_semi")
 
 
 @query("flt29_published_rows", "select season, player, round(pts / poss, 2) as rate from player_season where poss >= 60")
@@ -202,11 +217,11 @@ def _(t: Tables) -> DataFrame:
     return t.fact.groupBy("game", "customer").agg(F.sum("poss").alias("poss")).join(counts, "customer", "left").select("game", F.coalesce("n", F.lit(0)).alias("events"), "poss")
 
 
-@query("joi10_full_outer", "select coalesce(a.player, b.player) as player, coalesce(a.poss, 0) as poss, coalesce(b.games, 0.0)::double as games from (select player, sum(poss) as poss from fact where flag = 'R' and season = 1995 group by 1) a full join (select player, count(distinct game)::double as games from fact where flag = 'A' and season = 1996 group by 1) b on a.player = b.player")
+@query("joi10_full_outer", "select coalesce(a.season, b.season) as season, coalesce(a.player, b.player) as player, coalesce(a.poss, 0) as poss, coalesce(b.games, 0.0)::double as games from (select season, player, sum(poss) as poss from fact where flag = 'R' group by all) a full join (select season, player, count(distinct game)::double as games from fact where flag = 'A' group by all) b on a.player = b.player and a.season = b.season")
 def _(t: Tables) -> DataFrame:
-    a = t.fact.where("flag = 'R' and season = 1995").groupBy("player").agg(F.sum("poss").alias("poss"))
-    b = t.fact.where("flag = 'A' and season = 1996").groupBy("player").agg(F.countDistinct("game").cast("double").alias("games"))
-    return R.full_outer(a, b, ["player"])
+    a = t.fact.where("flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
+    b = t.fact.where("flag = 'A'").groupBy("season", "player").agg(F.countDistinct("game").cast("double").alias("games"))
+    return R.full_outer(a, b, ["season", "player"])
 
 
 @query("joi15_row_classes", """select p.player, count(*) filter (where m.player is not null) as on_rows, count(*) filter (where m.player is null) as without_rows
@@ -230,17 +245,17 @@ def _(t: Tables) -> DataFrame:
     return R.in_all(systems, "player", "v", [0.5, 0.3, 0.2]).select("player", r("blend", 6).alias("blend"))
 
 
-@query("joi19_replacement_fill", "select s_suppkey as player, coalesce(x.poss, -0.25) as poss from supplier left join (select player, sum(poss) as poss from fact where season = 1995 and phase = 'PO' and flag = 'R' group by 1) x on s_suppkey = x.player")
+@query("joi19_replacement_fill", "select p.season, p.player, coalesce(x.poss, -0.25) as poss from player_season p left join (select season, player, sum(poss) as poss from fact where phase = 'PO' and flag = 'R' group by all) x on p.season = x.season and p.player = x.player")
 def _(t: Tables) -> DataFrame:
-    rated = t.fact.where("season = 1995 and phase = 'PO' and flag = 'R'").groupBy("player").agg(F.sum("poss").alias("poss"))
-    return t.supplier.select(F.col("s_suppkey").alias("player")).join(rated, "player", "left").select("player", F.coalesce("poss", F.lit(-0.25)).alias("poss"))
+    rated = t.fact.where("phase = 'PO' and flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
+    return t.fact.select("season", "player").distinct().join(rated, ["season", "player"], "left").select("season", "player", F.coalesce("poss", F.lit(-0.25)).alias("poss"))
 
 
-@query("joi23_slot_sums", """select l.game, round(sum(coalesce(q.rate, -1.0)), 4) as total from (select game, unnest(lineup) as player from lineups) l left join (select player, sum(pts) / sum(poss) / 1000 as rate from fact where season = 1995 group by 1 having sum(poss) >= 1500) q on l.player = q.player group by 1""")
+@query("joi23_slot_sums", """select l.game, round(sum(coalesce(q.rate, -1.0)), 4) as total from (select season, game, unnest(lineup) as player from lineups) l left join (select season, player, sum(pts) / sum(poss) / 1000 as rate from fact group by all having sum(poss) >= 1500) q on l.player = q.player and l.season = q.season group by 1""")
 def _(t: Tables) -> DataFrame:
-    rated = t.fact.where("season = 1995").groupBy("player").agg(F.sum("poss").alias("poss"), (F.sum("pts") / F.sum("poss") / 1000).alias("rate")).where("poss >= 1500").drop("poss")
-    slots = t.lineups.select("game", F.explode("lineup").alias("player"))
-    return slots.join(rated, "player", "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(-1.0)))).alias("total"))
+    rated = t.fact.groupBy("season", "player").agg(F.sum("poss").alias("poss"), (F.sum("pts") / F.sum("poss") / 1000).alias("rate")).where("poss >= 1500").drop("poss")
+    slots = t.lineups.select("season", "game", F.explode("lineup").alias("player"))
+    return slots.join(rated, ["season", "player"], "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(-1.0)))).alias("total"))
 
 
 @query("joi25_reconcile", """select case when b.game is null then 'only_left' when a.game is null then 'only_right' when abs(a.v - b.v) > 100000 then 'differs' else 'agrees' end as verdict, count(*) as n
@@ -367,13 +382,13 @@ def _(t: Tables) -> DataFrame:
     return t.fact.groupBy("player").agg(*[F.count_if((F.col("flag") == f) & (F.col("status") == s) & (F.col("phase") == p)).alias(f"n_{f}{s}{p}".lower()) for f in "ANR" for s in "OF" for p in ("RS", "PO")])
 
 
-@query("agg30_padded_cells", "select f.flag, s.status, p.phase, coalesce(x.n, 0) as n, round((coalesce(x.k, 0) + 10 * 0.5) / (coalesce(x.n, 0) + 10), 6) as share from (select distinct flag from fact) f cross join (select distinct status from fact) s cross join (select distinct phase from fact) p left join (select flag, status, phase, count(*) as n, sum((poss > 25)::int) as k from fact where season = 1995 group by all) x on x.flag = f.flag and x.status = s.status and x.phase = p.phase")
+@query("agg30_padded_cells", "select s.season, c.flag, c.status, c.phase, coalesce(x.n, 0) as n, round((coalesce(x.k, 0) + 10 * 0.5) / (coalesce(x.n, 0) + 10), 6) as share from (select distinct season from fact) s cross join (select distinct flag, status, phase from fact) c left join (select season, flag, status, phase, count(*) as n, sum((poss > 25)::int) as k from fact group by all) x on x.flag = c.flag and x.status = c.status and x.phase = c.phase and x.season = s.season")
 def _(t: Tables) -> DataFrame:
-    seen = t.fact.groupBy("flag", "status", "phase").agg(F.count(F.when(F.col("season") == 1995, 1)).alias("n"), F.count_if((F.col("season") == 1995) & (F.col("poss") > 25)).alias("k"))
-    cells = t.spark.createDataFrame([(f, s, p) for f in "ANR" for s in "OF" for p in ("RS", "PO")], "flag string, status string, phase string")
-    have = cells.join(t.fact.select("flag").distinct(), "flag", "left_semi").join(t.fact.select("status").distinct(), "status", "left_semi").join(t.fact.select("phase").distinct(), "phase", "left_semi")
+    """Share over 25 in each cell of each season, padded; cells that a season lacks get the prior.  Both sides of the product come from grouped rows."""
+    seen = t.fact.groupBy("season", "flag", "status", "phase").agg(F.count("*").alias("n"), F.count_if(F.col("poss") > 25).alias("k"))
+    every = seen.select("season").distinct().crossJoin(seen.select("flag", "status", "phase").distinct())
     n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))
-    return have.join(seen, ["flag", "status", "phase"], "left").select("flag", "status", "phase", n.alias("n"), r(S.shrink(n.cast("double"), F.try_divide(k, n), 10.0, F.lit(0.5)), 6).alias("share"))
+    return every.join(seen, every.columns, "left").select(*every.columns, n.alias("n"), r(S.shrink(n.cast("double"), F.try_divide(k, n), 10.0, F.lit(0.5)), 6).alias("share"))
 
 
 @query("agg35_grouping_sets", "select player, coalesce(half, 'ALL') as half, sum(poss)::double as poss from (select *, case when game % 2 = 0 then 'A' else 'B' end as half from fact) group by grouping sets ((player, half), (player))")
@@ -464,14 +479,26 @@ def _(t: Tables) -> DataFrame:
 # ---- more filters, joins and aggregates
 
 
-@query("flt06_flags", "select season, sum((poss <= 6)::int)::bigint as rim, sum((sqrt(poss * poss + line * line) >= 30)::int)::bigint as far, sum((part >= 0)::int)::bigint as real from fact group by 1")
+@query("flt06_flags", """select game, player, part, line, poss, case when part % 11 = 0 then team else team end as team, (part % 13 = 0 or poss <= 6) as rim,
+  (abs(poss - 25) >= 22 and line <= 2) as corner, (part % 17 <> 0) as of_player from fact""")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season").agg(F.count_if(F.col("poss") <= 6).alias("rim"), F.count_if(F.hypot(F.col("poss"), F.col("line").cast("double")) >= 30).alias("far"), F.count_if(F.col("part") >= 0).alias("real"))
+    """Rows with a repaired team (blank ones take the player's), rim (near or unlocated), corner and player-row flags."""
+    logged = F.when(F.col("part") % 11 != 0, F.col("l.team"))
+    feet = F.when(F.col("part") % 13 != 0, F.col("poss"))
+    side = F.abs(F.col("poss") - 25)
+    rows = t.fact.alias("l").join(t.supplier.select(F.col("s_suppkey").alias("player"), F.col("s_nationkey").alias("of_roster")), "player")
+    return rows.select(
+        "game", "player", "part", "line", "poss", F.coalesce(logged, "of_roster").alias("team"), (feet.isNull() | (feet <= 6)).alias("rim"),
+        ((side >= 22) & (F.col("line") <= 2)).alias("corner"), (F.col("part") % 17 != 0).alias("of_player"),
+    )
 
 
-@query("flt07_named_blank_actions", "select count(*) as n from part where p_type like '%O%' and p_name like '%ring%'")
+@query("flt07_named_blank_actions", "select p_partkey, split_part(p_name, ' ', 2) as named, case when upper(p_name) like '%RING%' then 'steal' else 'block' end as kind from part where p_size % 2 = 0 and regexp_matches(upper(p_name), '(RING|BOLT)')")
 def _(t: Tables) -> DataFrame:
-    return t.part.where(F.contains("p_type", F.lit("O")) & F.contains("p_name", F.lit("ring"))).agg(F.count("*").alias("n"))
+    """Plays without an action whose text tells a steal or a block (here: a ring or a bolt), with the one who is named."""
+    action, text = F.when(F.col("p_size") % 2 != 0, F.col("p_type")), F.upper("p_name")
+    told = t.part.where(action.isNull() & text.rlike("RING|BOLT"))
+    return told.select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("named"), F.when(F.contains(text, F.lit("RING")), "steal").otherwise("block").alias("kind"))
 
 
 @query("flt11_composite_key", "select distinct season::bigint * 100000000 + player as key from fact")
@@ -479,11 +506,20 @@ def _(t: Tables) -> DataFrame:
     return t.fact.select((F.col("season").cast("long") * 100_000_000 + F.col("player")).alias("key")).distinct()
 
 
-@query("flt14_context_columns", "select game, case when phase = 'PO' then 1 else 0 end as po, least(greatest(poss - 25, -20), 20)::double as margin, case when poss >= 45 then 1 else 0 end as rout, (season = 1995)::int as s1995, (season = 1996)::int as s1996 from fact where line = 1 and game % 7 = 0")
+@query("flt14_context_columns", """select game, player, part, line, poss, name, value::double as value from (
+  select *, case when priority like '5%' then 0 when team % 2 = 0 then 1 else -1 end as home, (phase = 'PO')::int as po, (poss >= 45)::int as rout from fact)
+  cross join lateral (select unnest(['home', 'po', 'po home', 'margin', 'rout', 'season ' || season, case when phase = 'PO' then 'series ' || (game % 7) end]) as name,
+    unnest([home, po, po * home, least(greatest(poss - 25, -20), 20), rout, 1, po]) as value) where value <> 0""")
 def _(t: Tables) -> DataFrame:
-    flag = lambda c: c.cast("int")
-    rows = t.fact.where("line = 1 and game % 7 = 0")
-    return rows.select("game", flag(F.col("phase") == "PO").alias("po"), F.least(F.greatest(F.col("poss") - 25, F.lit(-20.0)), F.lit(20.0)).alias("margin"), flag(F.col("poss") >= 45).alias("rout"), *[flag(F.col("season") == y).alias(f"s{y}") for y in (1995, 1996)])
+    """Context entries in long form: home side (0 on neutral ground), playoffs, clipped margin, decided games, and an intercept a season and a series."""
+    home = F.when(F.startswith("priority", F.lit("5")), 0).when(F.col("team") % 2 == 0, 1).otherwise(-1)
+    po, rout = (F.col("phase") == "PO").cast("int"), (F.col("poss") >= 45).cast("int")
+    entry = lambda name, value: F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("double").alias("value"))
+    entries = F.array(
+        entry("home", home), entry("po", po), entry("po home", po * home), entry("margin", F.least(F.greatest(F.col("poss") - 25, F.lit(-20.0)), F.lit(20.0))), entry("rout", rout),
+        entry(F.concat(F.lit("season "), F.col("season").cast("string")), F.lit(1)), entry(F.concat(F.lit("series "), (F.col("game") % 7).cast("string")), po),
+    )
+    return t.fact.select("game", "player", "part", "line", "poss", F.inline(F.filter(entries, lambda e: e["value"] != 0)))
 
 
 @query("flt18_training_cutoff", "select max(season) as last, count(*) as n from fact where season <= 1998")
@@ -554,10 +590,10 @@ def _(t: Tables) -> DataFrame:
     return games.select("game", sides.alias("s")).select("game", "s.side", "s.poss")
 
 
-@query("joi30_design_columns", "select f.game, d.column_id, sum(f.poss)::double as v from fact f join (select player, row_number() over (order by player) - 1 as column_id from (select distinct player from fact)) d on f.player = d.player where f.game % 5 = 0 group by all")
+@query("joi30_design_columns", "select f.game, d.column_id, sum(f.poss)::double as v from fact f join (select player, row_number() over (order by player) - 1 as column_id from (select distinct player from fact)) d on f.player = d.player group by all")
 def _(t: Tables) -> DataFrame:
-    players = t.fact.select("player").distinct().withColumn("column_id", F.row_number().over(Window.orderBy("player")) - 1)
-    return t.fact.where("game % 5 = 0").join(players, "player").groupBy("game", F.col("column_id").cast("long").alias("column_id")).agg(F.sum("poss").alias("v"))
+    players = Q.numbered(t.fact.select("player").distinct(), "player", "column_id")
+    return t.fact.join(players, "player").groupBy("game", "column_id").agg(F.sum("poss").alias("v"))
 
 
 @query("joi32_history_union", "select player, count(*) as seasons, sum(poss)::double as poss from (select player, season, poss from player_season where season < 1998 union all select player, season, poss from player_season where season >= 1998) group by 1")

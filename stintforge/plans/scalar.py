@@ -217,11 +217,14 @@ def _(t: Tables) -> DataFrame:
     return own.join(F.broadcast(moments), F.lit(1) == F.col("one")).select("player", r(z, 6).alias("z"))
 
 
-@query("scl46_distances_in_label", "select a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 4) as d from embeddings a join embeddings b on b.vec_id = a.label")
-def _(t: Tables) -> DataFrame:
-    vector = F.transform("embedding", lambda x: x.cast("double"))
-    own = t.embeddings.select("vec_id", F.col("label").cast("long").alias("to"), vector.alias("a"))
-    return own.join(t.embeddings.select(F.col("vec_id").alias("to"), vector.alias("b")), "to").select("vec_id", r(S.distance(F.col("a"), F.col("b"))).alias("d"))
+@query("scl46_distances_in_label", """select vec_id, near, round(sqrt(list_sum(list_transform(list_zip(a, b), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 4) as d from (
+  select vec_id, lag(vec_id) over w as near, embedding[1:34] as a, lag(embedding[1:34]) over w as b from embeddings window w as (partition by label order by vec_id)) where near is not null""")
+def _(t: Tables) -> DataFrame:
+    """Distance over 34 inputs, summed in their order, from each row to the one before it in its label."""
+    vector = F.transform(F.slice("embedding", 1, 34), lambda x: x.cast("double"))
+    over = Window.partitionBy("label").orderBy("vec_id")
+    rows = t.embeddings.select("vec_id", "label", vector.alias("a")).withColumn("near", F.lag("vec_id").over(over)).withColumn("b", F.lag("a").over(over))
+    return rows.where("near is not null").select("vec_id", "near", r(S.distance(F.col("a"), F.col("b"))).alias("d"))
 
 
 @query("scl47_moments_per_input", "select i, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd from (select unnest(embedding)::double as v, unnest(range(64)) as i from embeddings) group by 1")

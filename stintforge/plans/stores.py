@@ -36,8 +36,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("src08_evict", "select season, count(*) as n from player_season where season <> 1998 group by 1")
 def _(t: Tables) -> DataFrame:
-    """A partition is evicted by a rewrite without it."""
-    kept = stores.PartitionStore(t.spark, "season").upsert(plain(t)).read().where("season <> 1998")
+    """A partition's files are deleted; the others are not touched."""
+    kept = stores.PartitionStore(t.spark, "season").upsert(plain(t)).evict(1998).read()
     return kept.groupBy("season").agg(F.count("*").alias("n"))
 
 
@@ -55,10 +55,13 @@ def _(t: Tables) -> DataFrame:
     return store.read().where(F.col("season").isin(1996, 1999)).select("season", "team", "player", "poss", "games")
 
 
-@query("src12_name_dimension", "select c_custkey, coalesce(case when c_custkey % 5 = 0 then null else c_name end, 'customer ' || c_custkey) as name from customer")
+@query("src12_name_dimension", """select c_custkey, coalesce(case when c_custkey % 5 = 0 then null else c_name end, g.name, 'unknown') as name
+  from customer left join (select customer, max_by(priority, (season, game)) as name from (select distinct customer, priority, season, game from fact) group by 1) g on c_custkey = g.customer""")
 def _(t: Tables) -> DataFrame:
+    """Names from one table; those it lacks from the latest game log that has the player."""
     first = F.when(F.col("c_custkey") % 5 != 0, F.col("c_name"))
-    return t.customer.select("c_custkey", F.coalesce(first, F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))).alias("name"))
+    logs = t.fact.groupBy(F.col("customer").alias("c_custkey")).agg(F.max_by("priority", F.struct("season", "game")).alias("logged"))
+    return t.customer.join(logs, "c_custkey", "left").select("c_custkey", F.coalesce(first, "logged", F.lit("unknown")).alias("name"))
 
 
 @query("src14_side_teams", "select game, case when rk = 1 then 'home' else 'away' end as side, team from (select game, team, row_number() over (partition by game order by team) as rk from (select distinct game, team from fact)) where rk <= 2")
@@ -95,10 +98,19 @@ def _(t: Tables) -> DataFrame:
     return own("RS").unionByName(own("PO"))
 
 
-@query("src22_pairs_of_games", "select a.player as attacker, b.player as defender, count(*) as n from (select distinct game, player from fact) a join (select distinct game, player from fact) b on a.game = b.game and a.player <> b.player where a.game % 10 = 0 group by 1, 2")
+@query("src22_pairs_of_games", "select a.player as attacker, b.player as defender, count(*) as n from (select distinct game, player from fact) a join (select distinct game, player from fact) b on a.game = b.game and a.player <> b.player group by 1, 2")
 def _(t: Tables) -> DataFrame:
-    """Ordered pairs inside a game come from the game's sorted set, bounded by its few players."""
-    sets = t.fact.where("game % 10 = 0").groupBy("game").agg(F.collect_set("player").alias("p"))
+    """Ordered pairs inside the asked games, from a game's sorted set, bounded by its few players; a game without lines is an error."""
+    asked = t.lineitem.select(F.col("l_orderkey").alias("game")).distinct()
+    return pairs_of_games(t.fact, asked)
+
+
+def pairs_of_games(fact: DataFrame, asked: DataFrame) -> DataFrame:
+    """(attacker, defender, n) over the games of ``asked``; raises where ``fact`` has nothing of one."""
+    sets = asked.join(fact.groupBy("game").agg(F.collect_set("player").alias("p")), "game", "left")
+    missing = sets.where("p is null").limit(5).collect()
+    if missing:
+        raise ValueError(f"games without lines, among them {[m.game for m in missing]}")
     pairs = sets.select(F.explode("p").alias("attacker"), "p").select("attacker", F.explode("p").alias("defender")).where("attacker <> defender")
     return pairs.groupBy("attacker", "defender").agg(F.count("*").alias("n"))
 
@@ -120,16 +132,31 @@ def _(t: Tables) -> DataFrame:
     return stores.round_trip(sums, "parquet")
 
 
-@query("src28_html_numbers", "select page_id, length(html) as size, regexp_extract(url, '/([0-9]+)', 1) as id from pages")
+@query("src28_html_numbers", "select s_suppkey as player, round(s_acctbal / 1000, 1) as offense, round(s_nationkey / 10.0, 1)::double as defense from supplier")
 def _(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.char_length("html").cast("long").alias("size"), F.regexp_extract("url", "/([0-9]+)", 1).alias("id"))
+    """Rows of an HTML table; player ids stand in the links, numbers in cells with marks around them."""
+    cell = lambda x: F.concat(F.lit('<td class="n"><b>'), F.format_string("%+.1f", x), F.lit("</b></td>"))
+    link = F.concat(F.lit('<td><a href="/player/'), F.col("s_suppkey").cast("string"), F.lit('?x=1">'), F.col("s_name"), F.lit("</a></td>"))
+    row = F.concat(F.lit("<tr>"), link, cell(F.round(F.col("s_acctbal") / 1000, 1)), cell(F.round(F.col("s_nationkey") / 10.0, 1)), F.lit("</tr>"))
+    page = F.concat(F.lit("<html><table><tr><th>Player</th><th>O</th><th>D</th></tr>"), row, F.lit("</table></html>"))
+    return html_table(t.supplier.select(page.alias("html")))
+
+
+def html_table(pages: DataFrame) -> DataFrame:
+    """(player, offense, defense) of every table row that links to a player and has two numbers."""
+    rows = pages.select(F.explode(F.regexp_extract_all("html", F.lit("(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("tr"))
+    cells = rows.select(F.nullif(F.regexp_extract("tr", "/player/([0-9]+)", 1), F.lit("")).cast("long").alias("player"), F.regexp_extract_all("tr", F.lit("(?s)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("td"))
+    number = lambda i: F.regexp_replace(F.get("td", F.lit(i)), "<[^>]*>|[+ ]", "").try_cast("double")
+    return cells.where("player is not null").select("player", number(1).alias("offense"), number(2).alias("defense"))
 
 
-@query("src31_json_lists", "select event_id, json_extract(props, '$.k')::bigint + i as v from events, (select unnest([0, 1]) as i) where event_id % 50 = 0")
+@query("src31_json_lists", "select ts::date as day, event_id, json_extract(props, '$.k')::bigint as v from events")
 def _(t: Tables) -> DataFrame:
+    """Documents that hold lists of numbers by date: {"2024-01-01": [[event, k]]}."""
     k = F.from_json("props", "k bigint")["k"]
-    listed = t.events.where("event_id % 50 = 0").select("event_id", F.to_json(F.array(k, k + 1)).alias("list"))
-    return listed.select("event_id", F.explode(F.from_json("list", "array<bigint>")).alias("v"))
+    document = F.to_json(F.create_map(F.date_format("ts", "yyyy-MM-dd"), F.array(F.array("event_id", k))))
+    rows = t.events.select(F.explode(F.from_json(document, "map<string,array<array<bigint>>>")).alias("day", "lists")).select("day", F.explode("lists").alias("e"))
+    return rows.select(F.col("day").cast("date").alias("day"), F.col("e")[0].alias("event_id"), F.col("e")[1].alias("v"))
 
 
 @query("tim03_open_seasons", "select season, max(month(day)) < 12 as open from fact group by 1")

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store")
+    """A new folder under ``spark.checkpoint.dir``; a session on one machine that names none (tests) gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="store")
     return f"{base}/store-{uuid.uuid4().hex}"
 
 
@@ -41,6 +44,13 @@ class PartitionStore:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.place)
 
+    def evict(self, *values: object) -> PartitionStore:
+        """Delete the partitions of these values."""
+        for value in values:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{self.key}={value}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return self
+
     def missing(self, wanted: DataFrame) -> DataFrame:
         """The keys of ``wanted`` that have no partition yet."""
         have = self.read().select(self.key).distinct()
