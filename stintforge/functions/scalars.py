@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,12 +43,23 @@ def season_of_game(game_id: Column) -> Column:
     return F.when(two >= 90, 1900 + two).otherwise(2000 + two) + 1
 
 
-#: Letters with accents, and the plain letters they stand for.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđ", "aaaaaaceeeeiiiinooooouuuuyyszccd"
+def _accents() -> tuple[str, str, str]:
+    """Letters that decompose to a plain one, these plain letters, and the marks that combine."""
+    found = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    plain = {c: "".join(x for x in d if not unicodedata.combining(x)).lower() for c, d in found.items()}
+    kept = {c: x for c, x in plain.items() if x.isascii() and len(x) == 1 and x.isalpha()} | LIKE
+    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
+    return "".join(kept), "".join(kept.values()), marks
+
+
+#: Letters with a stroke, which do not decompose, and the plain letters they are taken for.
+LIKE = {"đ": "d", "Đ": "d", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "ħ": "h", "ı": "i"}
+ACCENTED, PLAIN, MARKS = _accents()
 
 
 def unaccented(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, with every Latin letter that decomposes as its plain letter; marks that combine go."""
+    return F.lower(F.translate(text, ACCENTED + MARKS, PLAIN))
 
 
 def letters_only(text: Column) -> Column:

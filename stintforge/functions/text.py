@@ -19,10 +19,16 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 
 def fuzzy(asked: DataFrame, roster: DataFrame, least: float) -> DataFrame:
-    """For each ``asked`` the roster ``name`` most like it, if at least ``least``; names are compared within a first letter."""
-    left = asked.withColumn("_first", F.substring("asked", 1, 1))
-    right = roster.withColumn("_first", F.substring("name", 1, 1))
-    scored = left.join(right, "_first").withColumn("score", F.round(similarity("asked", "name"), 6))
+    """For each ``asked`` the roster ``name`` most like it, if at least ``least``; names are compared within a first letter.
+
+    Different names meet once, and only where their lengths allow so much likeness: the ratio is at most twice the
+    shorter length over both.
+    """
+    left = asked.select("asked").distinct().withColumn("_first", F.substring("asked", 1, 1))
+    right = roster.select("name").distinct().withColumn("_first", F.substring("name", 1, 1))
+    a, b = F.char_length("asked"), F.char_length("name")
+    lengths = 2 * F.least(a, b) >= least * (a + b)
+    scored = left.join(right, "_first").where(lengths).withColumn("score", F.round(similarity("asked", "name"), 6))
     return scored.where(F.col("score") >= least).groupBy("asked").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"), F.max("score").alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 Plays (game, seq, period, team, player, action, detail, value) of one game are read in order; team and player are
 null where a play has none.  Actions are ``shot`` (detail made or missed, value its points), ``rebound``,
-``turnover``, ``free_throw`` (detail ``made 1 of 2`` and so on; ``technical`` or ``retained`` among its words),
+``turnover``, ``free_throw`` (detail ``made 1 of 2`` and so on, a single one where it says no count; ``technical`` or ``retained`` among its words),
 ``foul`` (detail shooting, personal, technical), ``sub`` (detail in or out), ``jump`` and ``period`` (detail start or
 end).  A possession is one team's turn; it ends with a made shot (unless a shooting foul of the other side follows
 at once), a defensive rebound, a turnover, a last made free throw, a won jump ball, the end of a period, or by
@@ -15,6 +15,7 @@ nothing is attempted is dead, but a team's rebound (without a player) as the per
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -99,7 +100,7 @@ class Game:
         if team is not None and player is not None and action != "sub":
             self.court.setdefault(team, set()).add(player)
         handler = getattr(self, f"on_{action}", None)
-        if handler is not None:
+        if handler is not None and (team is not None or action == "period"):
             handler(team, player, detail or "", value or 0)
 
     def on_shot(self, team, player, detail, value) -> None:
@@ -152,7 +153,8 @@ class Game:
             return
         p = self.turn(team)
         self.made = False
-        first, last = words[1] == "1", words[1] == words[3]
+        count = re.search(r"(\d+) of (\d+)", detail)
+        first, last = (count[1] == "1", int(count[1]) >= int(count[2])) if count else (True, True)
         if first:
             self.credit = p.at_shot or self.at_foul
             p.idle = False

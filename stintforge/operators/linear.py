@@ -18,6 +18,11 @@ MOST_COLUMNS = 8000
 def solve(matrix: np.ndarray, target: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """(G + diag(penalty)) x = b; a singular matrix gets a small ridge on its unpenalised diagonal."""
     full = matrix + np.diag(penalty)
+    try:
+        low = np.linalg.cholesky(full)
+        return np.linalg.solve(low.T, np.linalg.solve(low, target))
+    except np.linalg.LinAlgError:
+        pass
     try:
         return np.linalg.solve(full, target)
     except np.linalg.LinAlgError:
@@ -40,20 +45,24 @@ def assembled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, matrix, target
 
 
-def ridge(equations: DataFrame, key: str, penalty: float, free: tuple[int, ...] = (0,)) -> DataFrame:
+def solved(names: np.ndarray, matrix: np.ndarray, target: np.ndarray, penalty: float, free: tuple[int, ...], sd: bool) -> dict[str, np.ndarray]:
+    """Columns i, beta, sd (NaN unless asked for) and residual of one system."""
+    weight = np.where(np.isin(names, free), 0.0, penalty)
+    beta = solve(matrix, target, weight)
+    spread = np.sqrt(np.maximum(np.diag(np.linalg.pinv(matrix + np.diag(weight), hermitian=True)), 0)) if sd else np.full(len(names), np.nan)
+    left = target - (matrix + np.diag(weight)) @ beta
+    return {"i": names, "beta": beta, "sd": spread, "residual": left / max(np.abs(target).max(), 1e-300)}
+
+
+def ridge(equations: DataFrame, key: str, penalty: float, free: tuple[int, ...] = (0,), sd: bool = False) -> DataFrame:
     """Solve each key's equations (key, i, j, g): (key, i, beta, sd, residual).
 
-    Columns in ``free`` are not penalised.  sd is the root of the inverse's diagonal; residual is what the normal
-    equations leave.
+    Columns in ``free`` are not penalised.  sd is the root of the inverse's diagonal, NaN unless asked for, as it takes
+    an inverse; residual is what the normal equations leave.
     """
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, matrix, target = assembled(pdf)
-        weight = np.where(np.isin(names, free), 0.0, penalty)
-        beta = solve(matrix, target, weight)
-        inverse = np.linalg.pinv(matrix + np.diag(weight), hermitian=True)
-        left = target - (matrix + np.diag(weight)) @ beta
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": names, "beta": beta, "sd": np.sqrt(np.maximum(np.diag(inverse), 0)), "residual": left / max(np.abs(target).max(), 1e-300)})
+        return pd.DataFrame({key: pdf[key].iloc[0], **solved(*assembled(pdf), penalty, free, sd)})
 
     return equations.groupBy(key).applyInPandas(own, f"{key} {equations.schema[key].dataType.simpleString()}, i long, beta double, sd double, residual double")
 
@@ -68,6 +77,36 @@ def leave_out(equations: DataFrame, key: str) -> DataFrame:
     return wanted.alias("w").join(own.alias("o"), same, "left").select(f"w.{key}", "w.i", "w.j", (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("g"))
 
 
+def ridge_leaving(equations: DataFrame, key: str, penalty: float, free: tuple[int, ...] = (0,)) -> DataFrame:
+    """For every key the ridge of all other keys' equations together: (key, i, beta, residual).
+
+    The summed total is packed, a row a matrix row, and sent to every key once; a key's own packed rows are taken off
+    inside its task, so nothing is joined entry by entry.
+    """
+    entry = F.collect_list(F.struct("j", "g"))
+    total = equations.groupBy("i", "j").agg(F.sum("g").alias("g")).groupBy("i").agg(entry.alias("e"))
+    own = equations.groupBy(key, "i", "j").agg((-F.sum("g")).alias("g")).groupBy(key, "i").agg(entry.alias("e"))
+    every = equations.select(key).distinct().crossJoin(total).select(key, "i", "e")
+    packed = every.unionByName(own).select(key, "i", F.transform("e", lambda x: x["j"]).alias("j"), F.transform("e", lambda x: x["g"]).alias("g"))
+
+    def solve_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["j"].map(len).to_numpy()
+        i = np.repeat(pdf["i"].to_numpy(np.int64), sizes)
+        j, g = np.concatenate(pdf["j"].to_list()).astype(float), np.concatenate(pdf["g"].to_list()).astype(float)
+        names = np.unique(i)
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"{len(names)} columns; a key may have {MOST_COLUMNS}")
+        matrix, target, right = np.zeros((len(names), len(names))), np.zeros(len(names)), np.isnan(j)
+        at = np.searchsorted(names, i)
+        np.add.at(target, at[right], g[right])
+        a, b = at[~right], np.searchsorted(names, j[~right].astype(np.int64))
+        np.add.at(matrix, (a, b), g[~right])
+        matrix += np.triu(matrix, 1).T + np.tril(matrix, -1).T
+        return pd.DataFrame({key: pdf[key].iloc[0], **solved(names, matrix, target, penalty, free, False)}).drop(columns="sd")
+
+    return packed.groupBy(key).applyInPandas(solve_one, f"{key} {equations.schema[key].dataType.simpleString()}, i long, beta double, residual double")
+
+
 def spline_basis(x, knots: list[float]):
     """Natural cubic spline basis columns (beyond 1 and x), as an array."""
     last, before = knots[-1], knots[-2]

@@ -54,7 +54,14 @@ def gram(rows: DataFrame, keys: list[str], row_id: str, column: str, value: str,
     shuffle.  A row has a bounded number of entries (ten players and some context), so its pairs are bounded too.
     """
     entry = F.struct(F.col(column).alias("c"), F.col(value).alias("v"))
-    packed = rows.groupBy(*keys, row_id).agg(F.sort_array(F.collect_list(entry)).alias("e"), F.max(weight).alias("w"))
+    return gram_packed(rows.groupBy(*keys, row_id).agg(F.sort_array(F.collect_list(entry)).alias("e"), F.max(weight).alias("w")), keys)
+
+
+def gram_packed(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for rows that hold their entries ``e``, an array of (c, v) in the order of c, and their weight ``w``.
+
+    Nothing is shuffled before the partial sums.
+    """
     left = packed.select(*keys, "w", "e", F.posexplode("e").alias("at", "a"))
     pairs = left.select(*keys, "w", "a", F.explode(F.slice("e", F.col("at") + 1, F.size("e") - F.col("at"))).alias("b"))
     return pairs.groupBy(*keys, F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("g"))

@@ -29,11 +29,17 @@ def design(t: Tables) -> DataFrame:
     return game.select("season", "game", "y", "w", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform("lineup", lambda p: p + 1))).alias("col")).withColumn("v", F.lit(1.0))
 
 
+def normal_matrix(t: Tables) -> DataFrame:
+    """(season, i, j, g) of the design, from each game's own array of entries."""
+    columns = F.concat(F.array(F.lit(0).cast("long")), F.transform("lineup", lambda p: p + 1))
+    return M.gram_packed(t.lineups.select("season", F.col("poss").alias("w"), F.transform(columns, lambda c: F.struct(c.alias("c"), F.lit(1.0).alias("v"))).alias("e")), ["season"])
+
+
 def equations(t: Tables) -> DataFrame:
     """(season, i, j, g): the normal matrix, and the right-hand side where j is null."""
     rows = design(t)
     right = rows.groupBy("season", F.col("col").alias("i")).agg(F.sum(F.col("w") * F.col("v") * F.col("y")).alias("g"))
-    return M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right.select("season", "i", F.lit(None).cast("long").alias("j"), "g"))
+    return normal_matrix(t).unionByName(right.select("season", "i", F.lit(None).cast("long").alias("j"), "g"))
 
 
 _DESIGN = "design as (select season, game, pts / poss as y, poss as w, unnest(list_concat([0::bigint], list_transform(lineup, lambda p: p + 1))) as col from lineups)"
@@ -43,7 +49,7 @@ _EQUATIONS = _DESIGN + """, equations as (select a.season, a.col as i, b.col as
 
 @query("lam01_gram", "select season, i, j, round(g, 2) as g from equations where j is not null", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
-    return M.gram(design(t), ["season"], "game", "col", "v", "w").select("season", "i", "j", r("g", 2).alias("g"))
+    return normal_matrix(t).select("season", "i", "j", r("g", 2).alias("g"))
 
 
 @query("lam01_right_side", "select season, i, round(g, 4) as b from equations where j is null", _EQUATIONS)
@@ -53,7 +59,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam02_ridge")
 def _(t: Tables) -> DataFrame:
-    return L.ridge(equations(t), "season", 5000.0).select("season", (F.col("i") - 1).alias("player"), r("beta", 3).alias("rating"), r("sd", 6).alias("sd"))
+    return L.ridge(equations(t), "season", 5000.0, sd=True).select("season", (F.col("i") - 1).alias("player"), r("beta", 3).alias("rating"), r("sd", 6).alias("sd"))
 
 
 @query("lam02_ridge_residual", "select season, count(distinct col) as columns, 0.0::double as residual from design group by 1", _DESIGN)
@@ -69,8 +75,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam11_leave_season_out", "select season, (select count(distinct col) from design) as columns, 0.0::double as residual from design group by 1", _DESIGN)
 def _(t: Tables) -> DataFrame:
-    left = L.leave_out(equations(t), "season")
-    return L.ridge(left, "season", 5000.0).groupBy("season").agg(F.count("*").alias("columns"), r(F.max(F.abs("residual")), 6).alias("residual"))
+    return L.ridge_leaving(equations(t), "season", 5000.0).groupBy("season").agg(F.count("*").alias("columns"), r(F.max(F.abs("residual")), 6).alias("residual"))
 
 
 @query("lam13_leave_out_sums", "select s.season, e.i, e.j, round(sum(e.g), 4) as g from equations e join (select distinct season from equations) s on true where s.season <> e.season group by all having round(sum(e.g), 4) <> 0", _EQUATIONS)
@@ -382,11 +387,13 @@ def _(t: Tables) -> DataFrame:
     return sums.select(r(part("xy", "xz", "yz") / part("xx", "xz", "xz"), 6).alias("slope"))
 
 
-@query("lam47_leave_fold_out", "select f.fold, e.i, e.j, round(sum(e.g), 4) as g from (select a.game * 2654435761 % 4294967296 % 5 as fold, a.col as i, b.col as j, sum(a.w) as g from design a join design b on a.game = b.game and a.col <= b.col where a.col < 20 and b.col < 20 group by all) e, (select unnest(range(5)) as fold) f where e.fold <> f.fold group by all", _DESIGN)
+@query("lam47_leave_fold_out")
 def _(t: Tables) -> DataFrame:
-    rows = design(t).where("col < 20").withColumn("fold", Q.arithmetic_fold(F.col("game"), 5).cast("long"))
-    by_fold = M.gram(rows, ["fold"], "game", "col", "v", "w")
-    return L.leave_out(by_fold.select("fold", "i", "j", "g"), "fold").select("fold", "i", "j", r("g").alias("g")).where("g <> 0")
+    """Ridge on all folds of games but one, for each fold."""
+    rows = design(t).withColumn("fold", Q.arithmetic_fold(F.col("game"), 5).cast("long"))
+    right = rows.groupBy("fold", F.col("col").alias("i")).agg(F.sum(F.col("w") * F.col("v") * F.col("y")).alias("g"))
+    by_fold = M.gram(rows, ["fold"], "game", "col", "v", "w").select("fold", "i", "j", "g").unionByName(right.select("fold", "i", F.lit(None).cast("long").alias("j"), "g"))
+    return L.ridge_leaving(by_fold, "fold", 5000.0).select("fold", (F.col("i") - 1).alias("player"), r("beta", 3).alias("rating"))
 
 
 @query("lam54_pair_slope", "select a.season, round(sum(h * d * e) / sum(h * e * e), 4) as slope from (select a.season, a.poss * b.poss / (a.poss + b.poss) as h, a.rate - b.rate as d, (a.poss - b.poss) / 100 as e from cores a join cores b on a.season = b.season and a.core = b.core and a.lineup < b.lineup) a group by 1", _PAIRS)
@@ -411,7 +418,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam78_posterior_sd")
 def _(t: Tables) -> DataFrame:
-    found = L.ridge(equations(t), "season", 5000.0)
+    found = L.ridge(equations(t), "season", 5000.0, sd=True)
     return found.where("i > 0").groupBy("season").agg(r(F.min("sd"), 6).alias("least"), r(F.max("sd"), 6).alias("most"))
 
 

@@ -22,18 +22,31 @@ class Tables:
         raise AttributeError(name)
 
     @cached_property
-    def fact(self) -> DataFrame:
-        """One row a line: game, season, phase, day, player (supplier), part, poss, pts, flag, status, team."""
+    def lines(self) -> DataFrame:
+        """One row a line, without a join: game, player (supplier), part, line, poss, pts, flag, status, shipped."""
+        return self.lineitem.select(
+            F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("poss"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pts"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").cast("date").alias("shipped"),
+        )
+
+    @cached_property
+    def played(self) -> DataFrame:
+        """The lines with their game's season, phase, day, customer and priority."""
         orders = self.orders.select(
             F.col("o_orderkey").alias("game"), F.year("o_orderdate").alias("season"), F.when(F.col("o_orderstatus") == "P", "PO").otherwise("RS").alias("phase"),
             F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"),
         )
-        lines = self.lineitem.select(
-            F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("poss"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pts"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").cast("date").alias("shipped"),
-        )
+        return self.lines.join(orders, "game")
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        """The played lines with their player's team.
+
+        An inner join cannot be dropped by the optimiser: queries that need no team start from ``played``, those that
+        need nothing of the game from ``lines``.  Keys of lines are foreign keys, so all three have the same rows.
+        """
         teams = self.supplier.select(F.col("s_suppkey").alias("player"), F.col("s_nationkey").alias("team"))
-        return lines.join(orders, "game").join(teams, "player")
+        return self.played.join(teams, "player")
 
     @cached_property
     def player_season(self) -> DataFrame:
@@ -43,7 +56,7 @@ class Tables:
     @cached_property
     def lineups(self) -> DataFrame:
         """One row a game with at least two players: the sorted players, possessions, points."""
-        whole = self.fact.groupBy("season", "game").agg(F.array_sort(F.collect_set("player")).alias("lineup"), F.sum("poss").alias("poss"), F.sum("pts").alias("pts"))
+        whole = self.played.groupBy("season", "game").agg(F.array_sort(F.collect_set("player")).alias("lineup"), F.sum("poss").alias("poss"), F.sum("pts").alias("pts"))
         return whole.where(F.size("lineup") >= 2)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintforge.sources.stores import shared_folder
+
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream over the event file(s), with event time and a watermark of four hours."""
@@ -17,14 +17,24 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream to the end of its input and return its final table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream to the end of its input and return its final table, from Parquet in the shared folder.
+
+    Offsets and state are kept there too.  A batch replaces its own folder (in mode complete, the whole table), so one
+    that runs again changes nothing.
+    """
+    spark, place = stream.sparkSession, shared_folder(stream.sparkSession)
+    schema = stream.schema
+
+    def store(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/batch={0 if mode == 'complete' else number}")
+
+    run = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{place}-offsets").trigger(availableNow=True).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return stream.sparkSession.table(name)
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{place}/batch=-1")
+    return spark.read.schema(schema).parquet(f"{place}/batch=*")
 
 
 def hourly_counts(spark: SparkSession, path: str) -> DataFrame:
