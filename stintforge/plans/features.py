@@ -19,14 +19,14 @@ from stintforge.sources.tables import Tables
 
 @query("src05_box_score", "select game, player, count(*) as n, count(*) filter (where flag <> 'N') as made, sum(poss)::double as poss from fact group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("game", "player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"), F.sum("poss").alias("poss"))
+    return t.lines.groupBy("game", "player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"), F.sum("poss").alias("poss"))
 
 
 @query("src06_period_box", "select game, player, count(*) as n, round(sum(pts), 4) as pts from fact where part * 37 % 28800 >= 7200 and part * 37 % 28800 < 14400 group by all")
 def _(t: Tables) -> DataFrame:
     """The box of the second period: its range of tenths of a second is a scalar expression, and the filter a range."""
     period, tenths = F.lit(2), F.col("part") * 37 % 28800
-    return t.fact.where((tenths >= (period - 1) * 7200) & (tenths < period * 7200)).groupBy("game", "player").agg(F.count("*").alias("n"), r(F.sum("pts")).alias("pts"))
+    return t.lines.where((tenths >= (period - 1) * 7200) & (tenths < period * 7200)).groupBy("game", "player").agg(F.count("*").alias("n"), r(F.sum("pts")).alias("pts"))
 
 
 @query("src16_csv_scan", "select p_partkey, p_name || ', \"' || p_brand || '\"' as label, case when p_size % 7 = 0 then null else p_size end as size from part")
@@ -77,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 @query("src39_coordinate_matrix", "select game, count(*) as entries, round(sum(v * x), 4) as product from (select game, player, sum(poss) as v, player % 7 as x from fact group by game, player) group by 1")
 def _(t: Tables) -> DataFrame:
     """A sparse matrix stored as coordinates with its column keys beside it, then multiplied by a vector."""
-    entries = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("v"))
+    entries = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("v"))
     keys = entries.select("player").distinct().withColumn("col", F.dense_rank().over(Window.orderBy("player")) - 1)
     matrix = stores.round_trip(entries.join(keys, "player").select("game", "col", "v"), "parquet")
     names = stores.round_trip(keys, "parquet")
@@ -134,7 +134,7 @@ def _(t: Tables) -> DataFrame:
 @query("agg29_foul_counts", "select season, player, count(*) filter (where flag = 'R') as personal, count(*) filter (where flag = 'R' and status = 'F') as shooting, count(*) filter (where flag = 'A') as drawn, count(*) filter (where flag = 'N' and poss > 40) as technical, count(*) filter (where status = 'O' and poss < 5) as loose from fact group by all")
 def _(t: Tables) -> DataFrame:
     rules = {"personal": "flag = 'R'", "shooting": "flag = 'R' and status = 'F'", "drawn": "flag = 'A'", "technical": "flag = 'N' and poss > 40", "loose": "status = 'O' and poss < 5"}
-    return t.fact.groupBy("season", "player").agg(*[F.count_if(F.expr(rule)).alias(name) for name, rule in rules.items()])
+    return t.played.groupBy("season", "player").agg(*[F.count_if(F.expr(rule)).alias(name) for name, rule in rules.items()])
 
 
 @query("agg61_pace", "select season, round(sum(poss) / sum(games), 6) as pace from player_season group by 1")
@@ -144,7 +144,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("win04_halves_at_build", "select half, phase, count(*) as games from (select game, phase, case when row_number() over (partition by season, phase order by day, game) % 2 = 1 then 'A' else 'B' end as half from (select game, any_value(season) as season, any_value(phase) as phase, any_value(day) as day from fact group by 1)) group by all")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.groupBy("game").agg(F.max("season").alias("season"), F.max("phase").alias("phase"), F.max("day").alias("day"))
+    games = t.played.groupBy("game").agg(F.max("season").alias("season"), F.max("phase").alias("phase"), F.max("day").alias("day"))
     place = F.row_number().over(Window.partitionBy("season", "phase").orderBy("day", "game"))
     return games.withColumn("half", F.when(place % 2 == 1, "A").otherwise("B")).groupBy("half", "phase").agg(F.count("*").alias("games"))
 
@@ -213,7 +213,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl19_era_kernel", "select a.season as rated, b.season, round(power(0.5, greatest(abs(a.season - b.season) - 1, 0) / 2.5), 6) as weight from (select distinct season from fact) a, (select distinct season from fact) b")
 def _(t: Tables) -> DataFrame:
-    seasons = t.fact.select("season").distinct()
+    seasons = t.played.select("season").distinct()
     pairs = seasons.select(F.col("season").alias("rated"), F.explode(F.sequence(F.col("season") - 40, F.col("season") + 40)).alias("season")).join(seasons, "season", "left_semi")
     return pairs.select("rated", "season", r(S.half_life(F.col("season") - F.col("rated"), 2.5, 1.0), 6).alias("weight"))
 
@@ -227,7 +227,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl28_ratio_against_league", "select season, player, round((made + 40 * lm / ln_) / (n + 40) - (lm + 40 * lm / ln_) / (ln_ + 40), 6) as above from (select *, sum(made) over w as lm, sum(n) over w as ln_ from (select season, player, count(*) filter (where flag <> 'N') as made, count(*) as n from fact group by all) window w as (partition by season))")
 def _(t: Tables) -> DataFrame:
     """A padded ratio less the league's under the same padding."""
-    own = t.fact.groupBy("season", "player").agg(F.count_if(F.col("flag") != "N").alias("made"), F.count("*").alias("n"))
+    own = t.played.groupBy("season", "player").agg(F.count_if(F.col("flag") != "N").alias("made"), F.count("*").alias("n"))
     league = Window.partitionBy("season")
     made, n = F.sum("made").over(league), F.sum("n").over(league)
     padded = lambda m, k: (m + 40 * made / n) / (k + 40)
@@ -241,7 +241,7 @@ _SPOTS = """spots as (select season, player, sum((part % 3 = 0)::int) as m0, sum
 def _(t: Tables) -> DataFrame:
     """Of each spot group's misses, those that did not follow a pass: the expected passed ones scaled by the lean toward assists."""
     spot = lambda k, rule="true": F.count_if(F.expr(f"part % 3 = {k} and {rule}"))
-    rows = t.fact.groupBy("season", "player").agg(*[spot(k).alias(f"m{k}") for k in range(3)], *[spot(k, "flag = 'R'").alias(f"a{k}") for k in range(3)], (F.count("*") / 9.0).alias("e"))
+    rows = t.played.groupBy("season", "player").agg(*[spot(k).alias(f"m{k}") for k in range(3)], *[spot(k, "flag = 'R'").alias(f"a{k}") for k in range(3)], (F.count("*") / 9.0).alias("e"))
     own = [F.col(f"m{k}") - F.least((F.col(f"a{k}") + 0.5) / (F.col("e") + 0.5) * F.col("e"), F.col(f"m{k}")) for k in range(3)]
     return rows.select("season", "player", r(own[0] + own[1] + own[2], 6).alias("own"))
 
@@ -252,7 +252,7 @@ def _(t: Tables) -> DataFrame:
     kinds = {"2": "poss <= 35", "3": "poss > 35"}
     tries = [F.count_if(F.expr(rule)).alias(f"n{k}") for k, rule in kinds.items()]
     made = [F.count_if(F.expr(f"{rule} and flag <> 'N'")).alias(f"m{k}") for k, rule in kinds.items()]
-    rows = t.fact.groupBy("season", "player").agg(*tries, *made).withColumns({"x2": F.col("n2") * 0.48, "x3": F.col("n3") * 0.35})
+    rows = t.played.groupBy("season", "player").agg(*tries, *made).withColumns({"x2": F.col("n2") * 0.48, "x3": F.col("n3") * 0.35})
     league = Window.partitionBy("season")
     rate = lambda k: F.sum(f"m{k}").over(league) / F.sum(f"n{k}").over(league)
     pad = lambda number, n, k, level: r((number + k * level) / (n + k), 6)
@@ -271,12 +271,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl36_lead_kept", "select game, round(0.9 - 0.04 * (1 - count(*) / 8.0), 6) as kept from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("game").agg(r(0.9 - 0.04 * (1 - F.count("*") / 8.0), 6).alias("kept"))
+    return t.lines.groupBy("game").agg(r(0.9 - 0.04 * (1 - F.count("*") / 8.0), 6).alias("kept"))
 
 
 @query("scl41_flat_share", "select game, player, sum(poss) / sum(sum(poss)) over (partition by game) < 0.25 as flat from fact group by game, player")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     return own.select("game", "player", (F.col("p") / F.sum("p").over(Window.partitionBy("game")) < 0.25).alias("flat"))
 
 
@@ -295,7 +295,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl54_expected_threes", "select f.season, f.player, count(*) as tries, round(sum(c.rate), 6) as expected from (select *, (part % 8)::int as spot from fact where poss > 35 and part % 24 <> 0) f join (select season, (part % 8)::int as spot, avg((flag <> 'N')::int) as rate from fact where poss > 35 and part % 24 <> 0 group by all) c on f.season = c.season and f.spot = c.spot group by all")
 def _(t: Tables) -> DataFrame:
     """A make's chance at each spot, summed over a player's own tries, late heaves left out."""
-    tries = t.fact.where("poss > 35 and part % 24 <> 0").groupBy("season", "player", (F.col("part") % 8).cast("int").alias("spot")).agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
+    tries = t.played.where("poss > 35 and part % 24 <> 0").groupBy("season", "player", (F.col("part") % 8).cast("int").alias("spot")).agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
     cell = Window.partitionBy("season", "spot")
     rated = tries.withColumn("rate", F.sum("made").over(cell) / F.sum("n").over(cell))
     return rated.groupBy("season", "player").agg(F.sum("n").alias("tries"), r(F.sum(F.col("n") * F.col("rate")), 6).alias("expected"))
@@ -304,7 +304,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl56_rates_by_half", "select player, half, round((made + 25 * level) / (n + 25), 6) as rate, round(((made + 25 * level) / (n + 25)) / level, 6) as ratio from (select *, sum(made) over (partition by half) / sum(n) over (partition by half) as level from (select player, case when game % 2 = 0 then 'A' else 'B' end as half, count(*) filter (where flag <> 'N') as made, count(*) as n from fact group by all union all select player, 'ALL', count(*) filter (where flag <> 'N'), count(*) from fact group by player))")
 def _(t: Tables) -> DataFrame:
     """Padded rates of each half and of both, and their ratio to the level, from one pass over the halves."""
-    halves = t.fact.groupBy("player", F.when(F.col("game") % 2 == 0, "A").otherwise("B").alias("half")).agg(F.count_if(F.col("flag") != "N").alias("made"), F.count("*").alias("n"))
+    halves = t.lines.groupBy("player", F.when(F.col("game") % 2 == 0, "A").otherwise("B").alias("half")).agg(F.count_if(F.col("flag") != "N").alias("made"), F.count("*").alias("n"))
     both = halves.groupBy("player").agg(F.sum("made").alias("made"), F.sum("n").alias("n")).withColumn("half", F.lit("ALL"))
     rows = halves.unionByName(both)
     over = Window.partitionBy("half")
@@ -316,7 +316,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl57_shooters_with_league", "select player, count(*) as n, count(*) filter (where flag <> 'N') as made, (select round(avg((flag <> 'N')::int), 6) from fact) as league from fact group by 1")
 def _(t: Tables) -> DataFrame:
     """Totals of the players, with the level of all of them on every row (one row is broadcast)."""
-    own = t.fact.groupBy("player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
+    own = t.lines.groupBy("player").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made"))
     level = own.agg(r(F.sum("made") / F.sum("n"), 6).alias("league"))
     return own.join(F.broadcast(level)).select("player", "n", "made", "league")
 
@@ -337,7 +337,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl62_renamed", "select case flag when 'N' then 'none' when 'R' then 'returned' else flag end as name, count(*) as n from fact group by 1")
 def _(t: Tables) -> DataFrame:
     names = F.create_map(F.lit("N"), F.lit("none"), F.lit("R"), F.lit("returned"))
-    return t.fact.groupBy(F.coalesce(F.try_element_at(names, F.col("flag")), "flag").alias("name")).agg(F.count("*").alias("n"))
+    return t.lines.groupBy(F.coalesce(F.try_element_at(names, F.col("flag")), "flag").alias("name")).agg(F.count("*").alias("n"))
 
 
 # ---- time

@@ -97,7 +97,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam26_extrapolation", "select a.player, round(2 * b.v - a.v, 4) as at_zero from (select player, avg(poss) as v from fact where game % 2 = 0 group by 1) a join (select player, avg(poss) as v from fact where game % 4 <> 0 group by 1) b on a.player = b.player")
 def _(t: Tables) -> DataFrame:
-    wide = t.fact.groupBy("player").agg(F.avg(F.when(F.col("game") % 2 == 0, F.col("poss"))).alias("a"), F.avg(F.when(F.col("game") % 4 != 0, F.col("poss"))).alias("b"))
+    wide = t.lines.groupBy("player").agg(F.avg(F.when(F.col("game") % 2 == 0, F.col("poss"))).alias("a"), F.avg(F.when(F.col("game") % 4 != 0, F.col("poss"))).alias("b"))
     return wide.where("a is not null and b is not null").select("player", r(2 * F.col("b") - F.col("a")).alias("at_zero"))
 
 
@@ -151,14 +151,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam53_observed_expected", "select l.game, round(any_value(l.pts) / (any_value(l.poss) * avg(q.rate)), 6) as ratio from (select game, pts, poss, unnest(lineup) as player from lineups) l join (select player, sum(pts) / sum(poss) as rate from fact group by 1) q on l.player = q.player group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    rate = t.lines.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
     slots = t.lineups.select("game", "pts", "poss", F.explode("lineup").alias("player"))
     return slots.join(rate, "player").groupBy("game").agg(r(F.max("pts") / (F.max("poss") * F.avg("rate")), 6).alias("ratio"))
 
 
 @query("lam61_level_refit", "select season, round(regr_slope(y, x), 4) as slope, round(regr_intercept(y, x) / 1000, 4) as level from (select p.season, pts / poss as y, t.rate as x from player_season p join (select player, sum(pts) / sum(poss) as rate from fact group by 1) t on p.player = t.player) group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("x"))
+    rate = t.played.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("x"))
     rows = t.player_season.join(rate, "player").withColumn("y", F.col("pts") / F.col("poss"))
     return rows.groupBy("season").agg(r(F.regr_slope("y", "x")).alias("slope"), r(F.regr_intercept("y", "x") / 1000).alias("level"))
 
@@ -202,7 +202,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam74_ridge_logistic")
 def _(t: Tables) -> DataFrame:
-    rows = t.fact.select("game", "line", "player", "part", "poss", (F.col("flag") == "R").cast("double").alias("label"))
+    rows = t.lines.select("game", "line", "player", "part", "poss", (F.col("flag") == "R").cast("double").alias("label"))
     features = VectorAssembler(inputCols=["poss", "line"], outputCol="features").transform(rows)
     model = LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=20).fit(features)
     return model.transform(features).groupBy("player").agg(r(F.avg("prediction")).alias("predicted"), r(F.avg("label")).alias("seen"))
@@ -232,7 +232,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam84_bootstrap_weights", "select bag, count(*) as players, sum(k)::bigint as draws from (select bag, player, ((player * 2654435761 + bag * 40503) % 4294967296 % 3)::int as k from (select distinct player from fact), (select unnest(range(5)) as bag)) group by 1")
 def _(t: Tables) -> DataFrame:
-    bags = t.fact.select("player").distinct().select("player", F.explode(F.expr("sequence(0L, 4L)")).alias("bag"))
+    bags = t.lines.select("player").distinct().select("player", F.explode(F.expr("sequence(0L, 4L)")).alias("bag"))
     k = F.pmod(F.pmod(F.col("player") * 2654435761 + F.col("bag") * 40503, F.lit(1 << 32)), F.lit(3))
     return bags.groupBy("bag").agg(F.count("*").alias("players"), F.sum(k).alias("draws"))
 
@@ -257,7 +257,7 @@ def _(t: Tables) -> DataFrame:
 @query("chk04_hac_error", """select round(sqrt(g0 + 2 * (0.8 * g1 + 0.6 * g2 + 0.4 * g3 + 0.2 * g4)) / n, 6) as se from (select count(*) as n, sum(e * e) as g0, sum(e * lag1) as g1, sum(e * lag2) as g2, sum(e * lag3) as g3, sum(e * lag4) as g4 from (
   select e, lag(e, 1) over o as lag1, lag(e, 2) over o as lag2, lag(e, 3) over o as lag3, lag(e, 4) over o as lag4 from (select m, avg(poss) - 25.5 as e from (select season * 100 + month(day) as m, poss from fact) group by 1) window o as (order by m)))""")
 def _(t: Tables) -> DataFrame:
-    months = t.fact.groupBy((F.col("season") * 100 + F.month("day")).alias("m")).agg((F.avg("poss") - 25.5).alias("e"))
+    months = t.played.groupBy((F.col("season") * 100 + F.month("day")).alias("m")).agg((F.avg("poss") - 25.5).alias("e"))
     line = Window.orderBy("m")
     lags = months.select("e", *[F.lag("e", k).over(line).alias(f"l{k}") for k in range(1, 5)])
     sums = lags.agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), *[F.sum(F.col("e") * F.col(f"l{k}")).alias(f"g{k}") for k in range(1, 5)])
@@ -268,7 +268,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     gap = F.avg(F.when(F.col("flag") == "A", F.col("poss"))) - F.avg(F.when(F.col("flag") == "R", F.col("poss")))
     era = F.when(F.col("season") < 1997, "early").when(F.col("season") < 2000, "middle").otherwise("late")
-    rows = t.fact.groupBy("season").agg(gap.alias("d")).withColumn("era", era)
+    rows = t.played.groupBy("season").agg(gap.alias("d")).withColumn("era", era)
     return rows.groupingSets([["era"], []], "era").agg(r(F.avg("d")).alias("mean"), F.count("*").alias("seasons")).select(F.coalesce("era", F.lit("all")).alias("era"), "mean", "seasons")
 
 
@@ -294,7 +294,7 @@ def _(t: Tables) -> DataFrame:
 @query("chk11_jackknife", "select round(sqrt((n - 1.0) / n * sum((x - m) * (x - m))), 4) as se from (select *, avg(x) over () as m, count(*) over () as n from (select (sum(a) over () - a) / (sum(b) over () - b) as x from (select season, sum(pts) as a, sum(poss) as b from fact group by 1))) group by n")
 def _(t: Tables) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
-    seasons = t.fact.groupBy("season").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b"))
+    seasons = t.played.groupBy("season").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b"))
     left = seasons.select(((F.sum("a").over(every) - F.col("a")) / (F.sum("b").over(every) - F.col("b"))).alias("x"))
     return left.agg(r(F.sqrt((F.count("*") - 1) * F.var_pop("x"))).alias("se"))
 
@@ -307,7 +307,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("chk16_concentration", "select game, round(sum(p * p) / (sum(p) * sum(p)), 9) as share from (select game, player, sum(poss) as p from fact group by all) group by 1")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     return own.groupBy("game").agg(r(S.concentration(F.array_sort(F.collect_list("p"))), 9).alias("share"))
 
 
@@ -335,7 +335,7 @@ def _(t: Tables) -> DataFrame:
 @query("cmd12_table_diff", "select side, count(*) as n from (select 'gone' as side, * from (select game, player, poss from fact where flag <> 'N' except all select game, player, poss from fact where status = 'O') union all select 'new', * from (select game, player, poss from fact where status = 'O' except all select game, player, poss from fact where flag <> 'N')) group by 1")
 def _(t: Tables) -> DataFrame:
     cols = ["game", "player", "poss"]
-    old, new = t.fact.where("flag <> 'N'").select(*cols), t.fact.where("status = 'O'").select(*cols)
+    old, new = t.lines.where("flag <> 'N'").select(*cols), t.lines.where("status = 'O'").select(*cols)
     both = old.exceptAll(new).withColumn("side", F.lit("gone")).unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
     return both.groupBy("side").agg(F.count("*").alias("n"))
 
@@ -361,7 +361,7 @@ def _(t: Tables) -> DataFrame:
 @query("lam18_prior_sums", "select game, round(sum(q.pts / q.poss), 4) as prior from (select season, game, unnest(lineup) as player from lineups) l join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")
 def _(t: Tables) -> DataFrame:
     """Sum of the players' priors, last season's rates."""
-    prior = t.fact.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    prior = t.played.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
     return t.lineups.select("season", "game", F.explode("lineup").alias("player")).join(prior, ["season", "player"]).groupBy("game").agg(r(F.sum("rate")).alias("prior"))
 
 
@@ -374,7 +374,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam35_rating_differences", "select a.player as a, b.player as b, round(a.rate - b.rate, 4) as d from (select player, sum(pts) / sum(poss) as rate from fact group by 1) a join (select player, sum(pts) / sum(poss) as rate from fact group by 1) b on b.player = a.player + 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    rate = t.lines.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
     return rate.select(F.col("player").alias("a"), (F.col("player") + 1).alias("b"), F.col("rate").alias("ra")).join(rate.select(F.col("player").alias("b"), F.col("rate").alias("rb")), "b").select("a", "b", r(F.col("ra") - F.col("rb")).alias("d"))
 
 
@@ -424,7 +424,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam87_unseen_weights", "select customer, round(1.0 / len(list_filter([1995, 1996, 1997, 1998, 1999, 2000, 2001, 2002], lambda y: not list_contains(list(distinct season), y))), 6) as weight from fact group by 1".replace("list_contains(list(distinct season), y)", "list_contains(s, y)").replace("from fact group by 1", "from (select customer, list(distinct season) as s from fact group by 1)"))
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("customer").agg(F.collect_set("season").alias("s"))
+    own = t.played.groupBy("customer").agg(F.collect_set("season").alias("s"))
     unseen = F.size(F.filter(F.array(*map(F.lit, range(1995, 2003))), lambda y: ~F.array_contains("s", y)))
     return own.select("customer", r(1.0 / unseen, 6).alias("weight"))
 
@@ -442,14 +442,14 @@ def _(t: Tables) -> DataFrame:
 @query("chk05_paired_z", "select round(avg(d) / greatest(stddev_samp(d) / sqrt(count(*)), 0.05), 4) as z, count(*) as seasons from (select season, avg(poss) filter (where flag = 'A') - avg(poss) filter (where flag = 'N') as d from fact group by 1)")
 def _(t: Tables) -> DataFrame:
     mean = lambda f: F.avg(F.when(F.col("flag") == f, F.col("poss")))
-    gaps = t.fact.groupBy("season").agg((mean("A") - mean("N")).alias("d"))
+    gaps = t.played.groupBy("season").agg((mean("A") - mean("N")).alias("d"))
     return gaps.agg(r(F.avg("d") / F.greatest(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.05))).alias("z"), F.count("*").alias("seasons"))
 
 
 @query("chk13_permutation_null", "select round(avg(case when a.k % 2 = 0 then b.v end) - avg(case when a.k % 2 = 1 then b.v end), 6) as gap from (select season, game, row_number() over (partition by season order by game) as k from g) a join (select season, v, row_number() over (partition by season order by (game * 2654435761) % 4294967296, game) as k from g) b on a.season = b.season and a.k = b.k",
        "g as (select season, game, sum(poss)::double as v from fact group by all)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.groupBy("season", "game").agg(F.sum("poss").alias("v"))
+    games = t.played.groupBy("season", "game").agg(F.sum("poss").alias("v"))
     mixed = F.row_number().over(Window.partitionBy("season").orderBy(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), "game"))
     flagged = games.select("v", (mixed % 2).alias("flag"))
     return flagged.agg(r(F.avg(F.when(F.col("flag") == 0, F.col("v"))) - F.avg(F.when(F.col("flag") == 1, F.col("v"))), 6).alias("gap"))
@@ -457,7 +457,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("chk15_clustered_z", "select round(sum(s) / sqrt(sum(s * s)), 4) as z, count(*) as clusters from (select customer, sum(poss - 25.5) as s from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    clusters = t.fact.groupBy("customer").agg(F.sum(F.col("poss") - 25.5).alias("s"))
+    clusters = t.played.groupBy("customer").agg(F.sum(F.col("poss") - 25.5).alias("s"))
     return clusters.agg(r(F.sum("s") / F.sqrt(F.sum(F.col("s") * F.col("s")))).alias("z"), F.count("*").alias("clusters"))
 
 
@@ -500,8 +500,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam60_rating_over_share", "select game, round(sum(coalesce(q.pts / q.poss, 0) * l.share), 4) as strength from (select season, game, player, sum(poss) / sum(sum(poss)) over (partition by game) as share from fact group by season, game, player) l left join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
-    own = t.fact.groupBy("season", "game", "player").agg(F.sum("poss").alias("p"))
+    rate = t.played.groupBy((F.col("season") + 1).alias("season"), "player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    own = t.played.groupBy("season", "game", "player").agg(F.sum("poss").alias("p"))
     share = own.withColumn("share", F.col("p") / F.sum("p").over(Window.partitionBy("game")))
     return share.join(rate, ["season", "player"], "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(0.0)) * F.col("share"))).alias("strength"))
 
@@ -509,7 +509,7 @@ def _(t: Tables) -> DataFrame:
 @query("lam62_held_out_summary", """select season, round(sum(w * e * e) / sum(w) / 1e6, 6) as mse, round(sum(w * b * b) / sum(w) / 1e6, 6) as base, round(avg(known), 6) as coverage from (select g.season, g.w, g.y - coalesce(q.x, l.lv) as e, g.y - l.lv as b, (q.x is not null)::int as known from
   (select season, game, sum(poss) as w, sum(pts) / sum(poss) as y, min(player) as player from fact where game % 5 = 0 group by all) g join (select season, sum(pts) / sum(poss) as lv from fact where game % 5 <> 0 group by 1) l on g.season = l.season left join (select season, player, sum(pts) / sum(poss) as x from fact where game % 5 <> 0 group by all) q on g.season = q.season and g.player = q.player) group by 1""")
 def _(t: Tables) -> DataFrame:
-    fit, held = t.fact.where("game % 5 <> 0"), t.fact.where("game % 5 = 0")
+    fit, held = t.played.where("game % 5 <> 0"), t.played.where("game % 5 = 0")
     games = held.groupBy("season", "game").agg(F.sum("poss").alias("w"), (F.sum("pts") / F.sum("poss")).alias("y"), F.min("player").alias("player"))
     sums = fit.groupBy("season", "player").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b"))
     level = sums.groupBy("season").agg((F.sum("a") / F.sum("b")).alias("lv"))
@@ -527,19 +527,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam76_grouped_contributions", "select player, flag, round(sum(poss * (pts / poss - 1400)) / 1000, 4) as part from fact group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player", "flag").agg(r(F.sum(F.col("poss") * (F.col("pts") / F.col("poss") - 1400)) / 1000).alias("part"))
+    return t.lines.groupBy("player", "flag").agg(r(F.sum(F.col("poss") * (F.col("pts") / F.col("poss") - 1400)) / 1000).alias("part"))
 
 
 @query("chk03_error_by_slice", "select season, phase, round(sqrt(sum(poss * (pts / poss / 1000 - 1.5) * (pts / poss / 1000 - 1.5)) / sum(poss)), 6) as error from fact group by all")
 def _(t: Tables) -> DataFrame:
     e = F.col("pts") / F.col("poss") / 1000 - 1.5
-    return t.fact.groupBy("season", "phase").agg(r(F.sqrt(F.sum(F.col("poss") * e * e) / F.sum("poss")), 6).alias("error"))
+    return t.played.groupBy("season", "phase").agg(r(F.sqrt(F.sum(F.col("poss") * e * e) / F.sum("poss")), 6).alias("error"))
 
 
 @query("chk12_calibration_out_of_fold", "select bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(y), 6) as seen from (select x.y, m.p, floor(m.p * 20)::bigint as bin from (select game, player, (flag = 'A')::int as y, game % 3 as fold from fact) x join (select f.fold, q.player, avg((q.flag = 'A')::int) as p from (select unnest(range(3)) as fold) f join fact q on q.game % 3 <> f.fold group by all) m on m.fold = x.fold and m.player = x.player) group by 1")
 def _(t: Tables) -> DataFrame:
     """A player's share in the other folds against what their own fold saw: totals less the fold's own."""
-    own = t.fact.withColumn("fold", F.col("game") % 3).groupBy("player", "fold").agg(F.count_if(F.col("flag") == "A").alias("a"), F.count("*").alias("n"))
+    own = t.lines.withColumn("fold", F.col("game") % 3).groupBy("player", "fold").agg(F.count_if(F.col("flag") == "A").alias("a"), F.count("*").alias("n"))
     over = Window.partitionBy("player")
     rest = own.select("a", "n", ((F.sum("a").over(over) - F.col("a")) / F.nullif(F.sum("n").over(over) - F.col("n"), F.lit(0))).alias("p")).where("p is not null")
     bins = rest.groupBy(F.floor(F.col("p") * 20).alias("bin"))

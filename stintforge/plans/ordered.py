@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stintforge.functions import scalars as S
 from stintforge.operators import machine
+from stintforge.operators import nearest as N
 from stintforge.operators import sequences as Q
 from stintforge.plans.registry import query
 from stintforge.plans.relational import r
@@ -42,14 +43,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("win02_chronology", "select game, (row_number() over (partition by season order by case when phase = 'RS' then 0 else 1 end, day, game))::int as number from (select distinct season, phase, day, game from fact)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.select("season", "phase", "day", "game").distinct()
+    games = t.played.select("season", "phase", "day", "game").distinct()
     order = Window.partitionBy("season").orderBy(F.when(F.col("phase") == "RS", 0).otherwise(1), "day", "game")
     return games.select("game", F.row_number().over(order).alias("number"))
 
 
 @query("win03_alternate_halves", "select game, case when (row_number() over (partition by season order by day, game) - 1) % 2 = 0 then 'A' else 'B' end as half from (select distinct season, day, game from fact)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.select("season", "day", "game").distinct()
+    games = t.played.select("season", "day", "game").distinct()
     return games.select("game", Q.alternate(["season"], ["day", "game"]).alias("half"))
 
 
@@ -79,7 +80,7 @@ def _(t: Tables) -> DataFrame:
 @query("win08_season_runs", """select k.player, a.season as start, s.size, a.season + o.o as season from own a join own k on a.player = k.player and a.season = k.season join (select unnest([1, 2, 3]) as size) s on true
   join (select unnest([0, 1, 2]) as o) o on o.o < s.size where (select count(*) from own b where b.player = a.player and b.season between a.season and a.season + s.size - 1) = s.size""", "own as (select distinct player, season from fact where flag = 'R' and phase = 'PO')")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.where("flag = 'R' and phase = 'PO'").select("player", "season")
+    own = t.played.where("flag = 'R' and phase = 'PO'").select("player", "season")
     return Q.runs_of(own, "player", "season", 3).select("player", "start", "size", "season")
 
 
@@ -137,7 +138,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("win16_top_creator", "select game, player from (select game, player, row_number() over (partition by game order by sum(poss) desc, player) as rk from fact group by game, player) where rk = 1")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     return own.groupBy("game").agg(F.min_by("player", F.struct(-F.col("p"), "player")).alias("player"))
 
 
@@ -185,13 +186,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("win26_relative_to_game", "select game, player, round(sum(pts) / sum(poss) / (sum(sum(pts)) over (partition by game) / sum(sum(poss)) over (partition by game)), 6) as ratio from fact group by game, player")
 def _(t: Tables) -> DataFrame:
-    own, over = t.fact.groupBy("game", "player").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b")), Window.partitionBy("game")
+    own, over = t.lines.groupBy("game", "player").agg(F.sum("pts").alias("a"), F.sum("poss").alias("b")), Window.partitionBy("game")
     return own.select("game", "player", r(F.col("a") / F.col("b") / (F.sum("a").over(over) / F.sum("b").over(over)), 6).alias("ratio"))
 
 
 @query("win30_round_robin_folds", "select game, ((row_number() over (partition by season order by (game * 2654435761) % 4294967296, game) - 1) % 5)::int as fold from (select distinct season, game from fact)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.select("season", "game").distinct()
+    games = t.played.select("season", "game").distinct()
     order = Window.partitionBy("season").orderBy(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), "game")
     return games.select("game", ((F.row_number().over(order) - 1) % 5).alias("fold"))
 
@@ -204,7 +205,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("win32_id_folds", "select ((game * 2654435761) % 4294967296 % 5)::int as fold, count(*) as n, count(distinct game) as games from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy(Q.arithmetic_fold(F.col("game"), 5).alias("fold")).agg(F.count("*").alias("n"), F.countDistinct("game").alias("games"))
+    return t.lines.groupBy(Q.arithmetic_fold(F.col("game"), 5).alias("fold")).agg(F.count("*").alias("n"), F.countDistinct("game").alias("games"))
 
 
 # ---- sorts and limits
@@ -212,23 +213,21 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt02_sorted_lineups", "select game, list_sort(list(distinct player)) as lineup, count(*) = count(distinct player) as clean from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("game").agg(F.array_sort(F.collect_set("player")).alias("lineup"), (F.count("*") == F.countDistinct("player")).alias("clean"))
+    return t.lines.groupBy("game").agg(F.array_sort(F.collect_set("player")).alias("lineup"), (F.count("*") == F.countDistinct("player")).alias("clean"))
 
 
 @query("srt03_nearest_others", """select vec_id, near, place from (select a.vec_id, b.vec_id as near, (row_number() over (partition by a.vec_id order by round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 5), b.vec_id))::int as place
   from embeddings a join embeddings b on a.label <> b.label where a.vec_id % 20 = 0) where place <= 5""")
 def _(t: Tables) -> DataFrame:
-    """A stated query set (ids divisible by 20) against all rows; only each task's five nearest are shuffled."""
-    vector = F.transform("embedding", lambda x: x.cast("double"))
-    asked = t.embeddings.where("vec_id % 20 = 0").select("vec_id", F.col("label").alias("own"), vector.alias("a"))
-    every = t.embeddings.select(F.col("vec_id").alias("near"), "label", vector.alias("b"))
-    near = every.join(F.broadcast(asked), F.col("own") != F.col("label")).select("vec_id", "near", F.round(S.distance(F.col("a"), F.col("b")), 5).alias("d"))
+    """A stated query set (ids divisible by 20) against all rows, in blocks; only each block's five nearest are shuffled."""
+    rows = t.embeddings.select("vec_id", "label", F.col("embedding").alias("vector"))
+    near = N.nearest_others(rows.where("vec_id % 20 = 0"), rows, 5)
     return Q.top(near, ["vec_id"], [F.col("d"), F.col("near")], 5).select("vec_id", "near", "place")
 
 
 @query("srt06_top_twenty", "select player, sum(poss)::double as poss from fact group by 1 order by poss desc, player limit 20")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(F.sum("poss").alias("poss")).orderBy(F.desc("poss"), "player").limit(20)
+    return t.lines.groupBy("player").agg(F.sum("poss").alias("poss")).orderBy(F.desc("poss"), "player").limit(20)
 
 
 @query("srt07_latest_full_season", "select max(season) as season from (select season, median(poss) as m from player_season group by 1) where m >= 250")
@@ -238,7 +237,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt09_nearest_seasons", "select season, other from (select a.season, b.season as other, row_number() over (partition by a.season order by abs(a.season - b.season), b.season) as rk from (select distinct season from fact) a join (select distinct season from fact) b on a.season <> b.season) where rk <= 3")
 def _(t: Tables) -> DataFrame:
-    seasons = t.fact.select("season").distinct()
+    seasons = t.played.select("season").distinct()
     all_of = seasons.agg(F.array_sort(F.collect_set("season")).alias("all"))
     pairs = seasons.join(F.broadcast(all_of)).select("season", F.explode("all").alias("other")).where("season <> other")
     return Q.top(pairs, ["season"], [F.abs(F.col("season") - F.col("other")), F.col("other")], 3).select("season", "other")
@@ -262,7 +261,7 @@ def _(t: Tables) -> DataFrame:
 @query("set03_numbered_players", "select season, player, row_number() over (order by season, player) - 1 as number from (select distinct season, player from fact)")
 def _(t: Tables) -> DataFrame:
     """Numbers in sorted order without one task for all rows: counts of the seasons before, and the place inside."""
-    own = t.fact.select("season", "player").distinct()
+    own = t.played.select("season", "player").distinct()
     before = own.groupBy("season").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("season").orderBy("player"))
     return own.join(F.broadcast(before.drop("n")), "season").select("season", "player", (F.col("before") + inside - 1).alias("number"))
@@ -270,7 +269,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("set05_season_sets", "select seasons, count(*) as n from (select customer, list_sort(list(distinct season)) as seasons from fact group by 1) group by 1")
 def _(t: Tables) -> DataFrame:
-    sets = t.fact.groupBy("customer").agg(F.array_sort(F.collect_set("season")).alias("seasons"))
+    sets = t.played.groupBy("customer").agg(F.array_sort(F.collect_set("season")).alias("seasons"))
     return sets.groupBy("seasons").agg(F.count("*").alias("n"))
 
 
@@ -288,7 +287,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("set08_complete_folds", "select season, list_sort(list(distinct fold)) = [0, 1, 2, 3, 4] as complete from (select season, (game % 5)::int as fold from fact) group by 1")
 def _(t: Tables) -> DataFrame:
-    folds = t.fact.select("season", (F.col("game") % 5).cast("int").alias("fold"))
+    folds = t.played.select("season", (F.col("game") % 5).cast("int").alias("fold"))
     return folds.groupBy("season").agg((F.array_sort(F.collect_set("fold")) == F.array(*map(F.lit, range(5)))).alias("complete"))
 
 
@@ -301,7 +300,7 @@ _GAMES = "games as (select season, day, game, row_number() over (partition by se
 @query("tim01_prefix_cut", "select season, max(day)::varchar as until, count(*) as games from games g where day <= (select min(day) from games h where h.season = g.season and rk >= n * 0.5) group by 1", _GAMES)
 def _(t: Tables) -> DataFrame:
     own = Window.partitionBy("season")
-    games = t.fact.select("season", "day", "game").distinct()
+    games = t.played.select("season", "day", "game").distinct()
     games = games.withColumn("rk", F.row_number().over(own.orderBy("day", "game"))).withColumn("n", F.count("*").over(own))
     cut = F.min(F.when(F.col("rk") >= F.col("n") * 0.5, F.col("day"))).over(own)
     return games.withColumn("cut", cut).where("day <= cut").groupBy("season").agg(F.max("day").cast("string").alias("until"), F.count("*").alias("games"))
@@ -310,7 +309,7 @@ def _(t: Tables) -> DataFrame:
 @query("tim02_snapshots", "select s.share, g.season, count(*) as games from games g, (select unnest([0.25, 0.5, 0.75])::double as share) s where rk <= n * s.share group by all", _GAMES)
 def _(t: Tables) -> DataFrame:
     own = Window.partitionBy("season")
-    games = t.fact.select("season", "day", "game").distinct()
+    games = t.played.select("season", "day", "game").distinct()
     games = games.withColumn("rk", F.row_number().over(own.orderBy("day", "game"))).withColumn("n", F.count("*").over(own))
     shares = F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     return games.withColumn("share", shares).where(F.col("rk") <= F.col("n") * F.col("share")).groupBy("share", "season").agg(F.count("*").alias("games"))
@@ -318,12 +317,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("tim04_latest_closed", "select max(season) as season from (select season, max(month(day)) as m from fact group by 1) where m = 12")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season").agg(F.max(F.month("day")).alias("m")).where("m = 12").agg(F.max("season").alias("season"))
+    return t.played.groupBy("season").agg(F.max(F.month("day")).alias("m")).where("m = 12").agg(F.max("season").alias("season"))
 
 
 @query("tim11_past_future", "select day < date '1999-01-01' as past, count(*) as n, count(distinct game) as games from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy((F.col("day") < "1999-01-01").alias("past")).agg(F.count("*").alias("n"), F.countDistinct("game").alias("games"))
+    return t.played.groupBy((F.col("day") < "1999-01-01").alias("past")).agg(F.count("*").alias("n"), F.countDistinct("game").alias("games"))
 
 
 @query("tim13_possessions", """select user_id, poss::bigint as poss, count(*) as n, round(sum(case when event_type in ('click', 'view') then value else 0 end), 4) as value, max(case when event_type in ('purchase', 'error') then event_type end) as ending from (
@@ -370,7 +369,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("win27_blowout_weight", "select player, round(sum(case when abs(poss - 25) >= 20 then 0.5 * poss else poss end), 4) as weighted from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(r(F.sum(F.when(F.abs(F.col("poss") - 25) >= 20, 0.5 * F.col("poss")).otherwise(F.col("poss")))).alias("weighted"))
+    return t.lines.groupBy("player").agg(r(F.sum(F.when(F.abs(F.col("poss") - 25) >= 20, 0.5 * F.col("poss")).otherwise(F.col("poss")))).alias("weighted"))
 
 
 @query("win28_mean_until_season", "select season, player, round(coalesce(case when games >= 60 then pts / poss end, (select avg(pts / poss) from player_season where games >= 60 and season <= 1998)), 4) as rate from player_season")
@@ -384,7 +383,7 @@ def _(t: Tables) -> DataFrame:
   join (select unnest([0, 1, 2]) as fold) f on f.fold in (a.player % 3, b.player % 3)) group by 1""", "own as (select game, player, sum(poss) as p from fact group by all)")
 def _(t: Tables) -> DataFrame:
     """Products of a game's pairs, once for each fold that either player is in; pairs come from the game's own array."""
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     sets = own.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("player", "p"))).alias("e"))
     left = sets.select("e", F.posexplode("e").alias("at", "a"))
     pairs = left.select("a", F.explode(F.slice("e", F.col("at") + 2, F.size("e") - F.col("at"))).alias("b"))
@@ -394,7 +393,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt01_stable_sort", "select game, player, (row_number() over (partition by game order by line, player, part, poss, pts))::int as seq from fact")
 def _(t: Tables) -> DataFrame:
-    return t.fact.select("game", "player", F.row_number().over(Window.partitionBy("game").orderBy("line", "player", "part", "poss", "pts")).alias("seq"))
+    return t.lines.select("game", "player", F.row_number().over(Window.partitionBy("game").orderBy("line", "player", "part", "poss", "pts")).alias("seq"))
 
 
 @query("srt04_two_key_rank", "select team, (row_number() over (order by best desc, first, team))::int as place from (select team, max(poss) as best, min(season) as first from player_season group by 1)")
@@ -403,22 +402,24 @@ def _(t: Tables) -> DataFrame:
     return teams.select("team", F.row_number().over(Window.orderBy(F.desc("best"), "first", "team")).alias("place"))
 
 
-@query("srt05_own_rank", """select a.vec_id, 1 + count(*) filter (where b.d < a.d) as place from (select vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as d from embeddings) a join (select label, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as d from embeddings) b on a.label = b.label group by all""")
+@query("srt05_own_rank", """select vec_id, 1 + count(*) filter (where not same and d < own) as place from (select *, min(d) filter (where same and vec_id <> near) over (partition by vec_id) as own from (
+  select a.vec_id, b.vec_id as near, a.label = b.label as same, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))), 5) as d
+  from embeddings a cross join embeddings b where a.vec_id % 20 = 0)) where own is not null group by 1""")
 def _(t: Tables) -> DataFrame:
-    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
-    rows = t.embeddings.select("vec_id", "label", total.alias("d"))
-    return rows.select("vec_id", F.rank().over(Window.partitionBy("label").orderBy("d")).cast("long").alias("place"))
+    """For a stated query set: where its nearest row of the same label ranks among all rows of other labels."""
+    rows = t.embeddings.select("vec_id", "label", F.col("embedding").alias("vector"))
+    return N.own_rank(rows.where("vec_id % 20 = 0"), rows)
 
 
 @query("srt08_top_starters", "select player from (select player, count(distinct game) as g, sum(poss) as p from fact group by 1) order by g desc, p desc, player limit 150")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("player").agg(F.countDistinct("game").alias("g"), F.sum("poss").alias("p"))
+    own = t.lines.groupBy("player").agg(F.countDistinct("game").alias("g"), F.sum("poss").alias("p"))
     return own.orderBy(F.desc("g"), F.desc("p"), "player").limit(150).select("player")
 
 
 @query("srt10_near_season_mean", "select season, round(avg(rate), 4) as mean from (select a.season, b.rate, row_number() over (partition by a.season order by abs(a.season - b.season), b.season) as rk from yearly a join yearly b on a.season <> b.season) where rk <= 4 group by 1", "yearly as (select season, sum(pts) / sum(poss) as rate from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    yearly = t.fact.groupBy("season").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    yearly = t.played.groupBy("season").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
     every = yearly.agg(F.array_sort(F.collect_list(F.struct("season", "rate"))).alias("all"))
     pairs = yearly.select("season").join(F.broadcast(every)).select("season", F.explode("all").alias("o")).where("season <> o.season")
     near = Q.top(pairs, ["season"], [F.abs(F.col("season") - F.col("o.season")), F.col("o.season")], 4)
@@ -435,25 +436,25 @@ def _(t: Tables) -> DataFrame:
 @query("set02_renumbered_union", "select part, (dense_rank() over (order by part) - 1)::bigint as number from (select distinct part from fact)")
 def _(t: Tables) -> DataFrame:
     """Pieces a season and phase, united; their parts get numbers in sorted order."""
-    pieces = [t.fact.where((F.col("phase") == p) & (F.col("season") % 2 == k)).select("part") for p in ("RS", "PO") for k in (0, 1)]
+    pieces = [t.played.where((F.col("phase") == p) & (F.col("season") % 2 == k)).select("part") for p in ("RS", "PO") for k in (0, 1)]
     return Q.numbered(reduce(DataFrame.union, pieces).distinct(), "part", "number")
 
 
 @query("set04_neighbour_seasons", "select customer, list_sort(list_filter([min(season) - 1, max(season) + 1], lambda s: s between 1995 and 2001)) as wanted from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("customer").agg(F.array(F.min("season") - 1, F.max("season") + 1).alias("s"))
+    own = t.played.groupBy("customer").agg(F.array(F.min("season") - 1, F.max("season") + 1).alias("s"))
     return own.select("customer", F.array_sort(F.filter("s", lambda x: x.between(1995, 2001))).alias("wanted"))
 
 
 @query("set09_dealt_seasons", "select season, ((row_number() over (order by season) - 1) % 3)::int as worker from (select distinct season from fact)")
 def _(t: Tables) -> DataFrame:
-    seasons = t.fact.select("season").distinct()
+    seasons = t.played.select("season").distinct()
     return seasons.select("season", ((F.row_number().over(Window.orderBy("season")) - 1) % 3).alias("worker"))
 
 
 @query("set11_seasons_by_share", "select season, share, round(sum(poss) * share, 4) as poss from fact, (select unnest([0.25, 0.5, 1.0])::double as share) group by season, share")
 def _(t: Tables) -> DataFrame:
-    seasons = t.fact.groupBy("season").agg(F.sum("poss").alias("p"))
+    seasons = t.played.groupBy("season").agg(F.sum("poss").alias("p"))
     return seasons.select("season", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("share"), "p").select("season", "share", r(F.col("p") * F.col("share")).alias("poss"))
 
 

@@ -404,7 +404,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Context levels with the ratings held as an offset; the contexts exclude each other, so the solve is a mean."""
     rate = t.player_season.select("season", "player", (F.col("pts") / F.col("poss")).alias("x"))
-    rows = t.fact.join(rate, ["season", "player"])
+    rows = t.played.join(rate, ["season", "player"])
     return rows.groupBy("season", "priority").agg(r(F.sum(F.col("pts") - F.col("poss") * F.col("x")) / F.sum("poss")).alias("level"))
 
 
@@ -422,16 +422,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam66_expected_margin", "select f.game, round(sum(case when f.player % 2 = 0 then q.x else -q.x end) + 0.5, 4) as margin from (select distinct game, player from fact) f join (select player, sum(pts) / sum(poss) / 100 as x from fact group by 1) q on f.player = q.player group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss") / 100).alias("x"))
+    rate = t.lines.groupBy("player").agg((F.sum("pts") / F.sum("poss") / 100).alias("x"))
     side = F.when(F.col("player") % 2 == 0, F.col("x")).otherwise(-F.col("x"))
-    return t.fact.select("game", "player").distinct().join(rate, "player").groupBy("game").agg(r(F.sum(side) + 0.5).alias("margin"))
+    return t.lines.select("game", "player").distinct().join(rate, "player").groupBy("game").agg(r(F.sum(side) + 0.5).alias("margin"))
 
 
 @query("lam68_two_plans_agree", "select player, 0.0::double as apart from fact group by 1")
 def _(t: Tables) -> DataFrame:
     """Games without a player, by subtraction and by an outright replacement of the rating: the same number."""
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss") / 100).alias("x"))
-    seats = t.fact.select("game", "player").distinct().join(rate, "player")
+    rate = t.lines.groupBy("player").agg((F.sum("pts") / F.sum("poss") / 100).alias("x"))
+    seats = t.lines.select("game", "player").distinct().join(rate, "player")
     total = seats.groupBy("game").agg(F.sum("x").alias("total"))
     fast = seats.join(total, "game").groupBy("player").agg(F.sum(F.col("total") - F.col("x") + 10).alias("fast"))
     mates = seats.select("game", F.col("player").alias("mate"), F.col("x").alias("mx"))
@@ -447,7 +447,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A logistic curve over a spline of the distance, and each distance's own rate padded toward it."""
     basis = lambda x: array_to_vector(F.concat(F.array(x), L.spline_basis(x, [1.0, 10.0, 20.0, 35.0, 50.0])))
-    bins = t.fact.groupBy("poss").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made")).withColumn("features", basis(F.col("poss")))
+    bins = t.lines.groupBy("poss").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "N").alias("made")).withColumn("features", basis(F.col("poss")))
     cases = bins.select("features", F.inline(F.array(F.struct(F.lit(1.0).alias("label"), F.col("made").cast("double").alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("made")).cast("double").alias("weight")))))
     model = LogisticRegression(weightCol="weight", regParam=1e-6, maxIter=50).fit(cases.where("weight > 0"))
     fitted = model.transform(bins).withColumn("p", vector_to_array("probability")[1])
@@ -566,7 +566,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A flag permuted inside each game by a hash order; the game keeps its number of flags."""
     line = Window.partitionBy("game").orderBy("line", "player", "part", "poss", "pts")
-    rows = t.fact.select("game", "poss", (F.col("flag") != "N").alias("made"), F.row_number().over(line).alias("k"))
+    rows = t.lines.select("game", "poss", (F.col("flag") != "N").alias("made"), F.row_number().over(line).alias("k"))
     mixed = Window.partitionBy("game").orderBy(F.pmod(F.pmod(F.col("k") * F.lit(2654435761) + F.col("game") * 97, F.lit(1 << 32)), F.lit(1000)), "k")
     shuffled = rows.select("game", F.col("made").alias("other"), F.row_number().over(mixed).alias("k"))
     both = rows.join(shuffled, ["game", "k"])

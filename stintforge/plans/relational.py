@@ -22,7 +22,7 @@ def r(x, places: int = 4):
 
 @query("src01_gamelog_before", "select season, phase, count(*) as n, round(sum(poss), 4) as poss from fact where day < date '1998-07-01' and season >= 1996 group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where((F.col("day") < "1998-07-01") & (F.col("season") >= 1996)).groupBy("season", "phase").agg(F.count("*").alias("n"), r(F.sum("poss")).alias("poss"))
+    return t.played.where((F.col("day") < "1998-07-01") & (F.col("season") >= 1996)).groupBy("season", "phase").agg(F.count("*").alias("n"), r(F.sum("poss")).alias("poss"))
 
 
 @query("src02_game_table", """select game, min(team) filter (where is_home) as home, min(team) filter (where not is_home) as away, count(*) = 1 as alone from (
@@ -35,13 +35,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("src03_played_phases", "select season, phase from fact group by all having count(*) > 0")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season", "phase").agg(F.count("*").alias("n")).where("n > 0").drop("n")
+    return t.played.groupBy("season", "phase").agg(F.count("*").alias("n")).where("n > 0").drop("n")
 
 
 @query("src10_box_counts", """select game, player, sum((flag = 'A')::int)::bigint as fg3m, sum((flag = 'R')::int)::bigint as fg2m, sum((flag <> 'A' and status = 'O')::int)::bigint as misses,
   count(*) - sum((flag = 'A')::int)::bigint as rest from fact group by all""")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("game", "player").agg(
+    return t.lines.groupBy("game", "player").agg(
         F.count_if(F.col("flag") == "A").alias("fg3m"), F.count_if(F.col("flag") == "R").alias("fg2m"), F.count_if((F.col("flag") != "A") & (F.col("status") == "O")).alias("misses"),
         (F.count("*") - F.count_if(F.col("flag") == "A")).alias("rest"),
     )
@@ -55,13 +55,13 @@ def _(t: Tables) -> DataFrame:
 @query("src20_box_totals_of_games", "select player, sum(poss)::double as poss, count(*) as n from fact where game in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by 1")
 def _(t: Tables) -> DataFrame:
     games = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("game"))
-    return t.fact.join(games, "game", "left_semi").groupBy("player").agg(F.sum("poss").alias("poss"), F.count("*").alias("n"))
+    return t.lines.join(games, "game", "left_semi").groupBy("player").agg(F.sum("poss").alias("poss"), F.count("*").alias("n"))
 
 
 @query("src21_coverage", "select season, avg((p.part is not null)::int) as present from (select distinct season, l.part from fact l) x left join (select distinct part from fact where flag = 'R') p on x.part = p.part group by 1")
 def _(t: Tables) -> DataFrame:
-    rated = t.fact.where("flag = 'R'").select("part").distinct().withColumn("rated", F.lit(1))
-    return t.fact.select("season", "part").distinct().join(rated, "part", "left").groupBy("season").agg(F.avg(F.coalesce("rated", F.lit(0))).alias("present"))
+    rated = t.played.where("flag = 'R'").select("part").distinct().withColumn("rated", F.lit(1))
+    return t.played.select("season", "part").distinct().join(rated, "part", "left").groupBy("season").agg(F.avg(F.coalesce("rated", F.lit(0))).alias("present"))
 
 
 @query("src30_embedded_json", "select event_id, json_extract(props, '$.k')::bigint as k, value from events")
@@ -92,8 +92,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("src36_replace_seasons", "select season, player, round(sum(poss), 4) as poss from (select season, player, poss from fact where season <> 1997 union all select season, player, poss * 2 from fact where season = 1997) group by all")
 def _(t: Tables) -> DataFrame:
-    new = t.fact.where("season = 1997").select("season", "player", (F.col("poss") * 2).alias("poss"))
-    return t.fact.where("season <> 1997").select("season", "player", "poss").unionByName(new).groupBy("season", "player").agg(r(F.sum("poss")).alias("poss"))
+    new = t.played.where("season = 1997").select("season", "player", (F.col("poss") * 2).alias("poss"))
+    return t.played.where("season <> 1997").select("season", "player", "poss").unionByName(new).groupBy("season", "player").agg(r(F.sum("poss")).alias("poss"))
 
 
 @query("src37_json_document")
@@ -114,14 +114,14 @@ def _(t: Tables) -> DataFrame:
 @query("flt04_garbage_time", """select season, count(*) as n from (select season, (line % 4 + 1) as period, abs(poss - 25) as margin, (part % 720) as clock from fact) where period = 4 and (margin >= 20 or (margin >= 15 and clock < 360)) group by 1""")
 def _(t: Tables) -> DataFrame:
     period, margin, clock = F.col("line") % 4 + 1, F.col("poss") - 25, F.col("part") % 720
-    return t.fact.where(S.garbage_time(period, margin, clock)).groupBy("season").agg(F.count("*").alias("n"))
+    return t.played.where(S.garbage_time(period, margin, clock)).groupBy("season").agg(F.count("*").alias("n"))
 
 
 @query("flt08_distance_bins", """select case when poss is null then 'UNLOCATED' when poss <= 6 then 'RIM' when poss < 23 then 'TWO' || floor(poss)::int else 'THREE' || floor(poss)::int end as bin, count(*) as n from fact group by 1""")
 def _(t: Tables) -> DataFrame:
     foot = F.floor("poss").cast("int").cast("string")
     bins = F.when(F.col("poss").isNull(), "UNLOCATED").when(F.col("poss") <= 6, "RIM").when(F.col("poss") < 23, F.concat(F.lit("TWO"), foot)).otherwise(F.concat(F.lit("THREE"), foot))
-    return t.fact.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
+    return t.lines.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("flt10_spot_context_cells", """select concat_ws('/', case when poss < 10 then 'rim' when poss < 20 then 'short' when poss < 30 then 'mid' when poss < 40 then 'long' else 'three' end,
@@ -129,24 +129,24 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     spot = F.when(F.col("poss") < 10, "rim").when(F.col("poss") < 20, "short").when(F.col("poss") < 30, "mid").when(F.col("poss") < 40, "long").otherwise("three")
     context = F.when(F.col("priority") == "1-URGENT", "fast").when(F.col("flag") == "R", "off_rebound").when(F.col("status") == "F", "steal").otherwise("set")
-    return t.fact.groupBy(F.concat_ws("/", spot, context).alias("cell")).agg(F.count("*").alias("n"))
+    return t.played.groupBy(F.concat_ws("/", spot, context).alias("cell")).agg(F.count("*").alias("n"))
 
 
 @query("flt12_two_sides", "select game, side, sum(poss)::double as poss, round(sum(pts), 4) as pts from (select game, 'O' as side, poss, pts from fact union all select game, 'D', poss, -pts from fact) where poss > 0 group by all")
 def _(t: Tables) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit("O").alias("side"), F.col("pts").alias("own")), F.struct(F.lit("D").alias("side"), (-F.col("pts")).alias("own"))))
-    return t.fact.where("poss > 0").select("game", "poss", sides.alias("s")).groupBy("game", "s.side").agg(F.sum("poss").alias("poss"), r(F.sum("s.own")).alias("pts"))
+    return t.lines.where("poss > 0").select("game", "poss", sides.alias("s")).groupBy("game", "s.side").agg(F.sum("poss").alias("poss"), r(F.sum("s.own")).alias("pts"))
 
 
 @query("flt17_restrict_games", "select count(distinct game) as games, sum(poss)::double as poss from fact where game in (select game from fact group by 1 having sum(poss) > 150)")
 def _(t: Tables) -> DataFrame:
-    big = t.fact.groupBy("game").agg(F.sum("poss").alias("p")).where("p > 150").select("game")
-    return t.fact.join(big, "game", "left_semi").agg(F.countDistinct("game").alias("games"), F.sum("poss").alias("poss"))
+    big = t.lines.groupBy("game").agg(F.sum("poss").alias("p")).where("p > 150").select("game")
+    return t.lines.join(big, "game", "left_semi").agg(F.countDistinct("game").alias("games"), F.sum("poss").alias("poss"))
 
 
 @query("flt20_all_or_nothing", "select k in (0, n) as whole, count(*) as games from (select game, sum((flag = 'R')::int) as k, count(*) as n from fact group by 1) group by 1")
 def _(t: Tables) -> DataFrame:
-    sides = t.fact.groupBy("game").agg(F.count_if(F.col("flag") == "R").alias("k"), F.count("*").alias("n"))
+    sides = t.lines.groupBy("game").agg(F.count_if(F.col("flag") == "R").alias("k"), F.count("*").alias("n"))
     return sides.groupBy(((F.col("k") == 0) | (F.col("k") == F.col("n"))).alias("whole")).agg(F.count("*").alias("games"))
 
 
@@ -157,7 +157,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("flt24_rank_tiers", "select player, case when rk <= 10 then 'top' when rk <= 30 then 'starter' when rk <= 60 then 'bench' else 'deep' end as tier from (select player, row_number() over (order by sum(poss) desc, player) as rk from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    totals = t.fact.groupBy("player").agg(F.sum("poss").alias("poss"))
+    totals = t.lines.groupBy("player").agg(F.sum("poss").alias("poss"))
     rk = F.row_number().over(Window.orderBy(F.desc("poss"), "player"))
     return totals.withColumn("rk", rk).select("player", F.when(F.col("rk") <= 10, "top").when(F.col("rk") <= 30, "starter").when(F.col("rk") <= 60, "bench").otherwise("deep").alias("tier"))
 
@@ -168,7 +168,7 @@ def _(t: Tables) -> DataFrame:
     """First seen by a cutoff, and drafted before it, or undrafted and old enough; the nation gives the draft, the balance the age."""
     drafted = F.when(F.col("c_nationkey") % 4 != 0, 1990 + F.col("c_nationkey") % 9)
     entitled = t.customer.where((drafted < 1995) | (drafted.isNull() & (F.col("c_acctbal") >= 2000))).select(F.col("c_custkey").alias("customer"))
-    return t.fact.groupBy("customer").agg(F.min("season").alias("first_season")).where("first_season <= 1995").join(entitled, "customer", "left_semi")
+    return t.played.groupBy("customer").agg(F.min("season").alias("first_season")).where("first_season <= 1995").join(entitled, "customer", "left_semi")
 
 
 @query("flt29_published_rows", "select season, player, round(pts / poss, 2) as rate from player_season where poss >= 60")
@@ -206,7 +206,7 @@ def _(t: Tables) -> DataFrame:
 @query("joi06_top_member_faced", """select f.player, count(*) as games from fact_players f join tops x on f.game = x.game where x.top <> f.player group by 1""",
        "fact_players as (select distinct game, player from fact), tops as (select game, max_by(player, p * 1000 - player) as top from (select game, player, sum(poss) as p from fact group by all) group by 1)")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     tops = own.groupBy("game").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("top"))
     return own.join(tops, "game").where("top <> player").groupBy("player").agg(F.count("*").alias("games"))
 
@@ -214,13 +214,13 @@ def _(t: Tables) -> DataFrame:
 @query("joi09_event_box_join", "select o.game, coalesce(e.n, 0) as events, o.poss from (select game, customer, sum(poss)::double as poss from fact group by all) o left join (select user_id, count(*) as n from events group by 1) e on o.customer = e.user_id")
 def _(t: Tables) -> DataFrame:
     counts = t.events.groupBy(F.col("user_id").alias("customer")).agg(F.count("*").alias("n"))
-    return t.fact.groupBy("game", "customer").agg(F.sum("poss").alias("poss")).join(counts, "customer", "left").select("game", F.coalesce("n", F.lit(0)).alias("events"), "poss")
+    return t.played.groupBy("game", "customer").agg(F.sum("poss").alias("poss")).join(counts, "customer", "left").select("game", F.coalesce("n", F.lit(0)).alias("events"), "poss")
 
 
 @query("joi10_full_outer", "select coalesce(a.season, b.season) as season, coalesce(a.player, b.player) as player, coalesce(a.poss, 0) as poss, coalesce(b.games, 0.0)::double as games from (select season, player, sum(poss) as poss from fact where flag = 'R' group by all) a full join (select season, player, count(distinct game)::double as games from fact where flag = 'A' group by all) b on a.player = b.player and a.season = b.season")
 def _(t: Tables) -> DataFrame:
-    a = t.fact.where("flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
-    b = t.fact.where("flag = 'A'").groupBy("season", "player").agg(F.countDistinct("game").cast("double").alias("games"))
+    a = t.played.where("flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
+    b = t.played.where("flag = 'A'").groupBy("season", "player").agg(F.countDistinct("game").cast("double").alias("games"))
     return R.full_outer(a, b, ["season", "player"])
 
 
@@ -241,19 +241,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("joi17_n_way_blend", "select player, round(sum(v * w), 6) as blend from (select player, 'a' as s, avg(pts) as v, 0.5 as w from fact where flag = 'A' group by 1 union all select player, 'n', avg(pts), 0.3 from fact where flag = 'N' group by 1 union all select player, 'r', avg(pts), 0.2 from fact where flag = 'R' group by 1) group by 1 having count(*) = 3")
 def _(t: Tables) -> DataFrame:
-    systems = [t.fact.where(F.col("flag") == f).groupBy("player").agg(F.avg("pts").alias("v")) for f in "ANR"]
+    systems = [t.lines.where(F.col("flag") == f).groupBy("player").agg(F.avg("pts").alias("v")) for f in "ANR"]
     return R.in_all(systems, "player", "v", [0.5, 0.3, 0.2]).select("player", r("blend", 6).alias("blend"))
 
 
 @query("joi19_replacement_fill", "select p.season, p.player, coalesce(x.poss, -0.25) as poss from player_season p left join (select season, player, sum(poss) as poss from fact where phase = 'PO' and flag = 'R' group by all) x on p.season = x.season and p.player = x.player")
 def _(t: Tables) -> DataFrame:
-    rated = t.fact.where("phase = 'PO' and flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
-    return t.fact.select("season", "player").distinct().join(rated, ["season", "player"], "left").select("season", "player", F.coalesce("poss", F.lit(-0.25)).alias("poss"))
+    rated = t.played.where("phase = 'PO' and flag = 'R'").groupBy("season", "player").agg(F.sum("poss").alias("poss"))
+    return t.played.select("season", "player").distinct().join(rated, ["season", "player"], "left").select("season", "player", F.coalesce("poss", F.lit(-0.25)).alias("poss"))
 
 
 @query("joi23_slot_sums", """select l.game, round(sum(coalesce(q.rate, -1.0)), 4) as total from (select season, game, unnest(lineup) as player from lineups) l left join (select season, player, sum(pts) / sum(poss) / 1000 as rate from fact group by all having sum(poss) >= 1500) q on l.player = q.player and l.season = q.season group by 1""")
 def _(t: Tables) -> DataFrame:
-    rated = t.fact.groupBy("season", "player").agg(F.sum("poss").alias("poss"), (F.sum("pts") / F.sum("poss") / 1000).alias("rate")).where("poss >= 1500").drop("poss")
+    rated = t.played.groupBy("season", "player").agg(F.sum("poss").alias("poss"), (F.sum("pts") / F.sum("poss") / 1000).alias("rate")).where("poss >= 1500").drop("poss")
     slots = t.lineups.select("season", "game", F.explode("lineup").alias("player"))
     return slots.join(rated, ["season", "player"], "left").groupBy("game").agg(r(F.sum(F.coalesce("rate", F.lit(-1.0)))).alias("total"))
 
@@ -262,7 +262,7 @@ def _(t: Tables) -> DataFrame:
   from (select o_orderkey as game, o_totalprice as v from orders) a full join (select game, sum(pts) as v from fact where flag <> 'N' group by 1) b on a.game = b.game group by 1""")
 def _(t: Tables) -> DataFrame:
     logged = t.orders.select(F.col("o_orderkey").alias("game"), F.col("o_totalprice").alias("v"))
-    built = t.fact.where("flag <> 'N'").groupBy("game").agg(F.sum("pts").alias("v"))
+    built = t.lines.where("flag <> 'N'").groupBy("game").agg(F.sum("pts").alias("v"))
     return R.reconcile(logged, built, ["game"], "v", 100000.0).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -289,12 +289,12 @@ def _(t: Tables) -> DataFrame:
   count(*) filter (where flag = 'N' and status = 'O') as n_open from fact group by 1""")
 def _(t: Tables) -> DataFrame:
     total = lambda c: F.sum(F.when(c, F.col("poss")))
-    return t.fact.groupBy("game").agg(total(F.col("flag") == "R").alias("r_poss"), total(F.col("flag") == "A").alias("a_poss"), total(F.col("status") == "O").alias("o_poss"), F.count_if((F.col("flag") == "N") & (F.col("status") == "O")).alias("n_open"))
+    return t.lines.groupBy("game").agg(total(F.col("flag") == "R").alias("r_poss"), total(F.col("flag") == "A").alias("a_poss"), total(F.col("status") == "O").alias("o_poss"), F.count_if((F.col("flag") == "N") & (F.col("status") == "O")).alias("n_open"))
 
 
 @query("agg02_pivot_slots", "select season, sum(poss) filter (where flag = 'A')::double as A, sum(poss) filter (where flag = 'N')::double as N, sum(poss) filter (where flag = 'R')::double as R from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season").pivot("flag", ["A", "N", "R"]).agg(F.sum("poss"))
+    return t.played.groupBy("season").pivot("flag", ["A", "N", "R"]).agg(F.sum("poss"))
 
 
 @query("agg06_league_rate", "select season, round(100 * sum(pts) / sum(poss), 4) as pts_rate, sum(poss)::double as poss from fact group by 1")
@@ -318,14 +318,14 @@ def _(t: Tables) -> DataFrame:
   (select *, sum(n * p) over w / sum(n) over w as mu, sum(n * p * p) over w / sum(n) over w - (sum(n * p) over w / sum(n) over w) * (sum(n * p) over w / sum(n) over w) - sum(p * (1 - p)) over w / sum(n) over w as bt from q window w as (partition by season)) group by season, mu, bt""",
        "q as (select season, player, count(*) as n, count(*) filter (where flag = 'R') as m, count(*) filter (where flag = 'R')::double / count(*) as p from fact group by all)")
 def _(t: Tables) -> DataFrame:
-    rows = t.fact.groupBy("season", "player").agg(F.count_if(F.col("flag") == "R").alias("made"), F.count("*").alias("tries"))
+    rows = t.played.groupBy("season", "player").agg(F.count_if(F.col("flag") == "R").alias("made"), F.count("*").alias("tries"))
     return M.proportion_pad(rows, ["season"], "made", "tries").select("season", "players", r("mean", 6).alias("mean"), r("pad", 2).alias("pad"))
 
 
 @query("agg11_halves", "select player, half, sum(poss)::double as poss from (select *, (dense_rank() over (partition by player order by day, game) % 2)::int as half from fact) group by all")
 def _(t: Tables) -> DataFrame:
     half = (F.dense_rank().over(Window.partitionBy("player").orderBy("day", "game")) % 2).alias("half")
-    return t.fact.select("player", "poss", half).groupBy("player", "half").agg(F.sum("poss").alias("poss"))
+    return t.played.select("player", "poss", half).groupBy("player", "half").agg(F.sum("poss").alias("poss"))
 
 
 @query("agg12_split_half_covariance", """select season, count(*) as units, round(covar_pop(a, b), 2) as covariance, round(corr(a, b), 6) as correlation from (
@@ -343,7 +343,7 @@ def _(t: Tables) -> DataFrame:
 @query("agg18_games_starts", "select player, count(distinct game) as games, count(distinct game) filter (where rk <= 2) as starts from (select game, player, dense_rank() over (partition by game order by line, player, part) as rk from fact) group by 1")
 def _(t: Tables) -> DataFrame:
     rk = F.dense_rank().over(Window.partitionBy("game").orderBy("line", "player", "part"))
-    return t.fact.select("game", "player", rk.alias("rk")).groupBy("player").agg(F.countDistinct("game").alias("games"), F.countDistinct(F.when(F.col("rk") <= 2, F.col("game"))).alias("starts"))
+    return t.lines.select("game", "player", rk.alias("rk")).groupBy("player").agg(F.countDistinct("game").alias("games"), F.countDistinct(F.when(F.col("rk") <= 2, F.col("game"))).alias("starts"))
 
 
 @query("agg19_median_fill", "select p_partkey, coalesce(nullif(p_size, 1), median(nullif(p_size, 1)) over (partition by p_brand))::double as size from part")
@@ -367,19 +367,19 @@ def _(t: Tables) -> DataFrame:
 @query("agg25_late_share", "select player, round(greatest(0, least(1, 1 - sum(case when phase = 'RS' then poss else 0 end) / sum(poss))), 6) as share from fact group by 1")
 def _(t: Tables) -> DataFrame:
     share = 1 - F.sum(F.when(F.col("phase") == "RS", F.col("poss")).otherwise(0.0)) / F.sum("poss")
-    return t.fact.groupBy("player").agg(r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 6).alias("share"))
+    return t.played.groupBy("player").agg(r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 6).alias("share"))
 
 
 @query("agg26_quality_checks", "select avg((k = 1)::int) as alone, avg((p > 100)::int) as large, avg((n > k)::int) as repeats, count(*) as games from (select game, count(distinct player) as k, count(*) as n, sum(poss) as p from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.groupBy("game").agg(F.countDistinct("player").alias("k"), F.count("*").alias("n"), F.sum("poss").alias("p"))
+    games = t.lines.groupBy("game").agg(F.countDistinct("player").alias("k"), F.count("*").alias("n"), F.sum("poss").alias("p"))
     share = lambda c: F.avg(c.cast("int"))
     return games.agg(share(F.col("k") == 1).alias("alone"), share(F.col("p") > 100).alias("large"), share(F.col("n") > F.col("k")).alias("repeats"), F.count("*").alias("games"))
 
 
 @query("agg28_conditional_counts", "select player, " + ", ".join(f"count(*) filter (where flag = '{f}' and status = '{s}' and phase = '{p}') as n_{f}{s}{p}".lower().replace(f"'{f.lower()}'", f"'{f}'").replace(f"'{s.lower()}'", f"'{s}'").replace(f"'{p.lower()}'", f"'{p}'") for f in "ANR" for s in "OF" for p in ("RS", "PO")) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(*[F.count_if((F.col("flag") == f) & (F.col("status") == s) & (F.col("phase") == p)).alias(f"n_{f}{s}{p}".lower()) for f in "ANR" for s in "OF" for p in ("RS", "PO")])
+    return t.played.groupBy("player").agg(*[F.count_if((F.col("flag") == f) & (F.col("status") == s) & (F.col("phase") == p)).alias(f"n_{f}{s}{p}".lower()) for f in "ANR" for s in "OF" for p in ("RS", "PO")])
 
 
 @query("agg30_padded_cells", "select s.season, c.flag, c.status, c.phase, coalesce(x.n, 0) as n, round((coalesce(x.k, 0) + 10 * 0.5) / (coalesce(x.n, 0) + 10), 6) as share from (select distinct season from fact) s cross join (select distinct flag, status, phase from fact) c left join (select season, flag, status, phase, count(*) as n, sum((poss > 25)::int) as k from fact group by all) x on x.flag = c.flag and x.status = c.status and x.phase = c.phase and x.season = s.season")
@@ -393,13 +393,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg35_grouping_sets", "select player, coalesce(half, 'ALL') as half, sum(poss)::double as poss from (select *, case when game % 2 = 0 then 'A' else 'B' end as half from fact) group by grouping sets ((player, half), (player))")
 def _(t: Tables) -> DataFrame:
-    halves = t.fact.withColumn("half", F.when(F.col("game") % 2 == 0, "A").otherwise("B"))
+    halves = t.lines.withColumn("half", F.when(F.col("game") % 2 == 0, "A").otherwise("B"))
     return halves.groupingSets([["player", "half"], ["player"]], "player", "half").agg(F.sum("poss").alias("poss")).select("player", F.coalesce("half", F.lit("ALL")).alias("half"), "poss")
 
 
 @query("agg37_season_alignment", "select season, round(sum(pts) / sum(poss * 1000), 6) as scale from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season").agg(r(F.sum("pts") / F.sum(F.col("poss") * 1000), 6).alias("scale"))
+    return t.played.groupBy("season").agg(r(F.sum("pts") / F.sum(F.col("poss") * 1000), 6).alias("scale"))
 
 
 @query("agg41_lineup_totals", "select lineup, sum(poss)::double as poss, round(sum(pts), 4) as pts, count(*) as games from lineups group by 1 having count(*) > 1")
@@ -409,7 +409,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg44_side_pooling", "select game, player, round(sum(poss) / sum(sum(poss)) over (partition by game), 6) as share from fact group by game, player")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("game", "player").agg(F.sum("poss").alias("p"))
     return own.select("game", "player", r(F.col("p") / F.sum("p").over(Window.partitionBy("game")), 6).alias("share"))
 
 
@@ -421,20 +421,20 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg47_two_stage_mse", "select season, round(sum(w * (v / w - 1400) * (v / w - 1400)) / sum(w) / 1e6, 6) as mse from (select season, game, sum(pts) as v, sum(poss) as w from fact group by all) group by 1")
 def _(t: Tables) -> DataFrame:
-    sides = t.fact.groupBy("season", "game").agg(F.sum("pts").alias("v"), F.sum("poss").alias("w"))
+    sides = t.played.groupBy("season", "game").agg(F.sum("pts").alias("v"), F.sum("poss").alias("w"))
     off = F.col("v") / F.col("w") - 1400
     return sides.groupBy("season").agg(r(F.sum(F.col("w") * off * off) / F.sum("w") / 1e6, 6).alias("mse"))
 
 
 @query("agg50_clustered_error", "select season, round(sqrt(sum(s * s)) / sum(n), 4) as se from (select season, customer, sum(poss - 25.5) as s, count(*) as n from fact group by all) group by 1")
 def _(t: Tables) -> DataFrame:
-    clusters = t.fact.groupBy("season", "customer").agg(F.sum(F.col("poss") - 25.5).alias("s"), F.count("*").alias("n"))
+    clusters = t.played.groupBy("season", "customer").agg(F.sum(F.col("poss") - 25.5).alias("s"), F.count("*").alias("n"))
     return clusters.groupBy("season").agg(r(F.sqrt(F.sum(F.col("s") * F.col("s"))) / F.sum("n")).alias("se"))
 
 
 @query("agg51_paired_systems", "select count(*) as seasons, round(avg(a - b), 4) as diff, round(stddev_samp(a - b) / sqrt(count(*)), 4) as se, sum((a > b)::int)::bigint as wins from (select season, avg(pts) filter (where flag = 'A') as a, avg(pts) filter (where flag = 'R') as b from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    wide = t.fact.groupBy("season").pivot("flag", ["A", "R"]).agg(F.avg("pts"))
+    wide = t.played.groupBy("season").pivot("flag", ["A", "R"]).agg(F.avg("pts"))
     gap = F.col("A") - F.col("R")
     return wide.agg(F.count("*").alias("seasons"), r(F.avg(gap)).alias("diff"), r(F.stddev_samp(gap) / F.sqrt(F.count("*"))).alias("se"), F.count_if(F.col("A") > F.col("R")).alias("wins"))
 
@@ -449,7 +449,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg56_rank_correlation", "select round(corr(ra, rb), 6) as spearman, round(stddev_samp(a) / stddev_samp(b), 6) as ratio from (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from (select player, sum(poss) as a, count(distinct game)::double as b from fact group by 1))")
 def _(t: Tables) -> DataFrame:
-    both = t.fact.groupBy("player").agg(F.sum("poss").alias("a"), F.countDistinct("game").cast("double").alias("b"))
+    both = t.lines.groupBy("player").agg(F.sum("poss").alias("a"), F.countDistinct("game").cast("double").alias("b"))
     ranks = both.select("a", "b", Q.average_rank([], F.col("a")).alias("ra"), Q.average_rank([], F.col("b")).alias("rb"))
     return ranks.agg(r(F.corr("ra", "rb"), 6).alias("spearman"), r(F.stddev_samp("a") / F.stddev_samp("b"), 6).alias("ratio"))
 
@@ -470,7 +470,7 @@ def _(t: Tables) -> DataFrame:
        "games as (select season, game, day, row_number() over (partition by season order by day, game) as rk, count(*) over (partition by season) as n from (select distinct season, game, day from fact))")
 def _(t: Tables) -> DataFrame:
     own = Window.partitionBy("season")
-    games = t.fact.select("season", "game", "day").distinct()
+    games = t.played.select("season", "game", "day").distinct()
     games = games.withColumn("rk", F.row_number().over(own.orderBy("day", "game"))).withColumn("n", F.count("*").over(own))
     last = F.min(F.when(F.col("rk") >= F.col("n") * 0.25, F.col("day"))).over(own)
     return games.withColumn("last", last).where(F.col("day") <= F.col("last")).groupBy("season").agg(F.count("*").alias("games"))
@@ -503,7 +503,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("flt11_composite_key", "select distinct season::bigint * 100000000 + player as key from fact")
 def _(t: Tables) -> DataFrame:
-    return t.fact.select((F.col("season").cast("long") * 100_000_000 + F.col("player")).alias("key")).distinct()
+    return t.played.select((F.col("season").cast("long") * 100_000_000 + F.col("player")).alias("key")).distinct()
 
 
 @query("flt14_context_columns", """select game, player, part, line, poss, name, value::double as value from (
@@ -538,7 +538,7 @@ def _(t: Tables) -> DataFrame:
 @query("flt26_zones", "select game, " + ", ".join(f"count(*) filter (where poss > {a} and poss <= {b}) as zone{k}" for k, (a, b) in enumerate(((0, 10), (10, 20), (20, 30), (30, 40), (40, 50)))) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
     zones = ((0, 10), (10, 20), (20, 30), (30, 40), (40, 50))
-    return t.fact.groupBy("game").agg(*[F.count_if((F.col("poss") > a) & (F.col("poss") <= b)).alias(f"zone{k}") for k, (a, b) in enumerate(zones)])
+    return t.lines.groupBy("game").agg(*[F.count_if((F.col("poss") > a) & (F.col("poss") <= b)).alias(f"zone{k}") for k, (a, b) in enumerate(zones)])
 
 
 @query("joi02_faced_by", "select a.player, count(*) as faced from (select distinct game, team, player from fact) a join (select game, team, count(*) as n from fact group by all) b on a.game = b.game and a.team <> b.team group by 1")
@@ -553,8 +553,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("joi07_faced_top", "select f.game, f.player, case when x.top is null then null when f.player = x.top then 1 else 0 end as is_top from (select distinct game, player from fact) f left join (select game, max_by(player, p * 1000 - player) as top from (select game, player, sum(poss) as p from fact where flag = 'R' group by all) group by 1) x on f.game = x.game")
 def _(t: Tables) -> DataFrame:
-    tops = t.fact.where("flag = 'R'").groupBy("game", "player").agg(F.sum("poss").alias("p")).groupBy("game").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("top"))
-    own = t.fact.select("game", "player").distinct()
+    tops = t.lines.where("flag = 'R'").groupBy("game", "player").agg(F.sum("poss").alias("p")).groupBy("game").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("top"))
+    own = t.lines.select("game", "player").distinct()
     return own.join(tops, "game", "left").select("game", "player", F.when(F.col("top").isNotNull(), (F.col("player") == F.col("top")).cast("int")).alias("is_top"))
 
 
@@ -585,7 +585,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("joi28_two_team_rows", "select game, 'for' as side, poss from (select game, sum(poss)::double as poss from fact group by 1) union all select game, 'against', -poss from (select game, sum(poss)::double as poss from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.groupBy("game").agg(F.sum("poss").alias("p"))
+    games = t.lines.groupBy("game").agg(F.sum("poss").alias("p"))
     sides = F.explode(F.array(F.struct(F.lit("for").alias("side"), F.col("p").alias("poss")), F.struct(F.lit("against").alias("side"), (-F.col("p")).alias("poss"))))
     return games.select("game", sides.alias("s")).select("game", "s.side", "s.poss")
 
@@ -610,22 +610,22 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg05_conditional_sum", "select player, sum(case when phase = 'RS' then poss else 0 end)::double as rs from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(F.sum(F.when(F.col("phase") == "RS", F.col("poss")).otherwise(0.0)).alias("rs"))
+    return t.played.groupBy("player").agg(F.sum(F.when(F.col("phase") == "RS", F.col("poss")).otherwise(0.0)).alias("rs"))
 
 
 @query("agg07_player_side", "select player, flag, sum(poss)::double as poss from fact where game % 3 = 0 group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where("game % 3 = 0").groupBy("player", "flag").agg(F.sum("poss").alias("poss"))
+    return t.lines.where("game % 3 = 0").groupBy("player", "flag").agg(F.sum("poss").alias("poss"))
 
 
 @query("agg13_within_variance", "select player, round(var_samp(poss), 4) as noise, count(*) as n from fact group by 1 having count(*) > 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(r(F.var_samp("poss")).alias("noise"), F.count("*").alias("n")).where("n > 1")
+    return t.lines.groupBy("player").agg(r(F.var_samp("poss")).alias("noise"), F.count("*").alias("n")).where("n > 1")
 
 
 @query("agg17_known_inputs", "select player, round(sum(case when flag <> 'N' then poss * pts end) / sum(case when flag <> 'N' then poss end), 4) as mean, sum((flag = 'N')::int)::bigint as unknown from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    rows = t.fact.withColumn("x", F.when(F.col("flag") != "N", F.col("pts")))
+    rows = t.lines.withColumn("x", F.when(F.col("flag") != "N", F.col("pts")))
     return rows.groupBy("player").agg(r(M.weighted_mean("x", "poss")).alias("mean"), F.count_if(F.col("x").isNull()).alias("unknown"))
 
 
@@ -633,18 +633,18 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     off = F.abs(F.col("poss") - 25)
     share = lambda x: r(F.sum(F.col("poss") * x) / F.sum("poss"), 6)
-    return t.fact.groupBy("player").agg(share((off < 10).cast("int")).alias("close"), share(off).alias("margin"))
+    return t.lines.groupBy("player").agg(share((off < 10).cast("int")).alias("close"), share(off).alias("margin"))
 
 
 @query("agg27_mode", "select player, arg_max(flag, n * 1000 - ascii(flag)) as most from (select player, flag, count(*) as n from fact group by all) group by 1")
 def _(t: Tables) -> DataFrame:
-    n = t.fact.groupBy("player", "flag").agg(F.count("*").alias("n"))
+    n = t.lines.groupBy("player", "flag").agg(F.count("*").alias("n"))
     return n.groupBy("player").agg(F.max_by("flag", F.col("n") * 1000 - F.ascii("flag")).alias("most"))
 
 
 @query("agg32_sum_or_null", "select part, sum(case when flag = 'R' and poss > 45 then pts end) is null as nothing, count(*) as n from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("part").agg(F.sum(F.when((F.col("flag") == "R") & (F.col("poss") > 45), F.col("pts"))).isNull().alias("nothing"), F.count("*").alias("n"))
+    return t.lines.groupBy("part").agg(F.sum(F.when((F.col("flag") == "R") & (F.col("poss") > 45), F.col("pts"))).isNull().alias("nothing"), F.count("*").alias("n"))
 
 
 @query("agg39_home_and_away", "select team, sum(v)::double as v from (select team, poss as v from fact union all select team, -line from fact) group by 1")
@@ -655,12 +655,12 @@ def _(t: Tables) -> DataFrame:
 @query("agg43_clutch_share", "select player, round((sum(case when status = 'O' then poss else 0 end) + 25) / (sum(poss) + 50) - 0.5, 6) as lean from fact group by 1")
 def _(t: Tables) -> DataFrame:
     late = F.sum(F.when(F.col("status") == "O", F.col("poss")).otherwise(0.0))
-    return t.fact.groupBy("player").agg(r((late + 25) / (F.sum("poss") + 50) - 0.5, 6).alias("lean"))
+    return t.lines.groupBy("player").agg(r((late + 25) / (F.sum("poss") + 50) - 0.5, 6).alias("lean"))
 
 
 @query("agg48_group_shares", "select flag, status, round(sum(poss) / sum(sum(poss)) over (), 8) as share from fact group by flag, status")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("flag", "status").agg(F.sum("poss").alias("p"))
+    own = t.lines.groupBy("flag", "status").agg(F.sum("poss").alias("p"))
     return own.select("flag", "status", r(F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0))), 8).alias("share"))
 
 
@@ -671,7 +671,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg57_per36", "select player, round(36 * sum(pts) / greatest(sum(poss), 1), 4) as per36 from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(r(36 * F.sum("pts") / F.greatest(F.sum("poss"), F.lit(1.0))).alias("per36"))
+    return t.lines.groupBy("player").agg(r(36 * F.sum("pts") / F.greatest(F.sum("poss"), F.lit(1.0))).alias("per36"))
 
 
 @query("agg59_cluster_spread", "select team, count(*) as players, round(stddev_samp(rate), 4) as spread from (select team, player, sum(pts) / sum(poss) as rate from fact group by all) group by 1 having count(*) >= 3")
@@ -692,7 +692,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg16_lineup_strength", "select season, round(sum(l.poss * q.rate) / sum(l.poss), 4) as strength from (select season, unnest(lineup) as player, poss from lineups) l join (select player, sum(pts) / sum(poss) as rate from fact group by 1) q on l.player = q.player group by 1")
 def _(t: Tables) -> DataFrame:
-    rate = t.fact.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
+    rate = t.played.groupBy("player").agg((F.sum("pts") / F.sum("poss")).alias("rate"))
     slots = t.lineups.select("season", F.explode("lineup").alias("player"), "poss")
     return slots.join(rate, "player").groupBy("season").agg(r(F.sum(F.col("poss") * F.col("rate")) / F.sum("poss")).alias("strength"))
 
@@ -748,7 +748,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """All three systems are aggregates of one pass, so no join is needed."""
     one = lambda f: r(F.avg(F.when(F.col("flag") == f, F.col("pts"))))
-    return t.fact.groupBy("player").agg(one("A").alias("a"), one("R").alias("b"), F.countDistinct("game").alias("games")).where("a is not null and b is not null")
+    return t.lines.groupBy("player").agg(one("A").alias("a"), one("R").alias("b"), F.countDistinct("game").alias("games")).where("a is not null and b is not null")
 
 
 @query("joi24_required_teams", "select s_suppkey as player, n_name as team from supplier join nation on s_nationkey = n_nationkey")
@@ -761,7 +761,7 @@ def _(t: Tables) -> DataFrame:
 @query("flt15_row_mask", "select game, sum(case when season < 1998 and phase = 'RS' then poss else 0 end)::double as fit, sum(case when season < 1998 and phase = 'RS' then 0 else poss end)::double as rest from fact group by 1")
 def _(t: Tables) -> DataFrame:
     mask = (F.col("season") < 1998) & (F.col("phase") == "RS")
-    return t.fact.groupBy("game").agg(F.sum(F.when(mask, F.col("poss")).otherwise(0.0)).alias("fit"), F.sum(F.when(mask, 0.0).otherwise(F.col("poss"))).alias("rest"))
+    return t.played.groupBy("game").agg(F.sum(F.when(mask, F.col("poss")).otherwise(0.0)).alias("fit"), F.sum(F.when(mask, 0.0).otherwise(F.col("poss"))).alias("rest"))
 
 
 @query("flt27_pool", "select season, player from player_season where poss >= 500 and season in (1996, 1998, 2000)")
@@ -771,7 +771,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg04_counts_by_phase", "select game, player, phase, count(*) as n, sum(poss)::double as poss from fact group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("game", "player", "phase").agg(F.count("*").alias("n"), F.sum("poss").alias("poss"))
+    return t.played.groupBy("game", "player", "phase").agg(F.count("*").alias("n"), F.sum("poss").alias("poss"))
 
 
 @query("agg14_bin_target_pad", """select bin, count(*) as n, round(case when v > noise then least(noise / (v - noise) * 10, 1e5) else 1e5 end, 2) as pad from (select floor(poss / 300)::bigint as bin, var_pop(pts / poss / 1000) as v, avg(1 / poss) * 2 as noise, count(*) as k, unnest(range(count(*))) as _i from player_season group by 1) group by bin, v, noise""")
@@ -783,19 +783,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg22_argmax_minutes", "select customer, arg_max(player, p * 1000 - player) as main from (select customer, player, sum(poss) as p from fact group by all) group by 1")
 def _(t: Tables) -> DataFrame:
-    p = t.fact.groupBy("customer", "player").agg(F.sum("poss").alias("p"))
+    p = t.played.groupBy("customer", "player").agg(F.sum("poss").alias("p"))
     return p.groupBy("customer").agg(F.max_by("player", F.col("p") * 1000 - F.col("player")).alias("main"))
 
 
 @query("agg23_made_and_tried", "select player, sum((flag = 'A')::int)::bigint as made, count(*) as tried from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(F.count_if(F.col("flag") == "A").alias("made"), F.count("*").alias("tried"))
+    return t.lines.groupBy("player").agg(F.count_if(F.col("flag") == "A").alias("made"), F.count("*").alias("tried"))
 
 
 @query("agg31_expected_self_creation", "select game, player, sum((flag = 'R')::int)::bigint as own, round(sum(c), 6) as expected from (select f.*, c.c from fact f join (select status, avg((flag = 'R')::int) as c from fact group by 1) c on f.status = c.status) group by all")
 def _(t: Tables) -> DataFrame:
-    cells = t.fact.groupBy("status").agg(F.avg((F.col("flag") == "R").cast("int")).alias("c"))
-    return t.fact.join(F.broadcast(cells), "status").groupBy("game", "player").agg(F.count_if(F.col("flag") == "R").alias("own"), r(F.sum("c"), 6).alias("expected"))
+    cells = t.lines.groupBy("status").agg(F.avg((F.col("flag") == "R").cast("int")).alias("c"))
+    return t.lines.join(F.broadcast(cells), "status").groupBy("game", "player").agg(F.count_if(F.col("flag") == "R").alias("own"), r(F.sum("c"), 6).alias("expected"))
 
 
 @query("agg34_bin_rate_or_league", "select bin, round(case when n >= 10 then rate else (select sum(pts) / sum(poss) from player_season) end, 4) as rate from (select floor(poss / 100)::bigint as bin, count(*) as n, sum(pts) / sum(poss) as rate from player_season group by 1)")
@@ -808,8 +808,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg36_extra_seasons_in_each_half", "select half, round(sum(poss), 4) as poss from (select (game % 2)::int as half, poss from fact where season <> 1996 union all select h, poss from fact, (select unnest([0, 1])::int as h) where season = 1996) group by 1")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.where("season <> 1996").select((F.col("game") % 2).cast("int").alias("half"), "poss")
-    extra = t.fact.where("season = 1996").agg(F.sum("poss").alias("poss")).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "poss")
+    own = t.played.where("season <> 1996").select((F.col("game") % 2).cast("int").alias("half"), "poss")
+    extra = t.played.where("season = 1996").agg(F.sum("poss").alias("poss")).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), "poss")
     return own.unionByName(extra).groupBy("half").agg(r(F.sum("poss")).alias("poss"))
 
 
@@ -828,12 +828,12 @@ def _(t: Tables) -> DataFrame:
 @query("agg53_two_side_mean", "select player, round((avg(case when game % 2 = 0 then pts end) + avg(case when game % 2 = 1 then pts end)) / 2, 4) as mean from fact group by 1")
 def _(t: Tables) -> DataFrame:
     side = lambda k: F.avg(F.when(F.col("game") % 2 == k, F.col("pts")))
-    return t.fact.groupBy("player").agg(r((side(0) + side(1)) / 2).alias("mean"))
+    return t.lines.groupBy("player").agg(r((side(0) + side(1)) / 2).alias("mean"))
 
 
 @query("flt09_field_goals", "select game, poss > 35 as three, flag = 'A' as made, count(*) as n from fact where part % 10 <= 5 group by all")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where("part % 10 <= 5").groupBy("game", (F.col("poss") > 35).alias("three"), (F.col("flag") == "A").alias("made")).agg(F.count("*").alias("n"))
+    return t.lines.where("part % 10 <= 5").groupBy("game", (F.col("poss") > 35).alias("three"), (F.col("flag") == "A").alias("made")).agg(F.count("*").alias("n"))
 
 
 @query("flt13_one_side_numerator", "select game, round(sum(case flag when 'A' then 3 * poss when 'N' then 2 * poss else poss end), 4) as numerator from fact where team % 2 = 0 group by 1")
@@ -856,7 +856,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("joi12_roles_full_outer", "select coalesce(a.player, b.player) as player, coalesce(a.n, 0) as starts, coalesce(b.n, 0) as slots from (select player, count(*) as n from fact where line = 1 and season = 1995 group by 1) a full join (select player, count(*) as n from (select unnest(lineup) as player from lineups where season = 1996) group by 1) b on a.player = b.player")
 def _(t: Tables) -> DataFrame:
-    starts = t.fact.where("line = 1 and season = 1995").groupBy("player").agg(F.count("*").alias("starts"))
+    starts = t.played.where("line = 1 and season = 1995").groupBy("player").agg(F.count("*").alias("starts"))
     slots = t.lineups.where("season = 1996").select(F.explode("lineup").alias("player")).groupBy("player").agg(F.count("*").alias("slots"))
     both = starts.join(slots, "player", "full")
     return both.select("player", F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("slots", F.lit(0)).alias("slots"))
@@ -872,7 +872,7 @@ def _(t: Tables) -> DataFrame:
 @query("joi22_named_totals", "select s_name as name, round(-sum(pts), 4) as d, round(sum(poss), 4) as o from fact join supplier on player = s_suppkey group by 1")
 def _(t: Tables) -> DataFrame:
     names = t.supplier.select(F.col("s_suppkey").alias("player"), F.col("s_name").alias("name"))
-    own = t.fact.groupBy("player").agg(F.sum("pts").alias("d"), F.sum("poss").alias("o"))
+    own = t.lines.groupBy("player").agg(F.sum("pts").alias("d"), F.sum("poss").alias("o"))
     return own.join(names, "player", "left").groupBy("name").agg(r(-F.sum("d")).alias("d"), r(F.sum("o")).alias("o"))
 
 

@@ -67,7 +67,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl10_season_label", "select distinct season, (season - 1) || '-' || lpad((season % 100)::varchar, 2, '0') as label from fact")
 def _(t: Tables) -> DataFrame:
-    return t.fact.select("season", S.season_label(F.col("season")).alias("label")).distinct()
+    return t.played.select("season", S.season_label(F.col("season")).alias("label")).distinct()
 
 
 @query("scl11_season_of_game", "select id, (case when (id // 100000) % 100 >= 90 then 1900 + (id // 100000) % 100 else 2000 + (id // 100000) % 100 end + 1)::int as season from (select o_orderkey * 7919 as id from orders)")
@@ -79,12 +79,12 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     p = F.col("line")
     first, last = F.when(p <= 4, (p - 1) * 7200).otherwise(28800 + (p - 5) * 3000), F.when(p <= 4, p * 7200).otherwise(28800 + (p - 4) * 3000)
-    return t.fact.select(p.alias("period"), first.cast("int").alias("first"), last.cast("int").alias("last")).distinct()
+    return t.lines.select(p.alias("period"), first.cast("int").alias("first"), last.cast("int").alias("last")).distinct()
 
 
 @query("scl14_first_neutral_date", "select season, count(*) as n from fact where day >= make_date(season, 7, 1) group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where(F.col("day") >= F.make_date("season", F.lit(7), F.lit(1))).groupBy("season").agg(F.count("*").alias("n"))
+    return t.played.where(F.col("day") >= F.make_date("season", F.lit(7), F.lit(1))).groupBy("season").agg(F.count("*").alias("n"))
 
 
 @query("scl15_zero_pad", "select o_orderkey, lpad(o_orderkey::varchar, 10, '0') as id from orders")
@@ -102,13 +102,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl17_step_function", "select distinct season, case when season >= 1999 then 0.84 when season >= 1996 then 0.89 else 1.0 end::double as factor from fact")
 def _(t: Tables) -> DataFrame:
-    return t.fact.select("season", S.step_value(F.col("season"), [(1990, 1.0), (1996, 0.89), (1999, 0.84)]).alias("factor")).distinct()
+    return t.played.select("season", S.step_value(F.col("season"), [(1990, 1.0), (1996, 0.89), (1999, 0.84)]).alias("factor")).distinct()
 
 
 @query("scl18_half_life", "select distinct season, round(pow(0.5, abs(season - 1998) / 2.0), 6) as weight, round(pow(0.5, greatest(abs(season - 1998) - 1, 0) / 2.0), 6) as delayed from fact")
 def _(t: Tables) -> DataFrame:
     off = F.col("season") - 1998
-    return t.fact.select("season", r(S.half_life(off, 2.0), 6).alias("weight"), r(S.half_life(off, 2.0, 1.0), 6).alias("delayed")).distinct()
+    return t.played.select("season", r(S.half_life(off, 2.0), 6).alias("weight"), r(S.half_life(off, 2.0, 1.0), 6).alias("delayed")).distinct()
 
 
 @query("scl20_ramp_blend", "select season, player, round(s * pts / poss + (1 - s) * 36000, 4) as blended from (select *, least(greatest((poss - 200) / 800.0, 0), 1) as s from player_season)")
@@ -150,19 +150,19 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     weights = {"A": 0.4, "N": 0.2, "R": -0.1}
     parts = [F.sum(F.when(F.col("flag") == f, F.col("poss"))) * w for f, w in weights.items()]
-    return t.fact.groupBy("player").agg(r(sum(parts[1:], parts[0])).alias("creation"))
+    return t.lines.groupBy("player").agg(r(sum(parts[1:], parts[0])).alias("creation"))
 
 
 @query("scl27_padded_ratio", "select player, round((count(*) filter (where flag = 'A') + 50 * 0.25) / (count(*) + 50), 6) as share, round((count(*) filter (where flag = 'A') + 50 * 0.25) / (count(*) + 50) - 0.25, 6) as above from fact group by 1")
 def _(t: Tables) -> DataFrame:
     share = (F.count_if(F.col("flag") == "A") + 12.5) / (F.count("*") + 50)
-    return t.fact.groupBy("player").agg(r(share, 6).alias("share"), r(share - 0.25, 6).alias("above"))
+    return t.lines.groupBy("player").agg(r(share, 6).alias("share"), r(share - 0.25, 6).alias("above"))
 
 
 @query("scl29_unassisted", "select player, round(count(*) * (1 - least(greatest(avg((flag = 'R')::int), 0.05), 0.95)), 6) as own from fact group by 1")
 def _(t: Tables) -> DataFrame:
     share = F.least(F.greatest(F.avg((F.col("flag") == "R").cast("int")), F.lit(0.05)), F.lit(0.95))
-    return t.fact.groupBy("player").agg(r(F.count("*") * (1 - share), 6).alias("own"))
+    return t.lines.groupBy("player").agg(r(F.count("*") * (1 - share), 6).alias("own"))
 
 
 @query("scl32_residual", "select season, player, round(pts / poss - (regr_intercept(pts / poss, poss) over w + regr_slope(pts / poss, poss) over w * poss), 3) as residual from player_season window w as (partition by season)")
@@ -176,7 +176,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl33_logit", "select player, round(ln(p / (1 - p)), 6) as odds, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) as back from (select player, least(greatest(avg((flag = 'A')::int), 1e-6), 1 - 1e-6) as p from fact group by 1)")
 def _(t: Tables) -> DataFrame:
     odds = S.logit(F.avg((F.col("flag") == "A").cast("int")))
-    return t.fact.groupBy("player").agg(odds.alias("o")).select("player", r("o", 6).alias("odds"), r(S.sigmoid(F.col("o")), 6).alias("back"))
+    return t.lines.groupBy("player").agg(odds.alias("o")).select("player", r("o", 6).alias("odds"), r(S.sigmoid(F.col("o")), 6).alias("back"))
 
 
 @query("scl35_time_left", "select p_partkey, round(greatest(2880 - p_partkey % 2880, 1) / 2880.0, 6) as share, round(greatest(2880 - p_partkey % 2880 - p_size / 2.0, 1) / 2880.0, 6) as middle from part")
@@ -200,7 +200,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl42_mean_error", "select season, round(sqrt(avg(e * e)) * sqrt(2 / pi()), 6) as mae from (select season, poss - 25.5 as e from fact) group by 1")
 def _(t: Tables) -> DataFrame:
     off = F.col("poss") - 25.5
-    return t.fact.groupBy("season").agg(r(F.sqrt(F.avg(off * off)) * F.sqrt(2 / F.pi()), 6).alias("mae"))
+    return t.played.groupBy("season").agg(r(F.sqrt(F.avg(off * off)) * F.sqrt(2 / F.pi()), 6).alias("mae"))
 
 
 @query("scl43_scale_to_spread", "select season, player, round((pts / poss - avg(pts / poss) over w) / nullif(stddev_pop(pts / poss) over w, 0) * 2.5, 6) as scaled from player_season window w as (partition by season)")
@@ -211,7 +211,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl45_standardised", "select player, round(coalesce((poss - avg(poss) over ()) / nullif(stddev_pop(poss) over (), 0), 0), 6) as z from (select player, sum(poss) as poss from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("player").agg(F.sum("poss").alias("poss"))
+    own = t.lines.groupBy("player").agg(F.sum("poss").alias("poss"))
     moments = own.agg(F.avg("poss").alias("m"), F.stddev_pop("poss").alias("s"), F.lit(1).alias("one"))
     z = F.coalesce((F.col("poss") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)), F.lit(0.0))
     return own.join(F.broadcast(moments), F.lit(1) == F.col("one")).select("player", r(z, 6).alias("z"))
@@ -236,7 +236,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl51_placebo_permutation", "select a.game, b.v from (select game, v, row_number() over (partition by season order by game) as k from g) a join (select season, v, row_number() over (partition by season order by (game * 2654435761) % 4294967296, game) as k from g) b on a.k = b.k join g on g.game = a.game and g.season = b.season",
        "g as (select season, game, sum(poss)::double as v from fact group by all)")
 def _(t: Tables) -> DataFrame:
-    games = t.fact.groupBy("season", "game").agg(F.sum("poss").alias("v"))
+    games = t.played.groupBy("season", "game").agg(F.sum("poss").alias("v"))
     own = Window.partitionBy("season")
     plain = games.select("season", "game", F.row_number().over(own.orderBy("game")).alias("k"))
     mixed = games.select("season", "v", F.row_number().over(own.orderBy(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), "game")).alias("k"))
@@ -246,7 +246,7 @@ def _(t: Tables) -> DataFrame:
 @query("scl52_other_half", "select player, case when half = 'A' then 'B' when half = 'B' then 'A' else 'ALL' end as other, n from (select player, case flag when 'A' then 'A' when 'N' then 'B' else 'C' end as half, count(*) as n from fact group by all)")
 def _(t: Tables) -> DataFrame:
     half = F.when(F.col("flag") == "A", "A").when(F.col("flag") == "N", "B").otherwise("C")
-    own = t.fact.groupBy("player", half.alias("half")).agg(F.count("*").alias("n"))
+    own = t.lines.groupBy("player", half.alias("half")).agg(F.count("*").alias("n"))
     return own.select("player", F.when(F.col("half") == "A", "B").when(F.col("half") == "B", "A").otherwise("ALL").alias("other"), "n")
 
 
@@ -254,15 +254,15 @@ def _(t: Tables) -> DataFrame:
   left join (select player, (game % 2)::int as half, (count(*) filter (where flag = 'A') + 20 * 0.25) / (count(*) + 20) as p from fact group by all) y on x.player = y.player and x.half = 1 - y.half group by 1""")
 def _(t: Tables) -> DataFrame:
     half = (F.col("game") % 2).cast("int")
-    tries = t.fact.groupBy("game", "player").agg(F.count("*").alias("n")).withColumn("half", half)
-    rate = t.fact.groupBy("player", (1 - half).alias("half")).agg(((F.count_if(F.col("flag") == "A") + 5.0) / (F.count("*") + 20)).alias("p"))
+    tries = t.lines.groupBy("game", "player").agg(F.count("*").alias("n")).withColumn("half", half)
+    rate = t.lines.groupBy("player", (1 - half).alias("half")).agg(((F.count_if(F.col("flag") == "A") + 5.0) / (F.count("*") + 20)).alias("p"))
     return tries.join(rate, ["player", "half"], "left").groupBy("game").agg(r(F.sum(F.col("n") * F.coalesce("p", F.lit(0.25))), 6).alias("expected"))
 
 
 @query("scl58_response_pieces", "select game, round(sum(case when flag = 'A' then pts else 0 end), 4) as threes, round(sum(case when flag = 'N' then pts else 0 end), 4) as twos, round(sum(case when flag = 'R' then pts else 0 end), 4) as frees from fact group by 1")
 def _(t: Tables) -> DataFrame:
     part = lambda f, name: r(F.sum(F.when(F.col("flag") == f, F.col("pts")).otherwise(0.0))).alias(name)
-    return t.fact.groupBy("game").agg(part("A", "threes"), part("N", "twos"), part("R", "frees"))
+    return t.lines.groupBy("game").agg(part("A", "threes"), part("N", "twos"), part("R", "frees"))
 
 
 @query("scl61_one_hot", "select game, " + ", ".join(f"max((team = {k})::int)::int as t{k}" for k in range(25)) + " from fact group by 1")
@@ -272,14 +272,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("psm17_leave_game_out", "select game, player, round((ta - a + 10 * 0.25) / (tn - n + 10), 6) as share from (select game, player, count(*) filter (where flag = 'A') as a, count(*) as n, sum(count(*) filter (where flag = 'A')) over (partition by player) as ta, sum(count(*)) over (partition by player) as tn from fact group by game, player)")
 def _(t: Tables) -> DataFrame:
-    own = t.fact.groupBy("game", "player").agg(F.count_if(F.col("flag") == "A").alias("a"), F.count("*").alias("n"))
+    own = t.lines.groupBy("game", "player").agg(F.count_if(F.col("flag") == "A").alias("a"), F.count("*").alias("n"))
     rest = R.without_own(own, ["game"], ["player"], ["a", "n"])
     return rest.select("game", "player", r((F.col("other_a") + 2.5) / (F.col("other_n") + 10), 6).alias("share"))
 
 
 @query("psm03_set_algebra", "select game, list_sort(list(distinct player) filter (where flag <> 'R')) as kept, count(distinct player) filter (where flag <> 'R') as size from fact group by 1 having count(*) filter (where flag <> 'R') > 0")
 def _(t: Tables) -> DataFrame:
-    sets = t.fact.groupBy("game").agg(F.collect_set(F.when(F.col("flag") != "R", F.col("player"))).alias("kept"))
+    sets = t.lines.groupBy("game").agg(F.collect_set(F.when(F.col("flag") != "R", F.col("player"))).alias("kept"))
     return sets.where(F.size("kept") > 0).select("game", F.array_sort("kept").alias("kept"), F.size("kept").cast("long").alias("size"))
 
 
@@ -310,7 +310,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     targets = {"A": 0.25, "N": 0.5, "R": 0.25}
     n = F.count("*").cast("double")
-    return t.fact.groupBy("season", "player").agg(*[r(S.shrink(n, F.count_if(F.col("flag") == f) / n, 30.0, F.lit(x)), 6).alias(f.lower()) for f, x in targets.items()])
+    return t.played.groupBy("season", "player").agg(*[r(S.shrink(n, F.count_if(F.col("flag") == f) / n, 30.0, F.lit(x)), 6).alias(f.lower()) for f, x in targets.items()])
 
 
 @query("scl39_leverage", """select p_partkey, round((1 / (1 + exp(-(p_size - 24) / 10.0)) - 1 / (1 + exp(-(p_size - 26) / 10.0))) / 2, 6) as leverage from part""")
@@ -327,7 +327,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl44_published_digits", "select player, round(100 * avg((flag = 'A')::int) + 1e-9, 1) as percent, round(sum(pts) / sum(poss) + 1e-9, 2) as rating from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("player").agg(r(100 * F.avg((F.col("flag") == "A").cast("int")) + 1e-9, 1).alias("percent"), r(F.sum("pts") / F.sum("poss") + 1e-9, 2).alias("rating"))
+    return t.lines.groupBy("player").agg(r(100 * F.avg((F.col("flag") == "A").cast("int")) + 1e-9, 1).alias("percent"), r(F.sum("pts") / F.sum("poss") + 1e-9, 2).alias("rating"))
 
 
 @query("scl48_stored_z", "select season, player, round((poss - 500) / 120.0, 6) as z from player_season")
@@ -344,15 +344,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("scl55_luck_adjusted", "select game, round(sum(pts) - 0.75 * (sum(case when flag = 'A' then pts else 0 end) - sum((flag = 'A')::int) * (select avg(pts) from fact where flag = 'A')), 4) as adjusted from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    level = t.fact.where("flag = 'A'").agg(F.avg("pts").alias("level"), F.lit(1).alias("one"))
-    games = t.fact.groupBy("game").agg(F.sum("pts").alias("all"), F.sum(F.when(F.col("flag") == "A", F.col("pts")).otherwise(0.0)).alias("threes"), F.count_if(F.col("flag") == "A").alias("n"))
+    level = t.lines.where("flag = 'A'").agg(F.avg("pts").alias("level"), F.lit(1).alias("one"))
+    games = t.lines.groupBy("game").agg(F.sum("pts").alias("all"), F.sum(F.when(F.col("flag") == "A", F.col("pts")).otherwise(0.0)).alias("threes"), F.count_if(F.col("flag") == "A").alias("n"))
     return games.join(F.broadcast(level), F.lit(1) == F.col("one")).select("game", r(F.col("all") - 0.75 * (F.col("threes") - F.col("n") * F.col("level")), 4).alias("adjusted"))
 
 
 @query("scl60_penalty_blocks", "select distinct flag, case flag when 'A' then 5000.0 when 'N' then 30000.0 else 0.0 end::double as penalty from fact")
 def _(t: Tables) -> DataFrame:
     penalties = F.create_map(*[F.lit(x) for pair in (("A", 5000.0), ("N", 30000.0), ("R", 0.0)) for x in pair])
-    return t.fact.select("flag", F.try_element_at(penalties, F.col("flag")).alias("penalty")).distinct()
+    return t.lines.select("flag", F.try_element_at(penalties, F.col("flag")).alias("penalty")).distinct()
 
 
 @query("scl63_season_list", "select unnest([1996, 1997, 1998, 2001])::int as season")

@@ -60,7 +60,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Names from one table; those it lacks from the latest game log that has the player."""
     first = F.when(F.col("c_custkey") % 5 != 0, F.col("c_name"))
-    logs = t.fact.groupBy(F.col("customer").alias("c_custkey")).agg(F.max_by("priority", F.struct("season", "game")).alias("logged"))
+    logs = t.played.groupBy(F.col("customer").alias("c_custkey")).agg(F.max_by("priority", F.struct("season", "game")).alias("logged"))
     return t.customer.join(logs, "c_custkey", "left").select("c_custkey", F.coalesce(first, "logged", F.lit("unknown")).alias("name"))
 
 
@@ -94,7 +94,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("src19_stacked_phases", "select phase, season, player, sum(poss)::double as poss from fact group by all")
 def _(t: Tables) -> DataFrame:
-    own = lambda p: t.fact.where(F.col("phase") == p).groupBy("season", "player").agg(F.sum("poss").alias("poss")).withColumn("phase", F.lit(p))
+    own = lambda p: t.played.where(F.col("phase") == p).groupBy("season", "player").agg(F.sum("poss").alias("poss")).withColumn("phase", F.lit(p))
     return own("RS").unionByName(own("PO"))
 
 
@@ -118,17 +118,17 @@ def pairs_of_games(fact: DataFrame, asked: DataFrame) -> DataFrame:
 @query("src24_fold_games", "select (game * 2654435761 % 4294967296 % 5)::int as fold, game % 2 = 0 as fit, count(*) as games from (select distinct game from fact) group by all")
 def _(t: Tables) -> DataFrame:
     fold = F.pmod(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), F.lit(5)).cast("int")
-    return t.fact.select("game").distinct().groupBy(fold.alias("fold"), (F.col("game") % 2 == 0).alias("fit")).agg(F.count("*").alias("games"))
+    return t.lines.select("game").distinct().groupBy(fold.alias("fold"), (F.col("game") % 2 == 0).alias("fit")).agg(F.count("*").alias("games"))
 
 
 @query("src25_held_back", "select game, sum(poss)::double as poss from fact where game % 5 = 2 group by 1 having sum(poss) > 0")
 def _(t: Tables) -> DataFrame:
-    return t.fact.where("game % 5 = 2").groupBy("game").agg(F.sum("poss").alias("poss")).where("poss > 0")
+    return t.lines.where("game % 5 = 2").groupBy("game").agg(F.sum("poss").alias("poss")).where("poss > 0")
 
 
 @query("src26_stored_sums", "select season, round(sum(pts), 4) as pts from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    sums = t.fact.groupBy("season").agg(r(F.sum("pts")).alias("pts"))
+    sums = t.played.groupBy("season").agg(r(F.sum("pts")).alias("pts"))
     return stores.round_trip(sums, "parquet")
 
 
@@ -161,7 +161,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("tim03_open_seasons", "select season, max(month(day)) < 12 as open from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.fact.groupBy("season").agg((F.max(F.month("day")) < 12).alias("open"))
+    return t.played.groupBy("season").agg((F.max(F.month("day")) < 12).alias("open"))
 
 
 @query("tim05_late_guard", "select count(*) as n from events where epoch_us(ts) <= (select max(epoch_us(ts)) from events) - 4 * 3600 * 1000000::bigint")
@@ -195,4 +195,4 @@ def _(t: Tables) -> DataFrame:
 @query("tim12_prefix_folds", "select (game * 2654435761 % 4294967296 % 5)::int as fold, count(distinct game) as games from fact where day < date '1998-01-01' group by 1")
 def _(t: Tables) -> DataFrame:
     fold = F.pmod(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), F.lit(5)).cast("int")
-    return t.fact.where(F.col("day") < "1998-01-01").groupBy(fold.alias("fold")).agg(F.countDistinct("game").alias("games"))
+    return t.played.where(F.col("day") < "1998-01-01").groupBy(fold.alias("fold")).agg(F.countDistinct("game").alias("games"))
