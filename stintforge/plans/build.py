@@ -112,10 +112,3 @@ def _(t: Tables) -> DataFrame:
     out = ratings(t.fact, t.lineups).select("season", r("rating", 2).alias("rating"), "player", "team")
     rows = F.sort_array(F.collect_list(F.struct("rating", "player", "team")), asc=False)
     return out.groupBy("season").agg(F.to_json(rows).alias("document"))
-
-
-@query("cmd15_catalogue")
-def _(t: Tables) -> DataFrame:
-    """The registered queries by family."""
-    rows = [(name, "".join(c for c in name.split("_")[0] if c.isalpha())) for name in sorted(QUERIES)]
-    return t.spark.createDataFrame(rows, "name string, family string")

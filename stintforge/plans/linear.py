@@ -19,7 +19,7 @@ from stintforge.operators import moments as M
 from stintforge.operators import relations as R
 from stintforge.operators import sequences as Q
 from stintforge.plans.registry import query
-from stintforge.plans.relational import r
+from stintforge.plans.relational import ZONES, masks, r
 from stintforge.sources.tables import Tables
 
 
@@ -109,10 +109,31 @@ def _(t: Tables) -> DataFrame:
     return t.player_season.select("season", "player", r(0.8 * (mean - league) + 0.5 * (F.col("pts") / F.col("poss") - mean)).alias("rating"))
 
 
-@query("lam30_context_means", """select m.player, round(sum(g.poss - m.poss) / sum(g.n - m.n), 6) as mates from (select game, player, sum(poss) as poss, count(*) as n from fact group by all) m join (select game, sum(poss) as poss, count(*) as n from fact group by 1) g on m.game = g.game group by 1 having sum(g.n - m.n) > 0""")
+#: Teammates or opponents, on the court or the bench, with attack or defence: eight contexts as conditions on a line.
+CONTEXTS = {f"{who}_{where}_{what}": (who == "mates", f"status = '{s}' and flag {f}") for who in ("mates", "others") for where, s in (("on", "O"), ("bench", "F")) for what, f in (("attack", "= 'A'"), ("defence", "<> 'A'"))}
+
+
+def context_sql() -> tuple[str, str]:
+    own = ", ".join(f"coalesce(sum(poss) filter (where {m}), 0) as p_{k}, count(*) filter (where {m}) as n_{k}" for k, (_, m) in CONTEXTS.items())
+    rest = {k: ("g.{0}_%s - m.{0}_%s" % (k, k)) if mate else ("o.{0}_%s" % k) for k, (mate, _) in CONTEXTS.items()}
+    means = ", ".join(f"round((sum(coalesce({x.format('p')}, 0)) + 250) / (sum(coalesce({x.format('n')}, 0)) + 10), 6)::double as {k}" for k, x in rest.items())
+    return own, means
+
+
+@query("lam30_context_means", f"""select m.player, {context_sql()[1]} from (select game, player % 2 as side, player, {context_sql()[0]} from fact group by all) m
+  join (select game, player % 2 as side, {context_sql()[0]} from fact group by all) g on m.game = g.game and m.side = g.side
+  left join (select game, 1 - player % 2 as side, {context_sql()[0]} from fact group by all) o on m.game = o.game and m.side = o.side group by 1""")
 def _(t: Tables) -> DataFrame:
-    rest = R.without_own(t.fact.withColumn("n", F.lit(1)), ["player"], ["game"], ["poss", "n"])
-    return rest.groupBy("player").agg(F.sum("other_poss").alias("p"), F.sum("other_n").alias("n")).where("n > 0").select("player", r(F.col("p") / F.col("n"), 6).alias("mates"))
+    """Eight padded means over teammates (totals less the own part) and opponents of a player's games."""
+    sums = [F.expr(f"coalesce(sum(poss) filter (where {m}), 0.0)").alias(f"p_{k}") for k, (_, m) in CONTEXTS.items()] + [F.expr(f"count(*) filter (where {m})").alias(f"n_{k}") for k, (_, m) in CONTEXTS.items()]
+    rows = t.lines.withColumn("side", F.col("player") % 2)
+    own = rows.groupBy("game", "side", "player").agg(*sums)
+    measures = [c for c in own.columns if c[:2] in ("p_", "n_")]
+    whole = own.groupBy("game", "side").agg(*[F.sum(c).alias(c) for c in measures])
+    facing = whole.select("game", (1 - F.col("side")).alias("side"), *[F.col(c).alias(f"o{c}") for c in measures])
+    met = own.join(whole.select("game", "side", *[F.col(c).alias(f"g{c}") for c in measures]), ["game", "side"]).join(facing, ["game", "side"], "left")
+    rest = lambda c, mate: F.sum(F.col(f"g{c}") - F.col(c)) if mate else F.sum(F.coalesce(f"o{c}", F.lit(0)))
+    return met.groupBy("player").agg(*[r((rest(f"p_{k}", mate) + 250) / (rest(f"n_{k}", mate) + 10), 6).alias(k) for k, (mate, _) in CONTEXTS.items()])
 
 
 @query("lam32_residual_spread", "select season, round((sum(w * w * u * u) - 2 * m * sum(w * w * u) + m * m * sum(w * w)) / sum(w * w), 6) as variance from (select *, sum(w * u) over (partition by season) / sum(w) over (partition by season) as m from (select season, poss as w, pts / poss / 1000 as u from player_season)) group by season, m")
@@ -188,10 +209,20 @@ def _(t: Tables) -> DataFrame:
     return sums.select("season", r(slope, 6).alias("slope"), r(F.sqrt(F.col("n") / (F.col("n") - 2.0) * meat) / F.col("sxx"), 6).alias("se"))
 
 
-@query("lam72_unpivoted_stats", "select stat, round(avg(v), 4) as mean, count(*) as n from (select 'poss' as stat, poss as v from player_season union all select 'pts', pts from player_season union all select 'games', games::double from player_season) group by 1")
+def stats() -> dict[str, str]:
+    """Fifteen stats of a player-season as aggregates."""
+    return {f"n_{k}": f"count(*) filter (where {m})" for k, m in masks().items()} | {"poss": "sum(poss)", "pts": "sum(pts)", "lines": "count(*)", "games": "count(distinct game)"}
+
+
+@query("lam72_unpivoted_stats", "select side, stat, round(avg(v), 4) as mean, count(*) as n from (" + " union all ".join(
+    f"select '{s}' as side, '{k}' as stat, v from (select season, player, ({x})::double as v from fact where {c} group by all)" for s, c in (("off", "status = 'O'"), ("def", "status = 'F'"), ("total", "true")) for k, x in stats().items()) + ") group by all")
 def _(t: Tables) -> DataFrame:
-    long = t.player_season.select(F.col("poss").cast("double"), F.col("pts").cast("double"), F.col("games").cast("double")).unpivot([], ["poss", "pts", "games"], "stat", "v")
-    return long.groupBy("stat").agg(r(F.avg("v")).alias("mean"), F.count("*").alias("n"))
+    """Fifteen stats of each side and both, in long form, from one pass a side."""
+    parts = []
+    for side, c in (("off", "status = 'O'"), ("def", "status = 'F'"), ("total", "true")):
+        wide = t.played.where(c).groupBy("season", "player").agg(*[F.expr(x).cast("double").alias(k) for k, x in stats().items()])
+        parts.append(wide.unpivot(["season", "player"], list(stats()), "stat", "v").withColumn("side", F.lit(side)))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("side", "stat").agg(r(F.avg("v")).alias("mean"), F.count("*").alias("n"))
 
 
 @query("lam73_spline_basis", """select p_partkey, round((c1 - c4) / 30 - (c3 - c4) / 10, 4) as b1, round((c2 - c4) / 20 - (c3 - c4) / 10, 4) as b2 from (select p_partkey, pow(greatest(x - 10, 0), 3) as c1, pow(greatest(x - 20, 0), 3) as c2, pow(greatest(x - 30, 0), 3) as c3, pow(greatest(x - 40, 0), 3) as c4 from (select p_partkey, p_size::double as x from part))""")
@@ -254,14 +285,17 @@ def _(t: Tables) -> DataFrame:
     return got.where("n > 1 and n >= 0.4 * span and span > n").select("player", "team", (F.col("span") - F.col("n")).cast("long").alias("missed"))
 
 
-@query("chk04_hac_error", """select round(sqrt(g0 + 2 * (0.8 * g1 + 0.6 * g2 + 0.4 * g3 + 0.2 * g4)) / n, 6) as se from (select count(*) as n, sum(e * e) as g0, sum(e * lag1) as g1, sum(e * lag2) as g2, sum(e * lag3) as g3, sum(e * lag4) as g4 from (
-  select e, lag(e, 1) over o as lag1, lag(e, 2) over o as lag2, lag(e, 3) over o as lag3, lag(e, 4) over o as lag4 from (select m, avg(poss) - 25.5 as e from (select season * 100 + month(day) as m, poss from fact) group by 1) window o as (order by m)))""")
+@query("chk04_hac_error", """select round(sqrt(g0 + 2 * g) / n, 6) as se from (select count(*) as n, sum(e * e) as g0 from months), (
+  select sum((1 - k / (l + 1.0)) * a.e * b.e) as g from months a, months b, (select floor(4 * pow(count(*) / 100.0, 2 / 9.0))::int as l from months), (select unnest(range(1, 100)) as k) where k <= l and b.i = a.i + k)""",
+       "months as (select m, e, row_number() over (order by m) as i from (select season * 100 + month(day) as m, avg(poss) - 25.5 as e from fact group by 1))")
 def _(t: Tables) -> DataFrame:
+    """Bartlett weights over floor(4 (n / 100)^(2 / 9)) lags of a series of months, which is short whatever the rows are."""
     months = t.played.groupBy((F.col("season") * 100 + F.month("day")).alias("m")).agg((F.avg("poss") - 25.5).alias("e"))
-    line = Window.orderBy("m")
-    lags = months.select("e", *[F.lag("e", k).over(line).alias(f"l{k}") for k in range(1, 5)])
-    sums = lags.agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("g0"), *[F.sum(F.col("e") * F.col(f"l{k}")).alias(f"g{k}") for k in range(1, 5)])
-    return sums.select(r(F.sqrt(F.col("g0") + 2 * sum((F.col(f"g{k}") * (1 - k / 5) for k in range(1, 5)), F.lit(0.0))) / F.col("n"), 6).alias("se"))
+    line = months.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "e"))), lambda x: x["e"]).alias("e")).withColumn("n", F.size("e"))
+    lags = line.withColumn("l", F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9.0))).cast("int"))
+    product = lambda k: F.aggregate(F.zip_with(F.slice("e", F.lit(1), F.col("n") - k), F.slice("e", k + 1, F.col("n") - k), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    weighted = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("l")), lambda k: F.when(k > 0, 2 * (1 - k / (F.col("l") + 1.0))).otherwise(1.0) * product(k)), F.lit(0.0), lambda s, x: s + x)
+    return lags.select(r(F.sqrt(weighted) / F.col("n"), 6).alias("se"))
 
 
 @query("chk06_eras", "select coalesce(era, 'all') as era, round(avg(d), 4) as mean, count(*) as seasons from (select season, case when season < 1997 then 'early' when season < 2000 then 'middle' else 'late' end as era, avg(case when flag = 'A' then poss end) - avg(case when flag = 'R' then poss end) as d from fact group by 1, 2) group by grouping sets ((era), ())")
@@ -299,10 +333,14 @@ def _(t: Tables) -> DataFrame:
     return left.agg(r(F.sqrt((F.count("*") - 1) * F.var_pop("x"))).alias("se"))
 
 
-@query("chk14_quantile_bins", "select bin, count(*) as n, round(avg(rate), 4) as mean from (select pts / poss as rate, (ntile(10) over (partition by season order by poss, player))::int as bin from player_season) group by 1")
+@query("chk14_quantile_bins", """select bin, sum(n)::bigint as n, round(any_value(mean), 4) as mean, round(sqrt(sum(e * e)) / sum(n), 4) as se from (select bin, player, count(*) as n, any_value(mean) as mean, sum(rate - mean) as e from (
+  select *, avg(rate) over (partition by bin) as mean from (select player, pts / poss as rate, (ntile(10) over (partition by season order by poss, player))::int as bin from player_season)) group by all) group by 1""")
 def _(t: Tables) -> DataFrame:
-    bins = t.player_season.select((F.col("pts") / F.col("poss")).alias("rate"), F.ntile(10).over(Window.partitionBy("season").orderBy("poss", "player")).alias("bin"))
-    return bins.groupBy("bin").agg(F.count("*").alias("n"), r(F.avg("rate")).alias("mean"))
+    """Means of quantile bins with standard errors clustered by player."""
+    bins = t.player_season.select("player", (F.col("pts") / F.col("poss")).alias("rate"), F.ntile(10).over(Window.partitionBy("season").orderBy("poss", "player")).alias("bin"))
+    mean = bins.groupBy("bin").agg(F.avg("rate").alias("mean"))
+    clusters = bins.join(F.broadcast(mean), "bin").groupBy("bin", "player").agg(F.count("*").alias("n"), F.first("mean").alias("mean"), F.sum(F.col("rate") - F.col("mean")).alias("e"))
+    return clusters.groupBy("bin").agg(F.sum("n").alias("n"), r(F.first("mean")).alias("mean"), r(F.sqrt(F.sum(F.col("e") * F.col("e"))) / F.sum("n")).alias("se"))
 
 
 @query("chk16_concentration", "select game, round(sum(p * p) / (sum(p) * sum(p)), 9) as share from (select game, player, sum(poss) as p from fact group by all) group by 1")
@@ -365,11 +403,22 @@ def _(t: Tables) -> DataFrame:
     return t.lineups.select("season", "game", F.explode("lineup").alias("player")).join(prior, ["season", "player"]).groupBy("game").agg(r(F.sum("rate")).alias("prior"))
 
 
-@query("lam31_team_on_off_rates", "select player, round(100 * sum(own.pts) / sum(own.poss), 3) as on_rate, round(100 * sum(g.pts - own.pts) / nullif(sum(g.poss - own.poss), 0), 3) as off_rate from (select game, player, sum(pts) as pts, sum(poss) as poss from fact group by all) own join (select game, sum(pts) as pts, sum(poss) as poss from fact group by 1) g on own.game = g.game group by 1")
+def on_off_counts() -> dict[str, str]:
+    """Eleven counts by flag and status, and ten by zone: all tries and makes."""
+    zones = {z: f"poss > {a} and poss <= {b}" for z, (a, b) in ZONES.items()}
+    return masks() | {f"{z}_tries": m for z, m in zones.items()} | {f"{z}_made": f"{m} and flag <> 'N'" for z, m in zones.items()}
+
+
+@query("lam31_team_on_off_rates", "select player, " + ", ".join(
+    f"round((100 * sum(own.{k}) + 200) / (sum(own.poss) + 100), 4)::double as on_{k}, round((100 * sum(g.{k} - own.{k}) + 200) / (sum(g.poss - own.poss) + 100), 4)::double as off_{k}" for k in on_off_counts())
+    + " from (select game, player, sum(poss) as poss, " + ", ".join(f"count(*) filter (where {m}) as {k}" for k, m in on_off_counts().items()) + " from fact group by all) own join (select game, sum(poss) as poss, "
+    + ", ".join(f"count(*) filter (where {m}) as {k}" for k, m in on_off_counts().items()) + " from fact group by 1) g on own.game = g.game group by 1")
 def _(t: Tables) -> DataFrame:
-    rest = R.without_own(t.fact, ["player"], ["game"], ["pts", "poss"])
-    rate = lambda a, b: r(100 * F.sum(a) / F.nullif(F.sum(b), F.lit(0.0)), 3)
-    return rest.groupBy("player").agg(rate("pts", "poss").alias("on_rate"), rate("other_pts", "other_poss").alias("off_rate"))
+    """Twenty-one padded rates a player: his own lines, and the rest of his games by subtraction."""
+    rows = t.lines.select("game", "player", "poss", *[F.expr(m).cast("int").alias(k) for k, m in on_off_counts().items()])
+    rest = R.without_own(rows, ["player"], ["game"], ["poss", *on_off_counts()])
+    rate = lambda k, p: r((100 * F.sum(k) + 200) / (F.sum(p) + 100))
+    return rest.groupBy("player").agg(*[x for k in on_off_counts() for x in (rate(k, "poss").alias(f"on_{k}"), rate(f"other_{k}", "other_poss").alias(f"off_{k}"))])
 
 
 @query("lam35_rating_differences", "select a.player as a, b.player as b, round(a.rate - b.rate, 4) as d from (select player, sum(pts) / sum(poss) as rate from fact group by 1) a join (select player, sum(pts) / sum(poss) as rate from fact group by 1) b on b.player = a.player + 1")
@@ -446,13 +495,14 @@ def _(t: Tables) -> DataFrame:
     return gaps.agg(r(F.avg("d") / F.greatest(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.05))).alias("z"), F.count("*").alias("seasons"))
 
 
-@query("chk13_permutation_null", "select round(avg(case when a.k % 2 = 0 then b.v end) - avg(case when a.k % 2 = 1 then b.v end), 6) as gap from (select season, game, row_number() over (partition by season order by game) as k from g) a join (select season, v, row_number() over (partition by season order by (game * 2654435761) % 4294967296, game) as k from g) b on a.season = b.season and a.k = b.k",
+@query("chk13_permutation_null", "select seed, round(avg(v) filter (where k % 2 = 0) - avg(v) filter (where k % 2 = 1), 6) as gap from (select seed, v, row_number() over (partition by season, seed order by ((game + 1) * 2654435761 + seed * 40503 * (game % 97 + 1)) % 4294967296, game) as k from g, (select unnest(range(20)) as seed)) group by 1",
        "g as (select season, game, sum(poss)::double as v from fact group by all)")
 def _(t: Tables) -> DataFrame:
-    games = t.played.groupBy("season", "game").agg(F.sum("poss").alias("v"))
-    mixed = F.row_number().over(Window.partitionBy("season").orderBy(F.pmod(F.col("game") * 2654435761, F.lit(1 << 32)), "game"))
-    flagged = games.select("v", (mixed % 2).alias("flag"))
-    return flagged.agg(r(F.avg(F.when(F.col("flag") == 0, F.col("v"))) - F.avg(F.when(F.col("flag") == 1, F.col("v"))), 6).alias("gap"))
+    """The gap between two halves of each season's games under twenty permutations inside the season."""
+    games = t.played.groupBy("season", "game").agg(F.sum("poss").alias("v")).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    mixed = F.pmod((F.col("game") + 1) * 2654435761 + F.col("seed") * 40503 * (F.col("game") % 97 + 1), F.lit(1 << 32))
+    flagged = games.select("seed", "v", (F.row_number().over(Window.partitionBy("season", "seed").orderBy(mixed, "game")) % 2).alias("flag"))
+    return flagged.groupBy("seed").agg(r(F.avg(F.when(F.col("flag") == 0, F.col("v"))) - F.avg(F.when(F.col("flag") == 1, F.col("v"))), 6).alias("gap"))
 
 
 @query("chk15_clustered_z", "select round(sum(s) / sqrt(sum(s * s)), 4) as z, count(*) as clusters from (select customer, sum(poss - 25.5) as s from fact group by 1)")

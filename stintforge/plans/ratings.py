@@ -609,7 +609,22 @@ def _(t: Tables) -> DataFrame:
     return stores.PartitionStore(t.spark, "season").upsert(sums).read().select("season", "fold", "xx", "xy", "n")
 
 
-@query("cmd09_wins_columns", "select season, player, round((pts / poss - 1400) / 100 * poss / 100, 4) as points_added, round((pts / poss - 1400) / 100 * poss / 100 / 30, 4) as wins from player_season")
-def _(t: Tables) -> DataFrame:
-    added = (F.col("pts") / F.col("poss") - 1400) / 100 * F.col("poss") / 100
-    return t.player_season.select("season", "player", r(added).alias("points_added"), r(added / 30).alias("wins"))
+@query("cmd09_wins_columns", """select season, player, team, poss::double as poss, round(off, 4) as offense, round(def, 4) as defense, round(pace, 4) as pace, round(off * poss / 100, 4) as points_off, round(def * poss / 100, 4) as points_def,
+  round((off + def) * poss / 100, 4) as points, round((off + def) * poss / 100 / 30, 4) as wins, round((off + def + 2) * poss / 100 / 30, 4) as wins_above_bar, round(late / poss, 4) as leverage, round((off + def) * poss / 100 / 30 * (0.5 + late / poss), 4) as wins_late
+  from (select p.*, (p.pts / p.poss - l.rate) / 100 as off, (a.made / p.poss - l.made) * 10 as def, p.poss / p.games - l.pace as pace, a.late from player_season p join (select season, sum(pts) / sum(poss) as rate, sum(poss) / sum(games) as pace,
+  (select sum((flag = 'R')::int * poss) / sum(poss) from fact f where f.season = player_season.season) as made from player_season group by season) l on p.season = l.season
+  join (select season, team, player, sum((flag = 'R')::int * poss) as made, sum((line >= 4)::int * poss) as late from fact group by all) a on a.season = p.season and a.team = p.team and a.player = p.player)""")
+def _(t: Tables) -> DataFrame:
+    """Twelve columns a player-season: ratings against the season's level, points, wins, wins above a bar and under leverage."""
+    own = t.fact.groupBy("season", "team", "player").agg(
+        F.sum("poss").alias("poss"), F.sum("pts").alias("pts"), F.countDistinct("game").alias("games"), F.sum(F.when(F.col("flag") == "R", F.col("poss")).otherwise(0.0)).alias("made"), F.sum(F.when(F.col("line") >= 4, F.col("poss")).otherwise(0.0)).alias("late")
+    )
+    season = Window.partitionBy("season")
+    level = lambda a, b: F.sum(a).over(season) / F.sum(b).over(season)
+    rated = own.withColumn("off", (F.col("pts") / F.col("poss") - level("pts", "poss")) / 100).withColumn("def", (F.col("made") / F.col("poss") - level("made", "poss")) * 10).withColumn("pace", F.col("poss") / F.col("games") - level("poss", "games"))
+    both, late = F.col("off") + F.col("def"), F.col("late") / F.col("poss")
+    wins = lambda x: x * F.col("poss") / 100 / 30
+    return rated.select(
+        "season", "player", "team", "poss", r("off").alias("offense"), r("def").alias("defense"), r("pace").alias("pace"), r(F.col("off") * F.col("poss") / 100).alias("points_off"), r(F.col("def") * F.col("poss") / 100).alias("points_def"),
+        r(both * F.col("poss") / 100).alias("points"), r(wins(both)).alias("wins"), r(wins(both + 2)).alias("wins_above_bar"), r(late).alias("leverage"), r(wins(both) * (0.5 + late)).alias("wins_late"),
+    )

@@ -35,7 +35,7 @@ def query(name: str, select: str | None = None, ctes: str = "") -> Callable[[Cal
 
 
 def _load() -> None:
-    from stintforge.plans import build, events, features, linear, ordered, ratings, relational, scalar, stores  # noqa: F401
+    from stintforge.plans import build, catalogue, events, features, linear, ordered, ratings, relational, scalar, stores  # noqa: F401
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

@@ -197,10 +197,11 @@ def _(t: Tables) -> DataFrame:
     return apart.groupBy("team", "player").agg(r(F.sum("other_poss")).alias("off_poss"), r(F.sum("poss")).alias("on_poss"))
 
 
-@query("joi05_majority_team", "select customer, season, max_by(team, n * 1000 - team) as team from (select customer, season, team, count(*) as n from fact group by all) group by all")
+@query("joi05_majority_team", "select game, player, game * 2 + max_by(side, n * 2 + 1 - side) as team from (select game, player, part % 2 as side, count(*) as n from fact group by all) group by game, player")
 def _(t: Tables) -> DataFrame:
-    n = t.fact.groupBy("customer", "season", "team").agg(F.count("*").alias("n"))
-    return n.groupBy("customer", "season").agg(F.max_by("team", F.col("n") * 1000 - F.col("team")).alias("team"))
+    """The side of a game (here: by a line's part) that has most of a player's appearances, the home side on ties."""
+    n = t.lines.groupBy("game", "player", (F.col("part") % 2).alias("side")).agg(F.count("*").alias("n"))
+    return n.groupBy("game", "player").agg((F.first("game") * 2 + F.max_by("side", F.col("n") * 2 + 1 - F.col("side"))).alias("team"))
 
 
 @query("joi06_top_member_faced", """select f.player, count(*) as games from fact_players f join tops x on f.game = x.game where x.top <> f.player group by 1""",
@@ -285,16 +286,49 @@ def _(t: Tables) -> DataFrame:
 # ---- aggregates
 
 
-@query("agg01_masked_counters", """select game, sum(poss) filter (where flag = 'R')::double as r_poss, sum(poss) filter (where flag = 'A')::double as a_poss, sum(poss) filter (where status = 'O')::double as o_poss,
-  count(*) filter (where flag = 'N' and status = 'O') as n_open from fact group by 1""")
+#: Upper ends of the distance zones.
+ZONES = {"rim": (0, 6), "short": (6, 15), "mid": (15, 25), "long": (25, 35), "deep": (35, 1000)}
+
+
+def masks() -> dict[str, str]:
+    """Conditions on a line by name: flags, statuses, both, and flags by zone; the same text for both engines."""
+    out = {f"{f}".lower(): f"flag = '{f}'" for f in "ANR"} | {s.lower(): f"status = '{s}'" for s in "OF"}
+    out |= {f"{f}{s}".lower(): f"flag = '{f}' and status = '{s}'" for f in "ANR" for s in "OF"}
+    return out
+
+
+def zone_masks(flags: str = "ANR") -> dict[str, str]:
+    return {f"{f}_{z}".lower(): f"flag = '{f}' and poss > {a} and poss <= {b}" for f in flags for z, (a, b) in ZONES.items()}
+
+
+def counter_sql() -> dict[str, str]:
+    """Forty-five counters of a side: column name to aggregate, in terms that both engines read."""
+    own = {f"n_{k}": f"count(*) filter (where {m})" for k, m in masks().items()} | {f"poss_{k}": f"sum(poss) filter (where {m})" for k, m in list(masks().items())[5:]}
+    own |= {f"n_{k}": f"count(*) filter (where {m})" for k, m in zone_masks().items()} | {f"pts_{k}": f"round(sum(pts) filter (where {m}), 4)" for k, m in zone_masks("AN").items()}
+    return own | {"lines": "count(*)", "firsts": "count(*) filter (where line = 1)", "poss": "sum(poss)"}
+
+
+def sided_sql() -> dict[str, str]:
+    sides = {"h": "player % 2 = 0", "a": "player % 2 = 1"}
+    put = lambda agg, c: agg.replace("(where ", f"(where {c} and ") if "filter" in agg else f"{agg} filter (where {c})"
+    return {f"{s}_{k}": put(agg, c) for s, c in sides.items() for k, agg in counter_sql().items()}
+
+
+@query("agg01_masked_counters", "select game, " + ", ".join(f"({agg})::double as {k}" for k, agg in sided_sql().items()) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    total = lambda c: F.sum(F.when(c, F.col("poss")))
-    return t.lines.groupBy("game").agg(total(F.col("flag") == "R").alias("r_poss"), total(F.col("flag") == "A").alias("a_poss"), total(F.col("status") == "O").alias("o_poss"), F.count_if((F.col("flag") == "N") & (F.col("status") == "O")).alias("n_open"))
+    """Forty-five counters for each of two sides, ninety masked sums in one pass; conditions are on columns of the line alone."""
+    return t.lines.groupBy("game").agg(*[F.expr(agg).cast("double").alias(k) for k, agg in sided_sql().items()])
 
 
-@query("agg02_pivot_slots", "select season, sum(poss) filter (where flag = 'A')::double as A, sum(poss) filter (where flag = 'N')::double as N, sum(poss) filter (where flag = 'R')::double as R from fact group by 1")
+@query("agg02_pivot_slots", "select game, " + ", ".join(f"count(*) filter (where side = {i} and slot = '{x}'{m}) as {s}_{x}_{n}" for i, s in enumerate("ha") for x in "12345x" for n, m in (("tries", ""), ("made", " and flag <> 'N'"))) + """ from (
+  select *, case when place <= 5 then place::varchar else 'x' end as slot from (select *, player % 2 as side, dense_rank() over (partition by game, player % 2 order by player) as place from fact)) group by 1""")
 def _(t: Tables) -> DataFrame:
-    return t.played.groupBy("season").pivot("flag", ["A", "N", "R"]).agg(F.sum("poss"))
+    """Tries and makes by a player's slot (1 to 5 by id, x beyond) and side."""
+    place = F.dense_rank().over(Window.partitionBy("game", F.col("player") % 2).orderBy("player"))
+    rows = t.lines.withColumn("side", F.col("player") % 2).withColumn("slot", F.when(place <= 5, place.cast("string")).otherwise("x"))
+    cell = lambda i, x, more: F.count_if((F.col("side") == i) & (F.col("slot") == x) & more)
+    kinds = {"tries": F.lit(True), "made": F.col("flag") != "N"}
+    return rows.groupBy("game").agg(*[cell(i, x, more).alias(f"{s}_{x}_{n}") for i, s in enumerate("ha") for x in "12345x" for n, more in kinds.items()])
 
 
 @query("agg06_league_rate", "select season, round(100 * sum(pts) / sum(poss), 4) as pts_rate, sum(poss)::double as poss from fact group by 1")
@@ -370,16 +404,29 @@ def _(t: Tables) -> DataFrame:
     return t.played.groupBy("player").agg(r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 6).alias("share"))
 
 
-@query("agg26_quality_checks", "select avg((k = 1)::int) as alone, avg((p > 100)::int) as large, avg((n > k)::int) as repeats, count(*) as games from (select game, count(distinct player) as k, count(*) as n, sum(poss) as p from fact group by 1)")
+QUALITY = {
+    "alone": "avg(cast(k = 1 as int))", "large": "avg(cast(p > 100 as int))", "repeats": "avg(cast(n > k as int))", "games": "count(*)", "lines": "cast(sum(n) as bigint)", "most_lines": "max(n)",
+    "least_poss": "cast(min(p) as double)", "mean_poss": "round(avg(p), 6)", "mean_players": "round(avg(k), 6)", "blank": "avg(cast(made = 0 as int))", "unstarted": "avg(cast(firsts = 0 as int))",
+    "two_sided": "avg(cast(sides = 2 as int))", "spread": "round(stddev_pop(p), 4)",
+}
+
+
+@query("agg26_quality_checks", "select " + ", ".join(f"{x} as {k}" for k, x in QUALITY.items()) + " from (select game, count(distinct player) as k, count(*) as n, sum(poss) as p, count(*) filter (where flag <> 'N') as made, count(*) filter (where line = 1) as firsts, count(distinct player % 2) as sides from fact group by 1)")
 def _(t: Tables) -> DataFrame:
-    games = t.lines.groupBy("game").agg(F.countDistinct("player").alias("k"), F.count("*").alias("n"), F.sum("poss").alias("p"))
-    share = lambda c: F.avg(c.cast("int"))
-    return games.agg(share(F.col("k") == 1).alias("alone"), share(F.col("p") > 100).alias("large"), share(F.col("n") > F.col("k")).alias("repeats"), F.count("*").alias("games"))
+    games = t.lines.groupBy("game").agg(
+        F.countDistinct("player").alias("k"), F.count("*").alias("n"), F.sum("poss").alias("p"), F.count_if(F.col("flag") != "N").alias("made"), F.count_if(F.col("line") == 1).alias("firsts"), F.countDistinct(F.col("player") % 2).alias("sides")
+    )
+    return games.agg(*[F.expr(x).alias(k) for k, x in QUALITY.items()])
+
+
+def conditional_sql() -> dict[str, str]:
+    """Twenty-two conditions: flag, status and phase, then makes and misses by zone."""
+    return {f"n_{f}{s}{p}".lower(): f"flag = '{f}' and status = '{s}' and phase = '{p}'" for f in "ANR" for s in "OF" for p in ("RS", "PO")} | {f"n_{k}": m for k, m in zone_masks("AN").items()}
 
 
-@query("agg28_conditional_counts", "select player, " + ", ".join(f"count(*) filter (where flag = '{f}' and status = '{s}' and phase = '{p}') as n_{f}{s}{p}".lower().replace(f"'{f.lower()}'", f"'{f}'").replace(f"'{s.lower()}'", f"'{s}'").replace(f"'{p.lower()}'", f"'{p}'") for f in "ANR" for s in "OF" for p in ("RS", "PO")) + " from fact group by 1")
+@query("agg28_conditional_counts", "select player, " + ", ".join(f"count(*) filter (where {m}) as {k}" for k, m in conditional_sql().items()) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    return t.played.groupBy("player").agg(*[F.count_if((F.col("flag") == f) & (F.col("status") == s) & (F.col("phase") == p)).alias(f"n_{f}{s}{p}".lower()) for f in "ANR" for s in "OF" for p in ("RS", "PO")])
+    return t.played.groupBy("player").agg(*[F.count_if(F.expr(m)).alias(k) for k, m in conditional_sql().items()])
 
 
 @query("agg30_padded_cells", "select s.season, c.flag, c.status, c.phase, coalesce(x.n, 0) as n, round((coalesce(x.k, 0) + 10 * 0.5) / (coalesce(x.n, 0) + 10), 6) as share from (select distinct season from fact) s cross join (select distinct flag, status, phase from fact) c left join (select season, flag, status, phase, count(*) as n, sum((poss > 25)::int) as k from fact group by all) x on x.flag = c.flag and x.status = c.status and x.phase = c.phase and x.season = s.season")

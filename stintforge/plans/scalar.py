@@ -9,7 +9,7 @@ from stintforge.functions import scalars as S
 from stintforge.functions import text as X
 from stintforge.operators import relations as R
 from stintforge.plans.registry import query
-from stintforge.plans.relational import r
+from stintforge.plans.relational import masks, r, zone_masks
 from stintforge.sources.tables import Tables
 
 _CLOCK = "'PT' || lpad((p_partkey % 12)::varchar, 2, '0') || 'M' || lpad((p_size)::varchar, 2, '0') || '.00S'"
@@ -146,17 +146,39 @@ def _(t: Tables) -> DataFrame:
     return t.player_season.select("season", "player", S.bin_index(F.col("poss"), [200.0, 400.0, 800.0]).alias("bin"))
 
 
-@query("scl26_linear_features", "select player, round(sum(poss) filter (where flag = 'A') * 0.4 + sum(poss) filter (where flag = 'N') * 0.2 - sum(poss) filter (where flag = 'R') * 0.1, 4) as creation from fact group by 1")
+#: Linear combinations of a player's counts per 100 possessions.
+COMBINATIONS = {
+    "creation": {"a": 0.4, "n": 0.2, "r": -0.1}, "finishing": {"ao": 1.0, "no": -0.5}, "spacing": {"a_long": 0.7, "a_deep": 1.1, "n_deep": -0.3}, "rim_pressure": {"a_rim": 1.0, "n_rim": 0.44},
+    "turnover_cost": {"r": -1.2}, "second_chances": {"n_short": 0.5, "n_mid": 0.25}, "volume": {"a": 1.0, "n": 1.0}, "closing": {"af": 0.8, "nf": -0.4}, "defence": {"ro": 0.6, "rf": 0.9}, "activity": {"a": 0.3, "n": 0.3, "r": 0.3, "o": -0.05},
+}
+
+
+def combined_sql(weights: dict[str, float]) -> str:
+    every = masks() | zone_masks()
+    total = " + ".join(f"{w} * count(*) filter (where {every[k]})" for k, w in weights.items())
+    return f"round(100 * ({total}) / sum(poss), 6)"
+
+
+@query("scl26_linear_features", "select player, " + ", ".join(f"({combined_sql(w)})::double as {k}" for k, w in COMBINATIONS.items()) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    weights = {"A": 0.4, "N": 0.2, "R": -0.1}
-    parts = [F.sum(F.when(F.col("flag") == f, F.col("poss"))) * w for f, w in weights.items()]
-    return t.lines.groupBy("player").agg(r(sum(parts[1:], parts[0])).alias("creation"))
+    return t.lines.groupBy("player").agg(*[F.expr(combined_sql(w)).cast("double").alias(k) for k, w in COMBINATIONS.items()])
+
+
+#: Ratios of counts as (part, whole, pad, prior).
+RATIOS = {
+    "made": ("a", "lines", 50, 0.25), "missed": ("n", "lines", 50, 0.5), "lost": ("r", "lines", 50, 0.25), "open_made": ("ao", "a", 30, 0.1), "late_made": ("af", "a", 30, 0.9), "rim_made": ("a_rim", "a", 40, 0.12),
+    "deep_made": ("a_deep", "a", 40, 0.3), "deep_tries": ("n_deep", "n", 40, 0.3), "open_lost": ("ro", "r", 20, 0.1), "long_lost": ("r_long", "r", 20, 0.2),
+}
+
+
+def padded_sql(part: str, whole: str, pad: int, prior: float) -> str:
+    every = masks() | zone_masks() | {"lines": "true"}
+    return f"round((count(*) filter (where {every[part]}) + {pad} * {prior}) / (count(*) filter (where {every[whole]}) + {pad}), 6)"
 
 
-@query("scl27_padded_ratio", "select player, round((count(*) filter (where flag = 'A') + 50 * 0.25) / (count(*) + 50), 6) as share, round((count(*) filter (where flag = 'A') + 50 * 0.25) / (count(*) + 50) - 0.25, 6) as above from fact group by 1")
+@query("scl27_padded_ratio", "select player, " + ", ".join(f"({padded_sql(*x)})::double as {k}" for k, x in RATIOS.items()) + " from fact group by 1")
 def _(t: Tables) -> DataFrame:
-    share = (F.count_if(F.col("flag") == "A") + 12.5) / (F.count("*") + 50)
-    return t.lines.groupBy("player").agg(r(share, 6).alias("share"), r(share - 0.25, 6).alias("above"))
+    return t.lines.groupBy("player").agg(*[F.expr(padded_sql(*x)).cast("double").alias(k) for k, x in RATIOS.items()])
 
 
 @query("scl29_unassisted", "select player, round(count(*) * (1 - least(greatest(avg((flag = 'R')::int), 0.05), 0.95)), 6) as own from fact group by 1")
