@@ -11,6 +11,7 @@ from stintforge.operators import moments as M
 from stintforge.operators import sequences as Q
 from stintforge.plans.registry import QUERIES, query
 from stintforge.plans.relational import r
+from stintforge.sources import stores
 from stintforge.sources.tables import Tables
 
 PENALTY = 5000.0
@@ -83,8 +84,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Error of held-back games under ratings that never saw them, next to that of the season's level."""
     fold = Q.arithmetic_fold(F.col("game"), FOLDS)
-    lineups = t.lineups.withColumn("fold", fold).persist()
-    fact = t.fact.withColumn("fold", fold).persist()
+    lineups = stores.kept(t.lineups.withColumn("fold", fold))
+    fact = stores.kept(t.fact.withColumn("fold", fold))
     parts = []
     for k in range(FOLDS):
         kept, held = fact.where(F.col("fold") != k), lineups.where(F.col("fold") == k)

@@ -31,12 +31,14 @@ def _(t: Tables) -> DataFrame:
     return found(t).where("reason = 'turnover'").groupBy("game").agg(F.count("*").alias("turnovers"))
 
 
-@query("psm12_attempts", "select game, side as team, sum((kind <= 5)::int)::bigint + sum((kind = 7)::int)::bigint as attempts from numbered group by all having sum((kind <= 5 or kind = 7)::int) > 0", _PLAYS)
+@query("psm12_attempts", "select game, side as team, sum(counted)::bigint as attempts from (select game, side, 1 as counted from numbered where kind <= 5 union all select t.game, t.side, case when e.open = t.side and j.lost is null then 0 else 1 end from trips t left join before e on t.game = e.game and t.no = e.no + 1 left join lost j on j.game = t.game and j.no = t.no) group by all",
+       _PLAYS + """, counted as (select *, coalesce(sum((kind <= 7)::int) over (partition by game order by k rows between unbounded preceding and 1 preceding), 0) + 1 as no from numbered),
+  trips as (select game, side, no from counted where kind = 7),
+  before as (select game, no, kind <= 5 and flag <> 'N' as made, case when kind <= 5 then case when flag <> 'N' or part // 10 % 2 = side then side end when kind = 7 and status <> 'F' then side end as open from counted where kind <= 7),
+  lost as (select distinct c.game, c.no, 1 as lost from counted c join before e on c.game = e.game and c.no = e.no + 1 where c.kind = 9 and (e.made or c.side <> e.open))""")
 def _(t: Tables) -> DataFrame:
-    """Shots and free-throw trips; a trip whose foul the open possession's own shot drew would not count twice."""
-    plays = gamelog.from_lines(t.fact)
-    trips = F.count_if((F.col("action") == "shot") | ((F.col("action") == "free_throw") & F.endswith("detail", F.lit("1 of 2"))))
-    return plays.groupBy("game", "team").agg(trips.alias("attempts")).where("attempts > 0")
+    """Attempts as the machine counts them: shots, and trips but for those whose foul the open possession of the shooters drew."""
+    return found(t).groupBy("game", "team").agg(F.sum("attempts").alias("attempts")).where("attempts > 0")
 
 
 @query("psm08_endings")
@@ -79,11 +81,14 @@ def _(t: Tables) -> DataFrame:
     return found(t).where("reason = 'jump_ball'").groupBy("game", "team").agg(F.count("*").alias("lost"))
 
 
-@query("psm09_free_throws", "select game, side as team, sum((flag <> 'N')::int + (status = 'F')::int)::bigint as points, count(*) filter (where status = 'F') as ended from numbered where kind = 7 group by game, side", _PLAYS)
+@query("psm09_free_throws", "select game, side as team, count(*) as ended, sum((flag <> 'N')::int + 1)::bigint as scored from numbered where kind = 7 and status = 'F' group by game, side", _PLAYS)
 def _(t: Tables) -> DataFrame:
-    """A log of trips only: all points count, and a made last throw ends the turn."""
-    turns = gamelog.possessions(gamelog.from_lines(t.fact.where("part % 10 = 7")))
-    return turns.groupBy("game", "team").agg(F.sum("points").alias("points"), F.count_if(F.col("reason") == "made_ft").alias("ended"))
+    """Every trip whose last throw is made ends its possession; that possession holds the trip's points beside those of its shots."""
+    plays = gamelog.from_lines(t.fact)
+    ended = gamelog.possessions(plays).where("reason = 'made_ft'").select("game", "team", "first_seq", "last_seq")
+    throws = plays.where("action = 'free_throw'").select("game", "team", "seq", F.startswith("detail", F.lit("made")).cast("int").alias("made"), (F.col("seq") - F.pmod("seq", F.lit(4))).alias("trip"))
+    whole = throws.groupBy("game", "team", "trip").agg(F.max("seq").alias("last_seq"), F.sum("made").alias("made"))
+    return ended.join(whole, ["game", "team", "last_seq"]).groupBy("game", "team").agg(F.count("*").alias("ended"), F.sum("made").alias("scored"))
 
 
 @query("psm10_technical_points", """select game, side as team, sum(case when kind <= 5 and flag <> 'N' then case when poss > 35 then 3 else 2 end when kind = 7 and flag <> 'N' then 1 else 0 end)::bigint as points from numbered where kind <= 7 group by game, side having count(*) filter (where kind <= 6) > 0""", _PLAYS)

@@ -20,6 +20,7 @@ from stintforge.operators import relations as R
 from stintforge.operators import sequences as Q
 from stintforge.plans.registry import query
 from stintforge.plans.relational import ZONES, masks, r
+from stintforge.sources import stores
 from stintforge.sources.tables import Tables
 
 
@@ -358,7 +359,7 @@ def _(t: Tables) -> DataFrame:
 @query("chk20_penalty_choice")
 def _(t: Tables) -> DataFrame:
     """Held-out error of a season's games under ridges fitted to the other seasons, by penalty."""
-    left = L.leave_out(equations(t), "season").persist()
+    left = stores.kept(L.leave_out(equations(t), "season"))
     rows = design(t)
     out = None
     for penalty in (500.0, 5000.0, 50000.0):
@@ -541,7 +542,7 @@ def _(t: Tables) -> DataFrame:
 @query("lam58_penalty_sweep", "select season, 3::bigint as penalties, true as shrinking from design group by 1", _DESIGN)
 def _(t: Tables) -> DataFrame:
     """More penalty, smaller deviations, on equations formed once."""
-    formed = equations(t).persist()
+    formed = stores.kept(equations(t))
     parts = [L.ridge(formed, "season", p).where("i > 0").groupBy("season").agg(F.sum(F.col("beta") * F.col("beta")).alias("size")).withColumn("penalty", F.lit(p)) for p in (500.0, 5000.0, 50000.0)]
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("penalty", "size"))), lambda x: x["size"])
     every = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("season").agg(sizes.alias("s"))

@@ -198,9 +198,9 @@ def _(t: Tables) -> DataFrame:
     return rows.groupBy("season").agg(r(F.sum(x * w) / F.sum(w)).alias("offset_mean"), r(0.6 + 0.4 * F.sum(w * x * y) / F.sum(w * x * x), 6).alias("scale"))
 
 
-@query("lam56_single_season", "select season, count(distinct col) as columns, 0.0::double as residual from design where season = 1996 group by 1", _DESIGN)
+@query("lam56_single_season", "select season, count(distinct col) as columns, 0.0::double as residual from design group by 1", _DESIGN)
 def _(t: Tables) -> DataFrame:
-    return settled(L.ridge(equations(t).where("season = 1996"), "season", 40000.0), "season")
+    return settled(L.ridge(equations(t), "season", 40000.0), "season")
 
 
 @query("lam65_pace_ridge", "select season, count(distinct col) as columns, 0.0::double as residual from design group by 1", _DESIGN)
@@ -488,7 +488,7 @@ def trees(weight: str = "w") -> GBTRegressor:
 @query("lam83_full_and_folds")
 def _(t: Tables) -> DataFrame:
     """The full model beside those that left a fold of players out."""
-    rows = boosted_inputs(t).withColumn("fold", Q.arithmetic_fold(F.col("player"), 2)).persist()
+    rows = stores.kept(boosted_inputs(t).withColumn("fold", Q.arithmetic_fold(F.col("player"), 2)))
     full = trees().fit(rows).transform(rows).withColumnRenamed("prediction", "full")
     parts = [trees().fit(rows.where(F.col("fold") != k)).transform(full.where(F.col("fold") == k)) for k in range(2)]
     return parts[0].unionAll(parts[1]).select("season", "player", r("full", 3).alias("full_model"), r("prediction", 3).alias("out_of_fold"))
@@ -499,7 +499,7 @@ def bagged(rows: DataFrame, bags: int) -> DataFrame:
     parts = []
     for bag in range(bags):
         draw = F.pmod(F.pmod(F.col("player") * 2654435761 + bag * 40503, F.lit(1 << 32)), F.lit(3))
-        drawn = rows.withColumn("bag_w", F.col("w") * draw).withColumn("unseen", draw == 0).persist()
+        drawn = stores.kept(rows.withColumn("bag_w", F.col("w") * draw).withColumn("unseen", draw == 0))
         parts.append(trees("bag_w").fit(drawn.where("bag_w > 0")).transform(drawn).select("season", "player", "unseen", "prediction"))
     every = parts[0]
     for part in parts[1:]:
@@ -522,7 +522,7 @@ def _(t: Tables) -> DataFrame:
 @query("lam88_season_priors", "select season, count(*) as players, 0.0::double as mean from player_season where season = 1997 group by 1")
 def _(t: Tables) -> DataFrame:
     """A season's priors from models of the other seasons and other players, centred by possessions."""
-    rows = boosted_inputs(t).withColumn("fold", Q.arithmetic_fold(F.col("player"), 2)).persist()
+    rows = stores.kept(boosted_inputs(t).withColumn("fold", Q.arithmetic_fold(F.col("player"), 2)))
     others, own = rows.where("season <> 1997"), rows.where("season = 1997")
     parts = [trees().fit(others.where(F.col("fold") != k)).transform(own.where(F.col("fold") == k)) for k in range(2)]
     both = parts[0].unionAll(parts[1]).select("season", "player", "poss", "prediction")

@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/store-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Rows that several results read, written once to the shared folder: no executor has to hold them, or to be there still."""
+    place = shared_folder(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
     """Write as ``parquet``, ``csv``, ``json`` or ``orc`` and read back with the same schema."""
     place = shared_folder(df.sparkSession)
