@@ -460,10 +460,21 @@ def _(t: Tables) -> DataFrame:
     return t.lineups.where("poss >= 15").select("game", r(F.col("poss") / 10).alias("pace"), F.greatest("poss", F.lit(15.0)).alias("seconds"))
 
 
-@query("lam67_slot_leverage", "select player, round(sum(poss * abs(poss - 100)) / sum(poss), 4) as leverage from (select unnest(lineup) as player, poss from lineups) group by 1")
-def _(t: Tables) -> DataFrame:
-    slots = t.lineups.select(F.explode("lineup").alias("player"), "poss")
-    return slots.groupBy("player").agg(r(F.sum(F.col("poss") * F.abs(F.col("poss") - 100)) / F.sum("poss")).alias("leverage"))
+@query("lam67_slot_leverage", """select season, player, round(100 * (sum(pts) / sum(poss) - any_value(rate)) / any_value(rate), 4) as wosa_off, round(100 * (sum(lost) / sum(poss) - any_value(loss)), 4) as wosa_def, round(avg(poss) - any_value(pace), 4) as wosa_pace,
+  round(sum(poss * abs(poss - pace)) / sum(poss), 4) as leverage, round(sum(greatest(poss - pace, 0)), 4) as above_bar from (
+  select season, unnest(lineup) as player, poss, pts, lost, avg(poss) over s as pace, sum(pts) over s / sum(poss) over s as rate, sum(lost) over s / sum(poss) over s as loss from (
+  select l.*, coalesce(r.lost, 0) as lost from lineups l left join (select game, sum(poss) as lost from fact where flag = 'R' group by 1) r on l.game = r.game) window s as (partition by season)) group by all""")
+def _(t: Tables) -> DataFrame:
+    """Five columns over a player's games: attack, defence and pace against the season's games, leverage, and possessions above the season's mean game."""
+    lost = t.lines.where("flag = 'R'").groupBy("game").agg(F.sum("poss").alias("lost"))
+    games = t.lineups.join(lost, "game", "left").withColumn("lost", F.coalesce("lost", F.lit(0.0)))
+    level = games.groupBy("season").agg(F.avg("poss").alias("pace"), (F.sum("pts") / F.sum("poss")).alias("rate"), (F.sum("lost") / F.sum("poss")).alias("loss"))
+    slots = games.join(F.broadcast(level), "season").withColumn("player", F.explode("lineup"))
+    own = lambda c: F.sum(c) / F.sum("poss")
+    return slots.groupBy("season", "player").agg(
+        r(100 * (own("pts") - F.first("rate")) / F.first("rate")).alias("wosa_off"), r(100 * (own("lost") - F.first("loss"))).alias("wosa_def"), r(F.avg("poss") - F.first("pace")).alias("wosa_pace"),
+        r(F.sum(F.col("poss") * F.abs(F.col("poss") - F.col("pace"))) / F.sum("poss")).alias("leverage"), r(F.sum(F.greatest(F.col("poss") - F.col("pace"), F.lit(0.0)))).alias("above_bar"),
+    )
 
 
 @query("lam78_posterior_sd")

@@ -295,14 +295,19 @@ def _(t: Tables) -> DataFrame:
 
 
 #: Named sets of line inputs.
-INPUT_SETS = {"box": ["x"], "box_and_load": ["x", "z"], "all": ["x", "z", "w"]}
+#: Inputs of a line by name, as both engines read them, and the ten named sets of them.
+INPUTS = {"x": "x", "z": "z", "w": "w / 1000", "xx": "x * x", "zz": "z * z", "xz": "x * z", "load": "z / (x + 1)", "rare": "1 / (x + 1)", "first": "case when x <= 1 then 1.0 else 0.0 end", "deep": "case when z > 2 then z - 2 else 0.0 end"}
+INPUT_SETS = {
+    "box": ["x"], "box_and_load": ["x", "z"], "all": list(INPUTS), "squares": ["x", "xx"], "load_squares": ["z", "zz"], "products": ["x", "z", "xz"], "exposure": ["w", "load"], "newcomers": ["x", "rare", "first"],
+    "heavy": ["z", "deep"], "plain": ["x", "z", "w"],
+}
 
 
-@query("lam34_line_inputs", "select 'box' as kind, season, player, 'x' as name, round(x, 4) as v from xy union all select 'box_and_load', season, player, unnest(['x', 'z']), unnest([round(x, 4), round(z, 4)]) from xy union all select 'all', season, player, unnest(['x', 'z', 'w']), unnest([round(x, 4), round(z, 4), round(w, 4)]) from xy", _PAIRS_OF)
+@query("lam34_line_inputs", " union all ".join(f"select '{kind}' as kind, '{c}' as name, season, team, player, round({INPUTS[c]}, 4)::double as v from xy" for kind, names in INPUT_SETS.items() for c in names), _PAIRS_OF)
 def _(t: Tables) -> DataFrame:
     """Each set's inputs in long form, from one pass over the rows."""
-    entry = [F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("name"), r(F.col(c)).alias("v")) for kind, names in INPUT_SETS.items() for c in names]
-    return pairs_of(t).select("season", "player", F.inline(F.array(*entry)))
+    entry = [F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("name"), r(F.expr(INPUTS[c])).cast("double").alias("v")) for kind, names in INPUT_SETS.items() for c in names]
+    return pairs_of(t).select("season", "team", "player", F.inline(F.array(*entry)))
 
 
 @query("lam36_season_lines", "select s.season, round(sum(k * xy) / (sum(k * xx) + 10), 6) as slope from (select distinct season from xy) s join (select season as other, sum(w * x * y) as xy, sum(w * x * x) as xx from xy group by 1) o on o.other <> s.season, lateral (select power(0.5, abs(o.other - s.season) / 3.0) as k) group by 1", _PAIRS_OF)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintforge.functions import scalars as S
@@ -187,12 +187,33 @@ def _(t: Tables) -> DataFrame:
     return t.lines.groupBy("player").agg(r(F.count("*") * (1 - share), 6).alias("own"))
 
 
-@query("scl32_residual", "select season, player, round(pts / poss - (regr_intercept(pts / poss, poss) over w + regr_slope(pts / poss, poss) over w * poss), 3) as residual from player_season window w as (partition by season)")
+#: Seven regressions as response and what it is regressed on.
+REGRESSIONS = {
+    "rate_on_load": ("pts / poss", "poss"), "rate_on_games": ("pts / poss", "games"), "load_on_games": ("poss", "games"), "pts_on_load": ("pts / 1000", "poss"), "pts_on_games": ("pts / 1000", "games"),
+    "pace_on_load": ("poss / games", "poss"), "pace_on_rate": ("poss / games", "pts / poss"),
+}
+
+
+@query("scl32_residual", "select season, team, player, " + ", ".join(
+    f"round(({y}) - (wy_{k} / w) - coalesce((wxy_{k} / w - wx_{k} / w * wy_{k} / w) / nullif(wxx_{k} / w - wx_{k} / w * wx_{k} / w, 0), 0) * (({x}) - wx_{k} / w), 3) as {k}" for k, (y, x) in REGRESSIONS.items())
+    + " from player_season join (select season, team % 2 as side, sum(poss) as w, " + ", ".join(f"sum(poss * ({y})) as wy_{k}, sum(poss * ({x})) as wx_{k}, sum(poss * ({x}) * ({y})) as wxy_{k}, sum(poss * ({x}) * ({x})) as wxx_{k}" for k, (y, x) in REGRESSIONS.items())
+    + " from player_season group by all having count(*) > 3) using (season) where team % 2 = side")
 def _(t: Tables) -> DataFrame:
-    over, y = Window.partitionBy("season"), F.col("pts") / F.col("poss")
-    slope = F.covar_pop(y, F.col("poss")).over(over) / F.var_pop("poss").over(over)
-    fitted = F.avg(y).over(over) + slope * (F.col("poss") - F.avg("poss").over(over))
-    return t.player_season.select("season", "player", r(y - fitted, 3).alias("residual"))
+    """Residuals of seven regressions weighted by possessions, apart by season and side (here: a team's parity), where a side has over three players."""
+    side = (F.col("team") % 2).alias("side")
+    rows = t.player_season.select("*", side)
+    names = [(k, F.expr(y), F.expr(x)) for k, (y, x) in REGRESSIONS.items()]
+    w = F.col("poss")
+    sums = [z for k, y, x in names for z in (F.sum(w * y).alias(f"wy_{k}"), F.sum(w * x).alias(f"wx_{k}"), F.sum(w * x * y).alias(f"wxy_{k}"), F.sum(w * x * x).alias(f"wxx_{k}"))]
+    fitted = rows.groupBy("season", "side").agg(F.sum("poss").alias("w"), F.count("*").alias("players"), *sums).where("players > 3")
+    both = rows.join(F.broadcast(fitted), ["season", "side"])
+
+    def residual(k: str, y: Column, x: Column) -> Column:
+        mean_y, mean_x = F.col(f"wy_{k}") / F.col("w"), F.col(f"wx_{k}") / F.col("w")
+        slope = F.coalesce((F.col(f"wxy_{k}") / F.col("w") - mean_x * mean_y) / F.nullif(F.col(f"wxx_{k}") / F.col("w") - mean_x * mean_x, F.lit(0.0)), F.lit(0.0))
+        return r(y - mean_y - slope * (x - mean_x), 3).alias(k)
+
+    return both.select("season", "team", "player", *[residual(*x) for x in names])
 
 
 @query("scl33_logit", "select player, round(ln(p / (1 - p)), 6) as odds, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) as back from (select player, least(greatest(avg((flag = 'A')::int), 1e-6), 1 - 1e-6) as p from fact group by 1)")
