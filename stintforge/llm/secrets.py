@@ -16,6 +16,7 @@ are told by a built-in expression and never reach Python.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 import zstandard
@@ -32,8 +33,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"secret|token|passw|pwd|credential|api.?key|private|bearer|auth|access.?key|signature|session|cookie|license.?key", re.IGNORECASE | re.ASCII)
-#: What every span needs somewhere in its text, as the executors' own regular expressions say it.
-NEEDED = rf"AKIA[A-Z0-9]{{14}}|[0-9a-f]{{16}}|(?i:{SENSITIVE.pattern})"
+#: Each sensitive word has one of these in lower case; they are looked for first, as bytes.
+STEMS = ("secret", "token", "passw", "pwd", "credential", "api", "private", "bearer", "auth", "access", "signature", "session", "cookie", "license")
 #: A corpus word of the dictionary, and how many of them there are.
 IDENTIFIER = r"(?<![A-Za-z0-9])[A-Za-z]{3,15}(?![A-Za-z0-9])"
 IDENTIFIERS = 2048
@@ -93,9 +94,21 @@ def novel_spans(text: str, covered: list[tuple[int, int, str]], novelty: float,
     return out
 
 
+def sensitive(text: Column) -> Column:
+    """Whether a sensitive word is in the text."""
+    # a list of one, so that the text is lowered once
+    stem = F.exists(F.array(F.lower(text)), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(s)) for s in STEMS]))
+    return stem & text.rlike(f"(?i:{SENSITIVE.pattern})")
+
+
+def needed(text: Column) -> Column:
+    """What every span needs somewhere in its text, as built-in expressions say it."""
+    return sensitive(text) | (F.contains(text, F.lit("AKIA")) & text.rlike("AKIA[A-Z0-9]{14}")) | text.rlike("[0-9a-f]{16}")
+
+
 def identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> str:
     """The ``most`` words that stand in most texts with a sensitive word, at least two; the commonest last."""
-    texts = docs.where(F.col("text").rlike(f"(?i:{SENSITIVE.pattern})"))
+    texts = docs.where(sensitive(F.col("text")))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("word"))
     top = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
     return "".join(f"{r.word} " for r in reversed(top.collect()))
@@ -123,7 +136,7 @@ def scan(docs: DataFrame, novelty: float = NOVELTY, reach: int = 256, dictionary
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in names], "secrets array<struct<kind:string,start:bigint,end:bigint,marginal:double>>"])
     own = [F.col(f"`{f.name}`") for f in names]
-    return map_arrow(docs.select(*own, F.when(F.col("text").rlike(NEEDED), F.col("text")).alias(source)), step, schema)
+    return map_arrow(docs.select(*own, F.when(needed(F.col("text")), F.col("text")).alias(source)), step, schema)
 
 
 def rendered(spans: Column) -> Column:
