@@ -21,6 +21,19 @@ def possessions(events: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return numbered.groupBy(*keys, "poss").agg(F.count("*").alias("n"), F.round(value, 4).alias("value"), F.max(F.when(ends, F.col("event_type"))).alias("ending"))
 
 
+def within_possessions(events: DataFrame, keys: list[str], order: list[str], clock: str) -> DataFrame:
+    """Add start, the kind that ended the possession before (``start`` for the first), and seconds since this one's first row.
+
+    ``clock`` is in microseconds.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.col("event_type").isin(*ENDS)
+    kind = F.coalesce(F.last(F.when(ends, F.col("event_type")), ignorenulls=True).over(before), F.lit("start"))
+    numbered = events.withColumn("start", kind).withColumn("poss", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+    first = F.min(clock).over(Window.partitionBy(*keys, "poss"))
+    return numbered.withColumn("seconds", F.round((F.col(clock) - first) / 1e6, 3))
+
+
 class Fold:
     """The state of one key: an open possession."""
 

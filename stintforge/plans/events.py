@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintforge.operators import gamelog
+from stintforge.operators import gamelog, machine
 from stintforge.operators import sequences as Q
 from stintforge.plans.ordered import EVENTS
 from stintforge.plans.registry import query
@@ -126,6 +126,14 @@ def _(t: Tables) -> DataFrame:
     return found(t).agg(F.count_if((F.col("dead") > 1) | (F.col("dead") > F.col("rebounds"))).alias("broken"))
 
 
+@query("tim14_start_kinds", """select event_id, user_id, coalesce(last_value(case when event_type in ('purchase', 'error') then event_type end ignore nulls) over b, 'start') as start, poss::bigint as poss, round((us - min(us) over (partition by user_id, poss)) / 1000000.0, 3)::double as seconds
+  from (select *, coalesce(sum((event_type in ('purchase', 'error'))::int) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding), 0) as poss from ev) x window b as (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding)""", EVENTS)
+def _(t: Tables) -> DataFrame:
+    """How each event's possession began, and the seconds into it."""
+    rows = t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return machine.within_possessions(rows, ["user_id"], ["us", "event_id"], "us").select("event_id", "user_id", "start", F.col("poss").cast("long").alias("poss"), "seconds")
+
+
 @query("tim14_possessions_streaming", """select user_id, poss::bigint as poss, count(*) as n, round(sum(case when event_type in ('click', 'view') then value else 0 end), 4) as value, max(case when event_type in ('purchase', 'error') then event_type end) as ending from (
   select *, coalesce(sum((event_type in ('purchase', 'error'))::int) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding), 0) as poss from ev) x group by user_id, x.poss having max(case when event_type in ('purchase', 'error') then event_type end) is not null""", EVENTS)
 def _(t: Tables) -> DataFrame:
