@@ -32,7 +32,7 @@ SUBTABLES = 3
 #: Cells of a subtable in a published fingerprint, and in the first attempt.
 CELLS = 8
 #: Peeling rounds, each over one subtable.
-ROUNDS = 12
+ROUNDS = 9
 NO_ID = -(1 << 63)
 
 
