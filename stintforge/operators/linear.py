@@ -107,6 +107,58 @@ def ridge_leaving(equations: DataFrame, key: str, penalty: float, free: tuple[in
     return packed.groupBy(key).applyInPandas(solve_one, f"{key} {equations.schema[key].dataType.simpleString()}, i long, beta double, residual double")
 
 
+def absorbed(equations: DataFrame, key: str) -> DataFrame:
+    """Each key's level column (0) eliminated, then all keys summed: (i, j, g), the right-hand side with a null j.
+
+    The Schur complement of a single column takes the product of two of its entries, over the diagonal one, off every
+    entry; it is as large as the matrix, whatever the rows are.
+    """
+    level = equations.where("i = 0")
+    n = level.where("j = 0").select(key, F.col("g").alias("n"))
+    edge = level.where("j > 0 or j is null").select(key, F.col("j").alias("c"), "g").join(n, key)
+    left = edge.where("c is not null").select(key, F.col("c").alias("i"), (-F.col("g") / F.col("n")).alias("a"))
+    right = edge.select(key, F.col("c").alias("j"), F.col("g").alias("b"))
+    taken = left.join(right, key).where("j is null or i <= j").select("i", "j", (F.col("a") * F.col("b")).alias("g"))
+    return equations.where("i > 0").select("i", "j", "g").unionAll(taken).groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def packed_inverse(equations: DataFrame, penalty: float, free: tuple[int, ...]) -> DataFrame:
+    """The inverse of one system (i, j, g) with its penalty: (i, columns, inverse row, target), a row a matrix row."""
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, matrix, target = assembled(pdf)
+        inverse = np.linalg.inv(matrix + np.diag(np.where(np.isin(names, free), 0.0, penalty)))
+        return pd.DataFrame({"i": names, "row": list(inverse), "target": target})
+
+    return equations.groupBy(F.lit(0).alias("_one")).applyInPandas(own, "i long, row array<double>, target double")
+
+
+def ridge_leaving_inverse(equations: DataFrame, key: str, penalty: float, free: tuple[int, ...] = (0,)) -> DataFrame:
+    """The same as ``ridge_leaving`` from one inverse: (key, i, beta).
+
+    With P the inverse of the whole and G a key's own matrix on the columns S it touches, the solution without the key
+    is x = u + P[:, S] G y, where u = P (b - b_own) and y solves (I - P[S, S] G) y = u[S] (Woodbury): a system as large
+    as S instead of the whole one.
+    """
+    total = equations.groupBy("i", "j").agg(F.sum("g").alias("g"))
+    inverse = packed_inverse(total, penalty, free)
+    every = equations.select(key).distinct().crossJoin(inverse).select(key, "i", "row", "target", F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("g"))
+    own = equations.select(key, "i", F.lit(None).cast("array<double>").alias("row"), F.lit(None).cast("double").alias("target"), "j", "g")
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf[pdf["target"].notna()].sort_values("i")
+        names, inverse, target = whole["i"].to_numpy(np.int64), np.stack(whole["row"].to_list()), whole["target"].to_numpy()
+        touched, matrix, right = assembled(pdf[pdf["target"].isna()])
+        at = np.searchsorted(names, touched)
+        rest = target.copy()
+        rest[at] -= right
+        u = inverse @ rest
+        y = np.linalg.solve(np.eye(len(at)) - inverse[np.ix_(at, at)] @ matrix, u[at])
+        return pd.DataFrame({key: pdf[key].iloc[0], "i": names, "beta": u + inverse[:, at] @ (matrix @ y)})
+
+    return every.unionByName(own).groupBy(key).applyInPandas(leave, f"{key} {equations.schema[key].dataType.simpleString()}, i long, beta double")
+
+
 def spline_basis(x, knots: list[float]):
     """Natural cubic spline basis columns (beyond 1 and x), as an array."""
     last, before = knots[-1], knots[-2]

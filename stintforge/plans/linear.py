@@ -79,11 +79,25 @@ def _(t: Tables) -> DataFrame:
     return L.ridge_leaving(equations(t), "season", 5000.0).groupBy("season").agg(F.count("*").alias("columns"), r(F.max(F.abs("residual")), 6).alias("residual"))
 
 
+@query("lam13_one_inverse")
+def _(t: Tables) -> DataFrame:
+    """Ratings without each season, all from one inverse."""
+    return L.ridge_leaving_inverse(equations(t), "season", 5000.0).select("season", (F.col("i") - 1).alias("player"), r("beta", 3).alias("rating"))
+
+
 @query("lam13_leave_out_sums", "select s.season, e.i, e.j, round(sum(e.g), 4) as g from equations e join (select distinct season from equations) s on true where s.season <> e.season group by all having round(sum(e.g), 4) <> 0", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
     return L.leave_out(equations(t), "season").select("season", "i", "j", r("g", 4).alias("g")).where("g <> 0")
 
 
+@query("lam10_rated_coefficients")
+def _(t: Tables) -> DataFrame:
+    """Coefficients of the players with enough possessions in the season."""
+    fit = L.ridge(equations(t), "season", 5000.0).select("season", (F.col("i") - 1).alias("player"), "beta")
+    seen = t.played.groupBy("season", "player").agg(F.sum("poss").alias("poss")).where("poss >= 1000")
+    return fit.join(seen, ["season", "player"]).select("season", "player", "poss", r("beta", 3).alias("rating"))
+
+
 @query("lam10_rated_players", "select season, player from player_season where poss >= 1000")
 def _(t: Tables) -> DataFrame:
     return t.player_season.where("poss >= 1000").select("season", "player")
@@ -389,12 +403,11 @@ def _(t: Tables) -> DataFrame:
 # ---- more linear algebra and checks
 
 
-@query("lam12_absorbed_season", "select round(regr_slope(dy, dx), 6) as slope from (select poss - avg(poss) over (partition by season) as dx, pts / 1000 - avg(pts / 1000) over (partition by season) as dy from player_season)")
+@query("lam12_absorbed_season", """select i, j, round(sum(g), 3) as g from (select i, j, g from equations where i > 0 union all select a.j, b.j, -a.g * b.g / n.g from equations a join equations b on a.season = b.season and a.i = 0 and b.i = 0 and a.j > 0 and (b.j >= a.j or b.j is null)
+  join equations n on n.season = a.season and n.i = 0 and n.j = 0) group by all""", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
-    """Season levels eliminated from the equations: the Schur complement of one-hot columns is demeaning."""
-    sums = t.player_season.groupBy("season").agg(F.count("*").alias("n"), F.sum("poss").alias("x"), F.sum(F.col("pts") / 1000).alias("y"), F.sum(F.col("poss") * F.col("poss")).alias("xx"), F.sum(F.col("poss") * F.col("pts") / 1000).alias("xy"))
-    inner = lambda a, b, ab: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("n"))
-    return sums.agg(r(inner("x", "y", "xy") / inner("x", "x", "xx"), 6).alias("slope"))
+    """Season levels eliminated from the players' equations by the Schur complement, then summed over seasons."""
+    return L.absorbed(equations(t), "season").select("i", "j", r("g", 3).alias("g"))
 
 
 @query("lam18_prior_sums", "select game, round(sum(q.pts / q.poss), 4) as prior from (select season, game, unnest(lineup) as player from lineups) l join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")

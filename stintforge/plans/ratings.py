@@ -109,14 +109,16 @@ def wide_rows(t: Tables) -> DataFrame:
     return t.lineups.select("game", F.inline(F.concat(players, F.array(*extra))))
 
 
-@query("lam16_design_rows", "select game, len(lineup) + 3 as entries, round(len(lineup) * 2 + 1 + poss, 4) as total from lineups")
+@query("lam16_design_rows", "select game, unnest(list_concat(lineup, [-1, -2, -3]))::bigint as col, unnest(list_concat(list_transform(lineup, lambda p: 1.0::double), [1.0::double, poss::double, len(lineup)::double])) as v from lineups")
 def _(t: Tables) -> DataFrame:
-    return wide_rows(t).groupBy("game").agg(F.count("*").alias("entries"), r(F.sum("v")).alias("total"))
+    """The entries of every row: its players, two context columns and a prior column."""
+    return wide_rows(t)
 
 
-@query("lam17_player_rows", "select game, len(lineup)::bigint as ones from lineups")
+@query("lam17_player_rows", "select game, unnest(lineup)::bigint as col, 1.0::double as v from lineups")
 def _(t: Tables) -> DataFrame:
-    return wide_rows(t).where("col >= 0").groupBy("game").agg(F.sum("v").cast("long").alias("ones"))
+    """The players' part: as many ones a row as it has players."""
+    return wide_rows(t).where("col >= 0")
 
 
 @query("lam59_team_columns", "select season, team, count(distinct game) as games, round(sum(poss), 2) as poss from fact group by all")

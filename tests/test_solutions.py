@@ -45,7 +45,7 @@ def agrees(fit, equations, key, penalty, free):
     assert n == len(got)
 
 
-@pytest.mark.parametrize("name", ["lam02_ridge", "lam02_ridge_residual", "lam09", "lam14", "lam15", "lam19_prior_columns", "lam19_prior_held", "lam56", "lam65", "chk07"])
+@pytest.mark.parametrize("name", ["lam02_ridge", "lam02_ridge_residual", "lam09", "lam10_rated_coefficients", "lam14", "lam15", "lam19_prior_columns", "lam19_prior_held", "lam56", "lam65", "chk07"])
 def test_every_ridge_of_a_query_equals_numpy(spark, monkeypatch, name):
     calls, plain = [], L.ridge
 
@@ -68,6 +68,23 @@ def test_leave_out_equals_numpy(spark):
     agrees(L.ridge_leaving(sums, "season", 5000.0), L.leave_out(sums, "season"), "season", 5000.0, (0,))
 
 
+def test_one_inverse_gives_every_leave_out(spark):
+    sums = linear.equations(Tables(spark, ROOT)).cache()
+    agrees(L.ridge_leaving_inverse(sums, "season", 5000.0), L.leave_out(sums, "season"), "season", 5000.0, (0,))
+
+
+def test_absorbed_levels_leave_the_same_slopes(spark):
+    """Players' coefficients with a free level a season equal those of the absorbed equations."""
+    t = Tables(spark, ROOT)
+    games = t.lineups.select("season", "lineup", "poss", "pts").collect()
+    players, seasons = sorted({p for g in games for p in g.lineup}), sorted({g.season for g in games})
+    x = np.array([[*[float(g.season == y) for y in seasons], *[float(p in g.lineup) for p in players]] for g in games])
+    w, y = np.array([float(g.poss) for g in games]), np.array([g.pts / g.poss for g in games])
+    want = np.linalg.solve((x * w[:, None]).T @ x + np.diag([0.0] * len(seasons) + [500.0] * len(players)), x.T @ (w * y))[len(seasons) :]
+    got = L.ridge(L.absorbed(linear.equations(t), "season").withColumn("k", F.lit(1)), "k", 500.0, ()).orderBy("i").collect()
+    assert [r.beta for r in got] == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
 def test_leave_fold_out_query_equals_numpy(spark):
     """Ratings of lam47 from the raw games of the other folds."""
     t = Tables(spark, ROOT)
