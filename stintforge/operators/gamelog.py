@@ -1,7 +1,7 @@
 """Game logs to possessions: a fold over ordered plays with the rules of the game.
 
 Plays (game, seq, period, team, player, action, detail, value) of one game are read in order; team and player are
-null where a play has none.  Actions are ``shot`` (detail made or missed, value its points), ``rebound``,
+null where a play has none.  Actions are ``shot`` (detail made or missed, value what it counts), ``rebound``,
 ``turnover``, ``free_throw`` (detail ``made 1 of 2`` and so on, a single one where it says no count; ``technical`` or ``retained`` among its words),
 ``foul`` (detail shooting, personal, technical), ``sub`` (detail in or out), ``jump`` and ``period`` (detail start or
 end).  A possession is one team's turn; it ends with a made shot (unless a shooting foul of the other side follows
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ("game", "seq", "period", "team", "player", "action", "detail", "value")
-SCHEMA = "game long, number long, period int, team long, first_seq long, last_seq long, points long, attempts int, rebounds int, retained int, dead int, reason string, offence array<long>, defence array<long>"
+SCHEMA = "game long, number long, period int, team long, first_seq long, last_seq long, points long, attempts int, rebounds int, retained int, dead int, reason string, offence array<long>, defence array<long>, twos int, two_makes int, threes int, three_makes int, throws int, throw_makes int"
 
 
 @dataclass
@@ -41,12 +41,19 @@ class Possession:
     idle: bool = False  # continued, and nothing attempted since
     by_team: bool = False  # the last continuation was a team's rebound
     at_shot: tuple[list[int], list[int]] | None = None
+    twos: int = 0
+    two_makes: int = 0
+    threes: int = 0
+    three_makes: int = 0
+    throws: int = 0
+    throw_makes: int = 0
 
 
 class Game:
     """The state of one game between plays."""
 
-    def __init__(self, game: int):
+    def __init__(self, game: int, five: int | None = None):
+        self.five = five  # so many players make a lineup; any number where it is not given
         self.game, self.number, self.period, self.seq = game, 0, 1, 0
         self.open: Possession | None = None
         self.court: dict[int, set[int]] = {}
@@ -60,9 +67,11 @@ class Game:
 
     # possessions
 
-    def lineups(self, team: int) -> tuple[list[int], list[int]]:
+    def lineups(self, team: int) -> tuple[list[int] | None, list[int] | None]:
+        """The team's players on the court and the others; None where they are not as many as make a lineup."""
         others = [p for t, s in self.court.items() if t != team for p in s]
-        return sorted(self.court.get(team, ())), sorted(others)
+        both = sorted(self.court.get(team, ())), sorted(others)
+        return tuple(x if self.five is None or len(x) == self.five else None for x in both)
 
     def turn(self, team: int) -> Possession:
         """The open possession of ``team``; the other team's is closed, by force if nothing ended it."""
@@ -79,7 +88,7 @@ class Game:
         if p is not None:
             self.settle(p, reason)
             offence, defence = (self.credit if reason == "made_ft" else None) or self.lineups(p.team)
-            self.done.append((self.game, self.number, p.period, p.team, p.first, p.last, p.points, p.attempts, p.rebounds, p.retained, p.dead, reason, offence, defence))
+            self.done.append((self.game, self.number, p.period, p.team, p.first, p.last, p.points, p.attempts, p.rebounds, p.retained, p.dead, reason, offence, defence, p.twos, p.two_makes, p.threes, p.three_makes, p.throws, p.throw_makes))
             self.number += 1
         self.open, self.trip, self.loose, self.made, self.credit = None, None, False, False, None
 
@@ -106,6 +115,9 @@ class Game:
     def on_shot(self, team, player, detail, value) -> None:
         p = self.turn(team)
         p.attempts += 1
+        kind = "three" if value == 3 else "two"
+        setattr(p, f"{kind}s", getattr(p, f"{kind}s") + 1)
+        setattr(p, f"{kind}_makes", getattr(p, f"{kind}_makes") + (detail == "made"))
         p.idle, p.at_shot = False, None
         if detail == "made":
             p.points += value
@@ -162,6 +174,7 @@ class Game:
                 p.attempts += 1  # a trip without a shot before it
         self.trip = p
         p.points += made
+        p.throws, p.throw_makes = p.throws + 1, p.throw_makes + made
         if last:
             self.trip = self.at_foul = p.at_shot = None
             if "retained" in words:
@@ -196,8 +209,11 @@ class Game:
         return self.done
 
 
-def possessions(plays: DataFrame) -> DataFrame:
-    """Possessions of every game.  Plays stream through a task sorted; one game's state is held at a time."""
+def possessions(plays: DataFrame, five: int | None = None) -> DataFrame:
+    """Possessions of every game.  Plays stream through a task sorted; one game's state is held at a time.
+
+    With ``five`` a possession's lineups are null unless so many players of the side are known to be on the court.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Game | None = None
@@ -207,7 +223,7 @@ def possessions(plays: DataFrame) -> DataFrame:
                 if own is None or game != own.game:
                     if own is not None:
                         out += own.finish()
-                    own = Game(game)
+                    own = Game(game, five)
                 own.take(*play)
             yield rows_of(out)
         if own is not None:
@@ -215,7 +231,7 @@ def possessions(plays: DataFrame) -> DataFrame:
 
     def rows_of(rows: list[tuple]) -> pa.RecordBatch:
         longs = pa.int64()
-        kinds = [longs, longs, pa.int32(), longs, longs, longs, longs, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(longs), pa.list_(longs)]
+        kinds = [longs, longs, pa.int32(), longs, longs, longs, longs, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(longs), pa.list_(longs), *[pa.int32()] * 6]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -262,7 +278,7 @@ def from_lines(fact: DataFrame) -> DataFrame:
         return F.struct((F.col("k") * 4 + place).alias("seq"), team_.alias("team"), F.lit(action).alias("action"), detail.alias("detail"), points.cast("long").alias("value"))
 
     none = F.lit(0)
-    shot = play(0, team, "shot", F.when(made, "made").otherwise("missed"), F.when(made, value).otherwise(0))
+    shot = play(0, team, "shot", F.when(made, "made").otherwise("missed"), value)
     board = play(1, other, "rebound", F.lit(""), none)
     throws = [play(i, team, "free_throw", F.concat(F.when(good, "made ").otherwise("missed "), F.lit(f"{i} of 2")), none) for i, good in ((1, made), (2, F.col("status") == "F"))]
     plays = (

@@ -26,6 +26,20 @@ def _(t: Tables) -> DataFrame:
     return found(t).groupBy("game", "team").agg(F.sum("points").alias("points")).where("points > 0")
 
 
+@query("psm06_counters", """select game, side as team, sum((kind <= 5 and poss <= 35)::int)::bigint as twos, sum((kind <= 5 and poss <= 35 and flag <> 'N')::int)::bigint as two_makes, sum((kind <= 5 and poss > 35)::int)::bigint as threes,
+  sum((kind <= 5 and poss > 35 and flag <> 'N')::int)::bigint as three_makes, sum((kind = 7)::int * 2)::bigint as throws, sum(case when kind = 7 then (flag <> 'N')::int + (status = 'F')::int else 0 end)::bigint as throw_makes from numbered where kind <= 7 group by all""", _PLAYS)
+def _(t: Tables) -> DataFrame:
+    """Tries and makes by kind over a side's possessions."""
+    return found(t).groupBy("game", "team").agg(*[F.sum(c).alias(c) for c in ("twos", "two_makes", "threes", "three_makes", "throws", "throw_makes")])
+
+
+@query("psm06_shooters", """select game, side as team, player, count(*) as tries, sum((flag <> 'N')::int)::bigint as makes, sum((poss > 35)::int)::bigint as threes from numbered where kind <= 5 group by all""", _PLAYS)
+def _(t: Tables) -> DataFrame:
+    """Tries, makes and threes of each shooter, from the plays."""
+    shots = gamelog.from_lines(t.lines).where("action = 'shot'")
+    return shots.groupBy("game", "team", "player").agg(F.count("*").alias("tries"), F.count_if(F.col("detail") == "made").alias("makes"), F.count_if(F.col("value") == 3).alias("threes"))
+
+
 @query("psm07_turnovers", "select game, count(*) as turnovers from numbered where kind = 6 group by 1", _PLAYS)
 def _(t: Tables) -> DataFrame:
     return found(t).where("reason = 'turnover'").groupBy("game").agg(F.count("*").alias("turnovers"))
