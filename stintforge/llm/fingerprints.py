@@ -125,17 +125,21 @@ def differences(pairs: DataFrame, keys: list[str], sides: list[tuple[str, str]],
         return rows.select(*keys, F.explode(F.array(*both)).alias("_x")).select(*keys, "_x.*").where("cells is not null")
 
     work = sketched(pairs, lambda k: F.lit(first).cast("long"))
-    done = []
+    dealt, done = buckets(pairs.sparkSession, pairs.count()), []
     while True:
         solved = cut(_peeled(work, keys))
         done.append(solved.where("stuck = 0").select(*keys, "side", "only_left", "only_right"))
         stuck = solved.where("stuck > 0")
-        if stuck.isEmpty():
-            return reduce(DataFrame.unionAll, done)
         wanted = F.pow(F.lit(2.0), F.ceil(F.log2(0.75 * (F.col("rest") + F.col("only_left") + F.col("only_right"))))).cast("long")
         more = F.greatest(4 * F.col("cells"), wanted)
         again = stuck.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, more)).alias(f"_cells{k}") for k in range(len(sides))])
-        work = sketched(pairs.join(again, keys), lambda k: F.col(f"_cells{k}"))
+        rest = again.count()
+        if not rest:
+            return reduce(DataFrame.unionAll, done)
+        met = pairs.join(again, keys)
+        if 2 * (parts := buckets(pairs.sparkSession, rest)) <= dealt:  # few are left: so are the tasks
+            met = met.repartition(parts, *keys)
+        work = sketched(met, lambda k: F.col(f"_cells{k}"))
 
 
 def ordered(docs: DataFrame) -> DataFrame:
