@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,9 +52,10 @@ def written(df: DataFrame) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the files that ``written`` made for ``df``; nothing may read them any more."""
     spark = df.sparkSession
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(shared_dir(spark)) and "/written-" in folder:
+    plain = lambda place: re.sub(r"^(\w+):/+", r"\1:/", place)
+    own = plain(f"{shared_dir(spark)}/written-")
+    for folder in {plain(f).rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(own):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -714,6 +714,20 @@ def test_counts_equal_the_library(odd):
 # the pipeline
 
 
+def test_written_rows_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from stintforge.llm import common
+
+    rows, other = common.written(spark.range(10)), common.written(spark.range(3))
+    folder = Path(re.sub("^file:/+", "/", rows.inputFiles()[0])).parent
+    assert folder.exists()
+    common.forget(rows)
+    assert not folder.exists() and other.count() == 3
+    common.forget(spark.read.parquet(f"{SMALL}/documents.parquet"))  # not ours: stays
+    assert spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_star_and_chain_components(spark):
     """Hub, chain and many small components, with keys of more rows than are joined in one task."""
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(50)]
