@@ -403,11 +403,11 @@ def _(t: Tables) -> DataFrame:
 # ---- more linear algebra and checks
 
 
-@query("lam12_absorbed_season", """select i, j, round(sum(g), 3) as g from (select i, j, g from equations where i > 0 union all select a.j, b.j, -a.g * b.g / n.g from equations a join equations b on a.season = b.season and a.i = 0 and b.i = 0 and a.j > 0 and (b.j >= a.j or b.j is null)
+@query("lam12_absorbed_season", """select i, j, round(sum(g), 1) as g from (select i, j, g from equations where i > 0 union all select a.j, b.j, -a.g * b.g / n.g from equations a join equations b on a.season = b.season and a.i = 0 and b.i = 0 and a.j > 0 and (b.j >= a.j or b.j is null)
   join equations n on n.season = a.season and n.i = 0 and n.j = 0) group by all""", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
     """Season levels eliminated from the players' equations by the Schur complement, then summed over seasons."""
-    return L.absorbed(equations(t), "season").select("i", "j", r("g", 3).alias("g"))
+    return L.absorbed(equations(t), "season").select("i", "j", r("g", 1).alias("g"))
 
 
 @query("lam18_prior_sums", "select game, round(sum(q.pts / q.poss), 4) as prior from (select season, game, unnest(lineup) as player from lineups) l join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")

@@ -305,10 +305,10 @@ INPUT_SETS = {
 }
 
 
-@query("lam34_line_inputs", " union all ".join(f"select '{kind}' as kind, '{c}' as name, season, team, player, round({INPUTS[c]}, 4)::double as v from xy" for kind, names in INPUT_SETS.items() for c in names), _PAIRS_OF)
+@query("lam34_line_inputs", " union all ".join(f"select '{kind}' as kind, '{c}' as name, season, team, player, round({INPUTS[c]}, 6)::double as v from xy" for kind, names in INPUT_SETS.items() for c in names), _PAIRS_OF)
 def _(t: Tables) -> DataFrame:
     """Each set's inputs in long form, from one pass over the rows."""
-    entry = [F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("name"), r(F.expr(INPUTS[c])).cast("double").alias("v")) for kind, names in INPUT_SETS.items() for c in names]
+    entry = [F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("name"), r(F.expr(INPUTS[c]), 6).cast("double").alias("v")) for kind, names in INPUT_SETS.items() for c in names]
     return pairs_of(t).select("season", "team", "player", F.inline(F.array(*entry)))
 
 
