@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintforge.functions import scalars as S
+from stintforge.operators import design as D
 from stintforge.operators import linear as L
 from stintforge.operators import moments as M
 from stintforge.operators import relations as R
 from stintforge.operators import sequences as Q
 from stintforge.plans import build
 from stintforge.plans.features import nearest_seasons
-from stintforge.plans.linear import _DESIGN, _EQUATIONS, design, equations
+from stintforge.plans.linear import _DESIGN, _EQUATIONS, design, design_rows, entries, equations
 from stintforge.plans.registry import query
 from stintforge.plans.relational import r
 from stintforge.sources import stores, synthetic
@@ -80,7 +81,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam09_kept_set_solved", "select 'kept' as fit, (select count(distinct case when col = 0 then -season else col end) from design where season <> 1997) as columns, 0.0::double as residual", _DESIGN)
 def _(t: Tables) -> DataFrame:
-    sums = assembled(equations(t).where("season <> 1997")).withColumn("fit", F.lit("kept"))
+    frame = assembled(equations(t).where("season <> 1997")).withColumn("fit", F.lit("kept"))
+    level = lambda x: F.struct(F.when(x["c"] == 0, -F.col("season").cast("long")).otherwise(x["c"]).alias("c"), x["v"].alias("v"))
+    sums = D.Equations(design_rows(t).where("season <> 1997").select(F.lit("kept").alias("fit"), "w", "y", F.transform("e", level).alias("e")), "fit", frame)
     return settled(L.ridge(sums, "fit", PENALTY, tuple(range(-2100, -1900))), "fit")
 
 
@@ -88,7 +91,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Each set's labels come from the seasons outside it: a fit a set, all in one pass over the summed equations."""
     outside = F.array(*[F.when(~F.col("season").isin(1990 + s, 1991 + s), F.lit(s)) for s in (4, 5, 6)])
-    sums = equations(t).withColumn("left_out", F.explode(F.array_compact(outside))).groupBy("left_out", "i", "j").agg(F.sum("g").alias("g"))
+    chosen = F.explode(F.array_compact(outside)).alias("left_out")
+    frame = equations(t).select(chosen, "i", "j", "g").groupBy("left_out", "i", "j").agg(F.sum("g").alias("g"))
+    sums = D.Equations(design_rows(t).select(chosen, "w", "y", "e"), "left_out", frame)
     return settled(L.ridge(sums, "left_out", PENALTY), "left_out")
 
 
@@ -96,10 +101,10 @@ def _(t: Tables) -> DataFrame:
   join (select distinct season, col from design) d on d.season = n.other where n.place <= 2 group by 1""", _DESIGN)
 def _(t: Tables) -> DataFrame:
     """Labels from the two nearest other seasons."""
-    sums = equations(t)
-    near = nearest_seasons(t.fact.select("season").distinct(), 2)
-    other = sums.withColumnRenamed("season", "other")
-    return settled(L.ridge(other.join(F.broadcast(near), "other").groupBy("season", "i", "j").agg(F.sum("g").alias("g")), "season", PENALTY), "season")
+    near = F.broadcast(nearest_seasons(t.played.select("season").distinct(), 2))
+    of_other = lambda df: df.withColumnRenamed("season", "other").join(near, "other")
+    sums = D.Equations(of_other(design_rows(t)), "season", of_other(equations(t)).groupBy("season", "i", "j").agg(F.sum("g").alias("g")))
+    return settled(L.ridge(sums, "season", PENALTY), "season")
 
 
 def wide_rows(t: Tables) -> DataFrame:
@@ -150,11 +155,20 @@ def prior_design(t: Tables) -> DataFrame:
     return design(t).unionByName(scale)
 
 
+def prior_games(t: Tables) -> DataFrame:
+    """(season, game, w, rate, expected, e): the plain design a row a game, with the mean prior of the players present."""
+    slots = build.slots(t.lineups, build.prior(build.totals(t.fact)))
+    games = slots.groupBy("season", "game").agg(F.max("w").alias("w"), F.max("rate").alias("rate"), F.max("expected").alias("expected"), F.array_sort(F.collect_list("player")).alias("lineup"))
+    return games.select("season", "game", "w", "rate", "expected", entries().alias("e"))
+
+
 @query("lam19_prior_columns", "select season, count(distinct col) + 1 as columns, 0.0::double as residual from design group by 1", _DESIGN)
 def _(t: Tables) -> DataFrame:
     """Players around a free multiple of their lineup's prior."""
     rows = prior_design(t)
-    sums = M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"]))
+    frame = M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"]))
+    prior = F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.col("expected").alias("v")))
+    sums = D.Equations(prior_games(t).select("season", "w", F.array("rate").alias("y"), F.concat(prior, "e").alias("e")), "season", frame)
     return settled(L.ridge(sums, "season", PENALTY, (0, -1)), "season")
 
 
@@ -164,17 +178,20 @@ def _(t: Tables) -> DataFrame:
     slots = build.slots(t.lineups, build.prior(build.totals(t.fact)))
     offset = slots.groupBy("game").agg(F.max("expected").alias("offset"))
     rows = design(t).join(offset, "game").withColumn("y", F.col("y") - F.col("offset"))
-    return settled(L.ridge(M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"])), "season", PENALTY), "season")
+    frame = M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"]))
+    sums = D.Equations(prior_games(t).select("season", "w", F.array(F.col("rate") - F.col("expected")).alias("y"), "e"), "season", frame)
+    return settled(L.ridge(sums, "season", PENALTY), "season")
 
 
-def two_targets(t: Tables) -> DataFrame:
+def two_targets(t: Tables) -> D.Equations:
     """The seasons' matrices with two right-hand sides, points and players a possession."""
     rows = design(t)
     size = t.lineups.select("game", (F.size("lineup") / F.col("poss")).alias("z"))
     second = rows.join(size, "game").withColumn("y", F.col("z"))
     none = F.lit(None).cast("string")
     matrix = M.gram(rows, ["season"], "game", "col", "v", "w").withColumn("target", none)
-    return matrix.unionByName(right_hand(rows, ["season"]).withColumn("target", F.lit("points"))).unionByName(right_hand(second, ["season"]).withColumn("target", F.lit("size")))
+    frame = matrix.unionByName(right_hand(rows, ["season"]).withColumn("target", F.lit("points"))).unionByName(right_hand(second, ["season"]).withColumn("target", F.lit("size")))
+    return D.Equations(design_rows(t, F.col("pts") / F.col("poss"), F.size("lineup") / F.col("poss")), "season", frame, ("points", "size"))
 
 
 @query("lam41_two_targets")
@@ -208,8 +225,8 @@ def _(t: Tables) -> DataFrame:
 @query("lam65_pace_ridge", "select season, count(distinct col) as columns, 0.0::double as residual from design group by 1", _DESIGN)
 def _(t: Tables) -> DataFrame:
     rows = design(t).withColumn("y", F.col("w") / 10)
-    sums = M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"]))
-    return settled(L.ridge(sums, "season", 30000.0), "season")
+    frame = M.gram(rows, ["season"], "game", "col", "v", "w").unionByName(right_hand(rows, ["season"]))
+    return settled(L.ridge(D.Equations(design_rows(t, F.col("poss") / 10), "season", frame), "season", 30000.0), "season")
 
 
 @query("lam77_split_pieces", "select season, count(distinct col) as columns, 0.0::double as leftover from design where col > 0 group by 1", _DESIGN)
@@ -221,6 +238,8 @@ def _(t: Tables) -> DataFrame:
     sums = M.gram(rows, ["season"], "game", "col", "v", "w").withColumn("target", F.lit(None).cast("string"))
     for name, part in parts.items():
         sums = sums.unionByName(right_hand(part, ["season"]).withColumn("target", F.lit(name)))
+    y = F.col("pts") / F.col("poss")
+    sums = D.Equations(design_rows(t, y, F.when(early, y).otherwise(0.0), F.when(early, 0.0).otherwise(y)), "season", sums, tuple(parts))
     sign = F.when(F.col("target") == "whole", 1).otherwise(-1)
     left = L.ridge_many(sums, "season", PENALTY).where("i > 0").groupBy("season", "i").agg(F.abs(F.sum(sign * F.col("beta"))).alias("left"))
     return left.groupBy("season").agg(F.count("*").alias("columns"), r(F.max("left"), 4).alias("leftover"))
