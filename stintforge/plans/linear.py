@@ -415,7 +415,7 @@ def _(t: Tables) -> DataFrame:
   join equations n on n.season = a.season and n.i = 0 and n.j = 0) group by all""", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
     """Season levels eliminated from the players' equations by the Schur complement, then summed over seasons."""
-    return L.absorbed(equations(t), "season").select("i", "j", r("g", 1).alias("g"))
+    return L.absorbed(equations(t), "season", 1)
 
 
 @query("lam18_prior_sums", "select game, round(sum(q.pts / q.poss), 4) as prior from (select season, game, unnest(lineup) as player from lineups) l join (select season, player, sum(pts) as pts, sum(poss) as poss from fact group by all) q on l.player = q.player and l.season = q.season + 1 group by 1")
