@@ -157,9 +157,7 @@ def prior_design(t: Tables) -> DataFrame:
 
 def prior_games(t: Tables) -> DataFrame:
     """(season, game, w, rate, expected, e): the plain design a row a game, with the mean prior of the players present."""
-    slots = build.slots(t.lineups, build.prior(build.totals(t.fact)))
-    games = slots.groupBy("season", "game").agg(F.max("w").alias("w"), F.max("rate").alias("rate"), F.max("expected").alias("expected"), F.array_sort(F.collect_list("player")).alias("lineup"))
-    return games.select("season", "game", "w", "rate", "expected", entries().alias("e"))
+    return build.expected(t.lineups, build.prior(build.totals(t.fact))).select("season", "game", "w", "rate", "expected", entries().alias("e"))
 
 
 @query("lam19_prior_columns", "select season, count(distinct col) + 1 as columns, 0.0::double as residual from design group by 1", _DESIGN)
