@@ -97,7 +97,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("lam13_leave_out_sums", "select s.season, e.i, e.j, round(sum(e.g), 4) as g from equations e join (select distinct season from equations) s on true where s.season <> e.season group by all having round(sum(e.g), 4) <> 0", _EQUATIONS)
 def _(t: Tables) -> DataFrame:
-    return L.leave_out(equations(t), "season").select("season", "i", "j", r("g", 4).alias("g")).where("g <> 0")
+    rows = stores.kept(stores.in_few(design_rows(t).select("season", "w", F.col("y")[0].alias("y"), "e")))  # its seasons are asked for first
+    right = rows.select("season", "w", "y", F.explode("e").alias("a")).select("season", F.col("a.c").alias("i"), F.lit(None).cast("long").alias("j"), (F.col("w") * F.col("a.v") * F.col("y")).alias("g"))
+    seasons = sorted(x.season for x in rows.select("season").distinct().collect() if x.season is not None)
+    return L.leave_out(M.gram_terms(rows, ["season"]).unionByName(right), "season", seasons).select("season", "i", "j", r("g", 4).alias("g")).where("g <> 0")
 
 
 @query("lam10_rated_coefficients")
